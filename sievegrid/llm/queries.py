@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op2_ngram_jaccard_join": "op02_ngram_join",
     "op4_bpe_roundtrip": "op04_bpe",
     "op8_token_counts": "op08_token_counts",
 }
