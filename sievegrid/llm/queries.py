@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op3_line_dedup": "op03_line_dedup",
     "op2_ngram_jaccard_join": "op02_ngram_join",
     "op4_bpe_roundtrip": "op04_bpe",
     "op8_token_counts": "op08_token_counts",
@@ -16,4 +17,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import op03_line_dedup
+
+    return {"op3_line_dedup": op03_line_dedup.SQL}
+
