@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op7_best_fit_packing": "op07_packing",
     "op3_line_dedup": "op03_line_dedup",
     "op2_ngram_jaccard_join": "op02_ngram_join",
     "op4_bpe_roundtrip": "op04_bpe",
