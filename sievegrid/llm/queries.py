@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op9_chat_format": "op09_chat",
     "op7_best_fit_packing": "op07_packing",
     "op3_line_dedup": "op03_line_dedup",
     "op2_ngram_jaccard_join": "op02_ngram_join",
@@ -18,7 +19,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import op03_line_dedup
+    from . import op03_line_dedup, op09_chat
 
-    return {"op3_line_dedup": op03_line_dedup.SQL}
+    return {"op3_line_dedup": op03_line_dedup.SQL, "op9_chat_format": op09_chat.SQL}
 
