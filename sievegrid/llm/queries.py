@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_embedding_neardup": "op01_embedding_neardup",
     "op9_chat_format": "op09_chat",
     "op7_best_fit_packing": "op07_packing",
     "op3_line_dedup": "op03_line_dedup",
