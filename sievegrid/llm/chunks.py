@@ -35,16 +35,19 @@ class Memo(dict):
     The limit bounds memory only; what is asked for is always computed.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 500_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
     def fill(self, keys: Iterable[str]) -> None:
-        new = [k for k in set(keys) if k not in self]
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-            self.update(zip(new, self.encode(new), strict=True))
+        keys = set(keys)
+        new = [k for k in keys if k not in self]
+        if new and len(self) + len(new) > self.limit:
+            self.clear()
+            new = list(keys)
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            self.update(zip(part, self.encode(part), strict=True))
 
     def __missing__(self, key: str):
         value = next(iter(self.encode([key])))

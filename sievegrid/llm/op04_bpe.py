@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from .chunks import SPACE, Memo, chunks
 
 #: One character for each byte value; none is white space or special to the model.
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
-_TO_CHARS = {b: c for b, c in enumerate(BYTE_CHARS)}
+_TO_CHARS = dict(enumerate(BYTE_CHARS))
+#: The same, but byte FF, which UTF-8 text never holds, is a character that no piece has.
+_BARRED = _TO_CHARS | {0xFF: "\u2400"}
 
 
 def _varint(n: int) -> bytes:
@@ -76,11 +79,11 @@ class Codec:
         import sentencepiece
 
         self.ranks = ranks
-        self.order = sorted(ranks.values())
+        self.order = np.array(sorted(ranks.values()), np.uint32)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.memo = Memo(self._encode)
-        self.pieces = [b""] * (max(self.order, default=-1) + 1)
+        self.pieces = [b""] * (int(max(self.order, default=-1)) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
 
@@ -88,12 +91,27 @@ class Codec:
         return self.split.findall(text)
 
     def _encode(self, new: list[str]) -> list[bytes]:
-        cut = [[t.encode() for t in self.split.findall(x)] for x in new]
-        rest = list({t for row in cut for t in row if t not in self.ranks})
-        ids = self.model.encode([map_bytes(t) for t in rest], num_threads=1) if rest else []
-        known = {t: struct.pack(f"<{len(i)}I", *(self.order[k - 1] for k in i)) for t, i in zip(rest, ids, strict=True)}
-        pack, ranks = struct.Struct("<I").pack, self.ranks
-        return [b"".join(pack(ranks[t]) if t in ranks else known[t] for t in row) for row in cut]
+        """Ids of each chunk: all their pre-tokens go through the model in one call, with a barrier between."""
+        cut = list(map(self.split.findall, new))
+        flat = [t.encode() for row in cut for t in row]
+        ids = np.array(self.model.encode(b"\xff".join(flat).decode("latin-1").translate(_BARRED)), np.int64)
+        barriers = np.flatnonzero(ids == 0)
+        first = np.append(0, barriers + 1 - np.arange(1, len(barriers) + 1))
+        ranks = np.append(self.order[ids[ids > 0] - 1], np.uint32(0))
+        size = np.diff(np.append(first, len(ranks) - 1))
+        data = ranks.tobytes()
+        at = np.append(first, len(ranks) - 1)[np.append(0, np.cumsum([len(row) for row in cut]))]
+        at = (4 * at).tolist()
+        out = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+        # A pre-token that is itself a token takes its id, even if merges don't lead there.
+        whole = {i for i in np.flatnonzero(size > 1).tolist() if flat[i] in self.ranks}
+        if whole:
+            n = 0
+            for k, row in enumerate(cut):
+                own = range(n, n := n + len(row))
+                if not whole.isdisjoint(own):
+                    out[k] = b"".join(self.ranks[flat[i]].to_bytes(4, "little") if i in whole else data[4 * first[i] : 4 * (first[i] + size[i])] for i in own)
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         rows = [chunks(x) if x else [] for x in texts]
