@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op5_pii_bootstrap": "op05_pii",
     "op6_toxicity": "op06_toxicity",
     "op10_additive_ann": "op10_ann",
     "op1_embedding_neardup": "op01_embedding_neardup",
