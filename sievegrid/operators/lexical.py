@@ -108,3 +108,45 @@ def with_fallback(precomputed: DataFrame, queries: DataFrame, fallback) -> DataF
     """precomputed rankings, and fallback(queries without any) for the rest."""
     missing = queries.join(precomputed.select("query_id").distinct(), "query_id", "left_anti")
     return precomputed.unionByName(fallback(missing))
+
+
+def containing(docs: DataFrame, items: DataFrame, width: int = 60) -> DataFrame:
+    """(query_id, doc_id): documents that hold an item's first `width` characters, each item (query_id, text).
+
+    The items' beginnings form one automaton, so a document is read once
+    whatever their number; they are few against the documents, and are sent to
+    all tasks only up to a bound (MOST_ITEMS), in parts beyond it.
+    """
+    heads = items.select("query_id", F.substring("text", 1, width).alias("head")).where("head <> ''")
+    n = heads.count()
+    parts = -(-n // MOST_ITEMS)
+    out = None
+    for i in range(max(1, parts)):
+        rows = heads.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts))) == i).toArrow()
+        by_head: dict[str, list[int]] = {}
+        for q, h in zip(rows["query_id"].to_pylist(), rows["head"].to_pylist(), strict=True):
+            by_head.setdefault(h, []).append(q)
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(by_head)), "query_id long, doc_id long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: Passages searched at once.
+MOST_ITEMS = 200_000
+
+
+def _search(sent):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        find = ahocorasick.Automaton()
+        for head, ids in sent.value.items():
+            find.add_word(head, ids)
+        if sent.value:
+            find.make_automaton()
+        for b in batches:
+            pairs = [(q, d) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x and sent.value for q in {q for _, ids in find.iter(x) for q in ids}]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in pairs], pa.int64()), pa.array([d for _, d in pairs], pa.int64())], ["query_id", "doc_id"])
+
+    return run

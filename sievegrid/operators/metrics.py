@@ -120,7 +120,7 @@ def confusion(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("query_id", F.col("pick").alias("p0"), F.col("hit").alias("h0")).join(after.select("query_id", F.col("pick").alias("p1"), F.col("hit").alias("h1")), "query_id")
     over = ~F.col("p0").eqNullSafe(F.col("p1"))
     s = both.agg(
-        F.count("*").alias("n"), F.count_if("h0 and h1").alias("both_right"), F.count_if("h0 and not h1").alias("lost"), F.count_if("not h0 and h1").alias("gained"), F.count_if("not h0 and not h1").alias("both_wrong"),
+        F.count("*").alias("n"), F.count_if(F.expr("h0 and h1")).alias("both_right"), F.count_if(F.expr("h0 and not h1")).alias("lost"), F.count_if(F.expr("not h0 and h1")).alias("gained"), F.count_if(F.expr("not h0 and not h1")).alias("both_wrong"),
         F.count_if(over).alias("overrides"), F.count_if(over & F.col("h1")).alias("right_overrides"),
     )
     return s.select("*", F.round(F.coalesce(F.col("right_overrides") / F.nullif("overrides", F.lit(0)), F.lit(0.0)), 6).alias("override_precision"), (F.col("gained") - F.col("lost")).alias("net_change"))

@@ -17,8 +17,8 @@ def run_summary(runs: DataFrame) -> DataFrame:
     """
     some = lambda c: F.nullif(F.col(c), F.lit(0).cast("double"))
     s = runs.agg(
-        F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if("reachable").alias("reachable"), F.count_if("answered").alias("answered"), F.count_if("error is not null and error <> ''").alias("errors"),
-        F.count_if("not hit and not reachable").alias("unreachable_misses"), F.count_if("not hit and reachable and answered").alias("wrong_picks"), F.count_if("not hit and reachable and not answered").alias("no_answers"),
+        F.count("*").alias("n"), F.count_if(F.expr("hit")).alias("hits"), F.count_if(F.expr("reachable")).alias("reachable"), F.count_if(F.expr("answered")).alias("answered"), F.count_if(F.expr("error is not null and error <> ''")).alias("errors"),
+        F.count_if(F.expr("not hit and not reachable")).alias("unreachable_misses"), F.count_if(F.expr("not hit and reachable and answered")).alias("wrong_picks"), F.count_if(F.expr("not hit and reachable and not answered")).alias("no_answers"),
         F.avg("iterations").alias("i"), F.avg(some("tokens_in")).alias("ti"), F.avg(some("tokens_out")).alias("to"), F.avg(some("seconds")).alias("sec"), F.sum("tokens_in").alias("total_in"), F.sum("tokens_out").alias("total_out"),
     )
     return s.select(

@@ -46,7 +46,7 @@ def binomial_two_sided(b: Column, c: Column) -> Column:
 def mcnemar(one: DataFrame, other: DataFrame) -> DataFrame:
     """One row (n, b, c, p_value) from two hit vectors (query_id, hit); a missing query is a miss."""
     both = one.select("query_id", F.col("hit").alias("x")).join(other.select("query_id", F.col("hit").alias("y")), "query_id", "full_outer").fillna(0, ["x", "y"])
-    s = both.agg(F.count("*").alias("n"), F.count_if("x > y").alias("b"), F.count_if("x < y").alias("c"))
+    s = both.agg(F.count("*").alias("n"), F.count_if(F.expr("x > y")).alias("b"), F.count_if(F.expr("x < y")).alias("c"))
     return s.select("n", "b", "c", F.round(binomial_two_sided(F.col("b"), F.col("c")), 9).alias("p_value"))
 
 

@@ -1,5 +1,615 @@
-"""Name -> (DataFrame query, DuckDB SQL or None)."""
+"""Name -> (DataFrame query, DuckDB SQL or None).
+
+Inputs of a query that no table holds as such (traces, diffs, picks) are made by
+one text of SQL for both sides; what is tested is done by the operators on one
+side and by independent SQL on the other.
+"""
 
 from __future__ import annotations
 
-SUITE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import diffs, parsing
+from ..operators import candidates as cand
+from ..operators import dense, fusion, lexical, metrics, runs, select, stats
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+SUITE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+class Data:
+    """The tables of a folder, read when used, and SQL over them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        used = {t: getattr(self, t) for t in TABLES if "{" + t + "}" in text}
+        return self.spark.sql(text, **used, **frames)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        SUITE[name] = (lambda spark, sf_dir: f(Data(spark, sf_dir)), sql)
+        return f
+
+    return add
+
+
+def plain(text: str) -> str:
+    """SQL text for DuckDB, whose views have the tables' names."""
+    for t in TABLES:
+        text = text.replace("{" + t + "}", t)
+    return text
+
+
+def ctes(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+# ---- rankings -------------------------------------------------------------------------------------------------------
+
+QVEC = "SELECT b.item_id AS query_id, e.embedding FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id"
+DENSE_SQL = (
+    f"qv AS ({plain(QVEC)}), ds AS (SELECT q.query_id, d.vec_id AS doc_id, round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM qv q JOIN embeddings d ON d.vec_id <> q.query_id), "
+    "dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM ds QUALIFY rank <= 50)"
+)
+TOK = "list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9_]+'), lambda w: w <> '')"
+
+
+def bm25_sql(name: str, text: str = "text", top: int = 100) -> str:
+    p = name
+    return (
+        f"{p}_t AS (SELECT doc_id, {TOK.replace('{x}', text)} AS t FROM documents), {p}_c AS (SELECT count(*) AS n, avg(len(t)) AS a FROM {p}_t), "
+        f"{p}_q AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.replace('{x}', 'text')}) AS term FROM benchmark), {p}_w AS (SELECT DISTINCT term FROM {p}_q), "
+        f"{p}_f AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM {p}_t) JOIN {p}_w USING (term) GROUP BY ALL), {p}_d AS (SELECT term, count(*) AS df FROM {p}_f GROUP BY 1), "
+        f"{p}_s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM {p}_q JOIN {p}_f USING (term) JOIN {p}_d USING (term), {p}_c GROUP BY 1, 2), "
+        f"{p} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM {p}_s WHERE score > 0 QUALIFY rank <= {top})"
+    )
+
+
+TRUTH_SQL = "truth AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 60)))"
+LABEL_TRUTH = "SELECT b.item_id AS query_id, d.vec_id AS doc_id FROM {benchmark} b JOIN {embeddings} q ON q.vec_id = b.item_id JOIN {embeddings} d ON d.label = q.label AND d.vec_id <> q.vec_id"
+LABELS_SQL = f"lt AS ({plain(LABEL_TRUTH)})"
+RRF_SQL = (
+    "fused AS (SELECT coalesce(b.query_id, d.query_id) AS query_id, coalesce(b.doc_id, d.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + b.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0), 9) AS score, "
+    "CASE WHEN b.rank IS NULL THEN 'dense' WHEN d.rank IS NULL THEN 'bm25' ELSE 'both' END AS source, b.rank AS bm25_rank, d.rank AS dense_rank FROM bm b FULL JOIN dense d ON b.query_id = d.query_id AND b.doc_id = d.doc_id), "
+    "rrf AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank NULLS LAST, dense_rank NULLS LAST, doc_id) AS INT) AS rank FROM fused QUALIFY rank <= 100)"
+)
+
+
+def dense_leg(d: Data) -> DataFrame:
+    return dense.dense_topk(d.embeddings.withColumnRenamed("vec_id", "doc_id"), d.sql(QVEC), 50)
+
+
+def items(d: Data) -> DataFrame:
+    return d.benchmark.select(F.col("item_id").alias("query_id"), "text")
+
+
+def bm25_leg(d: Data) -> DataFrame:
+    return lexical.bm25(d.documents, items(d), 100)
+
+
+def truth(d: Data) -> DataFrame:
+    return lexical.containing(d.documents, items(d))
+
+
+def label_truth(d: Data) -> DataFrame:
+    return d.sql(LABEL_TRUTH)
+
+
+@query("dense_topk", ctes(DENSE_SQL) + "SELECT * FROM dense")
+def _(d):
+    return dense_leg(d)
+
+
+@query("dense_recall_at_k", ctes(DENSE_SQL, LABELS_SQL) + ", b AS (SELECT query_id, min(rank) AS r FROM dense SEMI JOIN lt USING (query_id, doc_id) GROUP BY 1), q AS (SELECT DISTINCT query_id FROM lt) "
+       "SELECT CAST(k AS INT) AS k, count(*) AS n_queries, round(avg(CASE WHEN r <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM q LEFT JOIN b USING (query_id), (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k")
+def _(d):
+    return metrics.hit_at_k(dense_leg(d), label_truth(d), (1, 3, 5, 10))
+
+
+@query("bm25_topk", ctes(bm25_sql("bm")) + "SELECT query_id, doc_id, score, rank FROM bm")
+def _(d):
+    return bm25_leg(d)
+
+
+TIMES = "SELECT event_id AS doc_id, ts FROM {events}"
+ANCHORS = "SELECT b.item_id AS query_id, e.ts AS early, CASE WHEN b.item_id % 4 <> 0 THEN l.ts END AS late FROM {benchmark} b LEFT JOIN {events} e ON e.event_id = 3 * b.item_id LEFT JOIN {events} l ON l.event_id = 5 * b.item_id + 1"
+FIRST = "string_split(text, chr(10))[1]"
+REST = "substring(text, length(string_split(text, chr(10))[1]) + 2)"
+
+
+@query("bm25_field_hybrid", ctes(bm25_sql("fa", FIRST, 10000), bm25_sql("fb", REST, 10000), f"tm AS ({plain(TIMES)})", f"an AS ({plain(ANCHORS)})") + """,
+c AS (SELECT coalesce(fa.query_id, fb.query_id) AS query_id, coalesce(fa.doc_id, fb.doc_id) AS doc_id, coalesce(fa.score, 0) AS a, coalesce(fb.score, 0) AS b FROM fa FULL JOIN fb ON fa.query_id = fb.query_id AND fa.doc_id = fb.doc_id),
+i AS (SELECT c.*, ts, early, late, row_number() OVER (PARTITION BY query_id ORDER BY ts, doc_id) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n, max(a) OVER (PARTITION BY query_id) AS ma, max(b) OVER (PARTITION BY query_id) AS mb FROM c JOIN tm USING (doc_id) LEFT JOIN an USING (query_id)),
+j AS (SELECT *, CASE WHEN early IS NULL THEN n // 2 ELSE coalesce(min(CASE WHEN ts >= early THEN i END) OVER (PARTITION BY query_id), n - 1) END AS ei, CASE WHEN late IS NULL THEN n // 2 ELSE coalesce(min(CASE WHEN ts >= late THEN i END) OVER (PARTITION BY query_id), n - 1) END AS li FROM i),
+s AS (SELECT query_id, doc_id, round(0.35::DOUBLE * a / CASE WHEN ma = 0 THEN 1 ELSE ma END + 0.15::DOUBLE * b / CASE WHEN mb = 0 THEN 1 ELSE mb END + 0.30::DOUBLE / (1 + 2 * abs(i - ei)) + 0.20::DOUBLE / (1 + 2 * abs(i - li)), 6) AS score FROM j)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s""")
+def _(d):
+    docs = d.documents
+    head = F.get(F.split("text", "\n"), F.lit(0))
+    fields = [docs.select("doc_id", head.alias("text")), docs.select("doc_id", F.substring("text", F.length(head) + 2, F.length("text")).alias("text"))]
+    legs = [lexical.bm25(f, items(d), 10_000) for f in fields]
+    return lexical.field_hybrid(*legs, d.sql(TIMES), d.sql(ANCHORS))
+
+
+OFFSETS = "SELECT user_id AS query_id, event_id AS doc_id, round(value, 2) AS score, CAST(event_id % 17 - 8 AS INT) AS early, CAST(event_id % 23 - 11 AS INT) AS late FROM {events}"
+
+
+@query("time_rank_score", f"WITH r AS ({plain(OFFSETS)}), " + """a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS o1 FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(early), o1) AS o2 FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(late), o2) AS o3 FROM b)
+SELECT query_id, doc_id, 1::DOUBLE / o1 AS rank_score, 1::DOUBLE / o2 AS early_score, 1::DOUBLE / o3 AS late_score, round(0.5::DOUBLE / o1 + 0.3::DOUBLE / o2 + 0.2::DOUBLE / o3, 6) AS new_score FROM c""")
+def _(d):
+    return lexical.time_rank_score(d.sql(OFFSETS))
+
+
+PROBES = "SELECT o_orderkey AS g, o_orderkey AS probe_id, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 30 DAY END AS date FROM {orders}"
+SHIPS = "SELECT l_orderkey AS g, l_linenumber AS row_id, l_shipdate AS ts FROM {lineitem}"
+
+
+@query("asof_rank", f"WITH p AS ({plain(PROBES)}), s AS ({plain(SHIPS)}), i AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ts, row_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM s) "
+       "SELECT g, probe_id, CAST(CASE WHEN any_value(date) IS NULL THEN max(n) // 2 ELSE coalesce(min(i) FILTER (WHERE ts >= date), max(n) - 1) END AS BIGINT) AS index FROM p JOIN i USING (g) GROUP BY 1, 2")
+def _(d):
+    return lexical.asof_index(d.sql(SHIPS), d.sql(PROBES), "g")
+
+
+@query("rrf_fuse", ctes(bm25_sql("bm"), DENSE_SQL, RRF_SQL) + "SELECT * FROM rrf")
+def _(d):
+    return fusion.rrf(bm25_leg(d), dense_leg(d))
+
+
+@query("hybrid_rrf_topk", ctes(bm25_sql("bm"), DENSE_SQL, RRF_SQL, TRUTH_SQL) + "SELECT rrf.query_id, rrf.doc_id, score, rank, source, CAST(t.doc_id IS NOT NULL AS INT) AS hit FROM rrf LEFT JOIN truth t ON t.query_id = rrf.query_id AND t.doc_id = rrf.doc_id")
+def _(d):
+    return metrics.marked(fusion.rrf(bm25_leg(d), dense_leg(d)), truth(d)).select("query_id", "doc_id", "score", "rank", "source", "hit")
+
+
+@query("single_leg_topk", ctes(bm25_sql("bm")) + "SELECT query_id, doc_id, score, rank, 'bm25' AS source FROM bm WHERE rank <= 20")
+def _(d):
+    return fusion.single_leg(bm25_leg(d), "bm25", 20)
+
+
+PRE = "SELECT query_id, doc_id, score, rank FROM {dense} WHERE query_id % 3 <> 0"
+
+
+@query("missing_score_fallback", ctes(bm25_sql("bm"), DENSE_SQL) + "SELECT query_id, doc_id, score, rank FROM dense WHERE query_id % 3 <> 0 UNION ALL SELECT query_id, doc_id, score, rank FROM bm ANTI JOIN (SELECT * FROM dense WHERE query_id % 3 <> 0) USING (query_id)")
+def _(d):
+    have = d.sql(PRE, dense=dense_leg(d))
+    return lexical.with_fallback(have, items(d), lambda q: lexical.bm25(d.documents, q, 100))
+
+
+# ---- metrics --------------------------------------------------------------------------------------------------------
+
+BEST = "best AS (SELECT query_id, min(rank) AS r FROM bm SEMI JOIN truth USING (query_id, doc_id) GROUP BY 1), tq AS (SELECT DISTINCT query_id FROM truth)"
+LEX = ctes(bm25_sql("bm"), TRUTH_SQL, BEST)
+
+
+@query("best_rank", LEX + "SELECT query_id, r AS best_rank FROM tq LEFT JOIN best USING (query_id)")
+def _(d):
+    return metrics.best_rank(bm25_leg(d), truth(d))
+
+
+@query("recall_fraction", LEX + "SELECT query_id, count(bm.doc_id) AS found, count(*) AS truths, round(count(bm.doc_id) / count(*)::DOUBLE, 6) AS recall FROM truth LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) bm USING (query_id, doc_id) GROUP BY 1")
+def _(d):
+    return metrics.recall_fraction(bm25_leg(d), truth(d), 5)
+
+
+def ndcg_sql(ranking: str, truths: str, queries: str) -> str:
+    return (
+        f"(SELECT query_id, k, round(coalesce(sum(CASE WHEN rank <= k THEN 1 / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN i <= k THEN 1 / log2(i + 1) ELSE 0 END), 0), 0), 6) AS ndcg FROM {queries} LEFT JOIN "
+        f"(SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM {ranking} SEMI JOIN {truths} USING (query_id, doc_id)) USING (query_id), (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY 1, 2)"
+    )
+
+
+@query("ndcg_at_k", LEX + f"SELECT query_id, CAST(k AS INT) AS k, ndcg FROM {ndcg_sql('bm', 'truth', 'tq')}")
+def _(d):
+    return metrics.ndcg_at_k(bm25_leg(d), truth(d))
+
+
+@query("mrr", LEX + "SELECT query_id, round(coalesce(1::DOUBLE / r, 0), 6) AS rr FROM tq LEFT JOIN best USING (query_id)")
+def _(d):
+    return metrics.reciprocal_rank(bm25_leg(d), truth(d))
+
+
+def table_sql(mode: str) -> str:
+    own = {"full": "tq", "coverage": "(SELECT * FROM tq SEMI JOIN {r} USING (query_id))", "common": "(SELECT * FROM tq SEMI JOIN bm USING (query_id) SEMI JOIN dense USING (query_id))"}[mode]
+    one = []
+    for m, r in (("bm25", "bm"), ("dense", "dense")):
+        q = own.replace("{r}", r)
+        best = f"(SELECT query_id, min(rank) AS r FROM {r} SEMI JOIN truth USING (query_id, doc_id) GROUP BY 1)"
+        one.append(
+            f"SELECT '{m}' AS method, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS r_at_{k}" for k in (1, 3, 5, 10)) + ", " + ", ".join(f"round(avg(n{k}), 6) AS ndcg_at_{k}" for k in (1, 3, 5, 10))
+            + f", round(avg(round(coalesce(1::DOUBLE / r, 0), 6)), 6) AS mrr FROM {q} q LEFT JOIN {best} b USING (query_id) JOIN (SELECT query_id, " + ", ".join(f"max(ndcg) FILTER (WHERE k = {k}) AS n{k}" for k in (1, 3, 5, 10)) + f" FROM {ndcg_sql(r, 'truth', 'tq')} GROUP BY 1) g USING (query_id)"
+        )
+    return ctes(bm25_sql("bm"), DENSE_SQL, TRUTH_SQL, BEST) + " UNION ALL ".join(one)
+
+
+def _table(mode: str):
+    @query(f"ir_metrics_{mode}", table_sql(mode))
+    def _(d):
+        return metrics.metric_table({"bm25": bm25_leg(d), "dense": dense_leg(d)}, truth(d), mode)
+
+
+for _mode in ("full", "common", "coverage"):
+    _table(_mode)
+
+PICKS = "SELECT query_id, CASE WHEN query_id % 7 <> 3 THEN doc_id END AS doc_id FROM {top}"
+
+
+@query("prf1_micro_macro", LEX + """, p AS (SELECT query_id, CASE WHEN query_id % 7 <> 3 THEN doc_id END AS doc_id FROM bm WHERE rank = 1), z AS (SELECT query_id, count(*) AS p FROM truth GROUP BY 1),
+e AS (SELECT coalesce(z.p, 0) AS p, CAST(p.doc_id IS NULL AS INT) AS ab, CAST(t.doc_id IS NOT NULL AS INT) AS tp, CAST(p.doc_id IS NOT NULL AND t.doc_id IS NULL AS INT) AS fp FROM p LEFT JOIN truth t ON t.query_id = p.query_id AND t.doc_id = p.doc_id LEFT JOIN z ON z.query_id = p.query_id),
+f AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS pr, CASE WHEN p > 0 THEN tp / p::DOUBLE ELSE 0 END AS re FROM e), g AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM f),
+s AS (SELECT count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(p) AS BIGINT) AS p, CAST(sum(ab) AS BIGINT) AS abstained, avg(pr) AS mp, avg(re) AS mr, avg(f1) AS mf FROM g),
+m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS a, coalesce(tp / nullif(p, 0)::DOUBLE, 0) AS b FROM s)
+SELECT n, tp, fp, p - tp AS fn, abstained, round(coalesce(tp / nullif(n, 0)::DOUBLE, 0), 4) AS hit_at_1, round(a, 4) AS micro_precision, round(b, 4) AS micro_recall, round(coalesce(2 * a * b / nullif(a + b, 0), 0), 4) AS micro_f1, round(mp, 4) AS macro_precision, round(mr, 4) AS macro_recall, round(mf, 4) AS macro_f1 FROM m""")
+def _(d):
+    return metrics.micro_macro(d.sql(PICKS, top=bm25_leg(d).where("rank = 1")), truth(d))
+
+
+@query("rank1_baseline", LEX + "SELECT count(*) AS n, count(*) FILTER (WHERE r IS NOT NULL) AS recoverable, count(*) FILTER (WHERE r = 1) AS right_at_1, round(count(*) FILTER (WHERE r = 1) / count(*)::DOUBLE, 6) AS accuracy FROM tq LEFT JOIN best USING (query_id)")
+def _(d):
+    b = metrics.best_rank(bm25_leg(d), truth(d))
+    s = b.agg(F.count("*").alias("n"), F.count("best_rank").alias("recoverable"), F.count_if(F.expr("best_rank = 1")).alias("right_at_1"))
+    return s.withColumn("accuracy", F.round(F.col("right_at_1") / F.greatest("n", F.lit(1)), 6))
+
+
+RUN = "SELECT query_id, {pick} AS pick, {hit} AS hit FROM {r}"
+RUNS_SQL = (
+    "ra AS (SELECT q.query_id, b.doc_id AS pick, t.doc_id IS NOT NULL AS hit FROM tq q LEFT JOIN bm b ON b.query_id = q.query_id AND b.rank = 1 LEFT JOIN truth t ON t.query_id = q.query_id AND t.doc_id = b.doc_id), "
+    "rb AS (SELECT q.query_id, b.doc_id AS pick, t.doc_id IS NOT NULL AS hit FROM tq q LEFT JOIN rrf b ON b.query_id = q.query_id AND b.rank = 2 LEFT JOIN truth t ON t.query_id = q.query_id AND t.doc_id = b.doc_id)"
+)
+TWO_RUNS = ctes(bm25_sql("bm"), DENSE_SQL, RRF_SQL, TRUTH_SQL, BEST, RUNS_SQL)
+
+
+def two_runs(d: Data) -> tuple[DataFrame, DataFrame]:
+    """Picks of two methods for every query with truth: the first of BM25, and the second of the fusion."""
+    t = truth(d)
+
+    def run(r: DataFrame, rank: int) -> DataFrame:
+        got = metrics.marked(r.where(F.col("rank") == rank), t).select("query_id", F.col("doc_id").alias("pick"), (F.col("hit") == 1).alias("hit"))
+        return t.select("query_id").distinct().join(got, "query_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+    bm = bm25_leg(d)
+    return run(bm, 1), run(fusion.rrf(bm, dense_leg(d)), 2)
+
+
+@query("confusion_matrix", TWO_RUNS + """, x AS (SELECT ra.pick AS p0, ra.hit AS h0, rb.pick AS p1, rb.hit AS h1 FROM ra JOIN rb USING (query_id)),
+s AS (SELECT count(*) AS n, count(*) FILTER (WHERE h0 AND h1) AS both_right, count(*) FILTER (WHERE h0 AND NOT h1) AS lost, count(*) FILTER (WHERE NOT h0 AND h1) AS gained, count(*) FILTER (WHERE NOT h0 AND NOT h1) AS both_wrong,
+count(*) FILTER (WHERE p0 IS DISTINCT FROM p1) AS overrides, count(*) FILTER (WHERE p0 IS DISTINCT FROM p1 AND h1) AS right_overrides FROM x)
+SELECT *, round(coalesce(right_overrides / nullif(overrides, 0)::DOUBLE, 0), 6) AS override_precision, gained - lost AS net_change FROM s""")
+def _(d):
+    return metrics.confusion(*two_runs(d))
+
+
+@query("lift", TWO_RUNS + "SELECT count(*) AS n, round(avg(ra.hit::INT), 6) AS before, round(avg(rb.hit::INT), 6) AS after, round(avg(rb.hit::INT) - avg(ra.hit::INT), 6) AS gain, round((avg(rb.hit::INT) - avg(ra.hit::INT)) / nullif(avg(ra.hit::INT), 0), 6) AS relative_gain FROM ra JOIN rb USING (query_id)")
+def _(d):
+    return runs.lift(*two_runs(d))
+
+
+@query("hybrid_recall_mrr", TWO_RUNS + """, h AS (SELECT ra.query_id, CASE WHEN rb.hit THEN 1 ELSE r + CASE WHEN p.rank IS NULL OR p.rank > r THEN 1 ELSE 0 END END AS rank
+FROM ra JOIN rb USING (query_id) LEFT JOIN best b ON b.query_id = ra.query_id LEFT JOIN bm p ON p.query_id = ra.query_id AND p.doc_id = rb.pick)
+SELECT count(*) AS n, """ + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS r_at_{k}" for k in (1, 3, 5, 10, 100)) + ", round(avg(coalesce(1::DOUBLE / rank, 0)), 6) AS mrr FROM h")
+def _(d):
+    bm, (_, picks) = bm25_leg(d), two_runs(d)
+    placed = picks.join(bm.select("query_id", F.col("doc_id").alias("pick"), F.col("rank").alias("pick_rank")), ["query_id", "pick"], "left")
+    return runs.recall_mrr(runs.hybrid_ranks(placed, metrics.best_rank(bm, truth(d))))
+
+
+@query("pool_ceiling", LEX + "SELECT CAST(k AS INT) AS k, count(*) AS n_queries, round(avg(CASE WHEN r <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM tq LEFT JOIN best USING (query_id), (SELECT unnest([1, 5, 10, 100]) AS k) GROUP BY k")
+def _(d):
+    return metrics.hit_at_k(bm25_leg(d), truth(d), (1, 5, 10, 100))
+
+
+@query("mcnemar_exact", TWO_RUNS + """, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE ra.hit AND NOT rb.hit) AS b, count(*) FILTER (WHERE NOT ra.hit AND rb.hit) AS c FROM ra FULL JOIN rb USING (query_id))
+SELECT n, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 9) AS p_value FROM s""")
+def _(d):
+    one, other = two_runs(d)
+    return stats.mcnemar(*(x.select("query_id", F.col("hit").cast("int").alias("hit")) for x in (one, other)))
+
+
+@query("bootstrap_ci")
+def _(d):
+    return stats.bootstrap_ci(two_runs(d)[0].select("query_id", F.col("hit").cast("int").alias("hit")))
+
+
+# ---- runs -----------------------------------------------------------------------------------------------------------
+
+TRACE = """SELECT user_id AS item, count(*) AS iterations, coalesce(sum(CASE WHEN event_type IN ('view', 'click') THEN value END), 0) AS tokens_in, coalesce(sum(CASE WHEN event_type = 'purchase' THEN value END), 0) AS tokens_out, max(value) AS seconds,
+max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS answered, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AS reachable,
+max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AND user_id % 2 = 0 AS hit, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0 THEN 'no answer' END AS error FROM {events} GROUP BY user_id"""
+
+
+@query("run_summary", f"WITH r AS ({plain(TRACE)}), " + """s AS (SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE reachable) AS reachable, count(*) FILTER (WHERE answered) AS answered, count(*) FILTER (WHERE error <> '') AS errors,
+count(*) FILTER (WHERE NOT hit AND NOT reachable) AS unreachable_misses, count(*) FILTER (WHERE NOT hit AND reachable AND answered) AS wrong_picks, count(*) FILTER (WHERE NOT hit AND reachable AND NOT answered) AS no_answers,
+avg(iterations) AS i, avg(nullif(tokens_in, 0)) AS ti, avg(nullif(tokens_out, 0)) AS tt, avg(nullif(seconds, 0)) AS sec, sum(tokens_in) AS si, sum(tokens_out) AS so FROM r)
+SELECT n, hits, reachable, answered, errors, unreachable_misses, wrong_picks, no_answers, round(hits / greatest(n, 1)::DOUBLE, 6) AS hit_rate, round(reachable / greatest(n, 1)::DOUBLE, 6) AS reachable_rate, round(hits / greatest(reachable, 1)::DOUBLE, 6) AS efficacy, round(errors / greatest(n, 1)::DOUBLE, 6) AS error_rate,
+round(i, 6) AS avg_iterations, round(ti, 6) AS avg_tokens_in, round(tt, 6) AS avg_tokens_out, round(sec, 6) AS avg_seconds, round(si, 3) AS total_in, round(so, 3) AS total_out FROM s""")
+def _(d):
+    return runs.run_summary(d.sql(TRACE))
+
+
+@query("tool_call_breakdown", "WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS items, round(count(DISTINCT user_id) / any_value(n)::DOUBLE, 6) AS usage_rate, round(count(*) / any_value(n)::DOUBLE, 6) AS per_item FROM events, n GROUP BY 1")
+def _(d):
+    return runs.tool_breakdown(d.events.select(F.col("user_id").alias("item"), F.col("event_type").alias("tool")))
+
+
+PRICES = "SELECT * FROM (VALUES ('view', CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE)), ('click', CAST(2 AS DOUBLE), CAST(8 AS DOUBLE)), ('purchase', CAST(0.5 AS DOUBLE), CAST(1.5 AS DOUBLE))) AS p(model, price_in, price_out)"
+USAGE = "SELECT event_type AS model, 1000 * event_id AS tokens_in, 10 * user_id AS tokens_out FROM {events}"
+
+
+@query("token_cost", f"WITH p AS ({PRICES}), u AS ({plain(USAGE)}) SELECT model, count(*) AS n, round(sum((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0)) / 1e6), 6) AS cost, round(sum((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0)) / 1e6) / count(*), 9) AS per_item FROM u LEFT JOIN p USING (model) GROUP BY 1")
+def _(d):
+    return runs.token_cost(d.sql(USAGE), d.sql(PRICES))
+
+
+@query("quantile_exclusive_p95", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+b AS (SELECT *, least(greatest((19 * n + 19) // 20, 1), n - 1) AS lo, CASE WHEN (19 * n + 19) // 20 > n - 1 THEN 1.0::DOUBLE ELSE ((19 * n + 19) % 20) / 20.0::DOUBLE END AS sh FROM r)
+SELECT user_id, max(n) AS n, round(median(value), 6) AS median, round(CASE WHEN max(n) < 20 THEN max(value) ELSE max(value) FILTER (WHERE i = lo) + (max(value) FILTER (WHERE i = lo + 1) - max(value) FILTER (WHERE i = lo)) * max(sh) END, 6) AS p95 FROM b GROUP BY 1""")
+def _(d):
+    return stats.exclusive_p95(d.events, "value", ["user_id"])
+
+
+@query("dist_floor_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(n) AS n, round(avg(value), 6) AS mean, """ + ", ".join(f"round(max(value) FILTER (WHERE i = least(n - 1, n * {p} // 100)), 6) AS {a}" for a, p in (("median", 50), ("p90", 90), ("p99", 99))) + ", round(max(value), 6) AS max FROM r GROUP BY 1")
+def _(d):
+    return stats.floor_percentiles(d.events, "value", ["event_type"])
+
+
+RECORDS = "SELECT user_id AS item, event_type <> 'error' AS valid, event_id AS source_order, value FROM {events}"
+
+
+@query("merge_best_record", f"WITH r AS ({plain(RECORDS)}) SELECT item, valid, source_order, value FROM r QUALIFY row_number() OVER (PARTITION BY item ORDER BY valid DESC, CASE WHEN valid THEN -source_order ELSE source_order END) = 1")
+def _(d):
+    return runs.best_record(d.sql(RECORDS), ["item"])
+
+
+RUNGS = "SELECT CAST(p_size AS INT) AS place, round(avg(p_retailprice), 4) AS value FROM {part} GROUP BY p_size"
+
+
+@query("capability_lag", f"WITH r AS ({plain(RUNGS)}) SELECT place, value, round(value - lag(value) OVER (ORDER BY place), 6) AS gain FROM r")
+def _(d):
+    return runs.marginal(d.sql(RUNGS))
+
+
+DONE = "SELECT o_custkey AS c_custkey, CASE WHEN max(o_orderstatus) = 'P' THEN 'failed' END AS error FROM {orders} WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey"
+
+
+@query("resume_anti_join", f"WITH done AS ({plain(DONE)}) SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM done WHERE error IS NULL OR error = '')")
+def _(d):
+    return runs.todo(d.customer.select("c_custkey", "c_name"), d.sql(DONE), "c_custkey")
+
+
+STOPS = "SELECT item, answered, error, iterations FROM {trace}"
+
+
+@query("stop_reasons", f"WITH r AS ({plain(TRACE)}) SELECT CASE WHEN error <> '' THEN 'error' WHEN answered THEN 'submitted' WHEN iterations >= 15 THEN 'max_iterations' ELSE 'no_answer' END AS reason, count(*) AS n FROM r GROUP BY 1")
+def _(d):
+    return d.sql(TRACE).select(runs.stop_reason(F.col("answered"), F.col("error"), F.col("iterations"), 15).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# ---- candidates -----------------------------------------------------------------------------------------------------
+
+RANKED = "SELECT l_orderkey AS query_id, l_partkey AS doc_id, l_linenumber AS rank FROM {lineitem}"
+
+
+@query("dedup_keep_lowest_rank", "SELECT CAST(l_suppkey AS BIGINT) AS query_id, CAST(l_partkey AS BIGINT) AS doc_id, min(CAST(l_linenumber AS INT)) AS rank FROM lineitem GROUP BY 1, 2")
+def _(d):
+    rows = d.lineitem.select(F.col("l_suppkey").cast("long").alias("query_id"), F.col("l_partkey").cast("long").alias("doc_id"), F.col("l_linenumber").cast("int").alias("rank"))
+    return cand.keep_lowest_rank(rows, ["query_id", "doc_id"])
+
+
+POOL_SQL = "pk AS (SELECT query_id, doc_id FROM bm WHERE rank = 4), sn AS (SELECT query_id, doc_id FROM bm WHERE rank IN (2, 7, 9))"
+
+
+@query("review_pool", ctes(bm25_sql("bm"), POOL_SQL) + """, t AS (SELECT bm.query_id, bm.doc_id, bm.rank, row_number() OVER (PARTITION BY bm.query_id ORDER BY CASE WHEN pk.doc_id IS NOT NULL THEN 0 WHEN sn.doc_id IS NOT NULL THEN 1 ELSE 2 END, bm.rank) AS i
+FROM bm LEFT JOIN pk USING (query_id, doc_id) LEFT JOIN sn USING (query_id, doc_id)) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS new_rank FROM t WHERE i <= 6""")
+def _(d):
+    bm = bm25_leg(d)
+    return cand.review_pool(bm, bm.where("rank = 4").select("query_id", "doc_id"), bm.where("rank in (2, 7, 9)").select("query_id", "doc_id"), 5)
+
+
+SIDES = """SELECT user_id AS item, max(CASE WHEN event_type = 'purchase' THEN props END) AS best, max(CASE WHEN event_type = 'click' THEN props END) AS s1, max(CASE WHEN event_type = 'view' THEN props END) AS s2, min(props) AS r1, max(props) AS r2 FROM {events} GROUP BY user_id"""
+
+
+@query("compose_ranking", f"WITH s AS ({plain(SIDES)}), a AS (SELECT item, best, unnest([best, s1, s2, r1, r2]) AS x, unnest([1, 2, 3, 4, 5]) AS p FROM s), u AS (SELECT item, x, min(p) AS p FROM a WHERE best IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2), v AS (SELECT item, x, row_number() OVER (PARTITION BY item ORDER BY p) AS r FROM u) "
+       "SELECT s.item, coalesce(string_agg(x, '|' ORDER BY r), '') AS ranking FROM s LEFT JOIN v ON v.item = s.item AND r <= 3 GROUP BY 1")
+def _(d):
+    some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    return d.sql(SIDES).select("item", F.array_join(cand.compose(F.col("best"), some("s1", "s2"), some("r1", "r2"), 3), "|").alias("ranking"))
+
+
+ANSWERS = "SELECT user_id AS query_id, event_id AS position, CASE WHEN event_type IN ('purchase', 'signup') THEN true WHEN event_type = 'error' THEN NULL ELSE false END AS answer, CAST(floor(value) AS INT) AS confidence FROM {events}"
+
+
+@query("pair_ranking", f"WITH p AS ({plain(ANSWERS)}) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN answer THEN 1 WHEN NOT answer THEN 0 ELSE -1 END DESC, CASE WHEN answer THEN confidence WHEN NOT answer THEN -confidence ELSE 0 END DESC, position) AS INT) AS rank FROM p")
+def _(d):
+    return cand.pair_ranking(d.sql(ANSWERS))
+
+
+@query("score_proxy", ctes(bm25_sql("bm")) + "SELECT query_id, doc_id, round((count(*) OVER (PARTITION BY query_id) - rank + 1) / (count(*) OVER (PARTITION BY query_id))::DOUBLE, 6) AS score FROM bm")
+def _(d):
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    return bm25_leg(d).select("query_id", "doc_id", F.round(cand.position_score(F.col("rank"), n), 6).alias("score"))
+
+
+IDS = "SELECT o_custkey AS query_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS position, md5(CAST(o_orderkey AS STRING)) AS doc_id FROM {orders}"
+ASKED = "SELECT o_orderkey AS ask_id, o_custkey AS query_id, CASE WHEN o_orderkey % 5 = 0 THEN '2' WHEN o_orderkey % 5 = 1 THEN '#1' WHEN o_orderkey % 5 = 2 THEN substring(md5(CAST(o_orderkey AS STRING)), 1, 8) WHEN o_orderkey % 5 = 3 THEN upper(md5(CAST(o_orderkey AS STRING))) ELSE substring(md5(CAST(o_orderkey AS STRING)), 1, 1) END AS part FROM {orders}"
+
+
+@query("prefix_resolve", f"WITH c AS ({plain(IDS)}), a AS (SELECT *, lower(part) AS p, CASE WHEN regexp_matches(part, '^#[0-9]+$|^[0-9]{{1,3}}$') THEN CAST(replace(part, '#', '') AS INT) END AS n FROM ({plain(ASKED)})), "
+       "m AS (SELECT ask_id, min(doc_id) AS one, count(*) AS k, max(CASE WHEN doc_id = p THEN doc_id END) AS ex FROM a JOIN c USING (query_id) WHERE n IS NULL AND starts_with(doc_id, p) GROUP BY 1) "
+       "SELECT a.ask_id, CASE WHEN n IS NOT NULL THEN c.doc_id ELSE coalesce(ex, CASE WHEN k = 1 THEN one END) END AS doc_id FROM a LEFT JOIN c ON c.query_id = a.query_id AND c.position = a.n LEFT JOIN m USING (ask_id)")
+def _(d):
+    return cand.resolve(d.sql(ASKED), d.sql(IDS))
+
+
+FILES = "SELECT s_nationkey AS doc_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS position, concat('src/', CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'b' END, '/File', CAST(s_suppkey % 3 AS STRING), '.py') AS path FROM {supplier}"
+ASKED_FILES = "SELECT c_custkey AS ask_id, c_nationkey AS doc_id, concat(CASE WHEN c_custkey % 3 = 0 THEN 'src/A/' WHEN c_custkey % 3 = 1 THEN 'SRC/b/' ELSE '' END, CASE WHEN c_custkey % 2 = 0 THEN 'file' ELSE 'File' END, CAST(c_custkey % 4 AS STRING), '.py') AS asked FROM {customer}"
+
+
+@query("path_match_tiers", f"WITH f AS ({plain(FILES)}), a AS ({plain(ASKED_FILES)}), m AS (SELECT ask_id, path, position, CASE WHEN asked = path THEN 1 WHEN lower(asked) = lower(path) THEN 2 WHEN regexp_extract(lower(asked), '[^/]*$') = regexp_extract(lower(path), '[^/]*$') THEN 3 END AS tier FROM a JOIN f USING (doc_id)) "
+       "SELECT ask_id, path, CAST(tier AS INT) AS tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY tier, position) = 1")
+def _(d):
+    return cand.match_path(d.sql(ASKED_FILES), d.sql(FILES))
+
+
+BARE = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS text, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang FROM {documents}"
+
+
+@query("enrich_left_join", f"WITH b AS ({plain(BARE)}) SELECT b.doc_id, coalesce(nullif(b.lang, ''), d.lang, '') AS lang, length(coalesce(nullif(b.text, ''), d.text, ''))::INT AS n FROM b LEFT JOIN documents d USING (doc_id)")
+def _(d):
+    return cand.fill_empty(d.sql(BARE), d.documents, "doc_id", ["text", "lang"]).select("doc_id", "lang", F.length("text").alias("n"))
+
+
+@query("nest_candidates", ctes(bm25_sql("bm")) + "SELECT query_id, count(*) AS num_candidates, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (WHERE rank <= 10) AS first FROM bm GROUP BY 1")
+def _(d):
+    return cand.nest(bm25_leg(d), 10).select("query_id", "num_candidates", F.array_join(F.transform("candidates", lambda c: c["doc_id"].cast("string")), ",").alias("first"))
+
+
+@query("ordered_distinct", "SELECT source, min(doc_id) AS first_position FROM documents GROUP BY 1")
+def _(d):
+    return cand.ordered_distinct(d.documents, "source", "doc_id")
+
+
+@query("shard_round_robin", "WITH s AS (SELECT source, min(doc_id) AS p FROM documents GROUP BY 1) SELECT source, CAST((row_number() OVER (ORDER BY p) - 1) % 4 AS INT) AS shard FROM s")
+def _(d):
+    units = cand.ordered_distinct(d.documents, "source", "doc_id")
+    return cand.round_robin(units, [F.col("first_position")], 4).select("source", "shard")
+
+
+# ---- texts and diffs ------------------------------------------------------------------------------------------------
+
+DIFF = """SELECT doc_id, concat('junk', chr(10), 'diff --git a/src/', source, '.py b/src/', source, CASE WHEN doc_id % 4 = 0 THEN '_test.py' ELSE '.py' END, chr(10), '--- a/x', chr(10), '+++ b/x', chr(10), '@@ -1 +1 @@', chr(10), '+', replace(coalesce(text, ''), chr(10), concat(chr(10), '+')), chr(10),
+'diff --git a/docs/', lang, '.md b/docs/', lang, CASE WHEN doc_id % 3 = 0 THEN '.md' WHEN doc_id % 3 = 1 THEN '.json' ELSE '.bin' END, chr(10), CASE WHEN doc_id % 3 = 2 THEN 'Binary files differ' ELSE concat('@@ -2 +2 @@', chr(10), '-old', chr(10), ' same') END) AS diff FROM {documents}"""
+DIFF_SQL = (
+    f"df AS ({plain(DIFF)}), ln AS (SELECT doc_id, unnest(string_split(diff, chr(10))) AS line, unnest(range(len(string_split(diff, chr(10))))) AS pos FROM df), "
+    "bl AS (SELECT *, CAST(sum(CAST(starts_with(line, 'diff --git ') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM ln), "
+    "pf AS (SELECT doc_id, block, regexp_extract(arg_min(line, pos), '^diff --git a/(.+?) b/(.+)$', 2) AS path, bool_or(starts_with(line, 'Binary files ')) AS is_binary, count(*) FILTER (WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')) AS adds, "
+    "count(*) FILTER (WHERE starts_with(line, '-') AND NOT starts_with(line, '---')) AS dels, count(*) FILTER (WHERE starts_with(line, '@@')) AS hunks, string_agg(line, chr(10) ORDER BY pos) AS raw FROM bl WHERE block > 0 GROUP BY 1, 2), "
+    "tg AS (SELECT *, CASE WHEN is_binary THEN 'fixture' WHEN regexp_matches(lower(path), '_test\\.') THEN 'test' WHEN path LIKE '%.md' THEN 'doc' WHEN path LIKE '%.json' THEN 'config' WHEN path LIKE '%.py' THEN 'source' ELSE 'other' END AS tag FROM pf)"
+)
+PRIORITY_SQL = (
+    "pr AS (SELECT t.*, CAST(CASE tag WHEN 'source' THEN 100 WHEN 'config' THEN 40 WHEN 'test' THEN 30 WHEN 'doc' THEN 10 WHEN 'fixture' THEN 0 ELSE 20 END + least(20, adds + dels) - CASE WHEN adds + dels > 500 THEN 10 ELSE 0 END "
+    "+ CASE WHEN len(list_intersect(list_filter(regexp_extract_all(lower(path), '[a-z_][a-z0-9_]+'), lambda w: w NOT IN ('src', 'lib', 'main', 'test', 'tests', 'index', 'the', 'and', 'for')), list_filter(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z_][a-z0-9_]+'), lambda w: length(w) >= 3))) > 0 THEN 15 ELSE 0 END AS INT) AS priority FROM tg t JOIN documents d USING (doc_id))"
+)
+
+
+def files(d: Data) -> DataFrame:
+    return diffs.parse_diff(d.sql(DIFF))
+
+
+def tagged(d: Data) -> DataFrame:
+    return files(d).withColumn("tag", diffs.file_tag(F.col("path"), F.col("is_binary")))
+
+
+def prioritised(d: Data) -> DataFrame:
+    rows = tagged(d).join(d.documents.select("doc_id", "text"), "doc_id")
+    return rows.withColumn("priority", diffs.file_priority(F.col("tag"), F.col("adds"), F.col("dels"), F.col("path"), F.col("text"))).drop("text")
+
+
+@query("parse_diff", ctes(DIFF_SQL) + "SELECT doc_id, block, path, is_binary, adds, dels, hunks, md5(raw) AS raw_md5 FROM pf")
+def _(d):
+    return files(d).select("doc_id", "block", "path", "is_binary", "adds", "dels", "hunks", F.md5("raw").alias("raw_md5"))
+
+
+@query("classify_files", ctes(DIFF_SQL) + "SELECT doc_id, block, path, regexp_extract(path, '[^.]*$') AS ext, tag FROM tg")
+def _(d):
+    return tagged(d).select("doc_id", "block", "path", diffs.extension(F.col("path")).alias("ext"), "tag")
+
+
+@query("file_tag_counts", ctes(DIFF_SQL) + "SELECT doc_id, tag, count(*) AS n FROM tg GROUP BY 1, 2")
+def _(d):
+    return tagged(d).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("file_priority", ctes(DIFF_SQL, PRIORITY_SQL) + "SELECT doc_id, block, priority FROM pr")
+def _(d):
+    return prioritised(d).select("doc_id", "block", "priority")
+
+
+@query("truncate_priority")
+def _(d):
+    return d.sql(DIFF).select("doc_id", diffs.truncate_by_priority(F.col("diff"), 600).alias("text"))
+
+
+@query("compress_block", ctes(DIFF_SQL) + """, kp AS (SELECT doc_id, block, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE regexp_matches(line, '^(diff --git |index |--- |\\+\\+\\+ |@@|\\+|-|new file|deleted file|rename |Binary files )')), '') AS k FROM bl WHERE block > 0 GROUP BY 1, 2)
+SELECT doc_id, block, md5(CASE WHEN length(k) <= 500 THEN k ELSE left(k, 220) || chr(10) || '... [cut] ...' || chr(10) || right(k, 220) END) AS md5 FROM kp""")
+def _(d):
+    return files(d).select("doc_id", "block", F.md5(diffs.compress_block(F.col("raw"), 500)).alias("md5"))
+
+
+@query("file_manifest", ctes(DIFF_SQL, PRIORITY_SQL) + """, tc AS (SELECT doc_id, tag, count(*) AS n FROM pr GROUP BY 1, 2), ts AS (SELECT doc_id, string_agg(tag || ':' || n, ' ' ORDER BY tag) AS tags FROM tc GROUP BY 1)
+SELECT doc_id, count(*) AS n_files, any_value(tags) AS tags, string_agg(rpad(path, greatest(length(path), 40)::INT, ' ') || ' ' || rpad(tag, 8, ' ') || ' +' || adds || ' -' || dels, chr(10) ORDER BY priority DESC, block) AS manifest FROM pr JOIN ts USING (doc_id) GROUP BY 1""")
+def _(d):
+    return diffs.file_manifest(prioritised(d))
+
+
+@query("render_commit")
+def _(d):
+    return diffs.render_commit(prioritised(d), budget=2000)
+
+
+@query("candidate_manifest", "SELECT doc_id, CASE WHEN length(h) > 80 THEN left(h, 77) || '...' ELSE h END AS title FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS h FROM documents)")
+def _(d):
+    return d.documents.select("doc_id", diffs.first_line(F.col("text")).alias("title"))
+
+
+SHOW = "SELECT doc_id, concat('commit ', CAST(doc_id AS STRING), chr(10), 'Author: ', source, ' <', lang, '@x>', chr(10), 'Date:   day ', CAST(n_chars AS STRING), chr(10), chr(10), '    title', chr(10), chr(10), 'diff --git a/f b/f', chr(10), '+', lang) AS text FROM {documents}"
+
+
+@query("git_show_split", "SELECT doc_id, source || ' <' || lang || '@x>' AS author, 'day ' || n_chars AS date, 'diff --git a/f b/f' || chr(10) || '+' || lang AS diff FROM documents")
+def _(d):
+    text = F.col("text")
+    return d.sql(SHOW).select("doc_id", parsing.show_author(text).alias("author"), parsing.show_date(text).alias("date"), parsing.show_diff(text).alias("diff"))
+
+
+LISTS = "SELECT event_id, concat('[', CAST(event_id % 7 AS STRING), '] > [', CAST(user_id % 11 AS STRING), '] > [', CAST(event_id % 7 AS STRING), CASE WHEN event_id % 5 = 0 THEN '' ELSE ']' END) AS t FROM {events}"
+
+
+@query("listwise_parse", f"WITH l AS ({plain(LISTS)}), x AS (SELECT event_id, t, unnest(regexp_extract_all(t, '\\[(\\d+)\\]', 1)) AS n, generate_subscripts(regexp_extract_all(t, '\\[(\\d+)\\]', 1), 1) AS p FROM l), y AS (SELECT event_id, t, n, min(p) AS p FROM x GROUP BY ALL) "
+       "SELECT event_id, string_agg(n, ',' ORDER BY p) AS ranking, regexp_full_match(any_value(t), '\\s*\\[\\d+\\](\\s*>\\s*\\[\\d+\\])*\\s*') AS valid FROM y GROUP BY 1")
+def _(d):
+    t = F.col("t")
+    return d.sql(LISTS).select("event_id", F.array_join(F.transform(parsing.listwise(t), lambda x: x.cast("string")), ",").alias("ranking"), parsing.listwise_valid(t).alias("valid"))
+
+
+SAID = "SELECT event_id, concat('think 12 Answer: ', CASE WHEN event_id % 3 = 0 THEN concat('[', CAST(event_id % 40 AS STRING), ']') WHEN event_id % 3 = 1 THEN concat('number ', CAST(user_id % 90 AS STRING)) ELSE concat('commit ', md5(CAST(event_id AS STRING))) END) AS t FROM {events}"
+
+
+@query("answer_parse", f"WITH s AS (SELECT event_id, trim(string_split(t, 'Answer:')[-1]) AS t FROM ({plain(SAID)})) SELECT event_id, TRY_CAST(coalesce(nullif(regexp_extract(t, '\\[(\\d+)\\]', 1), ''), nullif(regexp_extract(t, '\\b(\\d{{1,3}})\\b', 1), '')) AS INT) AS number, nullif(regexp_extract(lower(t), '\\b([0-9a-f]{{7,40}})\\b', 1), '') AS hash FROM s")
+def _(d):
+    t = parsing.after_marker(F.col("t"), "Answer:")
+    return d.sql(SAID).select("event_id", parsing.answer_number(t).alias("number"), parsing.answer_hash(t).alias("hash"))
+
+
+# ---- stages with a pluggable part -------------------------------------------------------------------------------------
+
+
+@query("encode_texts")
+def _(d):
+    return dense.encode_texts(d.documents, lambda: dense.seeded_encoder(64), max_chars=6000).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm"))
+
+
+@query("select_first", ctes(bm25_sql("bm")) + "SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS best_doc_id, 1::INT AS iterations, NULL::VARCHAR AS error FROM bm WHERE rank = 1")
+def _(d):
+    got = cand.nest(bm25_leg(d), 10).select(F.col("query_id").cast("string").alias("query_id"), F.transform("candidates", lambda c: c["doc_id"].cast("string")).alias("candidates"))
+    return select.run_selector(got, select.first_candidate).select("query_id", "best_doc_id", "iterations", "error")
+
+
+CALLS = "SELECT user_id AS item, event_id AS turn, CASE WHEN event_type = 'purchase' THEN 'submit' WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'list' END AS tool, CAST(event_id % 9 AS STRING) AS doc_id FROM {events}"
+
+
+@query("trace_replay", f"WITH c AS (SELECT * FROM ({plain(CALLS)})), e AS (SELECT *, min(CASE WHEN tool = 'submit' THEN turn END) OVER (PARTITION BY item) AS stop FROM c), k AS (SELECT * FROM e WHERE stop IS NULL OR turn <= stop), r AS (SELECT item, doc_id, min(turn) AS turn FROM k WHERE tool = 'read' GROUP BY 1, 2), "
+       "a AS (SELECT item, string_agg(doc_id, ',' ORDER BY turn) AS seen FROM r GROUP BY 1) SELECT k.item, coalesce(any_value(seen), '') AS inspected, max(CASE WHEN tool = 'submit' THEN doc_id END) AS answer, count(*)::INT AS n_calls FROM k LEFT JOIN a USING (item) GROUP BY 1")
+def _(d):
+    return select.replay(d.sql(CALLS)).select("item", F.array_join("inspected", ",").alias("inspected"), "answer", "n_calls")
