@@ -1,34 +1,37 @@
 """Token counts from pre-token frequencies, without making ids.
 
-Each batch of documents gives one row for each of its distinct pre-tokens with
-the documents that hold it and how often (so a pre-token's text moves once per
-batch, not once per document). The distinct pre-tokens of the corpus are counted
-once each by the tokenizer, joined to those frequencies, and summed per document.
-
-Frequent pre-tokens have a row per batch: rows of one key are many, but small,
-and the join is a plain equi-join whose skewed partitions Spark splits.
+A first pass finds the distinct pre-tokens of the corpus, and the tokenizer
+counts the pieces of each once. A second pass takes each document's pre-token
+frequencies and joins the counts to them. The join is split by frequency: the
+commonest pre-tokens, of a fixed number, are sent to all tasks and summed at
+once, so no frequent key is shuffled; the frequencies of all others go, packed
+per batch of documents and bucket of pre-tokens, to a join by bucket. Sums per
+document are then put together. Nothing is left out by the split.
 
 Cases: null text counts as empty (0 bytes, 0 tokens); each input row is counted
 on its own, so repeated ids and rows stay separate; null ids pass through;
 special strings inside a text count as the library's default has them, one
-token each; other columns are not read.
+token each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SPACE, Memo, chunks
+from .chunks import SPACE, chunks
+from .common import materialize
 from .op04_bpe import slices
 
-#: Documents in a batch whose frequencies are put together.
-BATCH = 2000
+#: Documents of a batch; pre-tokens whose counts are sent to all tasks, at most; pre-tokens of a bucket, about.
+BATCH, COMMON, BUCKET = 1000, 100_000, 100_000
+#: Chunks that a worker remembers; bounds memory only.
+REMEMBERED = 300_000
 
 
 class PreTokens:
@@ -39,28 +42,48 @@ class PreTokens:
 
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.memo = Memo(lambda new: [self.cut(x) for x in new])
+        self.strings = special
 
-    def cut(self, text: str) -> tuple[str, ...]:
-        if self.special is None or not self.special.search(text):
-            return tuple(self.pattern.findall(text))
+    def cut(self, text: str) -> list[str]:
+        if not any(x in text for x in self.strings):
+            return self.pattern.findall(text)
         parts = self.special.split(text)
-        return tuple(t for i, p in enumerate(parts) for t in ([p] if i % 2 else self.pattern.findall(p)))
+        return [t for i, p in enumerate(parts) for t in ([p] if i % 2 else self.pattern.findall(p))]
 
     def frequencies(self, text: str | None) -> dict[str, int]:
         out: dict[str, int] = {}
-        for chunk, n in Counter(chunks(text or "")).items():
-            for t in self.memo[chunk]:
-                out[t] = out.get(t, 0) + n
+        for chunk in chunks(text or ""):
+            for t in self.cut(chunk):
+                out[t] = out.get(t, 0) + 1
         return out
 
-    def distinct(self, texts: list[str | None]) -> set[str]:
-        return {t for c in {c for x in texts for c in chunks(x or "")} for t in self.memo[c]}
-
 
-@lru_cache(maxsize=2)
-def pre_tokens(pattern: str, special: tuple[str, ...]) -> PreTokens:
-    return PreTokens(pattern, special)
+class Summer:
+    """Sums the counts of common pre-tokens, and lists the others, chunk by chunk."""
+
+    def __init__(self, cutter: PreTokens, common: dict[str, int]):
+        self.cutter, self.common = cutter, common
+        self.sums: dict[str, int] = {}
+        self.rare: dict[str, list[str]] = {}
+
+    def batch(self, texts: list[str | None]) -> tuple[list[int], list[tuple[int, list[str]]]]:
+        """Per text its sum over common pre-tokens; (text, its other pre-tokens, repeated as often as they stand)."""
+        totals, others = [], []
+        for i, x in enumerate(texts):
+            row = chunks(x or "")
+            for c in {c for c in row if c not in self.sums}:
+                cut = self.cutter.cut(c)
+                rare = [t for t in cut if t not in self.common]
+                self.sums[c] = sum(self.common[t] for t in cut if t in self.common)
+                if rare:
+                    self.rare[c] = rare
+            totals.append(sum(map(self.sums.__getitem__, row)))
+            rare = [t for c in row if c in self.rare for t in self.rare[c]]
+            if rare:
+                others.append((i, rare))
+            if len(self.sums) > REMEMBERED:
+                self.sums, self.rare = {}, {}
+        return totals, others
 
 
 @lru_cache(maxsize=2)
@@ -77,97 +100,117 @@ def special_strings(path: str) -> tuple[str, ...]:
     return tuple(sorted((t.content for t in library(path).get_added_tokens_decoder().values()), key=lambda x: (-len(x), x)))
 
 
-def frequencies(docs: DataFrame, pattern: str, special: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(piece, batch, rows array<int>, counts array<int>, ids array, bytes array<long>).
+def distinct_pieces(docs: DataFrame, pattern: str, special: tuple[str, ...], text: str = "text") -> DataFrame:
+    """(piece binary, seen long): each pre-token of the corpus, with the number of batches it was seen in."""
+
+    def run(batches):
+        cutter = PreTokens(pattern, special)
+        for whole in batches:
+            for b in slices(whole, 4 * BATCH):
+                found: set[str] = set()
+                for x in b.column(0).to_pylist():
+                    found.update(chunks(x or ""))
+                rows = list({t for c in found for t in cutter.cut(c)})
+                for at in range(0, len(rows), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([t.encode() for t in rows[at : at + 50_000]], pa.binary())], ["piece"])
 
-    A batch's row with the null piece's stand-in, the empty string, lists its
-    documents: their ids and lengths in bytes.
-    """
+    return docs.select(text).mapInArrow(run, "piece binary").groupBy("piece").agg(F.count("*").alias("seen"))
+
+
+def count_pieces(pieces: DataFrame, path: str) -> DataFrame:
+    """(piece, seen, n int): tokens of each piece, by the library."""
+
+    def run(batches):
+        tok = library(path)
+        for whole in batches:
+            for b in slices(whole, 5000):
+                rows = tok.encode_batch_fast([x.decode() for x in b.column(0).to_pylist()], add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x.ids) for x in rows], pa.int32())], ["piece", "seen", "n"])
+
+    return pieces.mapInArrow(run, "piece binary, seen long, n int")
+
+
+def _second_pass(docs: DataFrame, pattern: str, special: tuple[str, ...], common, buckets: int, key: str, text: str) -> DataFrame:
+    """(batch, bucket, pieces, sizes, at, ids, bytes, sums): per batch one row of its documents (bucket null), and
+    one per bucket that lists its rarer pre-tokens, with the documents they stand in."""
     kind = docs.schema[key].dataType.simpleString()
+    names = ["batch", "bucket", "pieces", "sizes", "at", "ids", "bytes", "sums"]
 
     def run(batches):
-        cutter, n = pre_tokens(pattern, special), 0
+        import xxhash
+
+        summer, n = Summer(PreTokens(pattern, special), common.value), 0
         for whole in batches:
             for b in slices(whole, BATCH):
-                batch = (TaskContext.get().partitionId() << 24) + n
-                n += 1
+                batch, n = (TaskContext.get().partitionId() << 24) + n, n + 1
                 texts = b.column(1).to_pylist()
-                held: dict[str, tuple[list[int], list[int]]] = {}
-                for i, x in enumerate(texts):
-                    for t, c in cutter.frequencies(x).items():
-                        at = held.get(t)
-                        if at is None:
-                            held[t] = ([i], [c])
-                        else:
-                            at[0].append(i)
-                            at[1].append(c)
-                lengths = [len((x or "").encode()) for x in texts]
-                names = ["piece", "batch", "at", "counts", "ids", "bytes"]
+                totals, others = summer.batch(texts)
+                packed: dict[int, tuple[list[bytes], list[int]]] = {}
+                for i, rare in others:
+                    for t in rare:
+                        raw = t.encode()
+                        at = packed.setdefault(xxhash.xxh64_intdigest(raw) % buckets, ([], []))
+                        at[0].append(raw)
+                        at[1].append(i)
+                held = list(packed.items())
+                ids, length = pa.nulls(len(held), pa.list_(b.column(0).type)), pa.nulls(len(held), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([""], pa.string()), pa.array([batch], pa.int64()),
-                        pa.array([list(range(len(texts)))], pa.list_(pa.int32())), pa.array([[0] * len(texts)], pa.list_(pa.int32())),
-                        pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([lengths], pa.list_(pa.int64())),
+                        pa.array([batch] * (len(held) + 1), pa.int64()), pa.array([k for k, _ in held] + [None], pa.int32()),
+                        pa.array([b"".join(v[0]) for _, v in held] + [None], pa.binary()),
+                        pa.array([np.array(list(map(len, v[0])), np.uint32).tobytes() for _, v in held] + [None], pa.binary()),
+                        pa.array([np.array(v[1], np.uint16).tobytes() for _, v in held] + [None], pa.binary()),
+                        pa.concat_arrays([ids, pa.array([b.column(0).to_pylist()], ids.type)]),
+                        pa.concat_arrays([length, pa.array([[len((x or "").encode()) for x in texts]], length.type)]),
+                        pa.concat_arrays([length, pa.array([totals], length.type)]),
                     ],
                     names,
                 )
-                keys = list(held)
-                for at in range(0, len(keys), 20_000):
-                    part = keys[at : at + 20_000]
-                    none = pa.nulls(len(part), pa.list_(b.column(0).type))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(part, pa.string()), pa.array([batch] * len(part), pa.int64()),
-                            pa.array([held[t][0] for t in part], pa.list_(pa.int32())), pa.array([held[t][1] for t in part], pa.list_(pa.int32())),
-                            none, pa.nulls(len(part), pa.list_(pa.int64())),
-                        ],
-                        names,
-                    )
-
-    return docs.select(key, text).mapInArrow(run, f"piece string, batch long, at array<int>, counts array<int>, ids array<{kind}>, bytes array<long>")
 
+    return docs.select(key, text).mapInArrow(run, f"batch long, bucket int, pieces binary, sizes binary, at binary, ids array<{kind}>, bytes array<long>, sums array<long>")
 
-def distinct_pieces(docs: DataFrame, pattern: str, special: tuple[str, ...], text: str = "text") -> DataFrame:
-    def run(batches):
-        cutter = pre_tokens(pattern, special)
-        seen: set[str] = set()
-        for whole in batches:
-            for b in slices(whole, BATCH):
-                new = cutter.distinct(b.column(0).to_pylist()) - seen
-                seen |= new
-                if len(seen) > 1_000_000:
-                    seen = set()
-                rows = list(new)
-                for at in range(0, len(rows), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 50_000], pa.string())], ["piece"])
-
-    return docs.select(text).mapInArrow(run, "piece string").distinct()
 
+def _bucket(piece: pa.Array, buckets: int) -> pa.Array:
+    import xxhash
 
-def count_pieces(pieces: DataFrame, path: str) -> DataFrame:
-    """(piece, n int): tokens of each piece, by the library."""
+    return pa.array([xxhash.xxh64_intdigest(x) % buckets for x in piece.to_pylist()], pa.int32())
 
-    def run(batches):
-        tok = library(path)
-        for whole in batches:
-            for b in slices(whole, 20_000):
-                rows = tok.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.ids) for x in rows], pa.int32())], ["piece", "n"])
 
-    return pieces.mapInArrow(run, "piece string, n int")
+def _rare_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(batch, at array<int>, sums array<long>): a bucket's pre-tokens joined to their counts, summed per document."""
+    count = dict(zip(right["piece"].to_pylist(), right["n"].to_pylist(), strict=True))
+    out = [], []
+    for raw, sizes, at in zip(left["pieces"].to_pylist(), left["sizes"].to_pylist(), left["at"].to_pylist(), strict=True):
+        ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
+        n = [count[raw[i:j]] for i, j in zip([0, *ends], ends, strict=False)]
+        total = np.bincount(np.frombuffer(at, np.uint16), weights=n).astype(np.int64)
+        some = np.flatnonzero(total)
+        out[0].append(some.astype(np.int32))
+        out[1].append(total[some])
+    return pa.table({"batch": left["batch"], "at": pa.array(out[0], pa.list_(pa.int32())), "sums": pa.array(out[1], pa.list_(pa.int64()))})
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row."""
     special = special_strings(path)
-    counted = count_pieces(distinct_pieces(docs, pattern, special, text), path)
-    held = frequencies(docs, pattern, special, key, text).join(counted, "piece", "left")
-    each = held.select("batch", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.arrays_zip("at", "counts", F.coalesce("ids", F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")).alias("ids"), F.coalesce("bytes", F.array().cast("array<bigint>")).alias("bytes"))).alias("x"))
-    return (
-        each.groupBy("batch", F.col("x.at").alias("at"))
-        .agg(F.max("x.ids").alias(key), F.max("x.bytes").alias("n_bytes"), F.sum(F.col("n").cast("long") * F.col("x.counts")).alias("n_tokens"))
-        .select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    counted = materialize(count_pieces(distinct_pieces(docs, pattern, special, text), path), "token-pieces")
+    buckets = max(8, -(-counted.count() // BUCKET))
+    top = counted.orderBy(F.desc("seen"), "piece").limit(COMMON).select("piece", "n").toArrow()
+    common = dict(zip((x.decode() for x in top["piece"].to_pylist()), top["n"].to_pylist(), strict=True))
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+    passed = materialize(_second_pass(docs, pattern, special, sent, buckets, key, text), "token-batches")
+
+    def place(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_bucket(b.column(0), buckets), b.column(0), b.column(1)], ["bucket", "piece", "n"])
+
+    known = counted.select("piece", "n").mapInArrow(place, "bucket int, piece binary, n int")
+    rare = passed.where("bucket is not null").select("batch", "bucket", "pieces", "sizes", "at")
+    rare = rare.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_rare_sums, "batch long, at array<int>, sums array<long>")
+    rare = rare.select("batch", F.explode(F.arrays_zip("at", "sums")).alias("x")).groupBy("batch", F.col("x.at").alias("at")).agg(F.sum("x.sums").alias("more"))
+    rows = passed.where("bucket is null").select("batch", F.posexplode(F.arrays_zip("ids", "bytes", "sums")).alias("at", "x"))
+    total = F.col("x.sums") + F.coalesce("more", F.lit(0))
+    return rows.join(rare, ["batch", "at"], "left").select(F.col("x.ids").alias(key), F.col("x.bytes").alias("n_bytes"), total.alias("n_tokens"), (total > limit).alias("over_limit"))
 
 
 def op8_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
