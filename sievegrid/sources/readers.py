@@ -24,7 +24,7 @@ def csv(spark: SparkSession, path, schema: str) -> DataFrame:
 
 
 def truth_ids(column):
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\|"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def queries(spark: SparkSession, path, most: int = 0, columns: dict[str, str] | None = None) -> DataFrame:
