@@ -6,10 +6,11 @@ holds, per block of rows, codes, exact norms and what the approximation leaves
 over. A query scores a block by table lookups: its products with all codewords
 once, then one addition per codebook and row. As the rest of a row beyond its
 approximation is nearly orthogonal to a query, a row's cosine lies within a few
-standard deviations of its score; every row whose upper bound reaches the k-th
-best lower bound goes to exact reranking in double precision, however many they
-are. So there is no fixed number of candidates, and large groups of near copies
-are reranked whole.
+standard deviations of its score; every row of a block whose upper bound reaches
+the block's k-th best lower bound is reranked exactly, in double precision on
+the original vectors, however many they are. So there is no fixed number of
+candidates, and large groups of near copies are reranked whole. Only the k best
+of a block leave it.
 
 Codebooks are fitted on a bounded sample by residual k-means; all rows are
 indexed. Queries meet rows block by block.
@@ -38,14 +39,14 @@ BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 16, 256, 6, 8192, 6
 #: Rows of an index block and queries of a query block.
 ROWS, QUERIES = 4096, 256
 #: Standard deviations of a product with the rest that bounds allow for.
-MARGIN = 2.2
+MARGIN = 3.0
 
 
 class Quantizer:
     def __init__(self, fit: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
         rest, self.books = fit.astype(np.float32), []
-        for _ in range(BOOKS):
+        for _ in range(BOOKS if len(fit) else 0):
             words = rest[rng.choice(len(rest), min(WORDS, len(rest)), replace=False)].copy()
             for _ in range(ROUNDS):
                 near = (rest @ words.T - 0.5 * (words**2).sum(1)).argmax(1)
@@ -77,21 +78,22 @@ class Quantizer:
 
 
 def _index(rows: DataFrame, quantizer) -> DataFrame:
-    """(block, ids, codes, rest binary): one row per block; vectors are taken at length 1."""
+    """(block, ids, codes, rest, v binary): one row per block; codes are of vectors at length 1, v are the vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = pa.Table.from_batches(list(batches)).sort_by("id").combine_chunks()
-        x, codes, rest = unit(matrix(g["v"].combine_chunks())), [], []
+        v = matrix(g["v"].combine_chunks(), np.float32)
+        x, codes, rest = unit(v.astype(np.float64)), [], []
         for i in range(0, len(x), 1024):
             c, r = quantizer.value.encode(x[i : i + 1024])
             codes.append(c)
             rest.append(r)
         yield pa.RecordBatch.from_arrays(
-            [g["block"].combine_chunks()[:1], *(pa.array([v.tobytes()], pa.binary()) for v in (g["id"].to_numpy(), np.concatenate(codes), np.concatenate(rest).astype(np.float32)))],
-            ["block", "ids", "codes", "rest"],
+            [g["block"].combine_chunks()[:1], *(pa.array([v.tobytes()], pa.binary()) for v in (g["id"].to_numpy(), np.concatenate(codes), np.concatenate(rest).astype(np.float32), v))],
+            ["block", "ids", "codes", "rest", "v"],
         )
 
-    return rows.groupBy("block").applyInArrow(run, "block int, ids binary, codes binary, rest binary")
+    return rows.groupBy("block").applyInArrow(run, "block int, ids binary, codes binary, rest binary, v binary")
 
 
 def _query_blocks(queries: DataFrame) -> DataFrame:
@@ -104,15 +106,15 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
     return queries.select("id", "v").mapInArrow(run, "q_ids binary, q binary")
 
 
-def _scores(pairs: DataFrame, quantizer, k: int) -> DataFrame:
-    """(query_id, vec_id, low, high, top): rows of a block that may be among the query's k nearest of the block."""
+def _nearest_of_blocks(pairs: DataFrame, quantizer, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each pair of a query block and an index block the k nearest rows of each query."""
 
     def run(batches):
         books = quantizer.value.books
         d = books.shape[2]
         for whole in batches:
             for i in range(whole.num_rows):
-                q_ids, q, ids, codes, rest = (c[i].as_py() for c in whole.columns)
+                q_ids, q, ids, codes, rest, v = (c[i].as_py() for c in whole.columns)
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
                 q, rest = np.frombuffer(q, np.float64).reshape(len(q_ids), -1), np.frombuffer(rest, np.float32)
                 codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
@@ -120,28 +122,21 @@ def _scores(pairs: DataFrame, quantizer, k: int) -> DataFrame:
                 for m in range(len(books)):
                     score += (books[m] @ q.T.astype(np.float32))[codes[:, m]]
                 score = score.T
-                own = q_ids[:, None] == ids[None, :]
-                room = (MARGIN / math.sqrt(d) * rest)[None, :] + 1e-5
-                low, high = np.where(own, -np.inf, score - room), np.where(own, -np.inf, score + room)
+                score[q_ids[:, None] == ids[None, :]] = -np.inf
+                room = (MARGIN / math.sqrt(d) * rest)[None, :] + np.float32(1e-5)
+                low = score - room
                 n = min(k, len(ids))
-                top = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
-                at, row = np.nonzero((high >= top[:, None]) & ~own)
-                lo, hi = low[at, row], high[at, row]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids[row]), pa.array(lo), pa.array(hi), pa.array(lo >= top[at])], ["query_id", "vec_id", "low", "high", "top"])
+                bound = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
+                at, row = np.nonzero((score + room >= bound[:, None]) & (score > -np.inf))
+                x = unit(np.frombuffer(v, np.float32).reshape(len(ids), -1).astype(np.float64))
+                exact = np.concatenate([(q[at[j : j + 50_000]] * x[row[j : j + 50_000]]).sum(axis=1) for j in range(0, max(1, len(at)), 50_000)])
+                order = np.lexsort((ids[row], -exact, at))
+                at, row, exact = at[order], row[order], exact[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                best = place < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[best]]), pa.array(ids[row[best]]), pa.array(exact[best])], ["query_id", "vec_id", "score"])
 
-    return pairs.select("q_ids", "q", "ids", "codes", "rest").mapInArrow(run, "query_id long, vec_id long, low float, high float, top boolean")
-
-
-def _rerank(pairs: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score): cosine of the original vectors in double precision."""
-
-    def run(batches):
-        for b in batches:
-            x, y = matrix(b.column(2)), matrix(b.column(3))
-            score = (unit(x) * unit(y)).sum(axis=1) if x.size else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
-
-    return pairs.select("query_id", "vec_id", "q", "v").mapInArrow(run, "query_id long, vec_id long, score double")
+    return pairs.select("q_ids", "q", "ids", "codes", "rest", "v").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -164,12 +159,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     index = materialize(_index(rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")), quantizer), "ann-index")
     # Every query block meets every index block; the queries are copied, once per block of rows.
     asked_of = _query_blocks(asked).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = materialize(_scores(asked_of.join(index, "block"), quantizer, k), "ann-scores")
-    best = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
-    bound = scored.where("top").withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("low").alias("bound"))
-    kept = scored.join(bound, "query_id", "left").where("bound is null or high >= bound").select("query_id", "vec_id")
-    pairs = kept.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id")
-    exact = _rerank(pairs).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    exact = _nearest_of_blocks(asked_of.join(index, "block"), quantizer, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
