@@ -12,10 +12,11 @@ Frequent n-grams, found in a first pass over everything, come last in the order,
 so boilerplate that many documents share rarely is a column at all. Where such a
 column, or any longer than WIDE, remains (rows made of boilerplate, large groups
 of near copies), its rows are not multiplied pair by pair: each is compared with
-the column's least row, and then only those rows that are not yet connected to
-most of the column are compared with the others. No link between two components
-is lost, and connected rows need no further proof. The order and these limits
-change the work, never the result.
+the column's least row, and then those rows that are not yet connected to most
+of their group (rows that share wide columns) are multiplied with the others, in
+tiles over all their columns, one per task, which return spanning links only.
+No link between two components is lost, and connected rows need no further
+proof. The order and these limits change the work, never the result.
 
 Words are runs of other than ASCII white space, A-Z lowered; a set holds the
 distinct n-word shingles as 64-bit hashes, or the whole sequence if it is
@@ -45,6 +46,8 @@ WIDE = 128
 SEEN, FREQUENT = 4, 48
 #: Most n-grams that are ordered last (8 bytes each, sent to all tasks); with more, FREQUENT rises.
 FREQUENT_MOST = 1_000_000
+#: Rows of half a tile, about.
+TILE = 256
 #: Postings of a column block, about.
 BLOCK = 1_000_000
 
@@ -237,6 +240,75 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(k, grams binary) of (k, text)."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 1000):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, n).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["k", "grams"])
+
+    return texts.select("k", "text").mapInArrow(run, "k long, grams binary")
+
+
+def _tile(t: int):
+    """Links of a tile: (a, b) with the least row that a reaches inside it, for rows of other blocks than their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = pa.Table.from_batches(list(batches)).sort_by("k").combine_chunks()
+        k, block = g["k"].to_numpy(), g["block"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in g["grams"].to_pylist()]
+        size = np.array([len(s) for s in sets])
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(sets)), size), count > 1
+        place = np.cumsum(shared) - 1
+        row, column = row[shared[column]], place[column[shared[column]]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(shared.sum()), 4096):
+            i, j = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[i:j], column[i:j] - at] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        near = 100 * both >= t * (size[:, None] + size[None, :] - both)
+        if g["low"][0].as_py() != g["high"][0].as_py():
+            near &= block[:, None] != block[None, :]
+        np.fill_diagonal(near, False)
+        label = np.arange(len(k))
+        while True:
+            new = np.minimum(label, np.where(near, label[None, :], len(k)).min(axis=1))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        some = label != np.arange(len(k))
+        yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(k[label][some])], ["a", "b"])
+
+    return run
+
+
+def _open_groups(wide: DataFrame, joined: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Links between components among rows that share wide columns.
+
+    Of each group of rows, the largest component so far is connected already;
+    all others are multiplied with it and with each other, tile by tile.
+    """
+    pivots = wide.groupBy("h").agg(F.min("k").alias("p"))
+    groups = components(wide.join(pivots, "h").select(F.col("k").alias("a"), F.col("p").alias("b")), "ngram-groups")
+    rows = groups.select(F.col("node").alias("k"), F.col("component").alias("grp")).join(joined.select(F.col("node").alias("k"), F.col("component").alias("g")), "k", "left").withColumn("g", F.coalesce("g", "k"))
+    rows = materialize(rows, "ngram-open")
+    parts = rows.groupBy("grp", "g").count().groupBy("grp").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(parts, "grp").withColumn("m", F.ceil(F.col("inside") / TILE).cast("int")).withColumn("o", F.ceil((F.col("all") - F.col("inside")) / TILE).cast("int"))
+    # Blocks 0 to o - 1 are of rows outside the main component, the following m of those in it; a tile has one of the former at least.
+    own = F.when(F.col("g") == F.col("main"), F.col("o") + F.pmod(F.xxhash64("k"), F.col("m"))).otherwise(F.pmod(F.xxhash64("k"), F.col("o"))).cast("int")
+    rows = rows.withColumn("block", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("g") == F.col("main"), F.col("o") - 1).otherwise(F.col("o") + F.col("m") - 1))))
+    tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(sets, "k")
+    return tiles.groupBy("grp", "low", "high").applyInArrow(_tile(t), "a long, b long")
+
+
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs; ids must be integers."""
     spark, t = docs.sparkSession, percent
@@ -280,12 +352,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
         return df.join(joined.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
 
     open_narrow = label(label(narrow.select("a", "b"), "a", "g_a"), "b", "g_b").where("g_a <> g_b").select("a", "b")
-    labelled = label(wide, "k", "g")
-    main = labelled.groupBy("h", "g").count().groupBy("h").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    split = labelled.join(main.select("h", "main"), "h")
-    outside = split.where("g <> main").select("h", F.col("k").alias("r"), F.col("n").alias("n_r"), F.col("g").alias("g_r"))
-    open_wide = split.join(outside, "h").where(f"g <> g_r and 100 * least(n, n_r) >= {t} * greatest(n, n_r)").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
-    second = _verify(open_narrow.union(open_wide).distinct(), texts, n, t)
+    held_wide = _sets(texts.join(wide.select("k").distinct(), "k", "left_semi"), n)
+    second = _verify(open_narrow.distinct(), texts, n, t).union(_open_groups(wide, joined, held_wide, t))
     # Components are named by document: each set stands for its least doc_id.
     links = first.union(second)
     names = sets.select("k", "rep")
@@ -299,3 +367,18 @@ def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON least_of.a = d.doc_id
+"""

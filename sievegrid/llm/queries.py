@@ -5,16 +5,16 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
-    "op5_pii_bootstrap": "op05_pii",
-    "op6_toxicity": "op06_toxicity",
-    "op10_additive_ann": "op10_ann",
     "op1_embedding_neardup": "op01_embedding_neardup",
-    "op9_chat_format": "op09_chat",
-    "op7_best_fit_packing": "op07_packing",
-    "op3_line_dedup": "op03_line_dedup",
     "op2_ngram_jaccard_join": "op02_ngram_join",
+    "op3_line_dedup": "op03_line_dedup",
     "op4_bpe_roundtrip": "op04_bpe",
+    "op5_pii_bootstrap": "op05_pii",
+    "op6_toxicity": "op06_toxicity",
+    "op7_best_fit_packing": "op07_packing",
     "op8_token_counts": "op08_token_counts",
+    "op9_chat_format": "op09_chat",
+    "op10_additive_ann": "op10_ann",
 }
 
 
@@ -23,7 +23,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import op03_line_dedup, op09_chat
-
-    return {"op3_line_dedup": op03_line_dedup.SQL, "op9_chat_format": op09_chat.SQL}
-
+    from . import op01_embedding_neardup, op02_ngram_join, op03_line_dedup, op09_chat
+
+    return {
+        "op1_embedding_neardup": op01_embedding_neardup.SQL,
+        "op2_ngram_jaccard_join": op02_ngram_join.SQL,
+        "op3_line_dedup": op03_line_dedup.SQL,
+        "op9_chat_format": op09_chat.SQL,
+    }
