@@ -101,7 +101,7 @@ def time_rank_score(rows: DataFrame, weights=(0.5, 0.3, 0.2)) -> DataFrame:
     out = out.withColumn("o2", F.row_number().over(own.orderBy(F.abs("early"), "o1")))
     out = out.withColumn("o3", F.row_number().over(own.orderBy(F.abs("late"), "o2")))
     blend = weights[0] / F.col("o1") + weights[1] / F.col("o2") + weights[2] / F.col("o3")
-    return out.select("query_id", "doc_id", (1 / F.col("o1")).alias("rank_score"), (1 / F.col("o2")).alias("early_score"), (1 / F.col("o3")).alias("late_score"), F.round(blend, 6).alias("new_score"))
+    return out.select("query_id", "doc_id", (1 / F.col("o1")).alias("rank_score"), (1 / F.col("o2")).alias("early_score"), (1 / F.col("o3")).alias("late_score"), blend.alias("new_score"))
 
 
 def with_fallback(precomputed: DataFrame, queries: DataFrame, fallback) -> DataFrame:

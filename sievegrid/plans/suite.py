@@ -147,7 +147,7 @@ OFFSETS = "SELECT user_id AS query_id, event_id AS doc_id, round(value, 2) AS sc
 
 @query("time_rank_score", f"WITH r AS ({plain(OFFSETS)}), " + """a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS o1 FROM r),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(early), o1) AS o2 FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(late), o2) AS o3 FROM b)
-SELECT query_id, doc_id, 1::DOUBLE / o1 AS rank_score, 1::DOUBLE / o2 AS early_score, 1::DOUBLE / o3 AS late_score, round(0.5::DOUBLE / o1 + 0.3::DOUBLE / o2 + 0.2::DOUBLE / o3, 6) AS new_score FROM c""")
+SELECT query_id, doc_id, 1::DOUBLE / o1 AS rank_score, 1::DOUBLE / o2 AS early_score, 1::DOUBLE / o3 AS late_score, 0.5::DOUBLE / o1 + 0.3::DOUBLE / o2 + 0.2::DOUBLE / o3 AS new_score FROM c""")
 def _(d):
     return lexical.time_rank_score(d.sql(OFFSETS))
 

@@ -46,7 +46,7 @@ def test_lines_break_like_splitlines(spark):
 def test_time_blend_golden(spark):
     rows = [("q", 1, 6.5046587, 1, -1), ("q", 2, 5.0, 9, -8), ("q", 3, 4.9, 8, -9), ("q", 4, 4.8, 7, -7), ("q", 5, 4.134649, 0, -2)]
     got = {r["doc_id"]: r["new_score"] for r in lexical.time_rank_score(spark.createDataFrame(rows, "query_id string, doc_id int, score double, early int, late int")).collect()}
-    assert got[1] == 0.85 and got[5] == round(0.5 / 5 + 0.3 + 0.2 / 2, 6)
+    assert got[1] == pytest.approx(0.85) and got[5] == pytest.approx(0.5 / 5 + 0.3 + 0.2 / 2)
 
 
 def test_rrf_bounds_and_ties(spark):
