@@ -195,7 +195,8 @@ def duplicate_lines(docs: DataFrame, least: int = 20, key: str = "doc_id", text:
     picked = halves.join(shared, "half", "left_semi").select("id").distinct()
     picked = distinct.join(picked, "id", "left_semi").select("id", "doc_id", "no")
     texts = materialize(_survivors(docs, picked, key, text, least), "lines-texts")
-    variants = materialize(_variants(texts), "lines-variants")
+    # Making variants again for each use is cheaper than keeping them: they are a few hundred times the lines.
+    variants = _variants(texts)
     deleted, own = variants.where("at >= 0"), variants.where("at < 0")
     at = F.struct("doc_id", "no", "id")
     # Substitutions: the earliest line of each (variant, position, length).
