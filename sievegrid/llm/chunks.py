@@ -30,26 +30,28 @@ def words(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """A cache of `encode` per worker: filled in batches, emptied when it is full.
-
-    The limit bounds memory only; what is asked for is always computed.
+    """A cache of `encode` per worker, in two generations: when one is full it becomes the old one, and what is
+    used again moves to the new one. The limit, of one generation, bounds memory only; what is asked for is
+    always computed.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 150_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def fill(self, keys: Iterable[str]) -> None:
-        keys = set(keys)
-        new = [k for k in keys if k not in self]
-        if new and len(self) + len(new) > self.limit:
+        if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
-            new = list(keys)
+        old = self.old
+        new = [k for k in set(keys) if k not in self and k not in old]
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             self.update(zip(part, self.encode(part), strict=True))
 
     def __missing__(self, key: str):
-        value = next(iter(self.encode([key])))
+        value = self.old.get(key)
+        if value is None:
+            value = next(iter(self.encode([key])))
         self[key] = value
         return value
