@@ -46,7 +46,20 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo = Memo(lambda new: [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        self.memo = Memo(self._encode)
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """Ids of each word: many are encoded as one text, and the places of its tokens tell whose they are."""
+        out = []
+        for at in range(0, len(new), 200):
+            part = new[at : at + 200]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            size = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cut = (4 * np.searchsorted(first, np.append(np.cumsum(size) - size, 1 << 60))).tolist()
+            data = np.array(found.ids, "<u4").tobytes()
+            out += [data[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         rows = [words(x) if x else [] for x in texts]
