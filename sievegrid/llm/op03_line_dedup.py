@@ -13,8 +13,10 @@ One edit leaves the first or the second half of a line as it was, so variants
 are emitted only of distinct lines whose half, with the length it belongs to,
 occurs in another distinct line; no near line is missed by that.
 
-Lines are cut at \\n and stripped of blanks, tabs and carriage returns; lines
-shorter than `least` characters are always kept (headings, braces, numbering).
+Lines are cut at \\n and stripped of blanks, tabs and carriage returns. Lines of
+`exact` characters or more are dropped after the same line, those of `least` or
+more after a near one too; `exact` is `least` unless given, as in op3's SQL, and
+blank lines always stay.
 Cases: null and empty texts have no lines to drop and come back as they are;
 rows with a null doc_id come back as they are and take no part; rows that repeat a
 doc_id count as one document, whose line of one number is one place; other
@@ -184,13 +186,13 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_lines(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """(doc_id, drop array<int>): numbers of the lines that an earlier same or near line makes superfluous."""
-    lines = materialize(_lines(docs, key, text, least), "lines")
+    lines = materialize(_lines(docs, key, text, max(1, min(least, least if exact is None else exact))), "lines")
     place = F.struct("doc_id", "no")
-    distinct = lines.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    distinct = materialize(distinct.select(F.xxhash64("k", "k2").alias("id"), "k", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.no").alias("no"), "n", "halves"), "lines-distinct")
-    halves = distinct.select("id", F.explode(F.array_distinct("halves")).alias("half"))
+    distinct = lines.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("halves").alias("halves"))
+    distinct = materialize(distinct.select(F.xxhash64("k", "k2").alias("id"), "k", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.no").alias("no"), "n", "size", "halves"), "lines-distinct")
+    halves = distinct.where(F.col("size") >= least).select("id", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
     picked = halves.join(shared, "half", "left_semi").select("id").distinct()
     picked = distinct.join(picked, "id", "left_semi").select("id", "doc_id", "no")
@@ -216,13 +218,13 @@ def duplicate_lines(docs: DataFrame, least: int = 20, key: str = "doc_id", text:
     return dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", exact: int | None = None) -> DataFrame:
     """docs with duplicate lines taken out of text, and two more columns: lines before, and dropped.
 
     The two take their names from the arguments; columns of docs with these
     names are replaced.
     """
-    found = materialize(duplicate_lines(docs, least, key, text), "lines-dropped")
+    found = materialize(duplicate_lines(docs, least, key, text, exact), "lines-dropped")
     side = found.select(F.col("doc_id").alias("__line_doc"), F.col("drop").alias("__line_drop"))
     kept = docs.join(side, F.col(key).cast("long") == F.col("__line_doc"), "left")
     parts = F.split(F.col(text), "\n")

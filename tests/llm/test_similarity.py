@@ -149,6 +149,16 @@ def test_line_dedup(spark):
     assert op03_line_dedup.dedup_lines(df.limit(0), 5).count() == 0
 
 
+def test_short_lines_are_dropped_when_equal(spark):
+    import corpus_pipeline
+
+    docs = [(1, "}\n\na line of more than twenty signs\nabcd"), (2, "\n } \nabce\na line of more than twenty sign\nabcd"), (3, "\t}\r"), (4, "\n")]
+    df = spark.createDataFrame([(d, x, "en", "s", 1) for d, x in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {1: docs[0][1], 2: "\nabce", 4: "\n"}
+    assert {r["doc_id"]: r["n_dropped"] for r in op03_line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_neighbours_are_found(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((900, 16))
