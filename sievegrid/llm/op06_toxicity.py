@@ -3,10 +3,11 @@
 Words that writers disguise (digits and signs for letters, stretched letters,
 letters set apart) are lattices of characters: each sign may stand for itself or
 for the letters it resembles, a repeated letter may be one stroke too long, and
-separators between single letters may be noise. Viterbi decoding finds the
-likeliest spelling under a character trigram model counted over the whole
-corpus. Features of the restored words (the word and its first 3 to 6 letters)
-go to a logistic regression.
+a separator may be noise or the end of a word. Runs of three or more single
+characters (a letter among them) with any separators between are one lattice.
+Viterbi decoding finds the likeliest spelling under a character trigram model
+counted over the whole corpus. Features of the restored words (the word and its
+first 3 to 6 letters) go to a logistic regression.
 
 Learning uses labelled rows whose crc32(doc_id as text) mod 5 is not 0. The
 features are those that stand in enough toxic documents and are much likelier
@@ -23,6 +24,7 @@ rows are scored each on its own; other columns are not read.
 from __future__ import annotations
 
 import math
+import os
 import re
 import string
 from collections import Counter
@@ -45,8 +47,12 @@ SWAP, STRETCH, DROP = 1.0, 1.5, 0.5
 #: Rows that weights are fitted on, features at most, toxic documents a feature needs, and its least log odds.
 SAMPLE, FEATURES, SUPPORT, ODDS = 60_000, 20_000, 4, 1.5
 EDGES = string.punctuation.translate(str.maketrans("", "", "@$!|+(")) + "«»“”„’‘…"
-SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .*_-][^\W_]){2,}(?!\S)")
-MIXED = re.compile(r"[^\W\d_].*[0-9@$!|+(€£¡*._-]|[0-9@$!|+(€£¡].*[^\W\d_]|([^\W\d_])\1\1")
+SIGNS = "@$!|+(€£¡"
+ONE = rf"(?:[^\W_]|[{SIGNS}])"
+GAP = re.compile(r"[\s.*_,;:/\\~=#&^·•-]++")
+RUN = re.compile(rf"""(?:(?<!\S)|(?<=["'«“„‘\[{{<])){ONE}(?:{GAP.pattern}{ONE}){{2,}}(?=[^\w\s]*+(?:\s|\Z))""")
+LETTER, SIGN, TRIPLE = re.compile(r"[^\W\d_]"), re.compile(rf"[0-9{SIGNS}*._-]"), re.compile(r"([^\W\d_])\1\1")
+LONG = 64
 START, END = "\x02", "\x03"
 
 
@@ -77,26 +83,48 @@ class CharModel:
         return found
 
 
-def restore(word: str, model: CharModel) -> str:
-    """The likeliest spelling of a disguised word (lower case): Viterbi over its character lattice."""
+def decode(units: list[str], model: CharModel, gaps: bool) -> str:
+    """The likeliest words, with a blank between, of a lattice: Viterbi. With gaps, every other unit is a separator of single characters."""
     states: dict[tuple[str, str], tuple[float, str]] = {(START, START): (0.0, "")}
-    for i, ch in enumerate(word):
+    narrow, done = min(map(len, units[1::2]), default=1) if gaps else 1, []
+    for i, ch in enumerate(units):
         after: dict[tuple[str, str], tuple[float, str]] = {}
 
         def put(state, cost, text, after=after):
             if state not in after or (cost, text) < after[state]:
                 after[state] = (cost, text)
 
-        choices = [(ch, 0.0)] + [(x, SWAP) for x in LOOKS.get(ch, "")]
+        gap = gaps and i % 2 == 1
+        choices = [] if gap else [(ch, 0.0)] + [(x, SWAP) for x in LOOKS.get(ch, "")]
         for (a, b), (cost, text) in states.items():
             for x, price in choices:
                 put((b, x), cost + price + model.cost(a, b, x), text + x)
-            if i and ch == word[i - 1] and ch.isalpha():
+            if i and ch == units[i - 1] and ch.isalpha():
                 put((a, b), cost + STRETCH, text)
-            if not ch.isalnum():
-                put((a, b), cost + DROP, text)
+            if gap or not ch.isalnum():
+                put((a, b), cost + DROP * (1 + min(8, len(ch) - narrow) if gap else 1), text)
+                if b != START:
+                    put((START, START), cost + model.cost(a, b, END), text + " ")
         states = dict(sorted(after.items(), key=lambda x: x[1])[:64])
-    return min((cost + model.cost(a, b, END), text) for (a, b), (cost, text) in states.items())[1]
+        if i % 64 == 63:  # what all have in common is settled
+            n = len(os.path.commonprefix([text for _, text in states.values()]))
+            done.append(next(iter(states.values()))[1][:n])
+            states = {k: (cost, text[n:]) for k, (cost, text) in states.items()}
+    return ("".join(done) + min((cost + (model.cost(a, b, END) if b != START else 0.0), text) for (a, b), (cost, text) in states.items())[1]).strip(" ")
+
+
+def restore(word: str, model: CharModel) -> str:
+    """The likeliest spelling of a disguised word (lower case), or words that signs join."""
+    return decode(list(word), model, False)
+
+
+def restore_run(run: str, model: CharModel) -> str:
+    """The likeliest words of single characters set apart (lower case)."""
+    units, at = [], 0
+    for m in GAP.finditer(run):
+        units += [run[at : m.start()], m[0]]
+        at = m.end()
+    return decode([*units, run[at:]], model, True)
 
 
 def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -135,29 +163,38 @@ class Reader:
     def __init__(self, grams: dict[str, int], wanted: set[str] | None = None):
         self.model, self.wanted, self.memo = CharModel(grams), wanted, {}
 
-    def word(self, w: str) -> tuple[str, ...]:
-        w = w.strip(EDGES)
-        if not w or len(w) > 64:
+    def told(self, w: str) -> list[str]:
+        """The features of a restored word."""
+        found = ["=" + w, *(w[:k] for k in range(3, min(7, len(w) + 1)))]
+        return found if self.wanted is None else [x for x in found if x in self.wanted]
+
+    def word(self, token: str) -> tuple[str, ...]:
+        w = token.strip(EDGES)
+        if not w or len(w) > LONG:
             return ()
-        if not w.isalpha() or MIXED.search(w):
-            if not MIXED.search(w):
-                return ()
-            w = restore(w, self.model)
-        found = ("=" + w, *(w[:k] for k in range(3, min(7, len(w) + 1))))
-        return found if self.wanted is None else tuple(x for x in found if x in self.wanted)
+        out: list[str] = []
+        if w.isalpha() or (LETTER.search(w) and SIGN.search(w)):
+            for x in restore(w, self.model).split(" ") if SIGN.search(w) or TRIPLE.search(w) else [w]:
+                out += self.told(x)
+        return tuple(out)
 
     def features(self, text: str | None) -> set[str]:
         text = (text or "").lower()
         words = set(text.split())
         if len(self.memo) > 100_000:
             self.memo = {}
-        for w in words:
-            if w not in self.memo:
-                self.memo[w] = self.word(w)
         out: set[str] = set()
-        out.update(*map(self.memo.__getitem__, words))
-        for m in SPACED.finditer(text):
-            out.update(self.word(re.sub(r"[ .*_-]", "", m[0])))
+        for w in words:
+            found = self.memo.get(w)
+            if found is None:
+                found = self.word(w)
+                if len(w) <= LONG:
+                    self.memo[w] = found
+            out.update(found)
+        for m in RUN.finditer(text):
+            if LETTER.search(m[0]):
+                for x in restore_run(m[0], self.model).split(" "):
+                    out.update(self.told(x))
         return out
 
 

@@ -78,6 +78,18 @@ def test_channel_restores_disguises():
     assert "=stupid" in op06_toxicity.Reader(model()).features("you s t u p i d thing")
 
 
+def test_spacing_is_decoded_with_the_signs():
+    grams = Counter(model())
+    for w in ["you", "are"] * 50:
+        w = op06_toxicity.START * 2 + w + op06_toxicity.END
+        grams.update(w[i : i + 3] for i in range(len(w) - 2))
+    read = op06_toxicity.Reader(dict(grams)).features
+    for seen in ("so i d ! o t here", "1 d 1 0 t", "i  d  i  o  t", "i\td\ti\to\tt", "i . d . i . o . t!", "y o u i d i o t", '"i d i o t" she'):
+        assert "=idiot" in read(seen), seen
+    assert "=stupid" in read("$ t u p 1 d") and "=you" in read("y o u i d i o t") and "=stupid" in read("s.t.u.p.i.d")
+    assert "=1" not in read("1 2 3 4")
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     calm, bad = "the and house green total words please letter bottle".split(), ["stupid", "idiot", "clown", "loser", "trash"]
