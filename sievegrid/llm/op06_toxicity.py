@@ -7,7 +7,9 @@ a separator may be noise or the end of a word. Runs of three or more single
 characters (a letter among them) with any separators between are one lattice.
 Viterbi decoding finds the likeliest spelling under a character trigram model
 counted over the whole corpus. Features of the restored words (the word and its
-first 3 to 6 letters) go to a logistic regression.
+first 3 to 6 letters) go to a logistic regression. Tokens are cut at signs that
+stand for no letter; words of more than LONG letters, and those of scripts
+without blanks, give the letters from each of their places as features.
 
 Learning uses labelled rows whose crc32(doc_id as text) mod 5 is not 0. The
 features are those that stand in enough toxic documents and are much likelier
@@ -27,6 +29,7 @@ import math
 import os
 import re
 import string
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -48,10 +51,15 @@ SWAP, STRETCH, DROP = 1.0, 1.5, 0.5
 SAMPLE, FEATURES, SUPPORT, ODDS = 60_000, 20_000, 4, 1.5
 EDGES = string.punctuation.translate(str.maketrans("", "", "@$!|+(")) + "«»“”„’‘…"
 SIGNS = "@$!|+(€£¡"
+#: Combining marks, which belong to words.
+MARKS = re.escape("".join(c for c in map(chr, [*range(0x300, 0x3100), *range(0xA600, 0xAC00), *range(0xFE00, 0xFE30)]) if unicodedata.category(c)[0] == "M"))
+HARD = re.compile(rf"[^\w{MARKS}{SIGNS}*._-]+")
 ONE = rf"(?:[^\W_]|[{SIGNS}])"
 GAP = re.compile(r"[\s.*_,;:/\\~=#&^·•-]++")
 RUN = re.compile(rf"""(?:(?<!\S)|(?<=["'«“„‘\[{{<])){ONE}(?:{GAP.pattern}{ONE}){{2,}}(?=[^\w\s]*+(?:\s|\Z))""")
 LETTER, SIGN, TRIPLE = re.compile(r"[^\W\d_]"), re.compile(rf"[0-9{SIGNS}*._-]"), re.compile(r"([^\W\d_])\1\1")
+#: Scripts that set no blanks between words: Thai, Lao, Myanmar, Khmer, kana and Han.
+UNBLANKED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 LONG = 64
 START, END = "\x02", "\x03"
 
@@ -139,10 +147,10 @@ def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
                 grams: Counter = Counter()
                 for w, n in words.items():
                     w = w.strip(EDGES)
-                    if w.isalpha():
-                        w = START + START + w[:64] + END
-                        for i in range(len(w) - 2):
-                            grams[w[i : i + 3]] += n
+                    for part in [w] if w.isalpha() else [x for p in HARD.split(w) if len(x := p.strip(EDGES)) > 1 and x.isalpha()]:
+                        part = START + START + part + END
+                        for i in range(len(part) - 2):
+                            grams[part[i : i + 3]] += n
                 yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
     return docs.select(text).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -165,15 +173,20 @@ class Reader:
 
     def told(self, w: str) -> list[str]:
         """The features of a restored word."""
-        found = ["=" + w, *(w[:k] for k in range(3, min(7, len(w) + 1)))]
+        found = ["=" + w] if len(w) <= LONG else []
+        if (unblanked := UNBLANKED.search(w)) or len(w) > LONG:
+            found += {w[i : i + k] for k in range(2 if unblanked else 3, 7) for i in range(len(w) - k + 1)}
+        else:
+            found += [w[:k] for k in range(3, min(7, len(w) + 1))]
         return found if self.wanted is None else [x for x in found if x in self.wanted]
 
     def word(self, token: str) -> tuple[str, ...]:
-        w = token.strip(EDGES)
-        if not w or len(w) > LONG:
-            return ()
+        token = token.strip(EDGES)
         out: list[str] = []
-        if w.isalpha() or (LETTER.search(w) and SIGN.search(w)):
+        for w in [token] if token.isalpha() else HARD.split(token):
+            w = w.strip(EDGES)
+            if not LETTER.search(w):
+                continue
             for x in restore(w, self.model).split(" ") if SIGN.search(w) or TRIPLE.search(w) else [w]:
                 out += self.told(x)
         return tuple(out)

@@ -90,6 +90,20 @@ def test_spacing_is_decoded_with_the_signs():
     assert "=1" not in read("1 2 3 4")
 
 
+def test_long_tokens_are_read():
+    read = op06_toxicity.Reader(model()).features
+    for sign in ("/", ".", "_", "-", ",", "+"):
+        assert {"=idiot", "=clown", "=house"} <= read(sign.join(["house"] * 12 + ["idiot", "green", "clown"])), sign
+    assert "=loser" in read("l" + "o" * 90 + "ser") and {"idiot", "clown"} <= read("house" * 14 + "idiotclown")
+    assert "傻瓜" in read("这是一个很长的句子" * 9 + "傻瓜") and "傻瓜" in read("你是傻瓜。再见")
+
+
+def test_trigrams_of_long_words_are_counted(spark):
+    docs = spark.createDataFrame([("a" + "bc" * 60 + "xyz",), ("the/end-of/time",)], "text string")
+    got = {r["gram"]: r["n"] for r in op06_toxicity.trigrams(docs).collect()}
+    assert got["xyz"] == got["im" + "e"] == 1 and got["bcb"] == 59 and got["yz" + op06_toxicity.END] == 1
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     calm, bad = "the and house green total words please letter bottle".split(), ["stupid", "idiot", "clown", "loser", "trash"]
