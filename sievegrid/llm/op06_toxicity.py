@@ -47,8 +47,8 @@ LOOKS = {
 }
 #: Costs (negative log probabilities) of a sign for a letter, of a letter too many, and of a dropped separator.
 SWAP, STRETCH, DROP = 1.0, 1.5, 0.5
-#: Rows that weights are fitted on, features at most, toxic documents a feature needs, and its least log odds.
-SAMPLE, FEATURES, SUPPORT, ODDS = 60_000, 20_000, 4, 1.5
+#: Rows that weights are fitted on, toxic documents a feature needs, and its least log odds.
+SAMPLE, SUPPORT, ODDS = 60_000, 4, 1.5
 EDGES = string.punctuation.translate(str.maketrans("", "", "@$!|+(")) + "«»“”„’‘…"
 SIGNS = "@$!|+(€£¡"
 #: Combining marks, which belong to words.
@@ -56,7 +56,7 @@ MARKS = re.escape("".join(c for c in map(chr, [*range(0x300, 0x3100), *range(0xA
 HARD = re.compile(rf"[^\w{MARKS}{SIGNS}*._-]+")
 ONE = rf"(?:[^\W_]|[{SIGNS}])"
 GAP = re.compile(r"[\s.*_,;:/\\~=#&^·•-]++")
-RUN = re.compile(rf"""(?:(?<!\S)|(?<=["'«“„‘\[{{<])){ONE}(?:{GAP.pattern}{ONE}){{2,}}(?=[^\w\s]*+(?:\s|\Z))""")
+RUN = re.compile(rf"""(?<![^\s"'«“„‘\[{{<]){ONE}(?:{GAP.pattern}{ONE}){{2,}}(?=[^\w\s]*+(?:\s|\Z))""")
 LETTER, SIGN, TRIPLE = re.compile(r"[^\W\d_]"), re.compile(rf"[0-9{SIGNS}*._-]"), re.compile(r"([^\W\d_])\1\1")
 #: Scripts that set no blanks between words: Thai, Lao, Myanmar, Khmer, kana and Han.
 UNBLANKED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -156,12 +156,8 @@ def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-#: Trigrams that the model keeps, the commonest; the alphabets of the corpus use far fewer.
-GRAMS = 300_000
-
-
 def char_model(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    rows = trigrams(docs, text).orderBy(F.desc("n"), "gram").limit(GRAMS).toArrow()
+    rows = trigrams(docs, text).toArrow()
     return dict(zip(rows["gram"].to_pylist(), rows["n"].to_pylist(), strict=True))
 
 
@@ -211,19 +207,28 @@ class Reader:
         return out
 
 
-def _counted(rows: DataFrame, sent, wanted=None) -> DataFrame:
-    """(feature, n): documents that each feature stands in."""
+def _counted(rows: DataFrame, sent) -> DataFrame:
+    """(feature, n1, n0): toxic and other documents that each feature stands in."""
 
     def run(batches):
-        reader = Reader(sent.value, wanted.value if wanted else None)
+        reader = Reader(sent.value)
         for whole in batches:
             for b in slices(whole, 1000):
-                n: Counter = Counter()
-                for x in b.column(0).to_pylist():
-                    n.update(reader.features(x))
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
+                n: tuple[Counter, Counter] = Counter(), Counter()
+                for x, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    n[toxic == 1].update(reader.features(x))
+                names = list(n[0].keys() | n[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (n[1], n[0]))], ["feature", "n1", "n0"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
 
-    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+def select_features(counts: DataFrame, n1: int, n0: int) -> list[str]:
+    """All features with SUPPORT toxic documents and log odds of ODDS, of n1 toxic and n0 other documents; the best first."""
+    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    rows = counts.where(F.col("n1") >= SUPPORT).select("feature", "n1", odds.alias("odds")).where(F.col("odds") >= ODDS).toArrow()
+    rank = {f: -x * math.sqrt(n) for f, n, x in zip(*(rows[c].to_pylist() for c in ("feature", "n1", "odds")), strict=True)}
+    return sorted(rank, key=lambda f: (rank[f], f))
 
 
 def _fit(rows: list[list[int]], y: np.ndarray, n: int, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -254,13 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str,
     rows = materialize(rows.select("doc_id", "text", "toxic"), "toxic-rows")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
-    in_toxic = _counted(rows.where("toxic = 1"), sent).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature").limit(10 * FEATURES).toArrow()
-    toxic = dict(zip(in_toxic["feature"].to_pylist(), in_toxic["n"].to_pylist(), strict=True))
-    wanted = spark.sparkContext.broadcast(set(toxic))
-    in_clean = _counted(rows.where("toxic <> 1"), sent, wanted).toArrow()
-    clean = dict(zip(in_clean["feature"].to_pylist(), in_clean["n"].to_pylist(), strict=True))
-    odds = {f: math.log((n + 0.5) / (n1 + 1)) - math.log((clean.get(f, 0) + 0.5) / (n0 + 1)) for f, n in toxic.items()}
-    picked = sorted((f for f, x in odds.items() if x >= ODDS), key=lambda f: (-odds[f] * math.sqrt(toxic[f]), f))[:FEATURES]
+    picked = select_features(_counted(rows, sent), n1, n0)
     place = {f: i for i, f in enumerate(picked)}
     chosen = spark.sparkContext.broadcast(set(picked))
 
@@ -269,10 +268,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str,
         for whole in batches:
             for b in slices(whole, 1000):
                 found = [sorted(reader.features(x)) for x in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1)], ["f", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1), b.column(2)], ["f", "toxic", "at"])
 
-    part = rows.withColumn("at", F.xxhash64("doc_id", F.lit(6))).orderBy("at", "doc_id").limit(SAMPLE) if n1 + n0 > SAMPLE else rows
-    fit = part.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "f array<string>, toxic int").toArrow()
+    part = rows.withColumn("at", F.xxhash64("doc_id", F.lit(6)))
+    if n1 + n0 > SAMPLE:
+        part = part.where(F.col("at") <= part.select("at").orderBy("at").limit(SAMPLE).agg(F.max("at")).first()[0])
+    fit = part.select("text", F.col("toxic").cast("int").alias("toxic"), "at").mapInArrow(run, "f array<string>, toxic int, at long").toArrow().sort_by("at")
     y = (fit["toxic"].to_numpy() == 1).astype(float)
     w, b = _fit([[place[f] for f in r] for r in fit["f"].to_pylist()], y, len(picked)) if len(y) else (np.zeros(len(picked)), -3.0)
     return grams, dict(zip(picked, w.tolist(), strict=True)), float(b)

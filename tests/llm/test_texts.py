@@ -104,6 +104,15 @@ def test_trigrams_of_long_words_are_counted(spark):
     assert got["xyz"] == got["im" + "e"] == 1 and got["bcb"] == 59 and got["yz" + op06_toxicity.END] == 1
 
 
+def test_rare_features_and_trigrams_stay(spark):
+    counts = spark.range(210_000).selectExpr("concat('w', id) as feature", "10L as n1", "1000L as n0").unionByName(spark.createDataFrame([("rare", 4, 0)], "feature string, n1 long, n0 long"))
+    assert op06_toxicity.select_features(counts, 1000, 100_000) == ["rare"]
+    assert len(op06_toxicity.select_features(counts.where("n1 = 10").selectExpr("feature", "n1", "0L as n0"), 1000, 100_000)) == 210_000
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    docs = spark.range(700).selectExpr("id").rdd.map(lambda r: (" ".join("".join((letters[r[0]], letters[j], letters[(r[0] * 31 + j) % 700])) for j in range(450)),)).toDF("text string")
+    assert sum(g[0] not in "\x02" and g[2] != "\x03" for g in op06_toxicity.char_model(docs)) == 700 * 450
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     calm, bad = "the and house green total words please letter bottle".split(), ["stupid", "idiot", "clown", "loser", "trash"]
