@@ -39,10 +39,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SHAPE = re.compile(r"[\w@:/.+-]{6,}")
 _DIGIT = re.compile("[0-9]")
-#: Turns of scoring; different believed instances, and shares, that a pattern needs; patterns and instances kept for scoring.
+#: Turns of scoring; different believed instances, and shares, that a pattern needs; patterns whose occurrences are counted at once.
 TURNS, SUPPORT, PURITY, SHARE, PATTERNS = 3, 4, 0.75, 0.25, 50_000
-#: Patterns that may be accepted, the best; sent to all tasks.
+#: Accepted patterns that are sent to all tasks at once; more are applied in further parts.
 ACCEPTED = 20_000
+#: Column of the starts of identifiers that earlier parts found.
+STARTS = "__pii_starts"
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -109,12 +111,12 @@ def others(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]
     return out
 
 
-def spans_of(text: str, patterns: frozenset[str] | set[str]) -> tuple[list, list]:
-    """(base spans, all spans), each (start, kind, end), sorted."""
+def spans_of(text: str, patterns: frozenset[str] | set[str], starts: frozenset[int] | set[int] = frozenset()) -> tuple[list, list]:
+    """(base spans, all spans), each (start, kind, end), sorted; identifiers at starts count as found."""
     base = base_spans(text)
-    if not patterns:
+    if not patterns and not starts:
         return base, base
-    more = [(s, 4, e) for s, e in others(text, base) if any(p in patterns for p in _before(text, s))]
+    more = [(s, 4, e) for s, e in others(text, base) if s in starts or any(p in patterns for p in _before(text, s))]
     return base, sorted(base + more)
 
 
@@ -161,15 +163,20 @@ def _occurrences(docs: DataFrame, patterns) -> DataFrame:
 
 
 def bootstrap(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[str]:
-    """The accepted patterns, at most ACCEPTED."""
+    """The accepted patterns."""
     docs = docs.select(F.col(text).alias("text"))
     edges = materialize(_edges(docs), "pii-edges")
-    tried = edges.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where(F.col("k") >= SUPPORT)
-    tried = tried.orderBy(F.desc("n"), "pattern").limit(PATTERNS).select("pattern").toArrow()["pattern"].to_pylist()
-    if not tried:
+    tried = edges.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("pattern")
+    n = -(-tried.count() // PATTERNS)
+    if not n:
         return []
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(tried))
-    total = materialize(_occurrences(docs, sent), "pii-totals")
+    total = None
+    for i in range(n):
+        part = tried.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == i).toArrow()["pattern"].to_pylist()
+        sent = docs.sparkSession.sparkContext.broadcast(frozenset(part))
+        found = materialize(_occurrences(docs, sent), f"pii-totals-{i}")
+        sent.unpersist()
+        total = found if total is None else total.unionByName(found)
     graph = materialize(edges.join(total, "pattern"), "pii-graph")
     belief = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     good = None
@@ -180,29 +187,55 @@ def bootstrap(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[
         good = materialize(scored.where((F.col("purity") >= PURITY) & (F.col("share") >= SHARE) & (F.col("support") >= SUPPORT)), f"pii-good-{turn}")
         doubt = graph.join(good, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-0.9 * F.coalesce("purity", F.lit(0.0)))).alias("doubt"))
         belief = materialize(doubt.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("belief")), f"pii-belief-{turn}")
-    return sorted(good.orderBy(F.desc("support"), "pattern").limit(ACCEPTED).select("pattern").toArrow()["pattern"].to_pylist())
+    return sorted(good.select("pattern").toArrow()["pattern"].to_pylist())
 
 
 def _told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def _applied(docs: DataFrame, patterns: list[str], text: str) -> tuple[DataFrame, frozenset[str]]:
+    """docs with the starts of identifiers after all patterns but the last ACCEPTED, and those; one part leaves docs as they are."""
+    parts = [patterns[i : i + ACCEPTED] for i in range(0, len(patterns), ACCEPTED)] or [[]]
+    if len(parts) > 1:
+        docs = docs.withColumn(STARTS, F.array().cast("array<int>"))
+    for part in parts[:-1]:
+        sent = docs.sparkSession.sparkContext.broadcast(frozenset(part))
+
+        def run(batches, sent=sent):
+            for whole in batches:
+                for b in slices(whole, 1000):
+                    i, j = b.schema.get_field_index(text), b.schema.get_field_index(STARTS)
+                    new = [[s for s, k, _ in spans_of(x, sent.value, set(old))[1] if k == 4] if x else [] for x, old in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
+                    yield b.set_column(j, b.schema.field(j), pa.array(new, b.schema.field(j).type))
+
+        docs = materialize(docs.mapInArrow(run, docs.schema), "pii-starts")
+        sent.unpersist()
+    return docs, frozenset(parts[-1])
+
+
+def _starts(b: pa.RecordBatch) -> list[frozenset[int]]:
+    j = b.schema.get_field_index(STARTS)
+    return [frozenset()] * b.num_rows if j < 0 else [frozenset(x) for x in b.column(j).to_pylist()]
+
+
 def extract(docs: DataFrame, patterns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base, spans) for every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(patterns))
+    docs, last = _applied(docs.select(key, text), patterns, text)
+    sent = docs.sparkSession.sparkContext.broadcast(last)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, 1000):
-                found = [spans_of(x, sent.value) if x else ([], []) for x in b.column(1).to_pylist()]
+                found = [spans_of(x, sent.value, old) if x else ([], []) for x, old in zip(b.column(1).to_pylist(), _starts(b), strict=True)]
                 counts = [pa.array([sum(k == i for _, k, _ in base) for base, _ in found], pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), *counts, pa.array([_told(x) for x, _ in found], pa.string()), pa.array([_told(x) for _, x in found], pa.string())],
                     [key, "n_email", "n_ip", "n_card", "n_phone", "base", "spans"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return docs.mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -217,16 +250,17 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
     """docs with personal data in text replaced by marks; null texts stay null."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(patterns))
+    docs, last = _applied(docs, patterns, text)
+    sent = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, 1000):
                 i = b.schema.get_field_index(text)
-                new = [masked(x, spans_of(x, sent.value)[1]) if x else x for x in b.column(i).to_pylist()]
+                new = [masked(x, spans_of(x, sent.value, old)[1]) if x else x for x, old in zip(b.column(i).to_pylist(), _starts(b), strict=True)]
                 yield b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).drop(STARTS)
 
 
 def op5_pii_bootstrap(spark, sf_dir: str) -> DataFrame:

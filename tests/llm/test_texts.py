@@ -58,6 +58,21 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert op05_pii.bootstrap(docs.limit(0)) == [] and op05_pii.extract(docs.limit(0), []).count() == 0
 
 
+def test_patterns_beyond_one_part_are_kept(spark, monkeypatch):
+    rows = [(i, f"some {x} contact: user{i}@mail.org ends {x} mailto: own{i}@mail.org", "u") for i, x in enumerate("abcdefgh")]
+    rows += [(20, "our contact: badge-77412x today mailto: room-5512y", "u"), (21, None, "u"), (22, "no badge-77412x", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = op05_pii.bootstrap(docs)
+    told = {r["doc_id"]: r["spans"] for r in op05_pii.extract(docs, want).collect()}
+    assert {"contact:", "mailto:"} <= set(want) and told[20] == "id:13:25,id:40:50"
+    monkeypatch.setattr(op05_pii, "PATTERNS", 1)
+    monkeypatch.setattr(op05_pii, "ACCEPTED", 1)
+    assert op05_pii.bootstrap(docs) == want
+    assert {r["doc_id"]: r["spans"] for r in op05_pii.extract(docs, want).collect()} == told
+    out = op05_pii.mask(docs, want)
+    assert out.columns == docs.columns and {r["doc_id"]: r["text"] for r in out.collect()}[20] == "our contact: <ID> today mailto: <ID>"
+
+
 def test_masks_cover_overlaps():
     assert op05_pii.masked("ab 12 cd", [(3, 1, 5), (4, 2, 6)]) == "ab <IP>cd"
 
