@@ -597,7 +597,7 @@ def _(d):
 
 @query("encode_texts")
 def _(d):
-    return dense.encode_texts(d.documents, lambda: dense.seeded_encoder(64), max_chars=6000).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm"))
+    return dense.encode_texts(d.documents, lambda: dense.seeded_encoder(64)).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm"), F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256).alias("embedding_sha256"))
 
 
 @query("select_first", ctes(bm25_sql("bm")) + "SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS best_doc_id, 1::INT AS iterations, NULL::VARCHAR AS error FROM bm WHERE rank = 1")
