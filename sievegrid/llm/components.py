@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _stars(edges: DataFrame, upper: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before["n"]:
             break
-        state = materialize(_stars(_stars(state, True), False), f"{tag}-star")
+        last, state = state, materialize(_stars(_stars(state, True), False), f"{tag}-star")
+        discard(last)
         now = sign(state)
         if now == before:
             break

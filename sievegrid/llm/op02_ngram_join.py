@@ -8,6 +8,11 @@ multiplied one per task; the products' partial overlaps are summed per pair, and
 pairs whose sum stays below what their sizes demand are dropped. What is left is
 verified on the texts themselves.
 
+Before that, pairs are held against bitmaps of the sets, one bit or less per
+n-gram in eight times as many places: n-grams of one set in places where the
+other has none aren't common, and pairs that can't reach the similarity with the
+others go, without a text having moved.
+
 Frequent n-grams, found in a first pass over everything, come last in the order,
 so boilerplate that many documents share rarely is a column at all. Where such a
 column, or any longer than WIDE, remains (rows made of boilerplate, large groups
@@ -21,8 +26,9 @@ proof. The order and these limits change the work, never the result.
 Words are runs of other than ASCII white space, A-Z lowered; a set holds the
 distinct n-word shingles as 64-bit hashes, or the whole sequence if it is
 shorter. Cases: null, empty and blank texts have the empty set and link with
-nothing; rows with equal doc_id are the same document; a null doc_id never is a
-component's name unless all its documents have none; other columns are not read.
+nothing; rows are documents of their own, also where they repeat a doc_id with
+the same or another text; a component is named by its least doc_id, and null
+only if none of its rows has one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, key_bitmap, materialize, sifted
 from .components import components
 from .op04_bpe import slices
 
@@ -94,7 +100,7 @@ def prefix_size(n, t: int):
 
 
 def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Per document (doc_id, n, k): set size and set hash; per batch (h, c): its frequent n-grams."""
+    """Per row (doc_id, n, k, tid): set size, set hash and text hash; per batch (k, c): its frequent n-grams."""
 
     def run(batches):
         import xxhash
@@ -113,15 +119,16 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                         pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(len(h), pa.int64())]),
                         pa.concat_arrays([pa.array(hashes, pa.int64()), pa.array(h.view(np.int64))]),
                         pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(c.astype(np.int64))]),
+                        pa.concat_arrays([b.column(2), pa.nulls(len(h), pa.int64())]),
                     ],
-                    ["doc_id", "n", "k", "c"],
+                    ["doc_id", "n", "k", "c", "tid"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n long, k long, c long")
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, "doc_id long, n long, k long, c long, tid long")
 
 
 def _postings(docs: DataFrame, text: str, n: int, t: int, blocks: int, late) -> DataFrame:
-    """(block, h, k, n binary): per batch and column block the prefix columns; block -1: columns of frequent n-grams."""
+    """(block, h, k, n, r binary): per batch and column block the prefix columns, k and n once per run of r of them; block -1: columns of frequent n-grams."""
 
     def run(batches):
         import xxhash
@@ -155,17 +162,27 @@ def _postings(docs: DataFrame, text: str, n: int, t: int, blocks: int, late) ->
                 block = np.where(frequent, -1, (h >> np.uint64(20)).astype(np.int64) % blocks)
                 order = np.argsort(block, kind="stable")
                 block, h, k, m = block[order], h[order], k[order], m[order]
-                cut = np.flatnonzero(np.diff(block, prepend=-2))
-                ends = np.append(cut[1:], len(block))
+                run_at = np.flatnonzero((np.diff(block, prepend=-2) != 0) | np.append(True, k[1:] != k[:-1]))
+                runs = np.diff(np.append(run_at, len(k))).astype(np.int32)
+                first = np.flatnonzero(np.diff(block[run_at], prepend=-2))
+                ends = np.append(first[1:], len(run_at))
+                edge = np.append(run_at, len(k))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(block[cut].astype(np.int32)),
-                        *(pa.array([v[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()) for v in (h, k, m)),
+                        pa.array(block[run_at[first]].astype(np.int32)),
+                        pa.array([h[edge[i] : edge[j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()),
+                        *(pa.array([v[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for v in (k[run_at], m[run_at], runs)),
                     ],
-                    ["block", "h", "k", "n"],
+                    ["block", "h", "k", "n", "r"],
                 )
 
-    return docs.select(text).mapInArrow(run, "block int, h binary, k binary, n binary")
+    return docs.select(text).mapInArrow(run, "block int, h binary, k binary, n binary, r binary")
+
+
+def _unpacked(columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, k, n) of columns h, k, n, r."""
+    h, k, n, r = (np.concatenate([np.frombuffer(x, kind) for x in c]) for c, kind in zip(columns, (np.uint64, np.int64, np.int32, np.int32), strict=True))
+    return h, np.repeat(k, r), np.repeat(n, r)
 
 
 _PAIRS = "a long, b long, n_a int, n_b int, c int, h long"
@@ -178,11 +195,11 @@ def _product(t: int):
         return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(na), nb, c, h], ["a", "b", "n_a", "n_b", "c", "h"])
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, k, n = [], [], []
+        columns = [], [], [], []
         for g in groups:
-            for i, (into, kind) in enumerate(((h, np.uint64), (k, np.int64), (n, np.int32))):
-                into += [np.frombuffer(x, kind) for x in g.column(i + 1).to_pylist()]
-        h, k, n = map(np.concatenate, (h, k, n))
+            for i, into in enumerate(columns):
+                into += g.column(i + 1).to_pylist()
+        h, k, n = _unpacked(columns)
         order = np.lexsort((k, n, h))
         h, k, n = h[order], k[order], n[order]
         same = np.append(False, (h[1:] == h[:-1]) & (k[1:] == k[:-1]))
@@ -240,6 +257,50 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    """A bitmap of a set in a power of two of places, eight times its size or more."""
+    m = 1 << max(6, (8 * len(h) - 1).bit_length())
+    bits = np.zeros(m, bool)
+    bits[(h & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def _most(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
+    """No less than the n-grams that sets of bitmaps x, y and sizes n, m have in common."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size)) for v in (x, y))
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _possible(pairs: DataFrame, held: DataFrame, t: int) -> DataFrame:
+    """Those of pairs (a, b, c) whose bitmaps allow the similarity."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 1000):
+                ok = []
+                for x, n, y, m in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
+                    both = _most(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m)
+                    ok.append(100 * both >= t * (n + m - both))
+                yield b.select(["a", "b", "c"]).filter(pa.array(ok, pa.bool_()))
+
+    left = held.select(F.col("k").alias("a"), F.col("bits").alias("x"), F.col("n").alias("n_x"))
+    right = held.select(F.col("k").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n_y"))
+    return pairs.select("a", "b", "c").join(left, "a").join(right, "b").select("a", "b", "c", "x", "n_x", "y", "n_y").mapInArrow(run, "a long, b long, c int")
+
+
+def _held(texts: DataFrame, n: int) -> DataFrame:
+    """(k, n, text, bits) of (k, text)."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 1000):
+                sets = [shingles(x, n) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), b.column(1), pa.array([_bits(s).tobytes() for s in sets], pa.binary())], ["k", "n", "text", "bits"])
+
+    return texts.select("k", "text").mapInArrow(run, "k long, n int, text string, bits binary")
+
+
 def _sets(texts: DataFrame, n: int) -> DataFrame:
     """(k, grams binary) of (k, text)."""
 
@@ -289,32 +350,70 @@ def _tile(t: int):
     return run
 
 
-def _open_groups(wide: DataFrame, joined: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+def _meet(t: int):
+    """Those rows of a tile (grp, low, high, block, k, n, bits) that may reach the similarity with one of the other block, by their bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = pa.Table.from_batches(list(batches)).combine_chunks()
+        n, block = g["n"].to_numpy().astype(np.int64), g["block"].to_numpy()
+        bits = [np.frombuffer(x, np.uint8) for x in g["bits"].to_pylist()]
+        size = min(map(len, bits))
+        bits = np.stack([np.bitwise_or.reduce(x.reshape(-1, size)) for x in bits])
+        both = np.zeros((len(n), len(n)), np.float32)
+        for at in range(0, size, 1024):
+            part = np.unpackbits(bits[:, at : at + 1024], axis=1).astype(np.float32)
+            both += part @ part.T
+        room = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        both = both.astype(np.int64) + np.minimum(room[:, None], room[None, :])
+        may = 100 * both >= t * (n[:, None] + n[None, :] - both)
+        if g["low"][0].as_py() != g["high"][0].as_py():
+            may &= block[:, None] != block[None, :]
+        np.fill_diagonal(may, False)
+        yield from g.select(["grp", "low", "high", "block", "k"]).filter(pa.array(may.any(axis=1))).to_batches()
+
+    return run
+
+
+#: Blocks of a size band, at most, for their numbers; a power of two.
+_BAND = 1 << 24
+
+
+def _open_groups(wide: DataFrame, joined: DataFrame, held: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """Links between components among rows that share wide columns.
 
     Of each group of rows, the largest component so far is connected already;
-    all others are multiplied with it and with each other, tile by tile.
+    all others are multiplied with it and with each other, tile by tile. Rows
+    stand in blocks of a band of sizes, so that sizes of a link's ends are of
+    one band or of two that touch. Tiles get bitmaps first, and the sets of
+    those rows only that may have a link there.
     """
     pivots = wide.groupBy("h").agg(F.min("k").alias("p"))
     groups = components(wide.join(pivots, "h").select(F.col("k").alias("a"), F.col("p").alias("b")), "ngram-groups")
     rows = groups.select(F.col("node").alias("k"), F.col("component").alias("grp")).join(joined.select(F.col("node").alias("k"), F.col("component").alias("g")), "k", "left").withColumn("g", F.coalesce("g", "k"))
-    rows = materialize(rows, "ngram-open")
-    parts = rows.groupBy("grp", "g").count().groupBy("grp").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(parts, "grp").withColumn("m", F.ceil(F.col("inside") / TILE).cast("int")).withColumn("o", F.ceil((F.col("all") - F.col("inside")) / TILE).cast("int"))
-    # Blocks 0 to o - 1 are of rows outside the main component, the following m of those in it; a tile has one of the former at least.
-    own = F.when(F.col("g") == F.col("main"), F.col("o") + F.pmod(F.xxhash64("k"), F.col("m"))).otherwise(F.pmod(F.xxhash64("k"), F.col("o"))).cast("int")
-    rows = rows.withColumn("block", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("g") == F.col("main"), F.col("o") - 1).otherwise(F.col("o") + F.col("m") - 1))))
-    tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(sets, "k")
-    return tiles.groupBy("grp", "low", "high").applyInArrow(_tile(t), "a long, b long")
+    rows = materialize(rows.join(held.select("k", "n"), "k"), "ngram-open")
+    parts = rows.groupBy("grp", "g").count().groupBy("grp").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("grp", "main")
+    band = F.floor(F.log("n") / (math.log(100 / t) * (1 + 1e-9) + 1e-6))
+    rows = rows.join(parts, "grp").withColumn("kind", 2 * band + (F.col("g") == F.col("main")).cast("long"))
+    counts = rows.groupBy("grp", "kind").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    rows = rows.join(counts, ["grp", "kind"]).withColumn("block", F.col("kind") * _BAND + F.pmod(F.xxhash64("k"), F.col("blocks"))).drop("blocks")
+    first = F.col("kind") - F.col("kind") % 2 - 2
+    touching = F.filter(F.sequence(first, first + 5), lambda x: (x % 2 == 0) | (F.col("kind") % 2 == 0))
+    others = counts.select("grp", F.col("kind").alias("kind2"), "blocks")
+    rows = rows.withColumn("kind2", F.explode(touching)).join(others, ["grp", "kind2"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.col("kind2") * _BAND, F.col("kind2") * _BAND + F.col("blocks") - 1)))
+    tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(held.select("k", "n", "bits"), "k")
+    met = tiles.select("grp", "low", "high", "block", "k", "n", "bits").groupBy("grp", "low", "high").applyInArrow(_meet(t), "grp long, low long, high long, block long, k long")
+    met = materialize(met, "ngram-met")
+    return met.join(sets, "k").groupBy("grp", "low", "high").applyInArrow(_tile(t), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs; ids must be integers."""
+    """(doc_id, n_shingles, component_id, g, tid) for every row of docs: g is the component itself, also where no row of it has an id, tid the hash of the text; ids must be integers."""
     spark, t = docs.sparkSession, percent
     signed = materialize(_signatures(docs, key, text, n), "ngram-signatures")
-    rows = signed.where("n is not null").select("doc_id", "n", "k")
-    sets = rows.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    rows = signed.where("n is not null").select("doc_id", "n", "k", "tid")
+    # The text of a set is that of its row with the least doc_id.
+    sets = rows.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("tid", F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("tid"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = signed.where("n is null").groupBy(F.col("k").alias("h")).agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     late = counted.orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).select("h").toArrow().column("h").to_numpy()
@@ -326,47 +425,73 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     def unpack(batches):
         for whole in batches:
             for b in slices(whole, 100):
-                h, k, m = (np.concatenate([np.frombuffer(x, kind) for x in c.to_pylist()]) for c, kind in zip(b.columns, (np.int64, np.int64, np.int32), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array(m)], ["h", "k", "n"])
+                h, k, m = _unpacked([c.to_pylist() for c in b.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(m)], ["h", "k", "n"])
 
-    wide = posted.where("block < 0").select("h", "k", "n").mapInArrow(unpack, "h long, k long, n int").distinct()
+    wide = posted.where("block < 0").select("h", "k", "n", "r").mapInArrow(unpack, "h long, k long, n int").distinct()
     wide = materialize(wide.unionByName(product.where("b is null").select("h", F.col("a").alias("k"), F.col("n_a").alias("n"))), "ngram-wide")
+    discard(posted)
     # Pairs of narrow columns: the summed overlap must reach what sizes demand of the prefixes.
     narrow = (
-        product.where("b is not null").groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("c").alias("c"))
+        product.where("b is not null").groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("c").cast("int").alias("c"))
         .where(f"c >= ceil({t} * (n_a + n_b) / {100 + t}) - ceil({t} * n_b / 100) + 1")
     )
-    narrow = materialize(narrow.select("a", "b", "c"), "ngram-narrow")
     pivots = wide.groupBy("h").agg(F.min(F.struct("k", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     spokes = wide.join(pivots, "h").where(f"k <> p.k and 100 * least(n, p.n) >= {t} * greatest(n, p.n)").select(F.col("p.k").alias("a"), F.col("k").alias("b")).distinct()
-    best = narrow.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    held = narrow.select("a").union(narrow.select("b")).union(wide.select("k")).distinct().select(F.col("a").alias("k"))
-    of = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    wanted = sets.join(held, "k", "left_semi").select("k", "rep")
-    texts = materialize(of.join(wanted, "rep").groupBy("k").agg(F.min("text").alias("text")), "ngram-texts")
-
-    first = materialize(_verify(spokes.union(best).distinct(), texts, n, t), "ngram-links")
+    pairs = materialize(narrow.select("a", "b", "c").unionByName(spokes.withColumn("c", F.lit(0))), "ngram-pairs")
+    discard(product)
+    named = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(wide.select("k")).distinct()
+    of = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
+    wanted = materialize(sets.join(named, "k", "left_semi").select("k", F.col("rep"), F.col("tid").alias("t")), "ngram-wanted")
+    found = sifted(of, "tid", key_bitmap(wanted, "t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("t"))).groupBy("k").agg(F.min("text").alias("text"))
+    held = materialize(_held(found, n), "ngram-texts")
+    possible = materialize(_possible(pairs, held, t), "ngram-possible")
+    discard(pairs, wanted)
+
+    best = possible.where("c > 0").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    first = materialize(_verify(possible.where("c = 0").select("a", "b").union(best).distinct(), held, n, t), "ngram-links")
     joined = materialize(components(first, "ngram-first"), "ngram-joined")
 
     def label(df: DataFrame, col: str, to: str) -> DataFrame:
         return df.join(joined.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
 
-    open_narrow = label(label(narrow.select("a", "b"), "a", "g_a"), "b", "g_b").where("g_a <> g_b").select("a", "b")
-    held_wide = _sets(texts.join(wide.select("k").distinct(), "k", "left_semi"), n)
-    second = _verify(open_narrow.distinct(), texts, n, t).union(_open_groups(wide, joined, held_wide, t))
-    # Components are named by document: each set stands for its least doc_id.
-    links = first.union(second)
-    names = sets.select("k", "rep")
-    edges = links.join(names.select(F.col("k").alias("a"), F.col("rep").alias("r_a")), "a").join(names.select(F.col("k").alias("b"), F.col("rep").alias("r_b")), "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
-    found = components(edges, "ngram-final")
-    named = names.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    left = label(label(possible.where("c > 0").select("a", "b"), "a", "g_a"), "b", "g_b").where("g_a <> g_b").select("a", "b")
+    second = materialize(_verify(left.distinct(), held, n, t).union(_open_groups(wide, joined, held, _sets(held.join(wide.select("k").distinct(), "k", "left_semi"), n), t)), "ngram-more")
+    discard(held, wide, possible, joined)
+    # Components of sets, named by the least doc_id of all their documents.
+    links = materialize(components(first.union(second), "ngram-final"), "ngram-components")
+    discard(first, second)
+    group = sets.select("k", "rep").join(links.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("component", "k").alias("g"))
+    names = group.join(links.select("component").distinct().withColumnRenamed("component", "g"), "g", "left_semi").groupBy("g").agg(F.min("rep").alias("name"))
+    named = group.join(names, "g", "left").select("k", "g", F.coalesce("name", "rep").alias("component"))
+    return rows.join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "g", "tid")
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: of its least doc_id, and of rows that share that the one of the least text hash.
+
+    Rows without words all stay. Columns pass through, whatever their names.
+    """
+    found = ngram_components(docs, n, percent, key, text).where("n_shingles > 0").groupBy("doc_id", "tid").agg(F.first("g").alias("g"), F.count("*").alias("m"))
+    found = materialize(found, "ngram-found")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tid")
+    marked = found.join(found.groupBy("g").agg(F.min(place).alias("p")), "g").select(F.col("doc_id").alias("__near_doc"), F.col("tid").alias("__near_tid"), (place == F.col("p")).alias("__near_first"), "m")
+    marked = materialize(marked.where("m > 1 or not __near_first").drop("m"), "ngram-marked")
+    discard(found)
+    # Rows that no mark can be for pass as they are, without a shuffle.
+    bitmap, named = key_bitmap(marked, "__near_tid"), docs.withColumn("__near_key", F.xxhash64(text))
+    open_ = sifted(named, "__near_key", bitmap)
+    same = F.col(key).cast("long").eqNullSafe(F.col("__near_doc")) & (F.col("__near_key") == F.col("__near_tid"))
+    once = open_.join(marked, same, "left_anti")
+    # Rows that stand several times: one of each.
+    again = open_.join(marked.where("__near_first"), same).dropDuplicates(["__near_doc", "__near_tid"])
+    return sifted(named, "__near_key", bitmap, held=False).select(docs.columns).unionByName(once.select(docs.columns)).unionByName(again.select(docs.columns))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).drop("g", "tid")
 
 
 SQL = r"""

@@ -100,6 +100,28 @@ def test_ngram_components(spark, monkeypatch, wide, frequent):
     assert op02_ngram_join.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ngram_rows_that_repeat_ids(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    schema = "doc_id long, text string, k int, n_shingles int"
+    rows = [(1, word("b", 60)), (1, word("a", 60)), (2, word("b", 60) + " x"), (3, word("a", 60) + " y")]
+    got = op02_ngram_join.ngram_components(spark.createDataFrame([(*r, 0, 0) for r in rows], schema)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    # Rows without an id link others, and name nothing.
+    c = [f"c{i}" for i in range(64)]
+    chain = [(7, " ".join(c)), (None, " ".join([*c, "p", "q", "r", "s"])), (9, " ".join([*c, "p", "q", "r", "s", *(f"t{i}" for i in range(14))])), (None, word("d", 40)), (None, word("d", 40)), (4, None), (4, " ")]
+    sets = [shingle_set(x) for _, x in chain]
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    long = " ".join(f"l{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows + chain + [(20, long), (21, long + " more")]], schema)
+    got = op02_ngram_join.ngram_components(docs).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (7, 7), (-1, 7), (9, 7), (-1, -1), (-1, -1), (4, 4), (4, 4), (20, 20), (21, 20)])
+    left = op02_ngram_join.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, (r["text"] or "")[:2]) for r in left.collect()) == sorted([(1, "b0"), (1, "a0"), (7, "c0"), (-1, "d0"), (4, ""), (4, " "), (20, "l0")])
+    assert op02_ngram_join.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -159,6 +181,18 @@ def test_short_lines_are_dropped_when_equal(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in op03_line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
+def test_lines_of_rows_that_repeat_ids(spark):
+    long = "\n".join(f"row {i} of a very long document" for i in range(30_000))
+    docs = [(1, "}\nthe first line of it all", 0), (1, "unlike it\nanother line, of another text", 0), (2, "}\nTHE first line of it all\nthe first line of it al", 0), (3, "}\n12", 0), (3, "}\n12", 0), (4, "}\n13", 0), (5, long, 0), (6, long + "\nend", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __line int")
+    got = op03_line_dedup.dedup_lines(df, exact=1).select("doc_id", "text").collect()
+    # Rows of one id and text keep alike what the earliest place has; 12 and 13 are too short to be near.
+    small = sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] < 5)
+    assert small == sorted([(1, docs[0][1]), (1, docs[1][1]), (2, "THE first line of it all"), (3, "12"), (3, "12"), (4, "13")])
+    text = {r["doc_id"]: r["text"] for r in got}
+    assert text[6] == "end" and len(text[5]) < len(long) and text[5].startswith("row 0 of")
+
+
 def test_neighbours_are_found(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((900, 16))
