@@ -127,7 +127,7 @@ def sifted(df: DataFrame, column: str, bitmap, held: bool = True) -> DataFrame:
 
     def run(batches):
         bits = bitmap.value
-        for b in batches:
+        for b in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
             key = b.column(b.schema.get_field_index(column))
             at = key.fill_null(0).to_numpy().astype(np.int64) & (8 * len(bits) - 1)
             there = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & ~key.is_null().to_numpy(zero_copy_only=False)
