@@ -6,18 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _header(text: Column) -> Column:
+    """What stands before the first file of a text that begins with a commit line; null for other texts."""
+    at = F.instr(text, "\ndiff --git ")
+    return F.when(text.startswith("commit "), F.when(at > 0, F.left(text, at - 1)).otherwise(text))
+
+
 def show_author(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?m)^Author:\s*(.+)$", 1))
+    return F.trim(F.regexp_extract(F.coalesce(_header(text), F.lit("")), r"(?m)^Author:\s*(.+)$", 1))
 
 
 def show_date(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?m)^Date:\s*(.+)$", 1))
+    return F.trim(F.regexp_extract(F.coalesce(_header(text), F.lit("")), r"(?m)^Date:\s+(.+)$", 1))
 
 
 def show_diff(text: Column) -> Column:
-    """What follows the header: from the first file's line, or the text if there is none."""
-    at = F.instr(text, "diff --git ")
-    return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
+    """What follows the header, from the first file's line, or nothing if there is none; texts without a commit line are diffs."""
+    at = F.instr(text, "\ndiff --git ")
+    return F.when(~text.startswith("commit "), text).when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise("")
 
 
 def show_text(commit: Column, author: Column, date: Column, message: Column, diff: Column) -> Column:
@@ -58,8 +64,7 @@ def last_segment(doc_id: Column, separator: str = "@@") -> Column:
 
 def tri_state(answer: Column) -> Column:
     """true, false, or null for anything else."""
-    low = F.lower(F.trim(answer))
-    return F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no"), False)
+    return F.when(F.trim(answer) == "True", True).when(F.trim(answer) == "False", False)
 
 
 def number_or_zero(text: Column) -> Column:

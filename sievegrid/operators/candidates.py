@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.diffs import lines, stripped, told
+
+# The tags of a candidate's files in its line, and their short names.
+SHORT_TAGS = {"source": "src", "test": "test", "doc": "doc", "fixture": "bin", "config": "cfg"}
+
 
 def resolve(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     """(ask_id, doc_id or null) for asked (ask_id, query_id, part) among candidates (query_id, position, doc_id string).
@@ -31,12 +36,11 @@ def resolve_either(asked: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def match_path(asked: DataFrame, files: DataFrame) -> DataFrame:
-    """(ask_id, path, tier): the first file equal to the asked path, else equal in any case, else of that base name."""
-    base = lambda c: F.lower(F.substring_index(c, "/", -1))
-    tier = F.when(F.col("asked") == F.col("path"), 1).when(F.lower("asked") == F.lower("path"), 2).otherwise(3)
-    met = asked.withColumn("b", base("asked")).join(files.withColumn("b", base("path")), ["doc_id", "b"])
-    order = Window.partitionBy("ask_id").orderBy("tier", "position")
-    return met.withColumn("tier", tier).withColumn("i", F.row_number().over(order)).where("i = 1").select("ask_id", "path", "tier")
+    """(ask_id, path, tier): the first file equal to the asked path, else equal in any case, else the first that ends in its base name."""
+    base = F.substring_index("asked", "/", -1)
+    tier = F.when(F.col("asked") == F.col("path"), 1).when(F.lower("asked") == F.lower("path"), 2).when(F.col("path").endswith(base), 3)
+    met = asked.join(files, "doc_id").withColumn("tier", tier).where("tier is not null")
+    return met.groupBy("ask_id").agg(F.min_by(F.struct("path", "tier"), F.struct("tier", "position")).alias("x")).select("ask_id", "x.path", "x.tier")
 
 
 def fill_empty(rows: DataFrame, more: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -52,22 +56,42 @@ def keep_lowest_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def review_pool(ranking: DataFrame, picks: DataFrame, inspected: DataFrame, extra: int) -> DataFrame:
-    """(query_id, doc_id, new_rank): the pick, then what was inspected, then the best of the ranking, 1 + extra in all.
+    """(query_id, doc_id, new_rank): the pick, then what was inspected (query_id, doc_id, at) in its order, then the best of the ranking, 1 + extra in all.
 
-    The limit is tested after each is added, so there are two with extra = 0
-    where there is more than one. What isn't ranked is not in the pool.
+    The limit is tested after each inspected one is added, so where there is a pick the first inspected one comes
+    in whatever the limit. What isn't ranked is not in the pool.
     """
-    tier = F.when(F.col("is_pick"), 0).when(F.col("is_seen"), 1).otherwise(2)
-    rows = ranking.join(picks.withColumn("is_pick", F.lit(True)), ["query_id", "doc_id"], "left").join(inspected.distinct().withColumn("is_seen", F.lit(True)), ["query_id", "doc_id"], "left")
-    rows = rows.fillna(False, ["is_pick", "is_seen"]).withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(tier, "rank")))
-    chosen = rows.where(F.col("i") <= max(2, 1 + extra))
-    return chosen.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).select("query_id", "doc_id", "new_rank")
-
-
-def compose(best: Column, seen: Column, ranking: Column, k: int = 10) -> Column:
-    """The pick, what was seen without it, then the rest of the ranking; distinct, in order, at most k. No pick, no ranking."""
-    rest = F.coalesce(seen, F.array().cast("array<string>")), F.coalesce(ranking, F.array().cast("array<string>"))
-    return F.when(best.isNull() | (best == ""), F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(F.concat(F.array(best), *rest)), 1, k))
+    seen = inspected.groupBy("query_id", "doc_id").agg(F.min("at").alias("at"))
+    rows = ranking.join(picks.select("query_id", "doc_id", F.lit(True).alias("is_pick")).distinct(), ["query_id", "doc_id"], "left").join(seen, ["query_id", "doc_id"], "left")
+    tier = F.when(F.col("is_pick"), 0).when(F.col("at").isNotNull(), 1).otherwise(2)
+    own = Window.partitionBy("query_id")
+    rows = rows.withColumn("tier", tier).withColumn("i", F.row_number().over(own.orderBy("tier", F.when(F.col("tier") == 1, F.col("at")), "rank")))
+    rows = rows.withColumn("forced", (F.col("tier") == 1) & (F.col("i") == 2) & (F.min("tier").over(own) == 0))
+    chosen = rows.where((F.col("i") <= 1 + extra) | F.col("forced"))
+    return chosen.withColumn("new_rank", F.row_number().over(own.orderBy("rank"))).select("query_id", "doc_id", "new_rank")
+
+
+def compose(best: Column, seen: Column, ranking: Column | None = None, k: int | None = 10) -> Column:
+    """The pick if there is one, what was seen, then the rest of the ranking; the pick and the ranking never repeat, at most k (all for None)."""
+    none = F.array().cast("array<string>")
+    pick = F.when(best.isNull() | (best == ""), none).otherwise(F.array(best))
+    mine = F.concat(pick, F.filter(F.coalesce(seen, none), lambda x: ~F.array_contains(pick, x)))
+    full = mine if ranking is None else F.concat(mine, F.filter(F.coalesce(ranking, none), lambda x: ~F.array_contains(mine, x)))
+    return full if k is None else F.slice(full, 1, k)
+
+
+def manifest(rows: DataFrame) -> DataFrame:
+    """(query_id, manifest): a line or two for each candidate (query_id, rank, doc_id, message, files or null where its content is absent)."""
+    head = F.get(lines(stripped(F.coalesce("message", F.lit("")))), F.lit(0))
+    head = F.coalesce(F.nullif(head, F.lit("")), F.lit("(empty msg)"))
+    head = F.when(F.length(head) > 80, F.concat(F.left(head, F.lit(77)), F.lit("..."))).otherwise(head)
+    count = lambda t: F.size(F.filter("files", lambda f: f["tag"] == t))
+    tags = F.concat_ws("/", *(F.when(count(t) > 0, told(count(t), short)) for t, short in SHORT_TAGS.items()))
+    start = told("  #", F.lpad(F.col("rank").cast("string"), F.greatest(F.length(F.col("rank").cast("string")), F.lit(4)), " "), "  ", F.left("doc_id", F.lit(12)), "  ")
+    known = told(start, '"', head, '"\n            files: ', F.size("files"), " (", F.coalesce(F.nullif(tags, F.lit("")), F.lit("0 files")), ")")
+    line = F.when(F.col("files").isNull(), told(start, "[commit not found in repo2commits_diff]")).otherwise(known)
+    out = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
+    return out.select("query_id", told("Top-", F.size("x"), " candidates from Phase 1:\n\n", F.array_join("x.line", "\n")).alias("manifest"))
 
 
 def single_pick(pick: Column) -> Column:
@@ -105,3 +129,40 @@ def ordered_distinct(rows: DataFrame, key: str, position: str) -> DataFrame:
 def round_robin(rows: DataFrame, order: list, shards: int) -> DataFrame:
     """rows with shard = (place - 1) mod shards, places by `order` over the whole table (one row per unit of work)."""
     return rows.withColumn("shard", ((F.row_number().over(Window.orderBy(*order)) - 1) % shards).cast("int"))
+
+
+def from_scores(queries: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best of the score files (repo_key, query_id, doc_id, position, score) of queries (query_id, repo_key).
+
+    Ties keep the file's order. Queries without a file have no rows.
+    """
+    own = scores.join(queries.select("query_id", "repo_key").distinct(), ["repo_key", "query_id"], "left_semi")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
+    return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+def resolve_answers(answers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(ask_id, doc_id or null) of answers (ask_id, query_id, number, hash) among candidates (query_id, rank, doc_id).
+
+    The candidate of that rank, else the first whose id begins with the hash.
+    """
+    met = answers.join(candidates, "query_id").where((F.col("rank") == F.col("number")) | F.col("doc_id").startswith(F.col("hash")))
+    best = met.groupBy("ask_id").agg(F.min_by("doc_id", F.struct(F.coalesce(F.col("rank") != F.col("number"), F.lit(True)), "rank")).alias("doc_id"))
+    return answers.select("ask_id").join(best, "ask_id", "left")
+
+
+def rank_of(picks: DataFrame, ranking: DataFrame) -> DataFrame:
+    """picks (query_id, doc_id) with first_rank, the pick's rank in the ranking; null where it isn't there."""
+    return picks.join(ranking.select("query_id", "doc_id", F.col("rank").alias("first_rank")), ["query_id", "doc_id"], "left")
+
+
+def of_sample(records: DataFrame, sample: DataFrame, key: str = "query_id") -> DataFrame:
+    """Records of a sample's queries, one row per candidate."""
+    return records.join(sample.select(key).distinct(), key, "left_semi").select(key, F.inline("candidates"))
+
+
+def extended(records: DataFrame, ranking: DataFrame, k: int | None = 10) -> DataFrame:
+    """(query_id, doc_id, rank): rankings of selection records (query_id, best, inspected), extended by a first stage's (query_id, doc_id, rank)."""
+    order = ranking.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r"))
+    full = compose(F.col("best"), F.col("inspected"), F.col("r.doc_id"), k)
+    return records.join(order, "query_id", "left").select("query_id", F.posexplode(full).alias("i", "doc_id")).select("query_id", "doc_id", (F.col("i") + 1).alias("rank"))

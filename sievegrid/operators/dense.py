@@ -8,32 +8,39 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import ranked
+from .lexical import _best, ranked
 
 #: Queries whose vectors are sent to all tasks; beyond, they are joined in blocks of this size.
 QUERY_BLOCK = 4096
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, exclude_self: bool = True) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, exclude_self: bool = True, by: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k largest inner products; ties to the smaller doc_id.
 
+    With `by`, a column of both (a repository), queries meet the vectors of their own group only.
     Vectors are multiplied in blocks with the query matrix, and only each
     block's k best per query leave a task. A query set of more than
     QUERY_BLOCK vectors is taken in blocks that meet the vectors one by one.
+    Vectors that are null, hold nulls or differ in length from the first query's take no part.
     """
+    whole = lambda rows, key: rows.select(F.col(key).cast("long"), F.col(by).cast("string").alias("g") if by else F.lit("").alias("g"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null and g is not null and not exists(v, x -> x is null)")
+    queries = whole(queries, "query_id")
     n = queries.count()
-    parts = [queries] if n <= QUERY_BLOCK else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == i) for i in range(-(-n // QUERY_BLOCK))]
-    out = None
-    for part in parts:
-        rows = part.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).toArrow()
-        if not rows.num_rows:
+    out, dim = None, None
+    for i in range(-(-n // QUERY_BLOCK)):
+        part = queries if n <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == i)
+        rows = part.toArrow().to_pylist()
+        dim = len(rows[0]["v"]) if dim is None and rows else dim
+        rows = [r for r in rows if len(r["v"]) == dim]
+        if not rows:
             continue
-        matrix = rows["v"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-        sent = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), matrix))
-        found = vectors.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_block_topk(sent, k, digits, exclude_self), "query_id long, doc_id long, score double")
+        groups = pa.array([r["g"] for r in rows]).dictionary_encode()
+        sent = vectors.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows], pa.int64()), groups, np.array([r["v"] for r in rows])))
+        found = whole(vectors, "doc_id").where(F.size("v") == dim).mapInArrow(_block_topk(sent, k, digits, exclude_self), "query_id long, doc_id long, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
@@ -42,26 +49,24 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6,
 
 def _block_topk(sent, k: int, digits: int, exclude_self: bool):
     def run(batches):
-        ids, matrix = sent.value
+        ids, groups, matrix = sent.value
+        mine = groups.indices.to_numpy()
         for b in batches:
-            docs = b.column(0).to_numpy()
-            if not len(docs):
+            if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1)
-            score = np.round(matrix @ x.T, digits)
+            score = matrix @ b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).T
+            theirs = pc.fill_null(pc.index_in(b.column(1), groups.dictionary), -1).to_numpy()
+            score[mine[:, None] != theirs[None, :]] = -np.inf
             if exclude_self:
-                score[ids[:, None] == docs[None, :]] = -np.inf
-            n = min(k, len(docs))
-            bound = np.partition(score, len(docs) - n, axis=1)[:, len(docs) - n]
-            q, d = np.nonzero((score >= bound[:, None]) & (score > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(score[q, d])], ["query_id", "doc_id", "score"])
+                score[ids.to_numpy()[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+            yield _best(score, ids, b.column(0), k, digits, -np.inf)
 
     return run
 
 
 def seeded_vector(text: str, dim: int) -> np.ndarray:
-    """A unit vector that depends on the text alone: Gaussian draws seeded by its MD5."""
-    seed = int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "little")
+    """A unit vector that depends on the text alone: Gaussian draws seeded by its MD5 modulo 2^32."""
+    seed = int.from_bytes(hashlib.md5(text.encode()).digest()[-4:], "big")
     v = np.random.default_rng(seed).standard_normal(dim).astype(np.float32)
     return v / np.linalg.norm(v)
 

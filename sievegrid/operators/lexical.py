@@ -2,36 +2,134 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Defaults of published BM25.
 K1, B = 1.2, 0.75
+#: Queries whose terms are sent to all tasks; more are taken in parts. Scores of a block of documents held at once.
+QUERY_BLOCK, GRID = 4096, 4_000_000
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]+"), lambda x: x != "")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, top: int | None = 10_000, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+    """Runs of letters, marks, digits and underscores, in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x != "")
+
+
+class _Asked:
+    """The terms that queries ask for, by group: sorted keys (group, term), and the queries of each."""
+
+    def __init__(self, rows: pa.Table):
+        query, group, term = (rows[c].combine_chunks().dictionary_encode() for c in ("query_id", "g", "term"))
+        self.queries, self.groups, self.terms = query.dictionary, group.dictionary, term.dictionary
+        key = group.indices.to_numpy().astype(np.int64) * len(self.terms) + term.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        self.query = query.indices.to_numpy()[order]
+        self.keys, self.first, self.size = np.unique(key[order], return_index=True, return_counts=True)
+
+    def postings(self, group: pa.Array, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, place in keys, frequency) of a batch's terms that its documents' groups ask for."""
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(size)), size)
+        g = pc.fill_null(pc.index_in(group, self.groups), -1).to_numpy()
+        t = pc.fill_null(pc.index_in(words.flatten(), self.terms), -1).to_numpy()
+        some = (t >= 0) & (g[doc] >= 0)
+        doc, key = doc[some], g[doc[some]].astype(np.int64) * len(self.terms) + t[some]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        some = self.keys[at] == key
+        pair, tf = np.unique(doc[some] * len(self.keys) + at[some], return_counts=True)
+        return pair // len(self.keys), pair % len(self.keys), tf
+
+
+def bm25(docs: DataFrame, queries: DataFrame, top: int | None = 10_000, k1: float = K1, b: float = B, digits: int = 6, by: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) for docs (doc_id, text) and queries (query_id, text); any query term matches.
 
-    Term frequencies are made per document before anything is shuffled, and
-    only of terms that some query holds. Ties go to the smaller doc_id.
+    With `by`, a column of both (a repository), queries meet the documents of
+    their own group only, and each group has its own corpus statistics.
+
+    The queries' terms are sent to the documents: one pass counts the
+    statistics, a second multiplies blocks of documents with the queries, and
+    only each block's `top` per query leave it, so neither texts nor the
+    postings of common words are shuffled. Ties go to the smaller doc_id; null
+    texts have no terms, and count as documents.
     """
-    words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    sized = words.select("doc_id", F.size("t").alias("dl"), "t")
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    postings = sized.select("doc_id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # The corpus's two numbers are one row.
-    idf = df.join(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = postings.join(idf, "term").select("term", "doc_id", weight.alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), digits).alias("score"))
-    return ranked(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.col("doc_id")], top)
+    n = queries.count()
+    parts = max(1, -(-n // QUERY_BLOCK))
+    group = F.col(by).cast("string") if by else F.lit("")
+    words = docs.select("doc_id", group.alias("g"), tokens(F.col("text")).alias("t"))
+    out = None
+    for i in range(parts):
+        part = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        found = _bm25_part(words, part.select("query_id", group.alias("g"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), top, k1, b, digits)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, ["query_id"], [F.desc("score"), F.col("doc_id")], top)
+
+
+def _bm25_part(words: DataFrame, terms: DataFrame, top: int | None, k1: float, b: float, digits: int) -> DataFrame:
+    spark, kinds = words.sparkSession, (terms.schema["query_id"].dataType.simpleString(), words.schema["doc_id"].dataType.simpleString())
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    asked = _Asked(terms.where("g is not null").toArrow())
+    if not len(asked.keys):
+        return spark.createDataFrame([], schema)
+    sent = spark.sparkContext.broadcast(asked)
+
+    def count(batches):
+        a = sent.value
+        for x in batches:
+            _, at, _ = a.postings(x.column(0), x.column(1))
+            g = pc.fill_null(pc.index_in(x.column(0), a.groups), -1).to_numpy()
+            size = pc.list_value_length(x.column(1)).to_numpy(zero_copy_only=False)
+            key, df = np.unique(at, return_counts=True)
+            known = np.unique(g[g >= 0])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.zeros(len(key), np.int32), np.full(len(known), 1, np.int32)])), pa.array(np.concatenate([key, known]).astype(np.int64)),
+                    pa.array(np.concatenate([df, [(g == i).sum() for i in known]]).astype(np.int64)), pa.array(np.concatenate([np.zeros(len(key)), [size[g == i].sum() for i in known]]).astype(np.int64)),
+                ],
+                ["kind", "at", "n", "size"],
+            )
+
+    # One row for each asked term and group.
+    counted = words.select("g", "t").mapInArrow(count, "kind int, at long, n long, size long").groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toArrow()
+    kind, at, number, size = (counted[c].to_numpy() for c in ("kind", "at", "n", "size"))
+    docs_of, mean_of, df = np.zeros(len(asked.groups)), np.ones(len(asked.groups)), np.zeros(len(asked.keys))
+    df[at[kind == 0]] = number[kind == 0]
+    docs_of[at[kind == 1]] = number[kind == 1]
+    mean_of[at[kind == 1]] = size[kind == 1] / number[kind == 1]
+    own = asked.keys // len(asked.terms)
+    idf = np.log(1 + (docs_of[own] - df + 0.5) / (df + 0.5))
+    weights = spark.sparkContext.broadcast((idf, np.where(mean_of == 0, 1.0, mean_of)[own]))
+
+    def score(batches):
+        a, (idf, mean) = sent.value, weights.value
+        n = len(a.queries)
+        for whole in batches:
+            step = max(1, GRID // n)
+            for i in range(0, whole.num_rows, step):
+                x = whole.slice(i, step)
+                doc, at, tf = a.postings(x.column(1), x.column(2))
+                size = pc.list_value_length(x.column(2)).to_numpy(zero_copy_only=False)
+                w = idf[at] * tf / (tf + k1 * (1 - b + b * size[doc] / mean[at]))
+                count = a.size[at]
+                ends = np.cumsum(count)
+                place = np.arange(int(count.sum())) - np.repeat(ends - count, count) + np.repeat(a.first[at], count)
+                grid = np.bincount(np.repeat(doc, count) * n + a.query[place], weights=np.repeat(w, count), minlength=x.num_rows * n).astype(float).reshape(-1, n).T
+                yield _best(grid, a.queries, x.column(0), top, digits, 0.0)
+
+    return words.mapInArrow(score, schema)
+
+
+def _best(grid: np.ndarray, queries: pa.Array, docs: pa.Array, top: int | None, digits: int, above: float) -> pa.RecordBatch:
+    """The best of a grid of scores (queries by documents), ties with the last of them included."""
+    grid = np.round(grid, digits)
+    keep = grid > above
+    if top is not None and top < grid.shape[1]:
+        keep &= grid >= np.partition(grid, grid.shape[1] - top, axis=1)[:, grid.shape[1] - top][:, None]
+    q, d = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([queries.take(pa.array(q)), docs.take(pa.array(d)), pa.array(grid[q, d])], ["query_id", "doc_id", "score"])
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], top: int | None = None, rank: str = "rank") -> DataFrame:
@@ -55,13 +153,13 @@ def field_hybrid(first: DataFrame, second: DataFrame, times: DataFrame, anchors:
 
     first, second: rankings; times (doc_id, ts); anchors (query_id, early, late).
     A candidate is what either field found; its place is its index by time
-    among the query's candidates.
+    among the query's candidates, those without a time first.
     """
     a = first.select("query_id", "doc_id", F.col("score").alias("a"))
     b = second.select("query_id", "doc_id", F.col("score").alias("b"))
-    both = a.join(b, ["query_id", "doc_id"], "full_outer").join(times, "doc_id").join(anchors, "query_id", "left")
+    both = a.join(b, ["query_id", "doc_id"], "full_outer").join(times, "doc_id", "left").join(anchors, "query_id", "left")
     own = Window.partitionBy("query_id")
-    both = both.withColumn("i", F.row_number().over(own.orderBy("ts", "doc_id")) - 1).withColumn("n", F.count("*").over(own))
+    both = both.withColumn("i", F.row_number().over(own.orderBy(F.asc_nulls_first("ts"), "doc_id")) - 1).withColumn("n", F.count("*").over(own))
     for name in ("early", "late"):
         both = both.withColumn(f"{name}_i", forward_index(F.col(name), F.col("ts"), F.col("i"), F.col("n"), own))
     score = (
@@ -110,14 +208,14 @@ def with_fallback(precomputed: DataFrame, queries: DataFrame, fallback) -> DataF
     return precomputed.unionByName(fallback(missing))
 
 
-def containing(docs: DataFrame, items: DataFrame, width: int = 60) -> DataFrame:
-    """(query_id, doc_id): documents that hold an item's first `width` characters, each item (query_id, text).
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents that hold an item's whole text, each item (query_id, text).
 
-    The items' beginnings form one automaton, so a document is read once
+    The items' texts form one automaton, so a document is read once
     whatever their number; they are few against the documents, and are sent to
     all tasks only up to a bound (MOST_ITEMS), in parts beyond it.
     """
-    heads = items.select("query_id", F.substring("text", 1, width).alias("head")).where("head <> ''")
+    heads = items.select("query_id", F.col("text").alias("head")).where("head <> ''")
     n = heads.count()
     parts = -(-n // MOST_ITEMS)
     out = None

@@ -124,3 +124,17 @@ def confusion(before: DataFrame, after: DataFrame) -> DataFrame:
         F.count_if(over).alias("overrides"), F.count_if(over & F.col("h1")).alias("right_overrides"),
     )
     return s.select("*", F.round(F.coalesce(F.col("right_overrides") / F.nullif("overrides", F.lit(0)), F.lit(0.0)), 6).alias("override_precision"), (F.col("gained") - F.col("lost")).alias("net_change"))
+
+
+def with_labelled(truth: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """truth, and the pairs (query_id, doc_id, label) with label 1 unless it is to be strict (no pairs); each once."""
+    if pairs is None:
+        return truth.select("query_id", "doc_id").distinct()
+    more = pairs.where(F.col("query_id").isNotNull() & (F.col("label").cast("int") == 1)).select("query_id", "doc_id")
+    return truth.select("query_id", "doc_id").unionByName(more).distinct()
+
+
+def pool_sanity(pairs: DataFrame, short: int = 60) -> DataFrame:
+    """One row (n, queries, positives, short_texts, with_positive) of a pool (query_id, label, diff)."""
+    per = pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("label").alias("p"), F.count_if(F.length("diff") < short).alias("s"), F.max("label").alias("m"))
+    return per.agg(F.sum("n").alias("n"), F.count("*").alias("queries"), F.sum("p").alias("positives"), F.sum("s").alias("short_texts"), F.sum("m").alias("with_positive"))

@@ -11,23 +11,49 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    """One row of measures of runs (hit, reachable, answered, error, iterations, tokens_in, tokens_out, seconds).
+    """One row of measures of runs (n_truths, hit, truth_rank, iterations, n_inspected, tokens_in, tokens_out, cost, seconds, stopped, error).
 
-    Averages of tokens and time leave out zero and absent values; those of iterations don't.
+    Rows without a truth count in n only. Averages of tokens and time leave out zero and absent values; those of
+    iterations and of what was inspected leave out absent ones only. stops: reason:count, most frequent first.
     """
-    some = lambda c: F.nullif(F.col(c), F.lit(0).cast("double"))
+    own = F.col("n_truths") > 0
+    num = lambda c: F.when(own, F.col(c))
+    some = lambda c: F.nullif(num(c), F.lit(0).cast("double"))
+    hit, top = F.coalesce(F.col("hit"), F.lit(False)), F.col("truth_rank").isNotNull()
     s = runs.agg(
-        F.count("*").alias("n"), F.count_if(F.expr("hit")).alias("hits"), F.count_if(F.expr("reachable")).alias("reachable"), F.count_if(F.expr("answered")).alias("answered"), F.count_if(F.expr("error is not null and error <> ''")).alias("errors"),
-        F.count_if(F.expr("not hit and not reachable")).alias("unreachable_misses"), F.count_if(F.expr("not hit and reachable and answered")).alias("wrong_picks"), F.count_if(F.expr("not hit and reachable and not answered")).alias("no_answers"),
-        F.avg("iterations").alias("i"), F.avg(some("tokens_in")).alias("ti"), F.avg(some("tokens_out")).alias("to"), F.avg(some("seconds")).alias("sec"), F.sum("tokens_in").alias("total_in"), F.sum("tokens_out").alias("total_out"),
+        F.count("*").alias("n"), F.count_if(own).alias("with_truth"), F.count_if(own & hit).alias("hits"), F.count_if(own & top).alias("reachable"),
+        F.count_if(own & ~top).alias("first_stage_missed"), F.count_if(own & top & ~hit).alias("wrong_picks"), F.count_if(own & F.expr("error <> ''")).alias("errors"),
+        F.avg(num("iterations")).alias("i"), F.avg(num("n_inspected")).alias("insp"), F.avg(some("tokens_in")).alias("ti"), F.avg(some("tokens_out")).alias("to"), F.avg(some("seconds")).alias("sec"),
+        *(F.coalesce(F.sum(num(c)), F.lit(0)).alias(f"sum_{c}") for c in ("tokens_in", "tokens_out", "cost", "seconds")),
     )
-    return s.select(
-        "n", "hits", "reachable", "answered", "errors", "unreachable_misses", "wrong_picks", "no_answers",
-        ratio(F.col("hits"), F.col("n")).alias("hit_rate"), ratio(F.col("reachable"), F.col("n")).alias("reachable_rate"), ratio(F.col("hits"), F.col("reachable")).alias("efficacy"), ratio(F.col("errors"), F.col("n")).alias("error_rate"),
-        F.round("i", 6).alias("avg_iterations"), F.round("ti", 6).alias("avg_tokens_in"), F.round("to", 6).alias("avg_tokens_out"), F.round("sec", 6).alias("avg_seconds"), F.round("total_in", 3).alias("total_in"), F.round("total_out", 3).alias("total_out"),
+    stops = runs.where(own & F.expr("stopped <> ''")).groupBy("stopped").count()
+    stops = stops.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("m"), "stopped", "count"))), lambda x: F.concat(x["stopped"], F.lit(":"), x["count"].cast("string"))), " ").alias("stops"))
+    avg = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return s.crossJoin(stops).select(
+        "n", "with_truth", "hits", ratio(F.col("hits"), F.col("with_truth")).alias("hit_rate"), "reachable", ratio(F.col("reachable"), F.col("with_truth")).alias("reachable_rate"), ratio(F.col("hits"), F.col("reachable")).alias("efficacy"),
+        "first_stage_missed", "wrong_picks", avg("i").alias("avg_iterations"), avg("insp").alias("avg_inspected"), F.round("sum_tokens_in", 3).alias("total_in"), F.round("sum_tokens_out", 3).alias("total_out"),
+        avg("ti").alias("avg_tokens_in"), avg("to").alias("avg_tokens_out"), F.round("sum_cost", 4).alias("total_cost"), avg("sec").alias("avg_seconds"), F.round("sum_seconds", 3).alias("total_seconds"), "errors", "stops",
     )
 
 
+def method_totals(runs: DataFrame, by: str = "method") -> DataFrame:
+    """(method, n, calls, tokens_in, tokens_out): totals of runs (method, n_calls, tokens_in, tokens_out); absent counts are 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return runs.groupBy(by).agg(F.count("*").alias("n"), total("n_calls").alias("calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"))
+
+
+def submission_rate(runs: DataFrame, by: str = "method") -> DataFrame:
+    """(method, n, submitted, percent, avg_steps): runs (method, stopped, pick, iterations) that ended by submitting a pick."""
+    done = F.coalesce((F.col("stopped") == "submit_answer") & (F.col("pick") != ""), F.lit(False))
+    s = runs.groupBy(by).agg(F.count("*").alias("n"), F.count_if(done).alias("submitted"), F.avg("iterations").alias("x"))
+    return s.select(by, "n", "submitted", F.round(100 * F.col("submitted") / F.greatest("n", F.lit(1)), 4).alias("percent"), F.round("x", 6).alias("avg_steps"))
+
+
+def cost_projection(costs: DataFrame, items: int) -> DataFrame:
+    """costs (model, n, cost, per_item) with the cost of a full pass over `items`."""
+    return costs.withColumn("projected", F.round(F.col("per_item") * items, 6))
+
+
 def hybrid_ranks(picks: DataFrame, best_without: DataFrame) -> DataFrame:
     """(query_id, rank): 1 for a right pick, else the truth's rank once the pick stands first and is taken out below.
 
@@ -48,16 +74,16 @@ def lift(before: DataFrame, after: DataFrame) -> DataFrame:
     return s.select("n", F.round("x", 6).alias("before"), F.round("y", 6).alias("after"), F.round(F.col("y") - F.col("x"), 6).alias("gain"), F.round((F.col("y") - F.col("x")) / F.nullif("x", F.lit(0.0)), 6).alias("relative_gain"))
 
 
-def tool_breakdown(calls: DataFrame) -> DataFrame:
-    """(tool, calls, items, usage_rate, per_item) of calls (item, tool), rates over all items."""
-    n = calls.agg(F.count_distinct("item").alias("n"))
+def tool_breakdown(calls: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(tool, calls, items, usage_rate, per_item) of calls (item, tool), rates over all items (column item), also those without a call."""
+    n = (calls if items is None else items).agg(F.count_distinct("item").alias("n"))
     per = calls.groupBy("tool").agg(F.count("*").alias("calls"), F.count_distinct("item").alias("items"))
     return per.join(F.broadcast(n)).select("tool", "calls", "items", ratio(F.col("items"), F.col("n")).alias("usage_rate"), ratio(F.col("calls"), F.col("n")).alias("per_item"))
 
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """(model, n, cost, per_item) of usage (model, tokens_in, tokens_out); prices per million; unknown models cost 0."""
-    priced = usage.join(F.broadcast(prices), "model", "left")
+    priced = usage.join(prices, "model", "left")  # small tables are broadcast by their size
     cost = (F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1e6
     return priced.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum(cost), 6).alias("cost"), F.round(F.sum(cost) / F.count("*"), 9).alias("per_item"))
 
@@ -74,13 +100,13 @@ def marginal(rungs: DataFrame) -> DataFrame:
 
 
 def stop_reason(answered: Column, error: Column, iterations: Column, most: int) -> Column:
-    return F.when(error.isNotNull() & (error != ""), "error").when(answered, "submitted").when(iterations >= most, "max_iterations").otherwise("no_answer")
+    return F.when(error.isNotNull() & (error != ""), "error").when(answered, "submit_answer").when(iterations >= most, "max_iterations").otherwise("no_answer")
 
 
 def context_overflow(error: Column) -> Column:
     """Whether an error text tells of a context that was too long."""
     low = F.lower(F.coalesce(error, F.lit("")))
-    return low.contains("context length") | low.contains("context window") | low.contains("maximum context") | low.contains("too many tokens")
+    return low.contains("contextwindowexceeded") | low.contains("maximum context length")
 
 
 def todo(items: DataFrame, done: DataFrame, key: str, redo_errors: bool = True) -> DataFrame:

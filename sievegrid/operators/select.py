@@ -44,12 +44,12 @@ def first_candidate() -> Selector:
 
 
 def replay(calls: DataFrame) -> DataFrame:
-    """(item, inspected, answer, n_calls) of traces (item, turn, tool, doc_id); after a submission nothing counts."""
+    """(item, inspected, answer, n_calls) of traces (item, turn, tool, doc_id); after a submission nothing counts; what is submitted is inspected."""
     rows = F.array_sort(F.collect_list(F.struct("turn", "tool", "doc_id")))
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(None).cast("string").alias("answer"), F.lit(False).alias("closed"), F.lit(0).alias("n"))
 
     def step(a, c):
-        read = F.when(c["tool"].isin("read", "read_file"), F.array_union(a["seen"], F.array(c["doc_id"]))).otherwise(a["seen"])
+        read = F.when(c["tool"].isin("read", "read_file", "submit"), F.array_union(a["seen"], F.array(c["doc_id"]))).otherwise(a["seen"])
         return F.when(a["closed"], a).otherwise(F.struct(read.alias("seen"), F.when(c["tool"] == "submit", c["doc_id"]).otherwise(a["answer"]).alias("answer"), (c["tool"] == "submit").alias("closed"), (a["n"] + 1).alias("n")))
 
     out = calls.groupBy("item").agg(rows.alias("r")).withColumn("a", F.aggregate("r", start, step))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +51,32 @@ def mcnemar(one: DataFrame, other: DataFrame) -> DataFrame:
     return s.select("n", "b", "c", F.round(binomial_two_sided(F.col("b"), F.col("c")), 9).alias("p_value"))
 
 
+def length_stats(rows: DataFrame, text: str) -> DataFrame:
+    """One row (n, min, max, mean, median, p95) of the lengths of texts that aren't empty; a percentile is the element at floor(n p), from 0.
+
+    Lengths are counted first, so what is ordered is one row per length, not per text.
+    """
+    counted = rows.select(F.length(text).alias("x")).where("x > 0").groupBy("x").agg(F.count("*").alias("c"))
+    s = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), F.array_sort(F.collect_list(F.struct("x", "c"))).alias("all"))
+
+    def element(at: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("x"))
+        return F.aggregate("all", start, lambda a, v: F.when(a["x"].isNotNull(), a).otherwise(F.struct((a["seen"] + v["c"]).alias("seen"), F.when(a["seen"] + v["c"] > at, v["x"]).alias("x"))))["x"]
+
+    at95 = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
+    return s.select("n", "min", "max", F.round("mean", 6).alias("mean"), element(F.floor(F.col("n") / 2)).alias("median"), element(at95).alias("p95"))
+
+
 def bootstrap_ci(hits: DataFrame, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """One row (n, mean, low, high): percentile interval of the mean of (query_id, hit).
+    """One row (n, mean, low, high): percentile interval of the mean of (query_id, hit), hits 0 or 1.
 
-    Draw i of resample s takes the row whose place is a hash of (seed, s, i), so
-    results are the same on every run. Values are placed once; the draws are
-    made where they are summed.
+    Hits of one value can't be told apart, so a resample of n rows is a binomial draw of the number of hits; the two
+    counts leave the cluster, not the rows. The same seed gives the same result.
     """
-    n = hits.count()
+    n, k = hits.agg(F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))).first()
+    schema = "n long, mean double, low double, high double"
     if not n:
-        return hits.sparkSession.createDataFrame([], "n long, mean double, low double, high double")
-    placed = hits.withColumn("at", F.row_number().over(Window.orderBy("query_id")) - 1).select("at", "hit")
-    draws = hits.sparkSession.range(resamples).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    draws = draws.select("s", F.pmod(F.xxhash64(F.lit(seed), "s", "i"), F.lit(n)).cast("int").alias("at"))
-    means = draws.groupBy("s", "at").count().join(placed, "at").groupBy("s").agg((F.sum(F.col("hit") * F.col("count")) / n).alias("m"))
-    i = Window.orderBy("m")
-    ends = means.withColumn("i", F.row_number().over(i) - 1).agg(F.max(F.when(F.col("i") == int(0.025 * resamples), F.col("m"))).alias("low"), F.max(F.when(F.col("i") == int(0.975 * resamples), F.col("m"))).alias("high"))
-    return hits.agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("mean")).join(F.broadcast(ends)).select("n", "mean", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+        return hits.sparkSession.createDataFrame([], schema)
+    means = np.sort(np.random.default_rng(seed).binomial(n, k / n, resamples)) / n
+    low, high = (float(means[min(resamples - 1, int(p * resamples))]) for p in (0.025, 0.975))
+    return hits.sparkSession.createDataFrame([(n, round(k / n, 6), round(low, 6), round(high, 6))], schema)

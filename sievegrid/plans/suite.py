@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import diffs, parsing
+from ..functions import diffs, parsing, views
 from ..operators import candidates as cand
-from ..operators import dense, fusion, lexical, metrics, runs, select, stats
+from ..operators import dense, fusion, lexical, metrics, runs, select, stats, worklist
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SUITE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -62,7 +62,7 @@ DENSE_SQL = (
     f"qv AS ({plain(QVEC)}), ds AS (SELECT q.query_id, d.vec_id AS doc_id, round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM qv q JOIN embeddings d ON d.vec_id <> q.query_id), "
     "dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM ds QUALIFY rank <= 50)"
 )
-TOK = "list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9_]+'), lambda w: w <> '')"
+TOK = r"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '')"
 
 
 def bm25_sql(name: str, text: str = "text", top: int = 100) -> str:
@@ -76,7 +76,7 @@ def bm25_sql(name: str, text: str = "text", top: int = 100) -> str:
     )
 
 
-TRUTH_SQL = "truth AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 60)))"
+TRUTH_SQL = "truth AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 LABEL_TRUTH = "SELECT b.item_id AS query_id, d.vec_id AS doc_id FROM {benchmark} b JOIN {embeddings} q ON q.vec_id = b.item_id JOIN {embeddings} d ON d.label = q.label AND d.vec_id <> q.vec_id"
 LABELS_SQL = f"lt AS ({plain(LABEL_TRUTH)})"
 RRF_SQL = (
@@ -122,7 +122,7 @@ def _(d):
     return bm25_leg(d)
 
 
-TIMES = "SELECT event_id AS doc_id, ts FROM {events}"
+TIMES = "SELECT event_id AS doc_id, ts FROM {events} WHERE event_id % 10 <> 3"
 ANCHORS = "SELECT b.item_id AS query_id, e.ts AS early, CASE WHEN b.item_id % 4 <> 0 THEN l.ts END AS late FROM {benchmark} b LEFT JOIN {events} e ON e.event_id = 3 * b.item_id LEFT JOIN {events} l ON l.event_id = 5 * b.item_id + 1"
 FIRST = "string_split(text, chr(10))[1]"
 REST = "substring(text, length(string_split(text, chr(10))[1]) + 2)"
@@ -130,7 +130,7 @@ REST = "substring(text, length(string_split(text, chr(10))[1]) + 2)"
 
 @query("bm25_field_hybrid", ctes(bm25_sql("fa", FIRST, 10000), bm25_sql("fb", REST, 10000), f"tm AS ({plain(TIMES)})", f"an AS ({plain(ANCHORS)})") + """,
 c AS (SELECT coalesce(fa.query_id, fb.query_id) AS query_id, coalesce(fa.doc_id, fb.doc_id) AS doc_id, coalesce(fa.score, 0) AS a, coalesce(fb.score, 0) AS b FROM fa FULL JOIN fb ON fa.query_id = fb.query_id AND fa.doc_id = fb.doc_id),
-i AS (SELECT c.*, ts, early, late, row_number() OVER (PARTITION BY query_id ORDER BY ts, doc_id) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n, max(a) OVER (PARTITION BY query_id) AS ma, max(b) OVER (PARTITION BY query_id) AS mb FROM c JOIN tm USING (doc_id) LEFT JOIN an USING (query_id)),
+i AS (SELECT c.*, ts, early, late, row_number() OVER (PARTITION BY query_id ORDER BY ts NULLS FIRST, doc_id) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n, max(a) OVER (PARTITION BY query_id) AS ma, max(b) OVER (PARTITION BY query_id) AS mb FROM c LEFT JOIN tm USING (doc_id) LEFT JOIN an USING (query_id)),
 j AS (SELECT *, CASE WHEN early IS NULL THEN n // 2 ELSE coalesce(min(CASE WHEN ts >= early THEN i END) OVER (PARTITION BY query_id), n - 1) END AS ei, CASE WHEN late IS NULL THEN n // 2 ELSE coalesce(min(CASE WHEN ts >= late THEN i END) OVER (PARTITION BY query_id), n - 1) END AS li FROM i),
 s AS (SELECT query_id, doc_id, round(0.35::DOUBLE * a / CASE WHEN ma = 0 THEN 1 ELSE ma END + 0.15::DOUBLE * b / CASE WHEN mb = 0 THEN 1 ELSE mb END + 0.30::DOUBLE / (1 + 2 * abs(i - ei)) + 0.20::DOUBLE / (1 + 2 * abs(i - li)), 6) AS score FROM j)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s""")
@@ -162,6 +162,45 @@ def _(d):
     return lexical.asof_index(d.sql(SHIPS), d.sql(PROBES), "g")
 
 
+REPO_QUERIES = "SELECT item_id AS query_id, text, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS repo_key FROM {benchmark}"
+REPO_BM25_SQL = (
+    f"q AS ({plain(REPO_QUERIES)}), t AS (SELECT doc_id, lang AS g, {TOK.replace('{x}', 'text')} AS t FROM documents), c AS (SELECT g, count(*) AS n, avg(len(t)) AS a FROM t GROUP BY 1), "
+    f"w AS (SELECT DISTINCT query_id, repo_key AS g, unnest({TOK.replace('{x}', 'text')}) AS term FROM q), f AS (SELECT doc_id, g, dl, term, count(*) AS tf FROM (SELECT doc_id, g, len(t) AS dl, unnest(t) AS term FROM t) SEMI JOIN w USING (g, term) GROUP BY ALL), "
+    "df AS (SELECT g, term, count(*) AS df FROM f GROUP BY ALL), s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM w JOIN f USING (g, term) JOIN df USING (g, term) JOIN c USING (g) GROUP BY 1, 2), "
+    "bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 50)"
+)
+REPO_VECTORS = "SELECT vec_id AS doc_id, embedding, CASE vec_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS repo_key FROM {embeddings}"
+REPO_DENSE_SQL = (
+    f"v AS ({plain(REPO_VECTORS)}), dq AS (SELECT q.query_id, q.repo_key, v.embedding FROM ({plain(REPO_QUERIES)}) q JOIN v ON v.doc_id = 2 * q.query_id + 1), ds AS (SELECT q.query_id, d.doc_id, round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM dq q JOIN v d ON d.repo_key = q.repo_key AND d.doc_id <> q.query_id), "
+    "dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM ds QUALIFY rank <= 50)"
+)
+
+
+def repo_bm25(d: Data) -> DataFrame:
+    return lexical.bm25(d.documents.withColumnRenamed("lang", "repo_key"), d.sql(REPO_QUERIES), 50, by="repo_key")
+
+
+def repo_dense(d: Data) -> DataFrame:
+    vectors = d.sql(REPO_VECTORS)
+    asked = d.sql(REPO_QUERIES).join(vectors.select(F.col("doc_id").alias("v"), "embedding"), F.col("v") == 2 * F.col("query_id") + 1)
+    return dense.dense_topk(vectors, asked, 50, by="repo_key")
+
+
+@query("repo_bm25_topk", ctes(REPO_BM25_SQL) + "SELECT * FROM bm")
+def _(d):
+    return repo_bm25(d)
+
+
+@query("repo_dense_topk", ctes(REPO_DENSE_SQL) + "SELECT * FROM dense")
+def _(d):
+    return repo_dense(d)
+
+
+@query("repo_rrf", ctes(REPO_BM25_SQL, REPO_DENSE_SQL, RRF_SQL) + "SELECT * FROM rrf")
+def _(d):
+    return fusion.rrf(repo_bm25(d), repo_dense(d))
+
+
 @query("rrf_fuse", ctes(bm25_sql("bm"), DENSE_SQL, RRF_SQL) + "SELECT * FROM rrf")
 def _(d):
     return fusion.rrf(bm25_leg(d), dense_leg(d))
@@ -322,32 +361,53 @@ def _(d):
 
 # ---- runs -----------------------------------------------------------------------------------------------------------
 
-TRACE = """SELECT user_id AS item, count(*) AS iterations, coalesce(sum(CASE WHEN event_type IN ('view', 'click') THEN value END), 0) AS tokens_in, coalesce(sum(CASE WHEN event_type = 'purchase' THEN value END), 0) AS tokens_out, max(value) AS seconds,
-max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS answered, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AS reachable,
-max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AND user_id % 2 = 0 AS hit, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0 THEN 'no answer' END AS error FROM {events} GROUP BY user_id"""
+TRACE = """SELECT user_id AS item, count(*) AS iterations, CAST(user_id % 4 AS INT) AS n_truths, coalesce(sum(CASE WHEN event_type IN ('view', 'click') THEN value END), 0) AS tokens_in, coalesce(sum(CASE WHEN event_type = 'purchase' THEN value END), 0) AS tokens_out, max(value) AS seconds,
+max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS answered, max(CASE WHEN event_type = 'signup' THEN 3 END) AS truth_rank, count(CASE WHEN event_type = 'view' THEN 1 END) AS n_inspected, sum(value) / 1000 AS cost,
+CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'submit_answer' WHEN user_id % 3 = 0 THEN 'max_iterations' ELSE 'no_answer' END AS stopped,
+max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AND user_id % 2 = 0 AS hit, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0 THEN 'no answer' END AS error FROM {events} WHERE event_id % 5 <> 1 GROUP BY user_id"""
 
 
-@query("run_summary", f"WITH r AS ({plain(TRACE)}), " + """s AS (SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE reachable) AS reachable, count(*) FILTER (WHERE answered) AS answered, count(*) FILTER (WHERE error <> '') AS errors,
-count(*) FILTER (WHERE NOT hit AND NOT reachable) AS unreachable_misses, count(*) FILTER (WHERE NOT hit AND reachable AND answered) AS wrong_picks, count(*) FILTER (WHERE NOT hit AND reachable AND NOT answered) AS no_answers,
-avg(iterations) AS i, avg(nullif(tokens_in, 0)) AS ti, avg(nullif(tokens_out, 0)) AS tt, avg(nullif(seconds, 0)) AS sec, sum(tokens_in) AS si, sum(tokens_out) AS so FROM r)
-SELECT n, hits, reachable, answered, errors, unreachable_misses, wrong_picks, no_answers, round(hits / greatest(n, 1)::DOUBLE, 6) AS hit_rate, round(reachable / greatest(n, 1)::DOUBLE, 6) AS reachable_rate, round(hits / greatest(reachable, 1)::DOUBLE, 6) AS efficacy, round(errors / greatest(n, 1)::DOUBLE, 6) AS error_rate,
-round(i, 6) AS avg_iterations, round(ti, 6) AS avg_tokens_in, round(tt, 6) AS avg_tokens_out, round(sec, 6) AS avg_seconds, round(si, 3) AS total_in, round(so, 3) AS total_out FROM s""")
+@query("run_summary", f"WITH a AS ({plain(TRACE)}), r AS (SELECT * FROM a WHERE n_truths > 0), " + """t AS (SELECT stopped, count(*) AS n FROM r WHERE stopped <> '' GROUP BY 1), o AS (SELECT string_agg(stopped || ':' || n, ' ' ORDER BY n DESC, stopped) AS stops FROM t),
+s AS (SELECT (SELECT count(*) FROM a) AS n, count(*) AS w, count(*) FILTER (WHERE hit) AS h, count(*) FILTER (WHERE truth_rank IS NOT NULL) AS re, count(*) FILTER (WHERE truth_rank IS NULL) AS fm, count(*) FILTER (WHERE truth_rank IS NOT NULL AND NOT hit) AS wp, count(*) FILTER (WHERE error <> '') AS e,
+avg(iterations) AS i, avg(n_inspected) AS ni, avg(nullif(tokens_in, 0)) AS ti, avg(nullif(tokens_out, 0)) AS tt, avg(nullif(seconds, 0)) AS sec, sum(tokens_in) AS si, sum(tokens_out) AS so, sum(cost) AS co, sum(seconds) AS ss FROM r)
+SELECT n, w AS with_truth, h AS hits, round(h / greatest(w, 1)::DOUBLE, 6) AS hit_rate, re AS reachable, round(re / greatest(w, 1)::DOUBLE, 6) AS reachable_rate, round(h / greatest(re, 1)::DOUBLE, 6) AS efficacy, fm AS first_stage_missed, wp AS wrong_picks, round(i, 6) AS avg_iterations, round(ni, 6) AS avg_inspected,
+round(si, 3) AS total_in, round(so, 3) AS total_out, round(ti, 6) AS avg_tokens_in, round(tt, 6) AS avg_tokens_out, round(co, 4) AS total_cost, round(sec, 6) AS avg_seconds, round(ss, 3) AS total_seconds, e AS errors, stops FROM s, o""")
 def _(d):
     return runs.run_summary(d.sql(TRACE))
 
 
-@query("tool_call_breakdown", "WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS items, round(count(DISTINCT user_id) / any_value(n)::DOUBLE, 6) AS usage_rate, round(count(*) / any_value(n)::DOUBLE, 6) AS per_item FROM events, n GROUP BY 1")
+RUNS_OF = "SELECT event_type AS method, CASE WHEN event_id % 3 = 0 THEN 'submit_answer' ELSE 'max_iterations' END AS stopped, CASE WHEN event_id % 2 = 0 THEN props ELSE '' END AS pick, user_id % 15 AS iterations, CASE WHEN event_id % 7 <> 0 THEN user_id END AS n_calls, event_id AS tokens_in, CAST(NULL AS BIGINT) AS tokens_out FROM {events}"
+
+
+@query("method_totals", f"SELECT method, count(*) AS n, coalesce(sum(n_calls), 0)::BIGINT AS calls, coalesce(sum(tokens_in), 0)::BIGINT AS tokens_in, coalesce(sum(tokens_out), 0)::BIGINT AS tokens_out FROM ({plain(RUNS_OF)}) GROUP BY 1")
 def _(d):
-    return runs.tool_breakdown(d.events.select(F.col("user_id").alias("item"), F.col("event_type").alias("tool")))
+    return runs.method_totals(d.sql(RUNS_OF))
+
+
+@query("submission_rate", f"SELECT method, count(*) AS n, count(*) FILTER (WHERE stopped = 'submit_answer' AND pick <> '') AS submitted, round(100 * count(*) FILTER (WHERE stopped = 'submit_answer' AND pick <> '') / count(*)::DOUBLE, 4) AS percent, round(avg(iterations), 6) AS avg_steps FROM ({plain(RUNS_OF)}) GROUP BY 1")
+def _(d):
+    return runs.submission_rate(d.sql(RUNS_OF))
+
+
+@query("length_stats", """WITH x AS (SELECT length(text) AS x, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS n FROM documents WHERE length(text) > 0)
+SELECT max(n) AS n, min(x)::INT AS min, max(x)::INT AS max, round(avg(x), 6) AS mean, (max(x) FILTER (WHERE i = n // 2))::INT AS median, (max(x) FILTER (WHERE i = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))))::INT AS p95 FROM x""")
+def _(d):
+    return stats.length_stats(d.documents, "text")
+
+
+@query("tool_call_breakdown", "WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS items, round(count(DISTINCT user_id) / any_value(n)::DOUBLE, 6) AS usage_rate, round(count(*) / any_value(n)::DOUBLE, 6) AS per_item FROM events, n WHERE event_id % 50 = 0 GROUP BY 1")
+def _(d):
+    calls = d.events.where("event_id % 50 = 0").select(F.col("user_id").alias("item"), F.col("event_type").alias("tool"))
+    return runs.tool_breakdown(calls, d.events.select(F.col("user_id").alias("item")))
 
 
 PRICES = "SELECT * FROM (VALUES ('view', CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE)), ('click', CAST(2 AS DOUBLE), CAST(8 AS DOUBLE)), ('purchase', CAST(0.5 AS DOUBLE), CAST(1.5 AS DOUBLE))) AS p(model, price_in, price_out)"
 USAGE = "SELECT event_type AS model, 1000 * event_id AS tokens_in, 10 * user_id AS tokens_out FROM {events}"
 
 
-@query("token_cost", f"WITH p AS ({PRICES}), u AS ({plain(USAGE)}) SELECT model, count(*) AS n, round(sum((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0)) / 1e6), 6) AS cost, round(sum((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0)) / 1e6) / count(*), 9) AS per_item FROM u LEFT JOIN p USING (model) GROUP BY 1")
+@query("token_cost", f"WITH p AS ({PRICES}), u AS ({plain(USAGE)}) SELECT model, count(*) AS n, round(sum((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0)) / 1e6), 6) AS cost, round(sum((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0)) / 1e6) / count(*), 9) AS per_item, round(round(sum((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0)) / 1e6) / count(*), 9) * 8401, 6) AS projected FROM u LEFT JOIN p USING (model) GROUP BY 1")
 def _(d):
-    return runs.token_cost(d.sql(USAGE), d.sql(PRICES))
+    return runs.cost_projection(runs.token_cost(d.sql(USAGE), d.sql(PRICES)), 8401)
 
 
 @query("quantile_exclusive_p95", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
@@ -379,6 +439,69 @@ def _(d):
     return runs.marginal(d.sql(RUNGS))
 
 
+@query("tool_subset", "SELECT event_type AS tool, count(*) AS calls FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+def _(d):
+    return worklist.only_tools(d.events.withColumnRenamed("event_type", "tool"), ("view", "click")).groupBy("tool").agg(F.count("*").alias("calls"))
+
+
+HELD = "SELECT DISTINCT o_custkey AS c_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT'"
+
+
+@query("progress_counts", f"SELECT count(h.c_custkey) AS done, count(*) AS target, round(100 * count(h.c_custkey) / count(*)::DOUBLE, 1) AS percent FROM customer LEFT JOIN ({plain(HELD)}) h USING (c_custkey)")
+def _(d):
+    return worklist.progress(d.customer, d.sql(HELD), "c_custkey")
+
+
+@query("first_items_left", f"WITH f AS (SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 100) SELECT * FROM f ANTI JOIN ({plain(HELD)}) h USING (c_custkey)")
+def _(d):
+    done = d.sql(HELD).withColumn("error", F.lit(None).cast("string"))
+    return worklist.remaining_of(d.customer.select("c_custkey", "c_name"), done, "c_custkey", first=100)
+
+
+@query("required_inputs", "SELECT DISTINCT n_nationkey AS key FROM nation SEMI JOIN customer ON c_nationkey = n_nationkey")
+def _(d):
+    keys = d.customer.select(F.col("c_nationkey").alias("key"))
+    return worklist.require(keys, d.nation.select(F.col("n_nationkey").alias("key")), "key").distinct()
+
+
+PAIRS = "SELECT user_id AS query_id, event_id AS doc_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS INT) AS label, props AS diff, CASE WHEN event_id % 5 = 0 THEN 'True' WHEN event_id % 5 = 1 THEN 'false' END AS failed FROM {events}"
+
+
+@query("usable_pairs", f"SELECT query_id, count(*) AS n FROM ({plain(PAIRS)}) WHERE lower(coalesce(failed, '')) <> 'true' GROUP BY 1")
+def _(d):
+    return worklist.usable(d.sql(PAIRS)).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query("pool_sanity", f"WITH p AS ({plain(PAIRS)}) SELECT count(*) AS n, count(DISTINCT query_id) AS queries, sum(label)::BIGINT AS positives, count(*) FILTER (WHERE length(diff) < 20) AS short_texts, (SELECT sum(m)::BIGINT FROM (SELECT max(label) AS m FROM p GROUP BY query_id)) AS with_positive FROM p")
+def _(d):
+    return metrics.pool_sanity(d.sql(PAIRS), 20)
+
+
+FEW = "SELECT user_id AS query_id, min(event_id) AS doc_id FROM {events} GROUP BY 1"
+
+
+@query("truth_with_labelled", f"SELECT query_id, doc_id FROM ({plain(FEW)}) UNION SELECT query_id, doc_id FROM ({plain(PAIRS)}) WHERE label = 1")
+def _(d):
+    return metrics.with_labelled(d.sql(FEW), d.sql(PAIRS))
+
+
+RECORDED = "SELECT o_custkey AS query_id, min(o_orderkey) AS best_rank, round(avg(o_totalprice), 2) AS recall, count(*) AS num_candidates FROM {orders} GROUP BY 1"
+
+
+@query("records_with_missing", f"SELECT c_custkey AS query_id, best_rank, coalesce(recall, 0) AS recall, coalesce(num_candidates, 0) AS num_candidates, r.query_id IS NULL AS missing FROM customer LEFT JOIN ({plain(RECORDED)}) r ON r.query_id = c_custkey")
+def _(d):
+    return worklist.with_missing(d.customer.select(F.col("c_custkey").alias("query_id")), d.sql(RECORDED))
+
+
+SCORED = "SELECT concat('r', CAST(user_id % 6 AS STRING)) AS repo_key, user_id AS query_id, event_id AS doc_id, event_id AS position, round(value, 0) AS score FROM {events}"
+ASKING = "SELECT DISTINCT user_id AS query_id, concat('r', CAST(user_id % 5 AS STRING)) AS repo_key FROM {events}"
+
+
+@query("score_file_topk", f"SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS INT) AS rank FROM ({plain(SCORED)}) SEMI JOIN ({plain(ASKING)}) USING (query_id, repo_key) QUALIFY rank <= 5")
+def _(d):
+    return cand.from_scores(d.sql(ASKING), d.sql(SCORED), 5)
+
+
 DONE = "SELECT o_custkey AS c_custkey, CASE WHEN max(o_orderstatus) = 'P' THEN 'failed' END AS error FROM {orders} WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey"
 
 
@@ -390,7 +513,7 @@ def _(d):
 STOPS = "SELECT item, answered, error, iterations FROM {trace}"
 
 
-@query("stop_reasons", f"WITH r AS ({plain(TRACE)}) SELECT CASE WHEN error <> '' THEN 'error' WHEN answered THEN 'submitted' WHEN iterations >= 15 THEN 'max_iterations' ELSE 'no_answer' END AS reason, count(*) AS n FROM r GROUP BY 1")
+@query("stop_reasons", f"WITH r AS ({plain(TRACE)}) SELECT CASE WHEN error <> '' THEN 'error' WHEN answered THEN 'submit_answer' WHEN iterations >= 15 THEN 'max_iterations' ELSE 'no_answer' END AS reason, count(*) AS n FROM r GROUP BY 1")
 def _(d):
     return d.sql(TRACE).select(runs.stop_reason(F.col("answered"), F.col("error"), F.col("iterations"), 15).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -406,21 +529,23 @@ def _(d):
     return cand.keep_lowest_rank(rows, ["query_id", "doc_id"])
 
 
-POOL_SQL = "pk AS (SELECT query_id, doc_id FROM bm WHERE rank = 4), sn AS (SELECT query_id, doc_id FROM bm WHERE rank IN (2, 7, 9))"
+POOL_SQL = "pk AS (SELECT query_id, doc_id FROM bm WHERE rank = 4), sn AS (SELECT query_id, doc_id, 10 - rank AS seen FROM bm WHERE rank IN (2, 7, 9))"
 
 
-@query("review_pool", ctes(bm25_sql("bm"), POOL_SQL) + """, t AS (SELECT bm.query_id, bm.doc_id, bm.rank, row_number() OVER (PARTITION BY bm.query_id ORDER BY CASE WHEN pk.doc_id IS NOT NULL THEN 0 WHEN sn.doc_id IS NOT NULL THEN 1 ELSE 2 END, bm.rank) AS i
-FROM bm LEFT JOIN pk USING (query_id, doc_id) LEFT JOIN sn USING (query_id, doc_id)) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS new_rank FROM t WHERE i <= 6""")
+@query("review_pool", ctes(bm25_sql("bm"), POOL_SQL) + """, t AS (SELECT bm.query_id, bm.doc_id, bm.rank, row_number() OVER (PARTITION BY bm.query_id ORDER BY CASE WHEN pk.doc_id IS NOT NULL THEN 0 WHEN sn.doc_id IS NOT NULL THEN 1 ELSE 2 END, seen, bm.rank) AS i
+FROM bm LEFT JOIN pk USING (query_id, doc_id) LEFT JOIN sn USING (query_id, doc_id)) SELECT e.extra, query_id, doc_id, CAST(row_number() OVER (PARTITION BY e.extra, query_id ORDER BY rank) AS INT) AS new_rank FROM t, (SELECT unnest([2, 5])::INT AS extra) e WHERE i <= 1 + e.extra""")
 def _(d):
     bm = bm25_leg(d)
-    return cand.review_pool(bm, bm.where("rank = 4").select("query_id", "doc_id"), bm.where("rank in (2, 7, 9)").select("query_id", "doc_id"), 5)
+    pick, seen = bm.where("rank = 4").select("query_id", "doc_id"), bm.where("rank in (2, 7, 9)").select("query_id", "doc_id", (10 - F.col("rank")).alias("at"))
+    pools = [cand.review_pool(bm, pick, seen, extra).select(F.lit(extra).alias("extra"), "query_id", "doc_id", "new_rank") for extra in (2, 5)]
+    return pools[0].unionByName(pools[1])
 
 
 SIDES = """SELECT user_id AS item, max(CASE WHEN event_type = 'purchase' THEN props END) AS best, max(CASE WHEN event_type = 'click' THEN props END) AS s1, max(CASE WHEN event_type = 'view' THEN props END) AS s2, min(props) AS r1, max(props) AS r2 FROM {events} GROUP BY user_id"""
 
 
-@query("compose_ranking", f"WITH s AS ({plain(SIDES)}), a AS (SELECT item, best, unnest([best, s1, s2, r1, r2]) AS x, unnest([1, 2, 3, 4, 5]) AS p FROM s), u AS (SELECT item, x, min(p) AS p FROM a WHERE best IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2), v AS (SELECT item, x, row_number() OVER (PARTITION BY item ORDER BY p) AS r FROM u) "
-       "SELECT s.item, coalesce(string_agg(x, '|' ORDER BY r), '') AS ranking FROM s LEFT JOIN v ON v.item = s.item AND r <= 3 GROUP BY 1")
+@query("compose_ranking", f"WITH s AS ({plain(SIDES)}), m AS (SELECT item, r1, r2, list_concat(CASE WHEN coalesce(best, '') = '' THEN [] ELSE [best] END, list_filter([s1, s2], lambda x: x IS NOT NULL AND x IS DISTINCT FROM best)) AS m FROM s) "
+       "SELECT item, array_to_string(list_concat(m, list_filter([r1, r2], lambda x: x IS NOT NULL AND NOT list_contains(m, x)))[1:3], '|') AS ranking FROM m")
 def _(d):
     some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
     return d.sql(SIDES).select("item", F.array_join(cand.compose(F.col("best"), some("s1", "s2"), some("r1", "r2"), 3), "|").alias("ranking"))
@@ -453,11 +578,37 @@ def _(d):
     return cand.resolve(d.sql(ASKED), d.sql(IDS))
 
 
+ANSWERED = "SELECT o_orderkey AS ask_id, o_custkey AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 20 AS INT) END AS number, CASE WHEN o_orderkey % 3 < 2 THEN substring(md5(CAST(o_orderkey AS STRING)), 1, 7) END AS hash FROM {orders}"
+
+
+@query("resolve_answers", f"WITH c AS ({plain(IDS)}), a AS ({plain(ANSWERED)}), m AS (SELECT ask_id, arg_min(doc_id, CASE WHEN position = number THEN 0 ELSE 1000 + position END) AS doc_id FROM a JOIN c USING (query_id) WHERE position = number OR starts_with(doc_id, hash) GROUP BY 1) SELECT ask_id, doc_id FROM a LEFT JOIN m USING (ask_id)")
+def _(d):
+    return cand.resolve_answers(d.sql(ANSWERED), d.sql(IDS).withColumnRenamed("position", "rank"))
+
+
+PICKED = "SELECT o_custkey AS query_id, CASE WHEN o_custkey % 4 = 0 THEN 'none' ELSE max(md5(CAST(o_orderkey AS STRING))) END AS doc_id FROM {orders} GROUP BY 1"
+
+
+@query("picked_rank", f"SELECT p.query_id, p.doc_id, c.position AS first_rank FROM ({plain(PICKED)}) p LEFT JOIN ({plain(IDS)}) c USING (query_id, doc_id)")
+def _(d):
+    return cand.rank_of(d.sql(PICKED), d.sql(IDS).withColumnRenamed("position", "rank"))
+
+
+INSPECTED = "SELECT o_custkey AS query_id, CASE WHEN o_custkey % 4 <> 0 THEN max(md5(CAST(o_orderkey AS STRING))) END AS best, min(md5(CAST(o_orderkey AS STRING))) AS seen FROM {orders} GROUP BY 1"
+
+
+@query("extended_rankings", f"WITH i AS ({plain(INSPECTED)}), r AS (SELECT query_id, list(doc_id ORDER BY position) AS r FROM ({plain(IDS)}) GROUP BY 1), m AS (SELECT query_id, CASE WHEN best IS NULL THEN [seen] WHEN best = seen THEN [best] ELSE [best, seen] END AS m FROM i), "
+       "f AS (SELECT query_id, list_concat(m, list_filter(r, lambda x: NOT list_contains(m, x)))[1:10] AS f FROM m JOIN r USING (query_id)) SELECT query_id, unnest(f) AS doc_id, unnest(range(1, len(f) + 1))::INT AS rank FROM f")
+def _(d):
+    records = d.sql(INSPECTED).withColumn("inspected", F.array("seen"))
+    return cand.extended(records, d.sql(IDS).withColumnRenamed("position", "rank"))
+
+
 FILES = "SELECT s_nationkey AS doc_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS position, concat('src/', CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'b' END, '/File', CAST(s_suppkey % 3 AS STRING), '.py') AS path FROM {supplier}"
 ASKED_FILES = "SELECT c_custkey AS ask_id, c_nationkey AS doc_id, concat(CASE WHEN c_custkey % 3 = 0 THEN 'src/A/' WHEN c_custkey % 3 = 1 THEN 'SRC/b/' ELSE '' END, CASE WHEN c_custkey % 2 = 0 THEN 'file' ELSE 'File' END, CAST(c_custkey % 4 AS STRING), '.py') AS asked FROM {customer}"
 
 
-@query("path_match_tiers", f"WITH f AS ({plain(FILES)}), a AS ({plain(ASKED_FILES)}), m AS (SELECT ask_id, path, position, CASE WHEN asked = path THEN 1 WHEN lower(asked) = lower(path) THEN 2 WHEN regexp_extract(lower(asked), '[^/]*$') = regexp_extract(lower(path), '[^/]*$') THEN 3 END AS tier FROM a JOIN f USING (doc_id)) "
+@query("path_match_tiers", f"WITH f AS ({plain(FILES)}), a AS ({plain(ASKED_FILES)}), m AS (SELECT ask_id, path, position, CASE WHEN asked = path THEN 1 WHEN lower(asked) = lower(path) THEN 2 WHEN ends_with(path, regexp_extract(asked, '[^/]*$')) THEN 3 END AS tier FROM a JOIN f USING (doc_id)) "
        "SELECT ask_id, path, CAST(tier AS INT) AS tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY tier, position) = 1")
 def _(d):
     return cand.match_path(d.sql(ASKED_FILES), d.sql(FILES))
@@ -489,79 +640,146 @@ def _(d):
 
 # ---- texts and diffs ------------------------------------------------------------------------------------------------
 
-DIFF = """SELECT doc_id, concat('junk', chr(10), 'diff --git a/src/', source, '.py b/src/', source, CASE WHEN doc_id % 4 = 0 THEN '_test.py' ELSE '.py' END, chr(10), '--- a/x', chr(10), '+++ b/x', chr(10), '@@ -1 +1 @@', chr(10), '+', replace(coalesce(text, ''), chr(10), concat(chr(10), '+')), chr(10),
-'diff --git a/docs/', lang, '.md b/docs/', lang, CASE WHEN doc_id % 3 = 0 THEN '.md' WHEN doc_id % 3 = 1 THEN '.json' ELSE '.bin' END, chr(10), CASE WHEN doc_id % 3 = 2 THEN 'Binary files differ' ELSE concat('@@ -2 +2 @@', chr(10), '-old', chr(10), ' same') END) AS diff FROM {documents}"""
+DIFF = """SELECT doc_id, source, text, concat('junk', chr(10), 'diff --git a/src/', source, '.py b/src/', source, CASE WHEN doc_id % 4 = 0 THEN '_test.go' ELSE '.py' END, chr(10), '--- a/x', chr(10), '+++ b/x', chr(10), '@@ -1 +1 @@', chr(10), '+', replace(coalesce(text, ''), chr(10), concat(chr(10), '+')), chr(10),
+'diff --git a/old b/', CASE doc_id % 7 WHEN 0 THEN 'docs/x.py' WHEN 1 THEN 'setup.py' WHEN 2 THEN 'lib/README' WHEN 3 THEN 'a/tests/x.py' WHEN 4 THEN 'pkg/conf.yml' WHEN 5 THEN concat('data/', lang, '.bin') ELSE concat('my/', lang, '/Page.tsx') END, chr(10),
+CASE WHEN doc_id % 3 = 2 THEN 'Binary files a/x and b/x differ' ELSE concat('old mode 100644', chr(10), 'new mode 100755', chr(10), 'similarity index 90%', chr(10), 'rename from old', chr(10), 'GIT binary patch', chr(10), '@@ -2 +2 @@', chr(10), '-old', chr(10), ' same', chr(10), '+++x', chr(10), '---x', chr(10), '+new') END, chr(10),
+'diff --git a/big.sql b/big.sql', chr(10), '@@ -1 +1 @@', chr(10), repeat(concat('+', lang, chr(10)), CAST(doc_id % 5 * 130 AS INT)), ' last') AS diff FROM {documents}"""
 DIFF_SQL = (
     f"df AS ({plain(DIFF)}), ln AS (SELECT doc_id, unnest(string_split(diff, chr(10))) AS line, unnest(range(len(string_split(diff, chr(10))))) AS pos FROM df), "
     "bl AS (SELECT *, CAST(sum(CAST(starts_with(line, 'diff --git ') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM ln), "
-    "pf AS (SELECT doc_id, block, regexp_extract(arg_min(line, pos), '^diff --git a/(.+?) b/(.+)$', 2) AS path, bool_or(starts_with(line, 'Binary files ')) AS is_binary, count(*) FILTER (WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')) AS adds, "
-    "count(*) FILTER (WHERE starts_with(line, '-') AND NOT starts_with(line, '---')) AS dels, count(*) FILTER (WHERE starts_with(line, '@@')) AS hunks, string_agg(line, chr(10) ORDER BY pos) AS raw FROM bl WHERE block > 0 GROUP BY 1, 2), "
-    "tg AS (SELECT *, CASE WHEN is_binary THEN 'fixture' WHEN regexp_matches(lower(path), '_test\\.') THEN 'test' WHEN path LIKE '%.md' THEN 'doc' WHEN path LIKE '%.json' THEN 'config' WHEN path LIKE '%.py' THEN 'source' ELSE 'other' END AS tag FROM pf)"
+    "pf AS (SELECT doc_id, block, regexp_extract(arg_min(line, pos), '^diff --git a/(.+?) b/(.+)$', 2) AS path, bool_or(starts_with(line, 'Binary files') AND contains(line, 'differ')) AS is_binary, "
+    "count(*) FILTER (WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')) AS adds, count(*) FILTER (WHERE starts_with(line, '-') AND NOT starts_with(line, '---')) AS dels, "
+    "count(*) FILTER (WHERE starts_with(line, '@@')) AS hunks, string_agg(line, chr(10) ORDER BY pos) AS raw FROM bl WHERE block > 0 GROUP BY 1, 2), "
+    "nm AS (SELECT *, '/' || lower(path) AS low, regexp_extract(path, '[^/]*$') AS name FROM pf), "
+    "tg AS (SELECT *, CASE WHEN is_binary THEN 'fixture' "
+    "WHEN regexp_matches(low, '/(tests|test|testing)/') OR regexp_matches(lower(name), '^tests?_|_test\\.(py|go|java)$|_tests\\.py$|\\.(test|spec)\\.(js|ts)$') THEN 'test' "
+    "WHEN regexp_matches(low, '/docs?/|^/documentation/') OR regexp_matches(lower(name), '\\.(md|rst|txt|adoc)$') OR lower(name) IN ('readme', 'changelog', 'changes', 'notice', 'license', 'authors', 'contributors') THEN 'doc' "
+    "WHEN name IN ('setup.py', 'setup.cfg', 'pyproject.toml', 'Makefile', 'makefile', 'CMakeLists.txt', 'configure', 'configure.ac', 'package.json', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'Gemfile', 'Gemfile.lock', 'Cargo.toml', 'Cargo.lock', "
+    "'go.mod', 'go.sum', 'Dockerfile', '.dockerignore') OR regexp_matches(lower(name), '\\.(yml|yaml|toml|ini|cfg|conf|lock)$') THEN 'config' "
+    "WHEN regexp_matches(lower(name), '\\.(c|h|cc|cpp|hpp|cxx|py|pyx|pyi|java|kt|scala|js|jsx|ts|tsx|mjs|cjs|go|rs|rb|php|cs|m|mm|swift|lua|pl|sh|bash|zsh|sql)$') THEN 'source' ELSE 'other' END AS tag FROM nm)"
 )
 PRIORITY_SQL = (
-    "pr AS (SELECT t.*, CAST(CASE tag WHEN 'source' THEN 100 WHEN 'config' THEN 40 WHEN 'test' THEN 30 WHEN 'doc' THEN 10 WHEN 'fixture' THEN 0 ELSE 20 END + least(20, adds + dels) - CASE WHEN adds + dels > 500 THEN 10 ELSE 0 END "
-    "+ CASE WHEN len(list_intersect(list_filter(regexp_extract_all(lower(path), '[a-z_][a-z0-9_]+'), lambda w: w NOT IN ('src', 'lib', 'main', 'test', 'tests', 'index', 'the', 'and', 'for')), list_filter(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z_][a-z0-9_]+'), lambda w: length(w) >= 3))) > 0 THEN 15 ELSE 0 END AS INT) AS priority FROM tg t JOIN documents d USING (doc_id))"
+    "pr AS (SELECT t.*, CAST(CASE tag WHEN 'source' THEN 100 WHEN 'test' THEN 40 WHEN 'config' THEN 30 WHEN 'doc' THEN 10 WHEN 'fixture' THEN 0 ELSE 20 END + least(20, adds + dels) - CASE WHEN adds + dels > 500 THEN 10 ELSE 0 END "
+    "+ CASE WHEN len(list_intersect(list_filter(list_transform(regexp_extract_all(path, '[A-Za-z_][A-Za-z0-9_]+'), lambda w: lower(w)), lambda w: w NOT IN ('py', 'src', 'tests', 'test', 'lib', 'libs', 'include', 'headers', 'main', 'java', 'com', 'net', 'org', 'io', "
+    "'core', 'common', 'util', 'utils', 'modules', 'module', 'pkg', 'package', 'build', 'dist')), list_filter(list_transform(regexp_extract_all(coalesce(d.text, ''), '[A-Za-z_][A-Za-z0-9_]+'), lambda w: lower(w)), lambda w: length(w) >= 3))) > 0 THEN 15 ELSE 0 END AS INT) AS priority FROM tg t JOIN documents d USING (doc_id))"
+)
+KEPT_SQL = (
+    "kp AS (SELECT doc_id, block, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE regexp_matches(line, '^(diff --git|index |--- |\\+\\+\\+ |@@|new file mode|deleted file mode|old mode|new mode|similarity index|dissimilarity index|rename from|rename to|copy from|copy to|Binary files)') "
+    "OR (starts_with(line, '+') AND NOT starts_with(line, '+++')) OR (starts_with(line, '-') AND NOT starts_with(line, '---'))), '') AS k FROM bl WHERE block > 0 GROUP BY 1, 2)"
+)
+CUT_SQL = "CASE WHEN length(k) <= {b} THEN k ELSE left(k, greatest(200, {b} // 2 - 30)) || chr(10) || '... [middle truncated] ...' || chr(10) || right(k, greatest(200, {b} // 2 - 30)) END"
+MANIFEST_SQL = (
+    "tc AS (SELECT doc_id, tag, count(*) AS n, CASE tag WHEN 'source' THEN 1 WHEN 'test' THEN 2 WHEN 'config' THEN 3 WHEN 'doc' THEN 4 WHEN 'fixture' THEN 5 ELSE 6 END AS o FROM pr GROUP BY 1, 2), ts AS (SELECT doc_id, string_agg(n || ' ' || tag, ', ' ORDER BY o) AS tags FROM tc GROUP BY 1), "
+    "mf AS (SELECT doc_id, '[Files changed: ' || count(*) || ' — ' || any_value(tags) || ']' || chr(10) || string_agg('  ' || rpad(path, greatest(length(path), 60)::INT, ' ') || '  ' || rpad(tag, 8, ' ') || '  ' || CASE WHEN is_binary THEN '(binary)' ELSE '+' || adds || '/-' || dels END, chr(10) ORDER BY priority DESC, block) AS manifest "
+    "FROM pr JOIN ts USING (doc_id) GROUP BY 1)"
 )
 
 
 def files(d: Data) -> DataFrame:
-    return diffs.parse_diff(d.sql(DIFF))
+    """(doc_id, source, files): the changed files of made-up commits, classified and by priority."""
+    return d.sql(DIFF).select("doc_id", "source", diffs.by_priority(diffs.classified(diffs.file_changes(F.col("diff")), F.col("text"))).alias("files"))
 
 
-def tagged(d: Data) -> DataFrame:
-    return files(d).withColumn("tag", diffs.file_tag(F.col("path"), F.col("is_binary")))
-
-
-def prioritised(d: Data) -> DataFrame:
-    rows = tagged(d).join(d.documents.select("doc_id", "text"), "doc_id")
-    return rows.withColumn("priority", diffs.file_priority(F.col("tag"), F.col("adds"), F.col("dels"), F.col("path"), F.col("text"))).drop("text")
+def changed(d: Data) -> DataFrame:
+    return files(d).select("doc_id", F.inline("files"))
 
 
 @query("parse_diff", ctes(DIFF_SQL) + "SELECT doc_id, block, path, is_binary, adds, dels, hunks, md5(raw) AS raw_md5 FROM pf")
 def _(d):
-    return files(d).select("doc_id", "block", "path", "is_binary", "adds", "dels", "hunks", F.md5("raw").alias("raw_md5"))
+    return diffs.parse_diff(d.sql(DIFF)).select("doc_id", "block", "path", "is_binary", "adds", "dels", "hunks", F.md5("raw").alias("raw_md5"))
 
 
-@query("classify_files", ctes(DIFF_SQL) + "SELECT doc_id, block, path, regexp_extract(path, '[^.]*$') AS ext, tag FROM tg")
+@query("classify_files", ctes(DIFF_SQL) + "SELECT doc_id, block, path, regexp_extract(lower(name), '\\.([^.]*)$', 1) AS ext, tag FROM tg")
 def _(d):
-    return tagged(d).select("doc_id", "block", "path", diffs.extension(F.col("path")).alias("ext"), "tag")
+    return changed(d).select("doc_id", "block", "path", diffs.extension(F.col("path")).alias("ext"), "tag")
 
 
 @query("file_tag_counts", ctes(DIFF_SQL) + "SELECT doc_id, tag, count(*) AS n FROM tg GROUP BY 1, 2")
 def _(d):
-    return tagged(d).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    return changed(d).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("file_priority", ctes(DIFF_SQL, PRIORITY_SQL) + "SELECT doc_id, block, priority FROM pr")
 def _(d):
-    return prioritised(d).select("doc_id", "block", "priority")
+    return changed(d).select("doc_id", "block", "priority")
 
 
-@query("truncate_priority")
+FILLED_SQL = (
+    "ol AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN starts_with(line, '--- ') OR starts_with(line, '+++ ') THEN 2 WHEN starts_with(line, '@@') THEN 3 WHEN starts_with(line, '+') OR starts_with(line, '-') THEN 4 ELSE 5 END, pos) AS i FROM ln), "
+    "fill AS (SELECT doc_id, 0::BIGINT AS i, 600::BIGINT AS room, []::VARCHAR[] AS kept FROM df UNION ALL SELECT f.doc_id, o.i, CASE WHEN length(line) + 1 <= room THEN room - length(line) - 1 ELSE room END, CASE WHEN length(line) + 1 <= room THEN list_append(kept, line) ELSE kept END FROM fill f JOIN ol o ON o.doc_id = f.doc_id AND o.i = f.i + 1), "
+    "cut AS (SELECT doc_id, arg_max(kept, i) AS kept FROM fill GROUP BY 1), tr AS (SELECT doc_id, df.source, CASE WHEN length(diff) <= 600 THEN diff ELSE array_to_string(kept, chr(10)) END AS text FROM df JOIN cut USING (doc_id))"
+)
+
+
+@query("truncate_priority", "WITH RECURSIVE " + ctes(DIFF_SQL, FILLED_SQL)[5:] + "SELECT doc_id, text FROM tr")
 def _(d):
     return d.sql(DIFF).select("doc_id", diffs.truncate_by_priority(F.col("diff"), 600).alias("text"))
 
 
-@query("compress_block", ctes(DIFF_SQL) + """, kp AS (SELECT doc_id, block, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE regexp_matches(line, '^(diff --git |index |--- |\\+\\+\\+ |@@|\\+|-|new file|deleted file|rename |Binary files )')), '') AS k FROM bl WHERE block > 0 GROUP BY 1, 2)
-SELECT doc_id, block, md5(CASE WHEN length(k) <= 500 THEN k ELSE left(k, 220) || chr(10) || '... [cut] ...' || chr(10) || right(k, 220) END) AS md5 FROM kp""")
+@query("commit_text", "WITH RECURSIVE " + ctes(DIFF_SQL, FILLED_SQL)[5:] + "SELECT doc_id, regexp_replace('Commit message:' || chr(10) || source || chr(10) || chr(10) || 'Diff:' || chr(10) || text, '\\s+$', '') AS text FROM tr")
+def _(d):
+    return d.sql(DIFF).select("doc_id", diffs.commit_text(F.col("source"), F.col("diff"), 600).alias("text"))
+
+
+@query("compress_block", ctes(DIFF_SQL, KEPT_SQL) + f"SELECT doc_id, block, md5({CUT_SQL.replace('{b}', '500')}) AS md5 FROM kp")
+def _(d):
+    return changed(d).select("doc_id", "block", F.md5(diffs.compress_block(F.col("raw"), 500)).alias("md5"))
+
+
+@query("file_manifest", ctes(DIFF_SQL, PRIORITY_SQL, MANIFEST_SQL) + "SELECT doc_id, manifest FROM mf")
 def _(d):
-    return files(d).select("doc_id", "block", F.md5(diffs.compress_block(F.col("raw"), 500)).alias("md5"))
+    return files(d).select("doc_id", diffs.file_manifest(F.col("files")).alias("manifest"))
+
+
+RENDER_SQL = (
+    "fl AS (SELECT pr.*, k, '--- ' || path || ' ---' AS title, length(raw) + length(path) + 9 AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, block) AS i FROM pr JOIN kp USING (doc_id, block)), "
+    "st AS (SELECT doc_id, 0::BIGINT AS i, 2000::BIGINT AS room, []::VARCHAR[] AS o, []::VARCHAR[] AS c, 0::BIGINT AS bin FROM df UNION ALL SELECT s.doc_id, f.i, "
+    "CASE WHEN is_binary OR room <= 200 THEN room WHEN whole <= room THEN room - whole - 1 ELSE 0 END, "
+    "CASE WHEN is_binary OR room <= 200 THEN o WHEN whole <= room THEN list_append(o, title || chr(10) || raw) ELSE list_concat(o, [title, "
+    + CUT_SQL.replace("{b}", "greatest(400, room - length(title) - 1)") + ", '[... ' || path || ': full diff ' || length(raw) || ' chars, call read_file_diff to see complete content]']) END, "
+    "CASE WHEN is_binary OR (room > 200 AND whole <= room) THEN c ELSE list_append(c, path) END, bin + is_binary::INT FROM st s JOIN fl f ON f.doc_id = s.doc_id AND f.i = s.i + 1), "
+    "fin AS (SELECT doc_id, arg_max(o, i) AS o, arg_max(c, i) AS c, arg_max(bin, i) AS bin FROM st GROUP BY 1), "
+    "vw AS (SELECT doc_id, array_to_string(list_concat(['MSG: ' || source, '', manifest, '', '[Diff content, budget 2000 chars]'], o, CASE WHEN bin > 0 THEN ['', '[Binary files skipped: ' || bin || ' (no content shown)]'] ELSE [] END, "
+    "CASE WHEN len(c) > 0 THEN ['[Files truncated — call read_file_diff to inspect: ' || array_to_string(c[1:5], ', ') || CASE WHEN len(c) > 5 THEN ' (+' || (len(c) - 5) || ' more)' ELSE '' END || ']'] ELSE [] END), chr(10)) AS view FROM fin JOIN mf USING (doc_id) JOIN df USING (doc_id))"
+)
+
+
+@query("render_commit", "WITH RECURSIVE " + ctes(DIFF_SQL, PRIORITY_SQL, KEPT_SQL, MANIFEST_SQL, RENDER_SQL)[5:] + "SELECT doc_id, view FROM vw")
+def _(d):
+    return files(d).select("doc_id", diffs.render_commit(F.col("source"), F.col("files"), 2000).alias("view"))
+
+
+@query("render_file", ctes(DIFF_SQL, KEPT_SQL) + ", f AS (SELECT *, '--- ' || path || ' ---' AS title FROM pf JOIN kp USING (doc_id, block)) SELECT doc_id, block, CASE WHEN is_binary THEN title || chr(10) || '[Binary file, no diff content. adds=' || adds || ' dels=' || dels || ']' "
+       "WHEN length(raw) <= 900 - length(title) - 1 THEN title || chr(10) || raw ELSE title || chr(10) || " + CUT_SQL.replace("{b}", "(900 - length(title) - 1)") + " || chr(10) || '[... ' || path || ': original ' || length(raw) || ' chars, compressed to fit budget]' END AS view FROM f")
+def _(d):
+    rows = files(d).select("doc_id", F.explode("files").alias("f"))
+    return rows.select("doc_id", "f.block", diffs.render_file(F.col("f"), 900).alias("view"))
+
+
+CANDIDATES = "SELECT source AS query_id, CAST(doc_id AS STRING) AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS rank, doc_id % 9 = 0 AS absent, text AS message FROM {documents}"
 
 
-@query("file_manifest", ctes(DIFF_SQL, PRIORITY_SQL) + """, tc AS (SELECT doc_id, tag, count(*) AS n FROM pr GROUP BY 1, 2), ts AS (SELECT doc_id, string_agg(tag || ':' || n, ' ' ORDER BY tag) AS tags FROM tc GROUP BY 1)
-SELECT doc_id, count(*) AS n_files, any_value(tags) AS tags, string_agg(rpad(path, greatest(length(path), 40)::INT, ' ') || ' ' || rpad(tag, 8, ' ') || ' +' || adds || ' -' || dels, chr(10) ORDER BY priority DESC, block) AS manifest FROM pr JOIN ts USING (doc_id) GROUP BY 1""")
+@query("candidate_manifest", ctes(DIFF_SQL) + f""", c AS ({plain(CANDIDATES)}), n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE tag = 'source') AS s, count(*) FILTER (WHERE tag = 'test') AS t, count(*) FILTER (WHERE tag = 'doc') AS o, count(*) FILTER (WHERE tag = 'fixture') AS b, count(*) FILTER (WHERE tag = 'config') AS g FROM tg GROUP BY 1),
+h AS (SELECT c.*, n.*, coalesce(nullif(string_split(regexp_replace(coalesce(message, ''), '^\\s+|\\s+$', '', 'g'), chr(10))[1], ''), '(empty msg)') AS m FROM c JOIN n ON CAST(n.doc_id AS VARCHAR) = c.doc_id),
+l AS (SELECT query_id, rank, CASE WHEN absent THEN '  #' || lpad(CAST(rank AS VARCHAR), 4, ' ') || '  ' || left(c, 12) || '  [commit not found in repo2commits_diff]' ELSE '  #' || lpad(CAST(rank AS VARCHAR), 4, ' ') || '  ' || left(c, 12) || '  "' || CASE WHEN length(m) > 80 THEN left(m, 77) || '...' ELSE m END || '"' || chr(10)
+|| '            files: ' || n || ' (' || coalesce(nullif(concat_ws('/', CASE WHEN s > 0 THEN s || 'src' END, CASE WHEN t > 0 THEN t || 'test' END, CASE WHEN o > 0 THEN o || 'doc' END, CASE WHEN b > 0 THEN b || 'bin' END, CASE WHEN g > 0 THEN g || 'cfg' END), ''), '0 files') || ')' END AS line FROM (SELECT *, CAST(doc_id AS VARCHAR) AS c FROM h))
+SELECT query_id, 'Top-' || count(*) || ' candidates from Phase 1:' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS manifest FROM l GROUP BY 1""")
 def _(d):
-    return diffs.file_manifest(prioritised(d))
+    rows = d.sql(CANDIDATES).join(files(d).select(F.col("doc_id").cast("string").alias("doc_id"), "files"), "doc_id")
+    return cand.manifest(rows.withColumn("files", F.when(~F.col("absent"), F.col("files"))))
 
 
-@query("render_commit")
+@query("commit_view", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[Error] Commit ' || left(h, 12) || ' not found in repo2commits_diff.' ELSE 'COMMIT ' || left(h, 12) || '  (Phase 1 rank ' || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '#' || doc_id || ' of 100' END || ')' || chr(10) || 'Author: ' || source || '   Date: ?' || chr(10) || chr(10) || lang END AS view "
+       "FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)")
 def _(d):
-    return diffs.render_commit(prioritised(d), budget=2000)
+    rank, body = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")), F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
+    return d.documents.select("doc_id", views.commit_view(F.md5(F.col("doc_id").cast("string")), rank, F.lit(100), F.col("source"), F.lit(""), body).alias("view"))
 
 
-@query("candidate_manifest", "SELECT doc_id, CASE WHEN length(h) > 80 THEN left(h, 77) || '...' ELSE h END AS title FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS h FROM documents)")
+@query("selection_prompt", "SELECT doc_id, 'CVE ID: ' || doc_id || chr(10) || 'Repository: ' || lang || '/' || source || chr(10) || chr(10) || 'CVE Description:' || chr(10) || coalesce(nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), ''), '(no description provided)') || chr(10) || chr(10) "
+       "|| 'Identify the single commit from the candidate pool that fixes this vulnerability. Call list_candidates first, read promising commits with read_commit (drilling in with read_file_diff if needed), then call submit_answer with your final choice and a short reasoning.' AS prompt FROM documents")
 def _(d):
-    return d.documents.select("doc_id", diffs.first_line(F.col("text")).alias("title"))
+    return d.documents.select("doc_id", views.selection_prompt(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("prompt"))
 
 
 SHOW = "SELECT doc_id, concat('commit ', CAST(doc_id AS STRING), chr(10), 'Author: ', source, ' <', lang, '@x>', chr(10), 'Date:   day ', CAST(n_chars AS STRING), chr(10), chr(10), '    title', chr(10), chr(10), 'diff --git a/f b/f', chr(10), '+', lang) AS text FROM {documents}"
@@ -609,7 +827,7 @@ def _(d):
 CALLS = "SELECT user_id AS item, event_id AS turn, CASE WHEN event_type = 'purchase' THEN 'submit' WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'list' END AS tool, CAST(event_id % 9 AS STRING) AS doc_id FROM {events}"
 
 
-@query("trace_replay", f"WITH c AS (SELECT * FROM ({plain(CALLS)})), e AS (SELECT *, min(CASE WHEN tool = 'submit' THEN turn END) OVER (PARTITION BY item) AS stop FROM c), k AS (SELECT * FROM e WHERE stop IS NULL OR turn <= stop), r AS (SELECT item, doc_id, min(turn) AS turn FROM k WHERE tool = 'read' GROUP BY 1, 2), "
+@query("trace_replay", f"WITH c AS (SELECT * FROM ({plain(CALLS)})), e AS (SELECT *, min(CASE WHEN tool = 'submit' THEN turn END) OVER (PARTITION BY item) AS stop FROM c), k AS (SELECT * FROM e WHERE stop IS NULL OR turn <= stop), r AS (SELECT item, doc_id, min(turn) AS turn FROM k WHERE tool IN ('read', 'submit') GROUP BY 1, 2), "
        "a AS (SELECT item, string_agg(doc_id, ',' ORDER BY turn) AS seen FROM r GROUP BY 1) SELECT k.item, coalesce(any_value(seen), '') AS inspected, max(CASE WHEN tool = 'submit' THEN doc_id END) AS answer, count(*)::INT AS n_calls FROM k LEFT JOIN a USING (item) GROUP BY 1")
 def _(d):
     return select.replay(d.sql(CALLS)).select("item", F.array_join("inspected", ",").alias("inspected"), "answer", "n_calls")

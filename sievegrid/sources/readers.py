@@ -12,6 +12,7 @@ EMBEDDING = "id STRING, embedding ARRAY<FLOAT>"
 PAIR = ("cve", "desc", "repo", "commit_id", "commit_message", "diff", "label", "rank")
 DATES = "cve STRING, reserve_time STRING, publish_time STRING"
 REPORTS = "cve_id STRING, markdown STRING, error STRING"
+PER_PAIR = "input STRUCT<cve: STRING, commit_id: STRING, label: INT>, output STRUCT<answer: BOOLEAN, confidence: INT>"
 PHASE_TWO = (
     "cve_id STRING, owner STRING, repo STRING, best_commit_id STRING, reasoning STRING, fix_commit_ids ARRAY<STRING>, hit BOOLEAN, phase1_rank_of_answer INT, best_rank_in_truth_set INT, stopped_reason STRING, "
     "iterations_used INT, commits_inspected ARRAY<STRING>, tool_calls ARRAY<STRUCT<turn: INT, tool: STRING, args: MAP<STRING, STRING>>>, llm_input_tokens BIGINT, llm_output_tokens BIGINT, estimated_cost_usd DOUBLE, wall_time_sec DOUBLE, error STRING"
@@ -27,15 +28,18 @@ def truth_ids(column):
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
-def queries(spark: SparkSession, path, most: int = 0, columns: dict[str, str] | None = None) -> DataFrame:
+def queries(spark: SparkSession, path, most: int = 0, columns: dict[str, str] | None = None, limit_first: bool = False, trimmed: bool = True) -> DataFrame:
     """(cve_id, description, owner, repo, fix_commit_ids array, repo_key, query_key); rows need all keys and a truth.
 
-    columns renames what a variant of the file calls otherwise; `most` counts kept rows.
+    columns renames what a variant of the file calls otherwise; `most` counts kept rows, or with limit_first the rows
+    of the file. Fields are trimmed unless the variant keeps them as they are.
     """
     rows = csv(spark, path, QUERY)
     for new, old in (columns or {}).items():
         rows = rows.withColumnRenamed(old, new)
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    if most and limit_first:
+        rows, most = rows.limit(most), 0
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if trimmed else F.coalesce(F.col(c), F.lit(""))
     out = rows.select(text("cve").alias("cve_id"), text("cve_description").alias("description"), text("owner").alias("owner"), text("repo").alias("repo"), truth_ids(F.col("fix_commit_ids")).alias("fix_commit_ids"))
     out = out.where("cve_id <> '' and owner <> '' and repo <> '' and size(fix_commit_ids) > 0")
     out = out.withColumn("repo_key", F.concat_ws("@@", "owner", "repo")).withColumn("query_key", F.concat_ws("::", "repo_key", "cve_id"))
@@ -74,8 +78,12 @@ def content_of(corpus: DataFrame, ids: DataFrame, key: str = "commit_id") -> Dat
 
 
 def embeddings(spark: SparkSession, path, dim: int | None = None) -> DataFrame:
+    """(id, embedding); with dim, reading a vector of another length, or null, fails."""
     rows = spark.read.schema(EMBEDDING).parquet(path)
-    return rows if dim is None else rows.where(F.size("embedding") == dim)
+    if dim is None:
+        return rows
+    right = F.coalesce(F.size("embedding") == dim, F.lit(False))
+    return rows.withColumn("embedding", F.when(right, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"not a vector of {dim} values: "), F.coalesce("id", F.lit("null"))))))
 
 
 def jsonl_strict(spark: SparkSession, path, schema: str = PHASE_TWO) -> DataFrame:
@@ -124,9 +132,53 @@ def key_list(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("key")).where("key <> '' and not startswith(key, '#')").distinct()
 
 
+def per_pair(spark: SparkSession, path, sample: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, label, answer, confidence, position) of per-pair records; with a sample, of its queries only."""
+    rows = spark.read.json(path, schema=f"{PER_PAIR}, _corrupt_record STRING", mode="PERMISSIVE").where("_corrupt_record is null and input.cve is not null").withColumn("position", F.monotonically_increasing_id())
+    out = rows.select(F.col("input.cve").alias("query_id"), F.col("input.commit_id").alias("doc_id"), F.col("input.label").alias("label"), "output.answer", "output.confidence", "position")
+    return out if sample is None else out.join(sample.select("query_id").distinct(), "query_id", "left_semi")
+
+
+def sample_ids(spark: SparkSession, path) -> DataFrame:
+    """(query_id): the distinct queries of a query file."""
+    return csv(spark, path, QUERY).select(F.trim("cve").alias("query_id")).where("query_id <> ''").distinct()
+
+
+def repo_queries(rows: DataFrame, owner: str, repo: str) -> DataFrame:
+    """The queries (position, cve, owner, repo, ...) of one repository, the first row of each."""
+    own = rows.where((F.trim("owner") == owner) & (F.trim("repo") == repo))
+    first = Window.partitionBy("cve").orderBy("position")
+    return own.withColumn("__i", F.row_number().over(first)).where("__i = 1").drop("__i")
+
+
+def result_json(rows: DataFrame) -> DataFrame:
+    """One JSON string for each record."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def result_of(rows: DataFrame, schema: str = PHASE_TWO) -> DataFrame:
+    """Records back from JSON strings (value)."""
+    return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def method_spec(text: str) -> tuple[str, list[str]]:
     """name:path[,path] -> (name, paths)."""
     name, _, paths = text.partition(":")
     if not paths:
         raise ValueError(f"not a method specification: {text}")
-    return name, [p for p in paths.split(",") if p]
+    return name.strip().lower(), [p.strip() for p in paths.split(",") if p.strip()]
+
+
+def method_files(spark: SparkSession, text: str, known: tuple[str, ...] = ()) -> tuple[str, list[str]]:
+    """The name and files of a method specification; its paths may be globs, and each must match something."""
+    name, paths = method_spec(text)
+    if known and name not in known:
+        raise ValueError(f"no such method: {name}; there are {', '.join(sorted(known))}")
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for part in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+        met = at.getFileSystem(conf).globStatus(at)
+        if not met:
+            raise FileNotFoundError(f"no files match: {part}")
+        found += sorted(x.getPath().toString() for x in met)
+    return name, found

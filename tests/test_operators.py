@@ -8,8 +8,9 @@ from statistics import quantiles
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.functions import diffs, parsing
-from sievegrid.operators import candidates, dense, fusion, lexical, metrics, runs, select, stats
+from sievegrid.functions import diffs, parsing, views
+from sievegrid.operators import candidates as cand
+from sievegrid.operators import dense, fusion, lexical, metrics, runs, select, stats, worklist
 from sievegrid.sources import readers, writers
 from sievegrid.streaming.incremental import process_new
 
@@ -22,7 +23,7 @@ def test_truncate_skips_what_does_not_fit(spark):
     text = "\n".join(["context", "+" + "a" * 30, "-b", "@@ 1", "--- a/x", "+c"])
 
     def brute(budget):
-        if len(text) <= budget:
+        if budget <= 0 or len(text) <= budget:
             return text
         lines = text.split("\n")
         rank = lambda x: 2 if x.startswith(("--- ", "+++ ")) else 3 if x.startswith("@@") else 4 if x[:1] in ("+", "-") else 5
@@ -31,11 +32,11 @@ def test_truncate_skips_what_does_not_fit(spark):
             if len(lines[i]) + 1 <= room:
                 room -= len(lines[i]) + 1
                 kept.append(i)
-        return "\n".join(lines[i] for i in sorted(kept))
+        return "\n".join(lines[i] for i in kept)
 
     for budget in (0, 8, 14, 20, 30, 45, 200):
         got = one(spark, text, lambda c, b=budget: diffs.truncate_by_priority(c, b))
-        assert got == brute(budget) and len(got) <= max(budget, 0)
+        assert got == brute(budget) and (budget <= 0 or len(got) <= budget)
 
 
 def test_lines_break_like_splitlines(spark):
@@ -95,7 +96,7 @@ def test_metrics_without_hits(spark):
 def test_resolve_positions_and_prefixes(spark):
     pool = spark.createDataFrame([("q", 1, "abc1"), ("q", 2, "abd2")], "query_id string, position int, doc_id string")
     asked = spark.createDataFrame([(1, "q", "1"), (2, "q", "#2"), (3, "q", "9"), (4, "q", "ab"), (5, "q", "ABC"), (6, "q", "abd2"), (7, "q", "zz")], "ask_id int, query_id string, part string")
-    got = {r["ask_id"]: r["doc_id"] for r in candidates.resolve(asked, pool).collect()}
+    got = {r["ask_id"]: r["doc_id"] for r in cand.resolve(asked, pool).collect()}
     assert got == {1: "abc1", 2: "abd2", 3: None, 4: None, 5: "abc1", 6: "abd2", 7: None}
 
 
@@ -173,3 +174,155 @@ def test_parsing(spark):
     assert one(spark, "[2] > [1] > [2]", parsing.listwise) == [2, 1] and one(spark, "[2] > 1", parsing.listwise_valid) is False
     assert one(spark, "o@@r@@abc", parsing.last_segment) == "abc" and one(spark, "Maybe", parsing.tri_state) is None and one(spark, "x", parsing.number_or_zero) == 0.0
     assert one(spark, "Maximum context length exceeded", runs.context_overflow) is True
+
+
+def test_file_tags_golden(spark):
+    golden = {
+        "setup.py": "config", "docs/x.py": "doc", "a/doc/x.c": "doc", "documentation/a.c": "doc", "x/documentation/a.c": "source", "pkg/a_test.go": "test", "a_test.rs": "source", "tests/a.bin": "test", "a/testing/x": "test",
+        "spec/a.rb": "source", "a.spec.ts": "test", "lib/README": "doc", "CMakeLists.txt": "doc", "Makefile": "config", "MAKEFILE": "other", "a/b.YML": "config", "x.json": "other", "package.json": "config", "a.tsx": "source", "q.sql": "source", "page.html": "other", "noext": "other",
+    }
+    rows = spark.createDataFrame(list(golden.items()), "path string, want string")
+    got = rows.select("path", "want", diffs.file_tag(F.col("path"), F.lit(False)).alias("tag"), diffs.file_tag(F.col("path"), F.lit(True)).alias("binary")).collect()
+    assert {r["path"]: r["tag"] for r in got} == golden and {r["binary"] for r in got} == {"fixture"}
+
+
+def changed_file(path, n, extra=()):
+    return "\n".join([f"diff --git a/{path} b/{path}", "index 1..2", f"--- a/{path}", f"+++ b/{path}", "@@ -1 +1 @@", " same", *(f"+line {i}" for i in range(n)), *extra])
+
+
+def test_commit_views_golden(spark):
+    diff = "\n".join([
+        "not yet a file", changed_file("src/net_filter.c", 501), changed_file("docs/a.md", 1), "diff --git a/x.bin b/x.bin\nBinary files a/x.bin and b/x.bin differ", "diff --git a/o.c b/n.c\nold mode 100644\nnew mode 100755\nsimilarity index 90%\nrename from o.c\nrename to n.c\nGIT binary patch\n+++x\n---x",
+        *(changed_file(f"f{i}.py", 1) for i in range(49)),
+    ])
+    df = spark.createDataFrame([(diff, "the filter fails in filter_net and net_filter")], "diff string, words string")
+    row = df.select(diffs.by_priority(diffs.classified(diffs.file_changes(F.col("diff")), F.col("words"))).alias("f"))
+    row = row.select("f", diffs.file_manifest(F.col("f")).alias("manifest"), diffs.render_commit(F.lit(" fix\n"), F.col("f"), 900).alias("view"), F.transform("f", lambda f: diffs.render_file(f, 400)).alias("single"), F.transform("f", lambda f: diffs.compress_block(f["raw"], 10_000)).alias("small")).first()
+    by_path = {f["path"]: f for f in row["f"]}
+    assert len(by_path) == 53 and row["f"][0]["path"] == "src/net_filter.c" and by_path["src/net_filter.c"]["priority"] == 100 + 20 - 10 + 15
+    assert by_path["n.c"]["adds"] == by_path["n.c"]["dels"] == 0 and not by_path["n.c"]["is_binary"] and by_path["x.bin"]["is_binary"]
+    small = dict(zip([f["path"] for f in row["f"]], row["small"], strict=True))
+    assert small["n.c"].split("\n") == ["diff --git a/o.c b/n.c", "old mode 100644", "new mode 100755", "similarity index 90%", "rename from o.c", "rename to n.c"]
+    lines = row["manifest"].split("\n")
+    assert lines[0] == "[Files changed: 53 — 51 source, 1 doc, 1 fixture; showing top-50 by relevance]" and len(lines) == 52
+    assert lines[1] == f"  {'src/net_filter.c':<60}  {'source':<8}  +501/-0" and lines[-1].startswith("  [+ 3 more files not shown — typically")
+    view = row["view"].split("\n")
+    assert view[0] == "MSG: fix" and "[Diff content, budget 900 chars]" in view and "--- src/net_filter.c ---" in view and "... [middle truncated] ..." in view
+    assert view[-1].startswith("[Files truncated — call read_file_diff to inspect: src/net_filter.c, ") and view[-1].endswith(" (+47 more)]") and "[Binary files skipped: 1 (no content shown)]" in view
+    single = dict(zip([f["path"] for f in row["f"]], row["single"], strict=True))
+    assert single["x.bin"] == "--- x.bin ---\n[Binary file, no diff content. adds=0 dels=0]" and single["docs/a.md"] == "--- docs/a.md ---\n" + changed_file("docs/a.md", 1)
+    assert single["src/net_filter.c"].endswith(f"[... src/net_filter.c: original {len(by_path['src/net_filter.c']['raw'])} chars, compressed to fit budget]")
+    empty = spark.createDataFrame([(None,), ("",), ("no file",)], "diff string").select(diffs.file_changes(F.col("diff")).alias("f")).collect()
+    assert [r["f"] for r in empty] == [[], [], []]
+
+
+def test_commit_text_golden(spark):
+    text = lambda m, d, n: spark.createDataFrame([(m, d)], "m string, d string").select(diffs.commit_text(F.col("m"), F.col("d"), n)).first()[0]
+    assert text("fix", "+a", 0) == "Commit message:\nfix\n\nDiff:\n+a" and text("fix", None, 10) == "Commit message:\nfix\n\nDiff:"
+    assert text("m", " c\n+a\n@@ 1\n--- a/x", 14) == "Commit message:\nm\n\nDiff:\n--- a/x\n@@ 1"
+
+
+def test_path_match_golden(spark):
+    files = spark.createDataFrame([(1, 1, "src/my_utils.py"), (1, 2, "src/File.py"), (1, 3, "a/b.c")], "doc_id int, position int, path string")
+    asked = spark.createDataFrame([(1, 1, "utils.py"), (2, 1, "file.py"), (3, 1, "A/B.c"), (4, 1, "a/b.c"), (5, 1, "zzz"), (6, 1, "other/File.py")], "ask_id int, doc_id int, asked string")
+    got = {r["ask_id"]: (r["path"], r["tier"]) for r in cand.match_path(asked, files).collect()}
+    assert got == {1: ("src/my_utils.py", 3), 3: ("a/b.c", 2), 4: ("a/b.c", 1), 6: ("src/File.py", 3)}
+
+
+def test_review_pool_golden(spark):
+    ranking = spark.createDataFrame([("q", f"d{i}", i) for i in range(1, 8)], "query_id string, doc_id string, rank int")
+    pick = spark.createDataFrame([("q", "d4")], "query_id string, doc_id string")
+    seen = spark.createDataFrame([("q", "d7", 1), ("q", "d2", 2), ("q", "zz", 3)], "query_id string, doc_id string, at int")
+    pool = lambda p, s, n: [r["doc_id"] for r in cand.review_pool(ranking, p, s, n).orderBy("new_rank").collect()]
+    assert pool(pick, seen.limit(0), 0) == ["d4"] and pool(pick, seen, 0) == ["d4", "d7"] and pool(pick.limit(0), seen, 0) == ["d7"]
+    assert pool(pick, seen, 1) == ["d4", "d7"] and pool(pick, seen, 2) == ["d2", "d4", "d7"] and pool(pick.limit(0), seen.limit(0), 2) == ["d1", "d2", "d3"]
+
+
+def test_compose_golden(spark):
+    df = spark.createDataFrame([("b", ["a", "b"], ["c", "a", "d"]), (None, ["a"], ["c", "a"]), ("", None, ["c"])], "best string, seen array<string>, r array<string>")
+    got = df.select(cand.compose(F.col("best"), F.col("seen"), F.col("r"), 3).alias("x"), cand.compose(F.col("best"), F.col("seen"), None, None).alias("y")).collect()
+    assert [(r["x"], r["y"]) for r in got] == [(["b", "a", "c"], ["b", "a"]), (["a", "c"], ["a"]), (["c"], [])]
+
+
+def test_traces_stops_and_errors_golden(spark):
+    calls = spark.createDataFrame([("i", 1, "read", "a"), ("i", 2, "submit", "b"), ("i", 3, "read", "c")], "item string, turn int, tool string, doc_id string")
+    r = select.replay(calls).first()
+    assert (r["inspected"], r["answer"], r["n_calls"]) == (["a", "b"], "b", 2)
+    told = {"litellm.ContextWindowExceededError: x": True, "Maximum Context Length is 1": True, "context length": False, None: False}
+    got = spark.createDataFrame([(k,) for k in told], "e string").select("e", runs.context_overflow(F.col("e")).alias("x")).collect()
+    assert {r["e"]: r["x"] for r in got} == told
+    assert [one(spark, x, parsing.tri_state) for x in ("True", "False", "true", "1", "yes")] == [True, False, None, None, None]
+
+
+def test_show_text_golden(spark):
+    whole = "commit a\nAuthor: A <a@b>\nDate:   now\n\n    says diff --git a/x b/x\n\ndiff --git a/f b/f\n+Author: Z"
+    got = lambda t: [one(spark, t, f) for f in (parsing.show_author, parsing.show_date, parsing.show_diff)]
+    assert got(whole) == ["A <a@b>", "now", "diff --git a/f b/f\n+Author: Z"]
+    assert got("commit a\nAuthor: A\n\n    merge") == ["A", "", ""] and got("diff --git a/f b/f\n+Author: Z") == ["", "", "diff --git a/f b/f\n+Author: Z"]
+
+
+def test_seeded_vectors_are_exact():
+    import hashlib
+
+    import numpy as np
+
+    for text in ("", "abc", "é"):
+        v = np.random.default_rng(int(hashlib.md5(text.encode()).hexdigest(), 16) % (2**32)).standard_normal(16).astype(np.float32)
+        assert (dense.seeded_vector(text, 16) == v / np.linalg.norm(v)).all()
+
+
+def test_dense_leaves_out_bad_vectors(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, None, "a"), (3, [1.0], "a"), (4, [None, 1.0], "a"), (5, [0.5, 0.5], "a"), (6, [1.0, 1.0], "b"), (7, [1.0, 1.0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, embedding array<float>, repo string")
+    asked = docs.where("doc_id in (1, 2)").withColumnRenamed("doc_id", "query_id")
+    assert [r["doc_id"] for r in dense.dense_topk(docs, asked, 5).orderBy("rank").collect()] == [6, 7, 5]
+    assert [r["doc_id"] for r in dense.dense_topk(docs, asked, 5, by="repo").collect()] == [5]
+
+
+def test_bm25_in_parts_and_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"Über w{i % 3} w{i % 5} common", "ab"[i % 2]) for i in range(40)] + [(90, None, "a"), (91, "", "b"), (92, "w1", None)], "doc_id long, text string, repo string")
+    asked = spark.createDataFrame([(i, f"w{i} über common", "ab"[i % 2]) for i in range(5)] + [(9, "nothing", "a"), (10, None, "a")], "query_id long, text string, repo string")
+    rows = lambda by: sorted(map(tuple, lexical.bm25(docs, asked, 7, by=by).collect()))
+    whole, grouped = rows(None), rows("repo")
+    assert len(whole) == 35 and {r[0] for r in grouped} == set(range(5))
+    alone = [sorted(map(tuple, lexical.bm25(docs.where(F.col("repo") == g), asked.where(F.col("repo") == g), 7).collect())) for g in "ab"]
+    assert grouped == sorted(alone[0] + alone[1])
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(lexical, "GRID", 9)
+    assert rows(None) == whole and rows("repo") == grouped
+
+
+def test_work_lists(spark):
+    items = spark.createDataFrame([(f"k{i}",) for i in range(30)], "k string")
+    done = spark.createDataFrame([("k1", None), ("k2", "failed")], "k string, error string")
+    with pytest.raises(ValueError):
+        worklist.chosen(items, "k", first=1, sample=1)
+    sample = sorted(r["k"] for r in worklist.chosen(items, "k", sample=9, seed=4).collect())
+    assert len(sample) == 9 and sample == sorted(r["k"] for r in worklist.chosen(items.orderBy(F.desc("k")), "k", sample=9, seed=4).collect())
+    left = {r["k"] for r in worklist.remaining_of(items, done, "k", sample=9, seed=4).collect()}
+    assert left == set(sample) - {"k1"}
+    with pytest.raises(FileNotFoundError):
+        worklist.require(items, done, "k")
+    assert worklist.progress(items.limit(0), done, "k").first()["percent"] == 100.0
+
+
+def test_method_files_and_records(spark, tmp_path):
+    for name in ("b.jsonl", "a.jsonl", "c.txt"):
+        (tmp_path / name).write_text('{"input": {"cve": "q", "commit_id": "%s", "label": 1}, "output": {"answer": true, "confidence": 3}}\n\nbad\n' % name[0])
+    name, paths = readers.method_files(spark, f" Pairs :{tmp_path}/*.jsonl,{tmp_path}/c.txt", ("pairs",))
+    assert name == "pairs" and [p.rsplit("/", 1)[1] for p in paths] == ["a.jsonl", "b.jsonl", "c.txt"]
+    assert sorted(r["doc_id"] for r in readers.per_pair(spark, paths).collect()) == ["a", "b", "c"]
+    with pytest.raises(FileNotFoundError):
+        readers.method_files(spark, f"m:{tmp_path}/*.none")
+    with pytest.raises(ValueError):
+        readers.method_files(spark, "m:x", ("pairs",))
+    rows = spark.createDataFrame([("q", 3, None)], "cve_id string, iterations_used int, error string")
+    assert readers.result_of(readers.result_json(rows)).select("cve_id", "iterations_used", "error").collect() == rows.collect()
+
+
+def test_errors_shown_golden(spark):
+    df = spark.createDataFrame([("#3",), ("12",), ("abc",)], "a string")
+    got = [r[0] for r in df.select(views.not_found(F.col("a"), F.lit(10))).collect()]
+    assert got[0] == "[Error] Could not interpret '#3'. To read rank 3, pass the SHA from list_candidates."
+    assert got[1].startswith("[Error] '12' looks like a rank number, but 10 candidates available and 12 is out of range.") and got[2].startswith("[Error] commit_id 'abc' not found in the Top-10 candidate list.")
+    assert one(spark, "0123456789abcdef", views.after_submission).startswith("[Error] You have already submitted your answer (0123456789ab). The task")
