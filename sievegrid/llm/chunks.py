@@ -39,12 +39,18 @@ class Memo(dict):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
-    def fill(self, keys: Iterable[str]) -> None:
+    def fill(self, rows: Iterable[Iterable[str]]) -> None:
+        """Holds what the keys of rows need, encoding new ones many at a time."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        old = self.old
-        new = [k for k in set(keys) if k not in self and k not in old]
+        old, new = self.old, []
+        for k in set().union(*rows):
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    new.append(k)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             self.update(zip(part, self.encode(part), strict=True))

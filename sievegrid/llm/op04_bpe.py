@@ -115,7 +115,7 @@ class Codec:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         rows = [chunks(x) if x else [] for x in texts]
-        self.memo.fill(c for row in rows for c in row)
+        self.memo.fill(rows)
         get = self.memo.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 

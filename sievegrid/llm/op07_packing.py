@@ -5,8 +5,9 @@ sequences of their own; the others are dealt to blocks of bounded size. Several
 islands evolve each block: a chromosome is the grouping of the block's pieces
 into bins, crossover injects whole well-filled bins of one parent into another,
 removes what they duplicate, and puts the displaced pieces back by best fit.
-Between epochs each island receives the elite of its neighbour. Evolution stops
-where the lower bound of bins is reached. The bins that stay poorly filled in
+Between epochs each island receives the elite of its neighbour. In every epoch
+offspring are bred and selected; an epoch that has reached the lower bound of
+bins stops after its first, others when PATIENCE of them brought nothing. The bins that stay poorly filled in
 each block are pooled and packed again, until one block holds them all.
 
 Cases: null text counts as empty and is one token, the end id; rows with the
@@ -16,6 +17,7 @@ by the order of rows; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +32,10 @@ from .common import materialize
 from .op04_bpe import slices
 
 CAPACITY = 4096
-#: Pieces of a block, islands of a block, epochs with migration between, chromosomes and offspring of an epoch.
-BLOCK, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 12_000, 2, 2, 6, 8
+#: Pieces of a block, islands of a block, epochs with migration between, chromosomes and most offspring of an epoch, and those without gain that end it.
+BLOCK, ISLANDS, EPOCHS, POPULATION, OFFSPRING, PATIENCE = 12_000, 2, 2, 6, 80, 20
+#: Words of a generation that a worker remembers; bounds memory only.
+REMEMBERED = 500_000
 #: Bins filled less than this share are pooled for another level.
 POOLED = 0.97
 LEVELS = 12
@@ -46,13 +50,25 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo = Memo(self._encode)
+        self.memo = Memo(self._encode, REMEMBERED)
+        normal = json.loads(self.library.to_str())["normalizer"] or {}
+        steps = {n["type"] for n in normal.get("normalizers", [normal]) if n}
+        # Where the library lowers letters itself, ASCII texts may come to it lowered: fewer words are distinct.
+        self.lowers = steps <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps
+        self.strings = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def _words(self, text: str) -> list[str]:
+        if self.lowers and text.isascii():
+            low = text.lower()
+            if not any(t in low for t in self.strings):
+                return words(low)
+        return words(text)
 
     def _encode(self, new: list[str]) -> list[bytes]:
         """Ids of each word: many are encoded as one text, and the places of its tokens tell whose they are."""
         out = []
-        for at in range(0, len(new), 200):
-            part = new[at : at + 200]
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
             found = self.library.encode(" ".join(part), add_special_tokens=False)
             size = np.fromiter(map(len, part), np.int64, len(part)) + 1
             first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
@@ -62,8 +78,8 @@ class WordIds:
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        rows = [words(x) if x else [] for x in texts]
-        self.memo.fill(w for row in rows for w in row)
+        rows = [self._words(x) if x else [] for x in texts]
+        self.memo.fill(rows)
         get = self.memo.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
@@ -144,40 +160,44 @@ def fitness(groups: list[list[int]], sizes: list[int], capacity: int) -> tuple[i
 
 
 def crossover(one: list[list[int]], other: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Injects well-filled bins of `other` into `one`; bins of `one` that share a piece with them are dissolved."""
-    full = sorted(other, key=lambda g: -sum(sizes[i] for i in g))
-    full = [g for g in full[: max(1, len(full) // 2)] if rng.random() < 0.5] or full[:1]
+    """Injects well-filled bins of `other` into `one`; bins of `one` that share a piece with them, some others and the emptiest are dissolved."""
+    filled = lambda g: sum(sizes[i] for i in g)
+    full, share = sorted(other, key=filled, reverse=True), rng.uniform(0.1, 0.9)
+    full = [g for g in full[: max(1, len(full) // 2)] if rng.random() < share] or full[:1]
     taken = {i for g in full for i in g}
-    kept, displaced = [], []
-    for g in one:
-        if taken.isdisjoint(g) and rng.random() > 0.02:
-            kept.append(g)
-        else:
-            displaced += [i for i in g if i not in taken]
-    displaced.sort(key=lambda i: -sizes[i])
+    whole = sorted((g for g in one if taken.isdisjoint(g)), key=filled, reverse=True)
+    kept = [g for g in whole[: max(0, len(whole) - 2)] if rng.random() > 0.02]
+    held = taken.union(*kept)
+    displaced = [i for g in one for i in g if i not in held]
+    noise = rng.choice([0.0, 0.3])
+    displaced.sort(key=(lambda i: -sizes[i] * (1 + noise * rng.random())) if noise else (lambda i: -sizes[i]))
     return best_fit(displaced, sizes, capacity, full + kept)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]]) -> list[list[int]]:
-    """The best grouping of one island after an epoch; elites: its own of the last epoch and its neighbour's."""
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], born: list[int] | None = None) -> list[list[int]]:
+    """The best grouping of one island after an epoch; elites: its own of the last epoch and its neighbour's; born gets the number of offspring."""
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
     by_size = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    population = list(elites)
-    while len(population) < POPULATION and not any(len(p) <= bound for p in population):
+    rank = lambda g: fitness(g, sizes, capacity)
+    population = [(rank(g), g) for g in elites]
+    while len(population) < 2 or (len(population) < POPULATION and not any(len(g) <= bound for _, g in population)):
         noise = 0.3 * (len(population) + seed % 2) / POPULATION
         order = sorted(by_size, key=lambda i: -sizes[i] * (1 + noise * rng.random())) if noise else by_size
-        population.append(best_fit(order, sizes, capacity))
-    rank = lambda g: fitness(g, sizes, capacity)
-    population.sort(key=rank, reverse=True)
-    for _ in range(OFFSPRING):
-        if len(population[0]) <= bound or len(population) < 2:
-            break
-        one, other = rng.sample(population[: max(2, POPULATION // 2)], 2)
-        population.append(crossover(one, other, sizes, capacity, rng))
-        population.sort(key=rank, reverse=True)
+        g = best_fit(order, sizes, capacity)
+        population.append((rank(g), g))
+    population.sort(key=lambda x: x[0], reverse=True)
+    n = stale = 0
+    while n < OFFSPRING and stale < PATIENCE and not (n and len(population[0][1]) <= bound):
+        (_, one), (_, other) = rng.sample(population[: max(2, POPULATION // 2)], 2)
+        child, best = crossover(one, other, sizes, capacity, rng), population[0][0]
+        population.append((rank(child), child))
+        population.sort(key=lambda x: x[0], reverse=True)
         del population[POPULATION:]
-    return population[0]
+        n, stale = n + 1, 0 if population[0][0] > best else stale + 1
+    if born is not None:
+        born.append(n)
+    return population[0][1]
 
 
 def _groups(genes: bytes) -> list[list[int]]:
@@ -198,19 +218,23 @@ def _sorted(table: pa.Table) -> pa.Table:
     return table.sort_by([("length", "descending"), ("uid", "ascending")])
 
 
-_STATE = "block long, island int, genes binary, bins int, filled double"
+_STATE = "block long, island int, genes binary, bins int, filled double, born int, came int"
+_EMPTY = {"block": pa.int64(), "island": pa.int32(), "genes": pa.binary(), "bins": pa.int32(), "filled": pa.float64(), "born": pa.int32(), "came": pa.int32()}
 
 
 def _epoch(capacity: int, epoch: int):
+    """An epoch of an island: its elite, the offspring born, and the elites that came from its neighbour."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "island": pa.array([], pa.int32()), "genes": pa.array([], pa.binary()), "bins": pa.array([], pa.int32()), "filled": pa.array([], pa.float64())})
+            return pa.table({k: pa.array([], t) for k, t in _EMPTY.items()})
         block, island = left["block"][0].as_py(), left["island"][0].as_py()
         sizes = _sorted(left)["length"].to_pylist()
-        elites = [_groups(x) for x in right["genes"].to_pylist()]
-        best = evolve(sizes, capacity, (block * 31 + island) * 31 + epoch, elites)
+        born: list[int] = []
+        best = evolve(sizes, capacity, (block * 31 + island) * 31 + epoch, [_groups(x) for x in right["genes"].to_pylist()], born)
         bins, filled = fitness(best, sizes, capacity)
-        return pa.table({"block": pa.array([block], pa.int64()), "island": pa.array([island], pa.int32()), "genes": pa.array([_genes(best, len(sizes))], pa.binary()), "bins": pa.array([-bins], pa.int32()), "filled": pa.array([filled], pa.float64())})
+        values = block, island, _genes(best, len(sizes)), -bins, filled, born[0], sum(right["came"].to_pylist())
+        return pa.table({k: pa.array([v], t) for (k, t), v in zip(_EMPTY.items(), values, strict=True)})
 
     return run
 
@@ -229,26 +253,30 @@ def _expand(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"uid": rows["uid"].combine_chunks().take(pa.array(order)), "length": pa.array(s), "block": pa.array(np.full(len(g), left["block"][0].as_py() if left.num_rows else 0, np.int64)), "bin": pa.array(g.astype(np.int64)), "offset": pa.array(ends - s - base), "fill": pa.array(fill)})
 
 
-def _pack_level(items: DataFrame, blocks: int, capacity: int, level: int) -> DataFrame:
+def _pack_level(items: DataFrame, blocks: int, capacity: int, level: int, report: list | None) -> DataFrame:
     """Evolves items (uid, length) in blocks; returns where each stands."""
     dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block"))
     copies = dealt.select("*", F.explode(F.array(*(F.lit(i).cast("int") for i in range(ISLANDS)))).alias("island"))
     state = None
     for epoch in range(EPOCHS):
         if state is None:
-            coming = copies.sparkSession.createDataFrame([], "block long, island int, genes binary")
+            coming = copies.sparkSession.createDataFrame([], "block long, island int, genes binary, came int")
         else:
-            own = state.select("block", "island", "genes")
-            coming = own.unionByName(own.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int")))
+            own = state.select("block", "island", "genes", F.lit(0).alias("came"))
+            coming = own.unionByName(own.withColumns({"island": ((F.col("island") + 1) % ISLANDS).cast("int"), "came": F.lit(1)}))
         state = copies.groupBy("block", "island").cogroup(coming.groupBy("block", "island")).applyInArrow(_epoch(capacity, epoch), _STATE)
         state = materialize(state, f"pack-elites-{level}-{epoch}")
+        if report is not None:
+            report.append({"level": level, "epoch": epoch} | state.agg(F.count("*").alias("islands"), F.min("born").alias("least_born"), F.sum("born").alias("born"), F.sum("came").alias("came")).first().asDict())
     best = state.groupBy("block").agg(F.min_by("genes", F.struct("bins", -F.col("filled"), "island")).alias("genes"))
     return dealt.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(_expand, "uid long, length long, block long, bin long, offset long, fill long")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, uid: str = "uid", length: str = "length") -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, uid: str = "uid", length: str = "length", report: list | None = None) -> DataFrame:
     """(uid, sequence_id, offset) for items of distinct uid and a length of at most capacity.
 
+    report gets, for each level and epoch, how many islands there were, and offspring and migrants in them.
+
     Full items stand alone. sequence_id: level, block and bin in one number, or
     -1 - uid for a full item.
     """
@@ -260,7 +288,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, uid: str = "uid", length: s
         if not n:
             break
         blocks = -(-n // BLOCK)
-        placed = materialize(_pack_level(rest, blocks, capacity, level), f"pack-level-{level}")
+        placed = materialize(_pack_level(rest, blocks, capacity, level, report), f"pack-level-{level}")
         last = blocks == 1 or level == LEVELS - 1
         kept = placed if last else placed.where(F.col("fill") >= POOLED * capacity)
         done.append(kept.select("uid", (F.lit(level << 56) + F.col("block") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset"))

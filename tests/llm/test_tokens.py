@@ -116,6 +116,30 @@ def test_packing_in_levels(spark, monkeypatch):
     assert len(fill) <= 1.03 * len(greedy) + 1
 
 
+def test_every_run_breeds_and_migrates(spark, monkeypatch):
+    monkeypatch.setattr(op07_packing, "BLOCK", 100)
+    rng = random.Random(8)
+    easy = [rng.randint(1, 40) for _ in range(300)]
+    report = []
+    op07_packing.pack(spark.createDataFrame(list(enumerate(easy)), "uid long, length long"), 100, report=report).collect()
+    assert {r["epoch"] for r in report} == {0, 1} and all(r["least_born"] >= 1 for r in report)
+    assert all(r["came"] == (r["islands"] if r["epoch"] else 0) for r in report)
+
+
+def test_evolution_beats_best_fit():
+    """Triples that fill bins exactly, which best fit decreasing misses."""
+    rng, sizes = random.Random(9), []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(251, 1000 - a - 251)
+        sizes += [a, b, 1000 - a - b]
+    greedy = len(op07_packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000))
+    elites, born = [], []
+    for _ in range(6):
+        elites = [op07_packing.evolve(sizes, 1000, seed, elites, born) for seed in (1, 2)]
+    assert greedy > 40 and min(map(len, elites)) < greedy and sum(born) > 12
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(7)
     sizes = [rng.randint(1, 60) for _ in range(200)]
