@@ -11,6 +11,8 @@ copies cost no more output than rows. Leaves larger than a tile are compared in
 tiles, each a task of its own: no leaf is capped.
 
 Equal vectors of one label are one class with a size, and meet nothing twice.
+Vectors of doubles are compared as such. Depth follows the largest label, as far
+as the sample allows; beyond it leaves grow, and are compared in more tiles.
 
 Cases: vectors that are null, zero, of another length than most, or that hold
 null or non-finite components, rows without a label, and rows without an id
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .vectors import dimension, matrix, sample, unit, usable
+from .vectors import component_kind, dimension, matrix, sample, unit, usable
 
 TREES, SAMPLE = 6, 16_384
 #: Vectors of a label wanted in a leaf, in a sample's leaf at least, and in half a tile at most.
@@ -89,7 +91,7 @@ def _routed(classes: DataFrame, forest) -> DataFrame:
                 )
 
     kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("id", "label", "size", "v").mapInArrow(run, f"id long, label {kind}, size long, leaf int, v array<float>, leaves array<int>")
+    return classes.select("id", "label", "size", "v").mapInArrow(run, f"id long, label {kind}, size long, leaf int, v {classes.schema['v'].dataType.simpleString()}, leaves array<int>")
 
 
 def _earlier(leaves: list[list[int]], leaf: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def _compare(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row; a pair links if labels are equal and cosine >= threshold."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), F.col(label).alias("label"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{component_kind(vectors, vector)}>").alias("v"), F.col(label).alias("label"))
     d = dimension(rows.where(usable(F.col("v"))), "v")
     fine = usable(F.col("v")) & (F.size("v") == d) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("h", F.when(fine, F.xxhash64("label", "v"))).withColumn("h2", F.when(fine, F.xxhash64(F.lit(1), "v", "label")))

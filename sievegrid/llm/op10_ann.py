@@ -5,10 +5,10 @@ full-dimensional codebooks; the codes are chosen by beam search. The index
 holds, per block of rows, codes, exact norms and what the approximation leaves
 over. A query scores a block by table lookups: its products with all codewords
 once, then one addition per codebook and row. As the rest of a row beyond its
-approximation is nearly orthogonal to a query, a row's cosine lies within a few
-standard deviations of its score; every row of a block whose upper bound reaches
-the block's k-th best lower bound is reranked exactly, in double precision on
-the original vectors, however many they are. So there is no fixed number of
+approximation is nearly orthogonal to a query, a row's cosine lies, as a rule and
+not surely, within MARGIN standard deviations of its score; every row of a block
+whose upper bound by that reaches the block's k-th best lower bound is reranked
+exactly, in double precision on the original vectors, however many they are. So there is no fixed number of
 candidates, and large groups of near copies are reranked whole. Only the k best
 of a block leave it.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import dimension, matrix, sample, unit, usable
+from .vectors import component_kind, dimension, matrix, sample, unit, usable
 
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 16, 256, 6, 8192, 6
 #: Rows of an index block and queries of a query block.
@@ -77,12 +77,12 @@ class Quantizer:
         return codes[np.arange(n), pick], np.sqrt(left[np.arange(n), pick])
 
 
-def _index(rows: DataFrame, quantizer) -> DataFrame:
+def _index(rows: DataFrame, quantizer, kind: str) -> DataFrame:
     """(block, ids, codes, rest, v binary): one row per block; codes are of vectors at length 1, v are the vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = pa.Table.from_batches(list(batches)).sort_by("id").combine_chunks()
-        v = matrix(g["v"].combine_chunks(), np.float32)
+        v = matrix(g["v"].combine_chunks(), np.dtype(kind))
         x, codes, rest = unit(v.astype(np.float64)), [], []
         for i in range(0, len(x), 1024):
             c, r = quantizer.value.encode(x[i : i + 1024])
@@ -106,7 +106,7 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
     return queries.select("id", "v").mapInArrow(run, "q_ids binary, q binary")
 
 
-def _nearest_of_blocks(pairs: DataFrame, quantizer, k: int) -> DataFrame:
+def _nearest_of_blocks(pairs: DataFrame, quantizer, k: int, kind: str) -> DataFrame:
     """(query_id, vec_id, score): of each pair of a query block and an index block the k nearest rows of each query."""
 
     def run(batches):
@@ -128,7 +128,7 @@ def _nearest_of_blocks(pairs: DataFrame, quantizer, k: int) -> DataFrame:
                 n = min(k, len(ids))
                 bound = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
                 at, row = np.nonzero((score + room >= bound[:, None]) & (score > -np.inf))
-                x = unit(np.frombuffer(v, np.float32).reshape(len(ids), -1).astype(np.float64))
+                x = unit(np.frombuffer(v, np.dtype(kind)).reshape(len(ids), -1).astype(np.float64))
                 exact = np.concatenate([(q[at[j : j + 50_000]] * x[row[j : j + 50_000]]).sum(axis=1) for j in range(0, max(1, len(at)), 50_000)])
                 order = np.lexsort((ids[row], -exact, at))
                 at, row, exact = at[order], row[order], exact[order]
@@ -141,10 +141,10 @@ def _nearest_of_blocks(pairs: DataFrame, quantizer, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest vectors by cosine, itself (its id) excluded."""
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, component_kind(vectors, vector)
 
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+        df = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
         return df.where(F.col("id").isNotNull() & usable(F.col("v")))
 
     d = dimension(clean(vectors), "v")
@@ -156,10 +156,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     blocks = max(1, math.ceil(rows.count() / ROWS))
     fit = sample(rows, "id", "v", SAMPLE)
     quantizer = spark.sparkContext.broadcast(Quantizer(fit if fit.size else np.zeros((0, max(1, d)))))
-    index = materialize(_index(rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")), quantizer), "ann-index")
+    index = materialize(_index(rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")), quantizer, kind), "ann-index")
     # Every query block meets every index block; the queries are copied, once per block of rows.
     asked_of = _query_blocks(asked).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    exact = _nearest_of_blocks(asked_of.join(index, "block"), quantizer, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    exact = _nearest_of_blocks(asked_of.join(index, "block"), quantizer, k, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -39,3 +39,8 @@ def dimension(vectors: DataFrame, vector: str) -> int:
     """The commonest length of the vectors (ties: the longer); 0 without vectors."""
     found = vectors.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     return found["d"] if found else 0
+
+
+def component_kind(vectors: DataFrame, vector: str) -> str:
+    """float or double: what the vectors are kept as; other numbers are kept as double."""
+    return "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"

@@ -214,3 +214,17 @@ def test_neighbours_are_found(spark):
     assert hit >= 0.9 * 5 * 18 and {r["query_id"] for r in got} == set(range(0, 900, 50))
     assert op10_ann.nearest(df.limit(0), df.limit(0)).count() == 0
     assert op10_ann.nearest(df.where("vec_id in (0, 1, 2)"), df.where("vec_id = 0")).count() == 2
+
+
+def test_vectors_of_doubles_and_odd_ids(spark):
+    x = np.random.default_rng(8).standard_normal((30, 8))
+    near = x[:10] * (1 + 1e-11 * np.arange(10)[:, None]) + 1e-10
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate([*x, *near])] + [(None, [float(c) for c in x[0]], 1), (3, [float(c) for c in x[5]], 1), (50, [1e200] * 8, 1), (51, [1e-200] * 8, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cosine = lambda a, b: float(np.dot(u := np.array(a) / np.abs(a).max(), w := np.array(b) / np.abs(b).max()) / np.linalg.norm(u) / np.linalg.norm(w))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in op10_ann.nearest(df, df.where("vec_id in (0, 50)"), 3).collect()}
+    assert len(got) == 6 and got[50, 51] == pytest.approx(1, abs=1e-15) and got[0, 30] == pytest.approx(cosine(rows[0][1], rows[30][1]), abs=1e-15)
+    links = op01_embedding_neardup.near_duplicates(df).collect()
+    assert len(links) == len(rows) and sum(r["vec_id"] is None and r["n_links"] == 0 for r in links) == 1
+    own = {r["vec_id"]: r for r in links if r["vec_id"] not in (None, 3)}
+    assert own[30]["component_id"] == 0 and own[30]["n_links"] == 1 and own[51]["component_id"] == 50 and own[35]["component_id"] == 3
