@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.diffs import lines, stripped, told
+from ..functions.parsing import show_author, show_date, show_diff
 
 # The tags of a candidate's files in its line, and their short names.
 SHORT_TAGS = {"source": "src", "test": "test", "doc": "doc", "fixture": "bin", "config": "cfg"}
@@ -166,3 +167,38 @@ def extended(records: DataFrame, ranking: DataFrame, k: int | None = 10) -> Data
     order = ranking.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r"))
     full = compose(F.col("best"), F.col("inspected"), F.col("r.doc_id"), k)
     return records.join(order, "query_id", "left").select("query_id", F.posexplode(full).alias("i", "doc_id")).select("query_id", "doc_id", (F.col("i") + 1).alias("rank"))
+
+
+def pair_items(pairs: DataFrame) -> DataFrame:
+    """One item for each query of a pair table (cve, desc, repo, commit_id, commit_message, diff, label, rank).
+
+    (query_id, description, owner, repo, fix_commit_ids, candidates): candidates by rank, each id once, with the
+    message, the diff without its header, author and date.
+    """
+    text, id_ = F.coalesce("diff", F.lit("")), F.col("commit_id")
+    rows = pairs.select(
+        F.col("cve").alias("query_id"), "desc", F.col("repo").alias("full"), id_, "rank", "label", F.coalesce("commit_message", F.lit("")).alias("message"),
+        show_diff(text).alias("diff"), show_author(text).alias("author"), show_date(text).alias("date"),
+    )
+    each = rows.groupBy("query_id", "commit_id").agg(F.min_by(F.struct("rank", "commit_id", "message", "diff", "author", "date"), "rank").alias("c"), F.max("label").alias("label"), F.min(F.struct("rank", "desc", "full")).alias("head"))
+    out = each.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("candidates"), F.array_sort(F.collect_set(F.when(F.col("label") == 1, F.col("commit_id")))).alias("fix_commit_ids"), F.min("head").alias("head"))
+    full, cut = F.col("head.full"), F.instr(F.col("head.full"), "/")
+    owner, repo = F.when(cut > 0, F.left(full, cut - 1)).otherwise(""), F.when(cut > 0, F.substring(full, cut + 1, F.length(full))).otherwise(full)
+    return out.select("query_id", F.coalesce("head.desc", F.lit("")).alias("description"), owner.alias("owner"), repo.alias("repo"), "fix_commit_ids", "candidates")
+
+
+def method_rankings(method: str, records: DataFrame, ranking: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, rank) of a method's records, from however many files they were read.
+
+    pairs: per-pair answers (query_id, doc_id, answer, confidence, position); single: picks (query_id, best);
+    selection: (query_id, best, inspected), extended by a first stage's ranking if given.
+    """
+    if method == "pairs":
+        return pair_ranking(records).select("query_id", "doc_id", "rank")
+    if method == "single":
+        return records.select("query_id", F.explode(single_pick(F.col("best"))).alias("doc_id"), F.lit(1).alias("rank"))
+    if method != "selection":
+        raise ValueError(f"no such method: {method}; there are pairs, selection, single")
+    if ranking is not None:
+        return extended(records, ranking)
+    return records.select("query_id", F.posexplode(compose(F.col("best"), F.col("inspected"), None, None)).alias("i", "doc_id")).select("query_id", "doc_id", (F.col("i") + 1).alias("rank"))

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.diffs import commit_text
 from .lexical import _best, ranked
 
 #: Queries whose vectors are sent to all tasks; beyond, they are joined in blocks of this size.
@@ -90,3 +91,23 @@ def encode_texts(rows: DataFrame, build: Callable[[], Callable[[list[str]], np.n
             yield pd.DataFrame({key: part[key], "embedding": out})
 
     return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
+
+
+def encode_commits(commits: DataFrame, build: Callable[[], Callable[[list[str]], np.ndarray]], budget: int = 6000) -> DataFrame:
+    """(id, embedding, repo_key) of commits (repo_key, commit_id, commit_msg, diff): each one's text by line priority, then encoded.
+
+    Ids carry their repository. The result is what `writers.write_embeddings` partitions by repository.
+    """
+    rows = commits.select(F.concat_ws("@@", "repo_key", "commit_id").alias("id"), commit_text(F.col("commit_msg"), F.col("diff"), budget).alias("text"))
+    found = encode_texts(rows, build, "id", "text")
+    return found.withColumn("repo_key", F.regexp_replace("id", "@@[^@]*$", ""))
+
+
+def leg_or_empty(make: Callable[[], DataFrame], schema: str, spark) -> DataFrame:
+    """A leg's ranking, or an empty one where its inputs are absent, so that the other legs go on."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return make()
+    except (FileNotFoundError, AnalysisException):
+        return spark.createDataFrame([], schema)

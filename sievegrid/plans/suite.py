@@ -818,6 +818,36 @@ def _(d):
     return dense.encode_texts(d.documents, lambda: dense.seeded_encoder(64)).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm"), F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256).alias("embedding_sha256"))
 
 
+@query("encode_commits", "SELECT lang || '@@c' || doc_id AS id, lang AS repo_key, 64 AS dim FROM documents")
+def _(d):
+    commits = d.documents.select(F.col("lang").alias("repo_key"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("commit_id"), F.col("source").alias("commit_msg"), F.col("text").alias("diff"))
+    return dense.encode_commits(commits, lambda: dense.seeded_encoder(64)).select("id", "repo_key", F.size("embedding").alias("dim"))
+
+
+PAIR_ROWS = """SELECT concat('q', CAST(doc_id % 40 AS STRING)) AS cve, lang AS descr, CASE WHEN doc_id % 40 < 5 THEN 'bare' ELSE concat('own/', lang) END AS repo, concat('c', CAST(doc_id % 130 AS STRING)) AS commit_id, source AS commit_message,
+concat('commit x', chr(10), 'Author: ', source, chr(10), 'Date:   now', chr(10), chr(10), 'diff --git a/f b/f', chr(10), '+', lang) AS diff, CAST(doc_id % 7 = 0 AS INT) AS label, doc_id AS rank FROM {documents}"""
+
+
+@query("pair_items", f"WITH p AS ({plain(PAIR_ROWS)}), e AS (SELECT cve, commit_id, min(rank) AS rank, max(label) AS label FROM p GROUP BY 1, 2), c AS (SELECT cve, string_agg(commit_id, ',' ORDER BY rank) AS candidates, coalesce(string_agg(commit_id, ',' ORDER BY commit_id) FILTER (WHERE label = 1), '') AS fixes FROM e GROUP BY 1), "
+       "h AS (SELECT cve, arg_min(descr, rank) AS d, arg_min(repo, rank) AS r, arg_min(commit_message, rank) AS a FROM p GROUP BY 1) "
+       "SELECT cve AS query_id, d AS description, CASE WHEN contains(r, '/') THEN 'own' ELSE '' END AS owner, CASE WHEN contains(r, '/') THEN split_part(r, '/', 2) ELSE r END AS repo, fixes, candidates, a AS author, 'now' AS date, 'diff --git a/f b/f' || chr(10) || '+' || d AS diff FROM c JOIN h USING (cve)")
+def _(d):
+    x = cand.pair_items(d.sql(PAIR_ROWS).withColumnRenamed("descr", "desc"))
+    first = F.get("candidates", F.lit(0))
+    return x.select("query_id", "description", "owner", "repo", F.array_join("fix_commit_ids", ",").alias("fixes"), F.array_join("candidates.commit_id", ",").alias("candidates"), first["author"].alias("author"), first["date"].alias("date"), first["diff"].alias("diff"))
+
+
+@query("method_runs", ctes(bm25_sql("bm"), LABELS_SQL) + """, s AS (SELECT DISTINCT query_id FROM bm), t AS (SELECT query_id, min(rank) AS r FROM bm SEMI JOIN lt USING (query_id, doc_id) GROUP BY 1)
+SELECT 'selection' AS method, count(*) AS n, round(avg(CASE WHEN CASE WHEN r > 10 THEN NULL WHEN r IS NULL THEN NULL WHEN r = 3 THEN 1 WHEN r < 3 THEN r + 1 ELSE r END <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS r_at_10 FROM (SELECT DISTINCT query_id FROM lt SEMI JOIN bm USING (query_id)) LEFT JOIN t USING (query_id)
+UNION ALL SELECT 'single' AS method, count(*) AS n, round(avg(CASE WHEN r.query_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS r_at_10 FROM (SELECT DISTINCT query_id FROM lt SEMI JOIN (SELECT * FROM bm WHERE rank = 3) USING (query_id)) LEFT JOIN (SELECT query_id FROM bm SEMI JOIN lt USING (query_id, doc_id) WHERE rank = 3) r USING (query_id)""")
+def _(d):
+    bm = bm25_leg(d).select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "rank")
+    truth_ = label_truth(d).select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
+    picks = bm.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 3, F.col("doc_id"))).alias("best")).withColumn("inspected", F.array().cast("array<string>"))
+    made = {m: cand.method_rankings(m, picks.where("best is not null") if m == "single" else picks, bm) for m in ("selection", "single")}
+    return metrics.metric_table(made, truth_, "coverage").select("method", "n", F.col("r_at_10"))
+
+
 @query("select_first", ctes(bm25_sql("bm")) + "SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS best_doc_id, 1::INT AS iterations, NULL::VARCHAR AS error FROM bm WHERE rank = 1")
 def _(d):
     got = cand.nest(bm25_leg(d), 10).select(F.col("query_id").cast("string").alias("query_id"), F.transform("candidates", lambda c: c["doc_id"].cast("string")).alias("candidates"))
