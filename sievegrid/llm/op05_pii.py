@@ -1,15 +1,18 @@
 """Personal data by fixed forms, and by bootstrapped contextual extraction.
 
-The fixed forms (email, ip, card, phone) give the base spans, which are also the
-seeds. Every seed and every other token that looks like an identifier (six
-characters or more, with a digit) is an instance; the one and the two words
-before it are its lexical patterns. Spark scores the graph of patterns and
-instances in turns: a pattern is as good as the share of its instances that are
-believed, an instance as good as its patterns make it. A pattern is accepted if
-enough different believed instances follow it, nearly all identifiers after it
-are believed, and a fair share of all its occurrences in the corpus stands
-before an identifier at all; so common words never are patterns. Identifiers
-after accepted patterns that the fixed forms don't know are added, as kind `id`.
+The fixed forms (email, ip, card, phone) give the base spans. They, and tokens
+of forms that only credentials have (long hex digests, keys with a known
+beginning), are the seeds. Every seed and every other token that looks like an
+identifier (six characters or more, with a digit) is an instance; the one, two
+and three units (words or signs, a word among them) before it are its lexical
+patterns, whatever blanks stand between. Spark scores the graph of patterns and instances in turns:
+a pattern is as good as the share of its instances that are believed, an
+instance as good as its patterns make it. A pattern is accepted if enough
+different believed instances follow it, nearly all identifiers after it are
+believed, and a fair share of all its occurrences in the corpus stands before an
+identifier at all; so common words never are patterns. Identifiers after
+accepted patterns that the fixed forms don't know are added, as kind `id`; a
+credential's form alone, without an accepted pattern before it, adds nothing.
 
 Cases: null text counts as empty and has no spans; spans count code points, end
 exclusive; of one kind they don't overlap, of several they may; repeated rows
@@ -38,6 +41,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SHAPE = re.compile(r"[\w@:/.+-]{6,}")
+_UNIT = re.compile(r"\w+|[^\w\s]")
+_WORDY = re.compile(r"\w")
+#: Forms of credentials: hex digests of 128, 160 and 256 bits, and keys with a known beginning. Fixed values.
+_CREDENTIAL = re.compile(r"(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|xox[abp]-[0-9A-Za-z-]{20,}")
+#: Units of the longest pattern.
+UNITS = 3
 _DIGIT = re.compile("[0-9]")
 #: Turns of scoring; different believed instances, and shares, that a pattern needs; patterns whose occurrences are counted at once.
 TURNS, SUPPORT, PURITY, SHARE, PATTERNS = 3, 4, 0.75, 0.25, 50_000
@@ -86,14 +95,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _joined(units: list[str]) -> str:
+    """Units as one text: a blank before each word but the first, none before signs."""
+    return "".join(f" {u}" if _WORDY.match(u) else u for u in units).lstrip()
+
+
 def _before(text: str, at: int) -> list[str]:
-    """The patterns of what starts at `at`: the word, and the two words, before it."""
-    near = text[max(0, at - 120) : at]
-    words = near.lower().split()
-    if at > 120 and not near[0].isspace():
-        words = words[1:]  # it may be the end of a longer one
-    words = words[-2:]
-    return [words[-1], " ".join(words)] if len(words) == 2 else words
+    """The patterns of what starts at `at`: the unit, and the two and three units, before it; signs alone are none."""
+    width = 60
+    while True:
+        from_ = max(0, at - width)
+        units = _UNIT.findall(text[from_:at].lower())
+        # The first unit may be the end of a longer one.
+        if from_ == 0 or len(units) > UNITS:
+            break
+        width *= 4
+    units = units[-UNITS:]
+    found = [_joined(units[-k:]) for k in range(1, len(units) + 1)]
+    return [p for p in found if _WORDY.search(p)]
 
 
 def others(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -130,7 +149,7 @@ def _edges(docs: DataFrame) -> DataFrame:
                 for x in b.column(0).to_pylist():
                     if x and re.search("[0-9@]", x):
                         base = base_spans(x)
-                        for s, e, seed in [(s, e, True) for s, _, e in base] + [(s, e, False) for s, e in others(x, base)]:
+                        for s, e, seed in [(s, e, True) for s, _, e in base] + [(s, e, bool(_CREDENTIAL.fullmatch(x, s, e))) for s, e in others(x, base)]:
                             for p in _before(x, s):
                                 found[p, x[s:e].lower(), seed] += 1
                 keys = list(found)
@@ -147,17 +166,19 @@ def _occurrences(docs: DataFrame, patterns) -> DataFrame:
     """(pattern, total): how often each pattern stands in the corpus, whatever follows."""
 
     def run(batches):
-        wanted = patterns.value
-        last = {p.rsplit(" ", 1)[-1] for p in wanted}
+        wanted: list[set] = [set() for _ in range(UNITS)]
+        for p in patterns.value:
+            units = tuple(_UNIT.findall(p))
+            wanted[len(units) - 1].add(units)
         for whole in batches:
             for b in slices(whole, 1000):
                 n: Counter = Counter()
                 for x in b.column(0).to_pylist():
-                    words = (x or "").lower().split()
-                    n.update(w for w in words if w in last)
-                    n.update(f"{a} {w}" for a, w in zip(words, words[1:], strict=False) if w in last)
-                held = [(p, c) for p, c in n.items() if p in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([c for _, c in held], pa.int64())], ["pattern", "total"])
+                    units = _UNIT.findall((x or "").lower())
+                    for k, some in enumerate(wanted):
+                        if some:
+                            n.update([t for t in zip(*(units[i:] for i in range(k + 1)), strict=False) if t in some])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_joined, n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pattern", "total"])
 
     return docs.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
 
@@ -266,4 +287,5 @@ def mask(docs: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
 def op5_pii_bootstrap(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = extract(docs, bootstrap(docs))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    n = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", n.alias("n_spans"))
