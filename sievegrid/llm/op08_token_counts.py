@@ -194,7 +194,9 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, ke
     """(key, n_bytes, n_tokens, over_limit) for every row."""
     special = special_strings(path)
     counted = materialize(count_pieces(distinct_pieces(docs, pattern, special, text), path), "token-pieces")
-    buckets = max(8, -(-counted.count() // BUCKET))
+    # Buckets follow the distinct pre-tokens, and how often batches hold them, so that neither side of one grows with the corpus.
+    n, seen = counted.agg(F.count("*"), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    buckets = max(8, -(-n // BUCKET), -(-seen // (4 * BUCKET)))
     top = counted.orderBy(F.desc("seen"), "piece").limit(COMMON).select("piece", "n").toArrow()
     common = dict(zip((x.decode() for x in top["piece"].to_pylist()), top["n"].to_pylist(), strict=True))
     sent = docs.sparkSession.sparkContext.broadcast(common)
