@@ -5,16 +5,27 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What this Python worker remembers, for one operator at a time.
+_HELD: dict = {}
 #: Parquet folders written by `materialize` in this process, for `release`.
 _WRITTEN: list[str] = []
 
 
+def held(kind: str, key, make: Callable):
+    """What `make` returns, remembered by this worker for the next tasks; what it held for another operator, or key, goes."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

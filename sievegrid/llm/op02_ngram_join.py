@@ -35,14 +35,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, key_bitmap, materialize, sifted
+from .common import discard, held, key_bitmap, materialize, sifted
 from .components import components
 from .op04_bpe import slices
 
@@ -68,9 +67,8 @@ class _Words(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def _words() -> _Words:
-    return _Words()
+    return held("ngram", None, _Words)
 
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

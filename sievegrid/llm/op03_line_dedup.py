@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, key_bitmap, materialize, sifted
+from .common import discard, held, key_bitmap, materialize, sifted
 from .op04_bpe import slices
 
 #: Odd multiplier of the rolling hash, modulo 2^64, and its inverse.
@@ -129,6 +129,7 @@ def _lines(docs: DataFrame, exact: int, least: int) -> DataFrame:
     def run(batches):
         import xxhash
 
+        held("lines", None, dict)
         for whole in batches:
             for b in slices(whole, BATCH):
                 row, nos, lines = [], [], []

@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SPACE, Memo, chunks
+from .common import held
 
 #: One character for each byte value; none is white space or special to the model.
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
@@ -123,9 +123,8 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I").tolist())) if ids else b""
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(read_ranks(path), pattern)
+    return held("bpe", (path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import held, materialize, table
 from .op04_bpe import slices
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -143,6 +143,7 @@ def _edges(docs: DataFrame) -> DataFrame:
     """(pattern, instance, seed, n): how often an instance stands after a pattern."""
 
     def run(batches):
+        held("pii", None, dict)
         for whole in batches:
             for b in slices(whole, 1000):
                 found: Counter = Counter()

@@ -11,15 +11,16 @@ first 3 to 6 letters) go to a logistic regression. Tokens are cut at signs that
 stand for no letter; words of more than LONG letters, and those of scripts
 without blanks, give the letters from each of their places as features.
 
-Learning uses labelled rows whose crc32(doc_id as text) mod 5 is not 0. The
-features are those that stand in enough toxic documents and are much likelier
-there, counted over all of these rows; the weights are fitted on at most SAMPLE
-of the rows, those least by a hash. Labels, language, source and id are never
-inputs of a score.
+Learning uses labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most
+SAMPLE of them, those least by a hash of their id. The features are those that
+stand in enough toxic documents of these and are much likelier there. The
+character model is counted over all documents. Labels, language, source and id
+are never inputs of a score.
 
 Cases: null and empty texts are scored as texts without features; a null doc_id
 is held out of nothing and learned from never; documents labelled twice count as
-toxic if either says so; without learnable rows all scores are alike and low;
+toxic if either says so; of rows that share an id the one of the least text is
+learned from; without learnable rows all scores are alike and low;
 rows are scored each on its own; other columns are not read.
 """
 
@@ -30,6 +31,7 @@ import os
 import re
 import string
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, held, materialize, table
 from .op04_bpe import slices
 
 #: Signs and the letters that they may stand for. Fixed values.
@@ -47,7 +49,7 @@ LOOKS = {
 }
 #: Costs (negative log probabilities) of a sign for a letter, of a letter too many, and of a dropped separator.
 SWAP, STRETCH, DROP = 1.0, 1.5, 0.5
-#: Rows that weights are fitted on, toxic documents a feature needs, and its least log odds.
+#: Labelled rows that the classifier is fitted on, toxic documents a feature needs, and its least log odds.
 SAMPLE, SUPPORT, ODDS = 60_000, 4, 1.5
 EDGES = string.punctuation.translate(str.maketrans("", "", "@$!|+(")) + "«»“”„’‘…"
 SIGNS = "@$!|+(€£¡"
@@ -113,7 +115,7 @@ def decode(units: list[str], model: CharModel, gaps: bool) -> str:
                 put((a, b), cost + DROP * (1 + min(8, len(ch) - narrow) if gap else 1), text)
                 if b != START:
                     put((START, START), cost + model.cost(a, b, END), text + " ")
-        states = dict(sorted(after.items(), key=lambda x: x[1])[:64])
+        states = after
         if i % 64 == 63:  # what all have in common is settled
             n = len(os.path.commonprefix([text for _, text in states.values()]))
             done.append(next(iter(states.values()))[1][:n])
@@ -138,20 +140,35 @@ def restore_run(run: str, model: CharModel) -> str:
 def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, n): character trigrams inside the words of every document; in size bounded by the alphabet's third power."""
 
+    def counted(words: Counter) -> pa.RecordBatch:
+        parts, n = [], []
+        for w, m in words.items():
+            w = w.strip(EDGES)
+            for part in [w] if w.isalpha() else [x for p in HARD.split(w) if len(x := p.strip(EDGES)) > 1 and x.isalpha()]:
+                parts.append(START + START + part + END)
+                n.append(m)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        inside = np.ones(len(points), bool)
+        ends = np.cumsum(size)
+        inside[ends - 1] = inside[ends - 2] = False
+        at = np.flatnonzero(inside)
+        keys, place = np.unique((points[at] << 42) | (points[at + 1] << 21) | points[at + 2], return_inverse=True)
+        sums = np.bincount(place, weights=np.repeat(np.array(n, float), size - 2), minlength=len(keys)).astype(np.int64)
+        grams = ["".join(map(chr, (k >> 42, (k >> 21) & 0x1FFFFF, k & 0x1FFFFF))) for k in keys.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(sums)], ["gram", "n"])
+
     def run(batches):
+        held("trigrams", None, dict)
+        words: Counter = Counter()
         for whole in batches:
             for b in slices(whole, 2000):
-                words: Counter = Counter()
                 for x in b.column(0).to_pylist():
                     words.update((x or "").lower().split())
-                grams: Counter = Counter()
-                for w, n in words.items():
-                    w = w.strip(EDGES)
-                    for part in [w] if w.isalpha() else [x for p in HARD.split(w) if len(x := p.strip(EDGES)) > 1 and x.isalpha()]:
-                        part = START + START + part + END
-                        for i in range(len(part) - 2):
-                            grams[part[i : i + 3]] += n
-                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+                if len(words) > 100_000:
+                    yield counted(words)
+                    words = Counter()
+        yield counted(words)
 
     return docs.select(text).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -165,7 +182,7 @@ class Reader:
     """Texts to sets of features."""
 
     def __init__(self, grams: dict[str, int], wanted: set[str] | None = None):
-        self.model, self.wanted, self.memo = CharModel(grams), wanted, {}
+        self.model, self.wanted, self.memo, self.bare = CharModel(grams), wanted, {}, set()
 
     def told(self, w: str) -> list[str]:
         """The features of a restored word."""
@@ -178,6 +195,9 @@ class Reader:
 
     def word(self, token: str) -> tuple[str, ...]:
         token = token.strip(EDGES)
+        if token.isalpha() and len(token) <= LONG and not TRIPLE.search(token) and (token.isascii() or not UNBLANKED.search(token)):
+            found = "=" + token, *(token[:k] for k in range(3, min(7, len(token) + 1)))
+            return found if self.wanted is None else tuple(x for x in found if x in self.wanted)
         out: list[str] = []
         for w in [token] if token.isalpha() else HARD.split(token):
             w = w.strip(EDGES)
@@ -192,13 +212,18 @@ class Reader:
         words = set(text.split())
         if len(self.memo) > 100_000:
             self.memo = {}
+        if len(self.bare) > 300_000:
+            self.bare = set()
         out: set[str] = set()
-        for w in words:
+        for w in words.difference(self.bare):
             found = self.memo.get(w)
             if found is None:
                 found = self.word(w)
                 if len(w) <= LONG:
-                    self.memo[w] = found
+                    if found:
+                        self.memo[w] = found
+                    else:
+                        self.bare.add(w)
             out.update(found)
         for m in RUN.finditer(text):
             if LETTER.search(m[0]):
@@ -207,20 +232,42 @@ class Reader:
         return out
 
 
-def _counted(rows: DataFrame, sent) -> DataFrame:
-    """(feature, n1, n0): toxic and other documents that each feature stands in."""
+def _sent(spark, value) -> tuple:
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+
+def _reader(sent: tuple, make):
+    """The reader of what was sent; what it knows of words serves the worker's next tasks too."""
+    return held("toxicity", sent[0], lambda: make(sent[1].value))
+
+
+def _supported(rows: DataFrame, sent) -> list[str]:
+    """The features that stand in SUPPORT of the rows or more, in order."""
+
+    def run(batches):
+        reader = _reader(sent, Reader)
+        for whole in batches:
+            for b in slices(whole, 1000):
+                n: Counter = Counter()
+                for x in b.column(0).to_pylist():
+                    n.update(reader.features(x))
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
+
+    counts = rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return sorted(counts.where(F.col("n") >= SUPPORT).select("feature").toArrow()["feature"].to_pylist())
+
+
+def _featured(rows: DataFrame, sent) -> DataFrame:
+    """(f array<string>, toxic, at): the wanted features of each row."""
 
     def run(batches):
-        reader = Reader(sent.value)
+        reader = _reader(sent, lambda x: Reader(*x))
         for whole in batches:
             for b in slices(whole, 1000):
-                n: tuple[Counter, Counter] = Counter(), Counter()
-                for x, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    n[toxic == 1].update(reader.features(x))
-                names = list(n[0].keys() | n[1].keys())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (n[1], n[0]))], ["feature", "n1", "n0"])
+                found = [sorted(reader.features(x)) for x in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1), b.column(2)], ["f", "toxic", "at"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic"), "at").mapInArrow(run, "f array<string>, toxic int, at long")
 
 
 def select_features(counts: DataFrame, n1: int, n0: int) -> list[str]:
@@ -231,6 +278,17 @@ def select_features(counts: DataFrame, n1: int, n0: int) -> list[str]:
     return sorted(rank, key=lambda f: (rank[f], f))
 
 
+def _placed(found: DataFrame, place: dict[str, int]) -> DataFrame:
+    """(f array<int>, toxic, at): the places of each row's features, without those that have none."""
+
+    def run(batches):
+        for b in batches:
+            rows = [[place[x] for x in f if x in place] for f in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1), b.column(2)], ["f", "toxic", "at"])
+
+    return found.mapInArrow(run, "f array<int>, toxic int, at long")
+
+
 def _fit(rows: list[list[int]], y: np.ndarray, n: int, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression with a ridge, by accelerated gradient steps."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -252,35 +310,30 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str,
     """(trigram counts, feature weights, intercept)."""
     spark = docs.sparkSession
     grams = char_model(docs)
-    sent = spark.sparkContext.broadcast(grams)
+    sent = _sent(spark, grams)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.col("doc_id").isNotNull() & (fold != 0)).select("doc_id", "text").join(marked, "doc_id")
-    rows = materialize(rows.select("doc_id", "text", "toxic"), "toxic-rows")
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
-    picked = select_features(_counted(rows, sent), n1, n0)
-    place = {f: i for i, f in enumerate(picked)}
-    chosen = spark.sparkContext.broadcast(set(picked))
-
-    def run(batches):
-        reader = Reader(sent.value, chosen.value)
-        for whole in batches:
-            for b in slices(whole, 1000):
-                found = [sorted(reader.features(x)) for x in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1), b.column(2)], ["f", "toxic", "at"])
-
-    part = rows.withColumn("at", F.xxhash64("doc_id", F.lit(6)))
-    if n1 + n0 > SAMPLE:
-        part = part.where(F.col("at") <= part.select("at").orderBy("at").limit(SAMPLE).agg(F.max("at")).first()[0])
-    fit = part.select("text", F.col("toxic").cast("int").alias("toxic"), "at").mapInArrow(run, "f array<string>, toxic int, at long").toArrow().sort_by("at")
+    marked = marked.where(fold != 0).withColumn("at", F.xxhash64("doc_id", F.lit(6)))
+    least = marked.select("at").orderBy("at").limit(SAMPLE).agg(F.max("at")).first()[0]
+    # At most SAMPLE ids are sent to the texts, so no text moves but theirs.
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(marked.where(F.col("at") <= F.lit(least).cast("long"))), "doc_id")
+    rows = materialize(rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("at").alias("at"), F.min("text").alias("text")), "toxic-rows")
+    # What too few toxic rows hold can't be chosen, and isn't looked for in the others.
+    known = _supported(rows.where("toxic = 1"), sent)
+    found = materialize(_featured(rows, _sent(spark, (grams, set(known)))), "toxic-features")
+    sizes = found.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    toxic = (F.col("toxic") == 1).cast("long")
+    counts = found.select(F.explode("f").alias("feature"), toxic.alias("t")).groupBy("feature").agg(F.sum("t").alias("n1"), F.sum(1 - F.col("t")).alias("n0"))
+    picked = select_features(counts, *sizes)
+    fit = _placed(found, {f: i for i, f in enumerate(picked)}).toArrow().sort_by("at")
+    discard(rows, found)
     y = (fit["toxic"].to_numpy() == 1).astype(float)
-    w, b = _fit([[place[f] for f in r] for r in fit["f"].to_pylist()], y, len(picked)) if len(y) else (np.zeros(len(picked)), -3.0)
+    w, b = _fit(fit["f"].to_pylist(), y, len(picked)) if len(y) else (np.zeros(len(picked)), -3.0)
     return grams, dict(zip(picked, w.tolist(), strict=True)), float(b)
 
 
-def _scorer(sent):
-    grams, weights, intercept = sent
+def _scorer(value):
+    grams, weights, intercept = value
     reader = Reader(grams, set(weights))
 
     def score(text: str | None) -> float:
@@ -293,10 +346,10 @@ def _scorer(sent):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows whose predicted label is 1; all columns and other rows stay as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs.select("doc_id", F.col(text).alias("text")), labels))
+    sent = _sent(docs.sparkSession, learn(docs.select("doc_id", F.col(text).alias("text")), labels))
 
     def run(batches):
-        score = _scorer(sent.value)
+        score = _reader(sent, _scorer)
         for whole in batches:
             for b in slices(whole, 1000):
                 yield b.filter(pa.array([score(x) < 0.5 for x in b.column(b.schema.get_field_index(text)).to_pylist()], pa.bool_()))
@@ -307,18 +360,18 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    sent = _sent(docs.sparkSession, learn(docs, labels))
 
     def run(batches):
-        score = _scorer(sent.value)
+        score = _reader(sent, _scorer)
         for whole in batches:
             for b in slices(whole, 1000):
                 out = [score(x) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", fold.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

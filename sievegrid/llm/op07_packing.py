@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, words
-from .common import materialize
+from .common import held, materialize
 from .op04_bpe import slices
 
 CAPACITY = 4096
@@ -84,9 +83,8 @@ class WordIds:
         return [b"".join(map(get, row)) for row in rows]
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held("packing", path, lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:

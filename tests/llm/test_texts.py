@@ -1,6 +1,7 @@
 """Personal data, toxicity, chats, and the pipeline."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -44,6 +45,59 @@ def test_base_spans_equal_the_forms():
         assert op05_pii.spans_of(x, {"p"})
 
 
+def test_credentials_teach_their_context(spark):
+    hexa = lambda i: f"{zlib.crc32(str(i).encode()):08x}" * 5
+    rows = [(i, f'some words {i} and token = "{hexa(i)}" more') for i in range(12)]
+    rows += [(50, 'TOKEN="K9-unseen-7x7"'), (51, f"a digest {hexa(99)} alone"), (52, "the token of year 2024x7 is"), (53, 'token = "none"'), (54, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    patterns = op05_pii.bootstrap(docs)
+    assert 'token="' in patterns
+    got = {r["doc_id"]: r["spans"] for r in op05_pii.extract(docs, patterns).collect()}
+    for i, x in rows[:12]:
+        at = x.index('"') + 1
+        assert f"id:{at}:{at + 40}" in got[i]
+    assert got[50] == "id:7:20" and got[51] == got[52] == got[53] == got[54] == ""
+
+
+def test_graph_scoring_equals_a_naive_version(spark, monkeypatch):
+    """Turns of scoring over plain dictionaries."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(160):
+        before = rng.choice(["case ref", "case no", "mail me at", "room", "see"])
+        what = rng.choice([f"u{i % 23}@x.org", f"AB{i % 31:04d}77", f"10.0.0.{i % 9}"])
+        rows.append((i, f"{before} {what} end {rng.choice(['case', 'room', 'see'])} it"))
+    got = op05_pii.bootstrap(spark.createDataFrame(rows, "doc_id long, text string"))
+    edges, seeds, total = Counter(), set(), Counter()
+    join = lambda units: re.sub(r" (?=[^\w\s])", "", " ".join(units))
+    for _, x in rows:
+        base = op05_pii.base_spans(x)
+        for s, e, seed in [(s, e, True) for s, _, e in base] + [(s, e, False) for s, e in op05_pii.others(x, base)]:
+            units = re.findall(r"\w+|[^\w\s]", x[:s].lower())[-3:]
+            for k in range(1, len(units) + 1):
+                if re.search(r"\w", join(units[-k:])):
+                    edges[join(units[-k:]), x[s:e].lower()] += 1
+            seeds |= {x[s:e].lower()} if seed else set()
+        units = re.findall(r"\w+|[^\w\s]", x.lower())
+        for i in range(len(units)):
+            total.update(join(units[i - k + 1 : i + 1]) for k in (1, 2, 3) if i >= k - 1)
+    some = {p for p, n in Counter(p for p, _ in edges).items() if n >= op05_pii.SUPPORT}
+    edges = {k: n for k, n in edges.items() if k[0] in some}
+    belief = {i: float(i in seeds) for _, i in edges}
+    for _ in range(op05_pii.TURNS):
+        good = {}
+        for p in some:
+            own = [(i, n) for (q, i), n in edges.items() if q == p]
+            n = sum(m for _, m in own)
+            purity = sum(m * belief[i] for i, m in own) / n
+            if purity >= op05_pii.PURITY and n / total[p] >= op05_pii.SHARE and sum(belief[i] >= 0.5 for i, _ in own) >= op05_pii.SUPPORT:
+                good[p] = purity
+        for i in belief:
+            doubt = sum(math.log1p(-0.9 * good.get(p, 0.0)) for p, j in edges if j == i)
+            belief[i] = 1.0 if i in seeds else 1 - math.exp(doubt)
+    assert got == sorted(good)
+
+
 def test_bootstrapping_finds_unseen_identifiers(spark):
     rows = [(i, f"some words here {rng} contact: user{i}@mail.org and more") for i, rng in enumerate("abcdefgh")]
     rows += [(20, "please contact: badge-77412x today"), (21, "the value badge-77412x stays"), (22, "number code-99231z here"), (30, None), (31, ""), (None, "é contact: a.b@c.de")]
@@ -93,6 +147,76 @@ def test_channel_restores_disguises():
     assert "=stupid" in op06_toxicity.Reader(model()).features("you s t u p i d thing")
 
 
+def naive_decode(units, model, gaps):
+    """The likeliest reading among all, each priced as a whole."""
+    start, narrow = op06_toxicity.START, min(map(len, units[1::2]), default=1) if gaps else 1
+    found = []
+
+    def go(i, a, b, cost, text):
+        if i == len(units):
+            found.append((cost + (model.cost(a, b, op06_toxicity.END) if b != start else 0.0), text))
+            return
+        ch, gap = units[i], gaps and i % 2 == 1
+        if not gap:
+            for x, price in [(ch, 0.0)] + [(x, op06_toxicity.SWAP) for x in op06_toxicity.LOOKS.get(ch, "")]:
+                go(i + 1, b, x, cost + price + model.cost(a, b, x), text + x)
+            if i and ch == units[i - 1] and ch.isalpha():
+                go(i + 1, a, b, cost + op06_toxicity.STRETCH, text)
+        if gap or not ch.isalnum():
+            go(i + 1, a, b, cost + op06_toxicity.DROP * (1 + min(8, len(ch) - narrow) if gap else 1), text)
+            if b != start:
+                go(i + 1, start, start, cost + model.cost(a, b, op06_toxicity.END), text + " ")
+
+    go(0, start, start, 0.0, "")
+    best = min(c for c, _ in found)
+    return best, {t.strip(" ") for c, t in found if c < best + 1e-9}
+
+
+def test_decoding_is_the_likeliest_reading():
+    rng, m = random.Random(12), op06_toxicity.CharModel(model())
+    for _ in range(150):
+        units = [rng.choice("stupidclown10!$.-") for _ in range(rng.randint(1, 7))]
+        assert op06_toxicity.decode(units, m, False) in naive_decode(units, m, False)[1]
+        units = [rng.choice("idotwe1!0") if i % 2 == 0 else rng.choice([" ", ".", "  ", "    "]) for i in range(2 * rng.randint(2, 4) + 1)]
+        assert op06_toxicity.decode(units, m, True) in naive_decode(units, m, True)[1]
+    word = "s.t.u.p.1.d" * 12
+    assert op06_toxicity.restore(word, m) == op06_toxicity.decode(list(word), m, False)
+
+
+def test_features_equal_naive_ones():
+    read = op06_toxicity.Reader(model())
+    for text in ("The stupid, house! x", "a bb ccc dddd eeeeee fffffffff", "don't re-read it's", ""):
+        want = set()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for x in op06_toxicity.restore(w, read.model).split(" ") if re.search(r"(.)\1\1", w) else [w]:
+                want |= {"=" + x} | {x[:k] for k in range(3, 7) if k <= len(x)}
+        if "'" not in text and "-" not in text:
+            assert read.features(text) == want
+    some = {"=stupid", "hou"}
+    assert op06_toxicity.Reader(model(), some).features("The stupid house") == some and op06_toxicity.Reader(model(), some).features("the the") == set()
+
+
+def test_learning_equals_a_naive_count(spark, monkeypatch):
+    monkeypatch.setattr(op06_toxicity, "SAMPLE", 120)
+    rng = random.Random(14)
+    words = ["w" + c + d for c in "abcdef" for d in "ghij"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)) + (" zyx" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows] + [(0, "aaa zyx")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, t) for i, _, t in rows] + [(0, 0)], "doc_id long, toxic int")
+    grams, weights, _ = op06_toxicity.learn(docs, marks)
+    at = {r["doc_id"]: r["at"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 6) as at").collect()}
+    own = sorted((i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5), key=at.get)[:120]
+    text = {i: x for i, x, _ in rows} | {0: min(rows[0][1], "aaa zyx")}
+    toxic = {i: t for i, _, t in rows}
+    read = op06_toxicity.Reader(grams).features
+    n1, n0 = Counter(), Counter()
+    for i in own:
+        (n1 if toxic[i] else n0).update(read(text[i]))
+    a, b = sum(toxic[i] for i in own), sum(1 - toxic[i] for i in own)
+    odds = {f: math.log((n + 0.5) / (a + 1)) - math.log((n0[f] + 0.5) / (b + 1)) for f, n in n1.items() if n >= op06_toxicity.SUPPORT}
+    assert set(weights) == {f for f, x in odds.items() if x >= op06_toxicity.ODDS} and "=zyx" in weights
+
+
 def test_spacing_is_decoded_with_the_signs():
     grams = Counter(model())
     for w in ["you", "are"] * 50:
@@ -224,3 +348,97 @@ def test_pipeline_stages(spark):
     assert seen["near_duplicates"].items() <= seen["line_dedup"].items()
     assert all(not op05_pii.base_spans(t or "") for t in seen["personal_data"].values())
     assert {r["doc_id"] for r in docs.collect()} == set(seen["personal_data"])
+
+
+def near(a, b):
+    """Whether lines are within one edit."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
+
+
+def brute_line_dedup(rows):
+    places = sorted((d, no, x) for d, x in {(d, x) for d, x in rows if d is not None} for no in range(len((x or "").split("\n"))))
+    line = lambda p: (p[2] or "").split("\n")[p[1]].strip(" \t\r")
+    gone, seen = set(), []
+    for p in places:
+        s = line(p)
+        if s and any((d, no) < p[:2] and (s == t or (len(s) >= 20 and len(t) >= 20 and near(s, t))) for d, no, t in seen):
+            gone.add(p)
+        if s:
+            seen.append((*p[:2], s))
+    out = []
+    for d, x in rows:
+        kept = x if not x else "\n".join(y for no, y in enumerate(x.split("\n")) if (d, no, x) not in gone)
+        if x is None or kept == x or kept.strip(" "):
+            out.append((d, kept))
+    return out
+
+
+def brute_near_duplicates(rows):
+    def shingles(x):
+        w = re.findall("[^\x20\x09-\x0d]+", (x or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group = [shingles(x) for _, x in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    kept = {}
+    for i, (d, x) in enumerate(rows):
+        if not sets[i]:
+            kept[-1 - i] = (d, x)
+        elif group[i] not in kept or (d is None, d) < (kept[group[i]][0] is None, kept[group[i]][0]):
+            kept[group[i]] = (d, x)
+    return list(kept.values())
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    from sievegrid.llm import op07_packing
+    from sievegrid.llm.common import written
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    passage = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(60):
+        lines = [passage(rng.randint(6, 14)) for _ in range(rng.randint(1, 4))]
+        if i % 4 == 0:
+            lines[0] += " stupid idiot clown"
+        rows.append((i, "\n".join(lines)))
+    base = passage(60)
+    rows += [(100 + i, base.replace(" ", "\n" if i else " ", i)) for i in range(6)] + [(7, passage(30)), (200, rows[1][1]), (201, rows[2][1] + "\n}\n}"), (202, "}\nonly mine " + passage(8)), (203, rows[3][1].replace("a", "q", 1))]
+    rows += [(300, "write to joe@mail.example.org or 10.1.2.3 and +1 (555) 010-2345, card 4111 1111 1111 1111"), (301, None), (302, ""), (303, "\n\n"), (304, " ".join(f"v{i}" for i in range(30_000)))]
+    rows += [(None, passage(12)), (None, None), (400, "twice the same row " + "x y z"), (400, "twice the same row " + "x y z"), (5, passage(20))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, g int, tid int"
+    spark.createDataFrame([(d, x, "en", "s", len(x) if x else 0, "k", 1, 2) for d, x in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None)
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=key)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    marks = spark.read.parquet(f"{tmp_path}/labels.parquet")
+
+    first = pipeline.toxicity(spark, docs, str(tmp_path))
+    scored = op06_toxicity.score_toxicity(docs.selectExpr("struct(doc_id, text) as pair", "doc_id", "text"), marks)
+    toxic = {r["doc_id"] for r in scored.collect() if r["predicted"]}
+    assert len(toxic) >= 12 and kept(first) == sorted(((d, x) for d, x in rows if d not in toxic), key=key)
+    second = pipeline.line_dedup(spark, first, str(tmp_path))
+    assert kept(second) == sorted(brute_line_dedup(kept(first)), key=key)
+    third = pipeline.near_duplicates(spark, second, str(tmp_path))
+    assert kept(third) == sorted(brute_near_duplicates(kept(second)), key=key)
+    fourth = pipeline.personal_data(spark, third, str(tmp_path))
+    assert kept(fourth) == sorted(((d, x and op05_pii.masked(x, brute(x))) for d, x in kept(third)), key=key)
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((d, p) for d, x in kept(fourth) for p in range(-(-(len(lib.encode(x or "", add_special_tokens=False).ids) + 1) // op07_packing.CAPACITY)))
+    before = written()
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"]) for r in got) == want and written() > before
+    assert pipeline.packing(spark, fourth.limit(0), "").count() == 0 and all(f(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, f in pipeline.STAGES[:4])
