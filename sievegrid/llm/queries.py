@@ -15,6 +15,9 @@ _MODULES = {
     "op8_token_counts": "op08_token_counts",
     "op9_chat_format": "op09_chat",
     "op10_additive_ann": "op10_ann",
+    "op11_filter_audit": "op11_filter_audit",
+    "op12_hard_negatives": "op12_hard_negatives",
+    "op13_lempel_ziv": "op13_lempel_ziv",
 }
 
 
@@ -23,11 +26,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import op01_embedding_neardup, op02_ngram_join, op03_line_dedup, op09_chat
+    from . import op01_embedding_neardup, op02_ngram_join, op03_line_dedup, op09_chat, op11_filter_audit, op12_hard_negatives
 
     return {
         "op1_embedding_neardup": op01_embedding_neardup.SQL,
         "op2_ngram_jaccard_join": op02_ngram_join.SQL,
         "op3_line_dedup": op03_line_dedup.SQL,
         "op9_chat_format": op09_chat.SQL,
+        "op11_filter_audit": op11_filter_audit.SQL,
+        "op12_hard_negatives": op12_hard_negatives.SQL,
     }
