@@ -24,12 +24,14 @@ phrase; rows that share an id follow each other by a hash of their text, and
 repeated rows are documents of their own; rows without an id stand in no order:
 their edited text is their own and near_next is null; the last document is
 followed by the first, a single one by itself; empty tables give no rows; other
-columns are not read.
+columns are not read. A text's dictionary is held whole while it is parsed, so memory
+follows the longest text.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 
 import numpy as np
@@ -42,64 +44,81 @@ from .op04_bpe import slices
 SLOTS, EMPTY = 128, 0xFFFF
 #: Keys of the sample that bounds are taken from, and ranges a shuffle partition.
 SAMPLE, RANGES = 20_000, 4
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BASE = 0x9E3779B97F4A7C15
 
 
 class Parse:
-    """The phrases of a text so far; it can be copied, and go on."""
+    """The phrases of a text so far, as a tree of dictionaries; ends are where they end, each beginning where the one before ends."""
 
     def __init__(self):
-        self.known: dict[int, int] = {}
-        self.node, self.ends = 0, []
-
-    def copy(self) -> Parse:
-        out = Parse()
-        out.known, out.node, out.ends = self.known.copy(), self.node, self.ends.copy()
-        return out
-
-    def read(self, points: list[int], at: int) -> Parse:
-        """Goes on over code points, the first of which is the text's at-th; a node is a known phrase, with room for a code point below."""
-        known, node, add = self.known, self.node, self.ends.append
-        find = known.get
-        for i, c in enumerate(points, at + 1):
-            below = find(node | c)
-            if below is None:
-                known[node | c] = (len(known) + 1) << 21
-                node = 0
-                add(i)
+        self.node = self.root = {}
+        self.ends: list[int] = []
+
+    def read(self, text: str, at: int = 0) -> list[tuple[dict, str]]:
+        """Goes on over text, whose first character is the at-th of all; returns what it adds to the tree."""
+        node, root, end, added = self.node, self.root, self.ends.append, []
+        add = added.append
+        for i, c in enumerate(text, at + 1):
+            if c in node:
+                node = node[c]
             else:
-                node = below
+                node[c] = {}
+                add((node, c))
+                end(i)
+                node = root
         self.node = node
-        return self
-
-
-def phrase_hashes(points: np.ndarray, ends: list[int]) -> np.ndarray:
-    """A 64-bit hash of each phrase; ends are where phrases end, each starting where the one before ends."""
+        return added
+
+    def branches(self, text: str, other: str, at: int) -> tuple[list[int], list[int]]:
+        """The ends of phrases when it goes on over text, and when it goes on over other instead."""
+        node, n = self.node, len(self.ends)
+        added = self.read(text, at)
+        ends = self.ends
+        for parent, c in reversed(added):
+            del parent[c]
+        self.node, self.ends = node, ends[:n]
+        self.read(other, at)
+        return ends, self.ends
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64."""
+    out = np.ones((2, size), np.uint64)
+    out[0, 1:], out[1, 1:] = np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64))
+    return tuple(np.multiply.accumulate(out, axis=1))
+
+
+def phrase_hashes(text: str, ends: list[int]) -> np.ndarray:
+    """A 64-bit hash of each phrase, of its characters and its length alone."""
     if not ends:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        n = ends[-1]
-        powers = np.ones(n, np.uint64)
-        powers[1:] = BASE
-        powers = np.multiply.accumulate(powers)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points[:n].astype(np.uint64) + np.uint64(1)) * powers)])
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)[: ends[-1]]
+        power, inverse = _powers(1 << max(16, len(points).bit_length()))
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points + np.uint64(1)) * power[: len(points)], out=sums[1:])
         stop = np.array(ends)
         start = np.concatenate([[0], stop[:-1]])
-        # The sum over a phrase, brought to the text's start, is a polynomial of its characters only; its length goes in too.
-        back = np.ones(n, np.uint64)
-        back[1:] = _INVERSE
-        h = (sums[stop] - sums[start]) * np.multiply.accumulate(back)[start] + (stop - start).astype(np.uint64)
+        # The sum over a phrase, brought to the text's start.
+        h = (sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
         return h ^ (h >> np.uint64(31))
 
 
+#: The least hash of each slot.
+_FIRST = np.array([i * (2**64 // SLOTS) for i in range(SLOTS)], np.uint64)
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The written 16 bits of the least hash of each slot."""
-    least = np.full(SLOTS, np.iinfo(np.uint64).max)
-    np.minimum.at(least, (hashes % np.uint64(SLOTS)).astype(np.int64), hashes // np.uint64(SLOTS))
-    return np.where(least == np.iinfo(np.uint64).max, EMPTY, least % np.uint64(EMPTY)).astype(np.uint16)
+    """The written 16 bits of the least hash of each slot; a hash's upper bits are its slot."""
+    h = np.sort(hashes)
+    at = np.searchsorted(h, _FIRST)
+    filled = np.diff(at, append=len(h)) > 0
+    out = np.full(SLOTS, EMPTY, np.uint16)
+    out[filled] = h[at[filled]] % np.uint64(EMPTY)
+    return out
 
 
 def written(sign: np.ndarray) -> str:
@@ -112,25 +131,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b)[either].mean()) if either.any() else 1.0
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
-
-
 def fingerprint(text: str) -> np.ndarray:
-    points = _points(text)
-    return signature(phrase_hashes(points, Parse().read(points.tolist(), 0).ends))
+    parse = Parse()
+    parse.read(text)
+    return signature(phrase_hashes(text, parse.ends))
 
 
 def fingerprints(text: str, following: str) -> tuple[np.ndarray, np.ndarray, str]:
     """(signature, that of the edited text, edited text); the edit puts the beginning of following in place of the last quarter."""
     kept = len(text) - len(text) // 4
     edited = text[:kept] + following[: len(text) // 4]
-    points, changed = _points(text), _points(edited)
-    listed = points.tolist()
-    whole = Parse().read(listed[:kept], 0)
-    other = whole.copy().read(changed[kept:].tolist(), kept)
-    whole.read(listed[kept:], kept)
-    return signature(phrase_hashes(points, whole.ends)), signature(phrase_hashes(changed, other.ends)), edited
+    parse = Parse()
+    parse.read(text[:kept])
+    own, changed = parse.branches(text[kept:], edited[kept:], kept)
+    return signature(phrase_hashes(text, own)), signature(phrase_hashes(edited, changed)), edited
 
 
 def _told(text: str, following: str) -> tuple[np.ndarray, list]:
