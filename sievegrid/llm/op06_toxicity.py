@@ -263,7 +263,7 @@ def _featured(rows: DataFrame, sent) -> DataFrame:
     def run(batches):
         reader = _reader(sent, lambda x: Reader(*x))
         for whole in batches:
-            for b in slices(whole, 1000):
+            for b in slices(whole, 200):
                 found = [sorted(reader.features(x)) for x in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1), b.column(2)], ["f", "toxic", "at"])
 
@@ -282,7 +282,7 @@ def _placed(found: DataFrame, place: dict[str, int]) -> DataFrame:
     """(f array<int>, toxic, at): the places of each row's features, without those that have none."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 200)):
             rows = [[place[x] for x in f if x in place] for f in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1), b.column(2)], ["f", "toxic", "at"])
 
