@@ -32,8 +32,9 @@ def show_text(commit: Column, author: Column, date: Column, message: Column, dif
 
 
 def listwise(text: Column) -> Column:
-    """The numbers in brackets, in order, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    """The numbers in brackets, in order, each once; those that no long holds name nothing, and are left out."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("long"))
+    return F.array_distinct(F.filter(numbers, lambda x: x.isNotNull()))
 
 
 def listwise_valid(text: Column) -> Column:
@@ -45,9 +46,22 @@ def after_marker(text: Column, marker: str) -> Column:
 
 
 def answer_number(text: Column) -> Column:
-    """A bracketed number, else a loose one; null without."""
-    found = F.coalesce(F.nullif(F.regexp_extract(text, r"\[(\d+)\]", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"\b(\d{1,3})\b", 1), F.lit("")))
-    return found.cast("int")
+    """A bracketed number, else a loose one of at most three digits; null without, or where no int holds it."""
+    return _first(text, r"\[(\d+)\]", r"\b(\d{1,3})\b").try_cast("int")
+
+
+def answer_in_turns(text: Column) -> Column:
+    """The number of an answer given over a manifest: the first digits, in brackets or after # or not; null without, or where no long holds it."""
+    return _first(text, r"(\d+)").try_cast("long")
+
+
+def answer_of_pool(text: Column) -> Column:
+    """The number of an answer given over a pool: the first in brackets, else the first that stands alone, of any length."""
+    return _first(text, r"\[(\d+)\]", r"\b(\d+)\b").try_cast("long")
+
+
+def _first(text: Column, *patterns: str) -> Column:
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
 
 
 def answer_hash(text: Column) -> Column:

@@ -12,28 +12,51 @@ from ..functions.parsing import show_author, show_date, show_diff
 SHORT_TAGS = {"source": "src", "test": "test", "doc": "doc", "fixture": "bin", "config": "cfg"}
 
 
+def _begun(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """(ask_id, doc_id): ids of asked's (ask_id, query_id, p) queries in pool (query_id, doc_id) that begin with p, in any case.
+
+    Ids are cut to the lengths that their query asks for, and joined to the asks by equality, so no ask meets the ids
+    that it doesn't name.
+    """
+    lengths = asked.select("query_id", F.length("p").alias("n")).distinct()
+    cut = pool.join(lengths, "query_id").where(F.length("doc_id") >= F.col("n")).select("query_id", F.left(F.lower("doc_id"), F.col("n")).alias("p"), "doc_id")
+    return asked.select("ask_id", "query_id", "p").join(cut, ["query_id", "p"]).select("ask_id", "doc_id")
+
+
 def resolve(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     """(ask_id, doc_id or null) for asked (ask_id, query_id, part) among candidates (query_id, position, doc_id string).
 
-    Digits alone (at most three), or after #, are a position; anything else is
-    an id in any case, or else the beginning of exactly one id. A position
-    out of range stays unresolved.
+    Digits alone (at most three), or after any # and blanks, are a position;
+    anything else is an id in lower case, or else the beginning of exactly one
+    id in any case. A position out of range, however large, stays unresolved,
+    and so do blank asks.
     """
     part = F.lower(F.trim("part"))
-    asked = asked.withColumn("p", part).withColumn("at", F.when(part.rlike("^#[0-9]+$|^[0-9]{1,3}$"), F.regexp_replace(part, "#", "").cast("int")))
-    by_place = asked.where("at is not null").join(candidates, (asked.query_id == candidates.query_id) & (F.col("at") == F.col("position")), "left").select("ask_id", "doc_id")
-    text = asked.where("at is null and p <> ''")
-    met = text.join(candidates.select("query_id", F.col("doc_id").alias("d")), "query_id").where(F.lower("d").startswith(F.col("p")))
-    found = met.groupBy("ask_id").agg(F.max(F.when(F.lower("d") == F.col("p"), F.col("d"))).alias("exact"), F.count("*").alias("n"), F.min("d").alias("one"))
-    by_text = asked.where("at is null").select("ask_id").join(found, "ask_id", "left").select("ask_id", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("doc_id"))
-    return by_place.unionByName(by_text)
+    digits = F.trim(F.regexp_replace(part, "^#+", ""))
+    placed = digits.rlike("^[0-9]+$") & (part.startswith("#") | (F.length(digits) <= 3))
+    asked = asked.withColumn("p", part).withColumn("placed", F.coalesce(placed, F.lit(False))).withColumn("at", F.when(placed, digits.try_cast("long")))
+    by_place = asked.where("placed").join(candidates, (asked.query_id == candidates.query_id) & (F.col("at") == F.col("position")), "left").select("ask_id", "doc_id")
+    rest = asked.where("not placed")
+    met = _begun(rest.where("p <> ''"), candidates).join(rest.select("ask_id", "p"), "ask_id")
+    found = met.groupBy("ask_id").agg(F.max(F.when(F.col("doc_id") == F.col("p"), F.col("doc_id"))).alias("exact"), F.count("*").alias("n"), F.min("doc_id").alias("one"))
+    return by_place.unionByName(rest.select("ask_id").join(found, "ask_id", "left").select("ask_id", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("doc_id")))
 
 
 def resolve_either(asked: DataFrame, pool: DataFrame) -> DataFrame:
-    """(ask_id, doc_id or null): the one pool id that begins with the part, or that the part begins with."""
-    met = asked.join(pool, "query_id").where(F.col("doc_id").startswith(F.col("part")) | F.col("part").startswith(F.col("doc_id")))
-    found = met.groupBy("ask_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("d")).select("ask_id", F.when(F.col("n") == 1, F.col("d")).alias("doc_id"))
-    return asked.select("ask_id").join(found, "ask_id", "left")
+    """(ask_id, doc_id or null) of asked (ask_id, query_id, part) in pool (query_id, doc_id), in any case.
+
+    An id equal to the part (the least of several), else the one that begins with the part or that the part begins
+    with; blank asks, and those that several answer, stay unresolved.
+    """
+    text = asked.select("ask_id", "query_id", F.lower(F.trim("part")).alias("p")).where("p <> ''")
+    # Both directions are joins by equality: on ids cut to a part's length, and on parts cut to an id's.
+    longer = _begun(text, pool)
+    lengths = pool.select("query_id", F.length("doc_id").alias("n")).distinct()
+    cut = text.join(lengths, "query_id").where((F.length("p") > F.col("n")) & (F.col("n") > 0)).select("ask_id", "query_id", F.left("p", F.col("n")).alias("d"))
+    shorter = cut.join(pool.select("query_id", F.lower("doc_id").alias("d"), "doc_id"), ["query_id", "d"]).select("ask_id", "doc_id")
+    met = longer.unionByName(shorter).join(text.select("ask_id", "p"), "ask_id")
+    found = met.groupBy("ask_id").agg(F.min(F.when(F.lower("doc_id") == F.col("p"), F.col("doc_id"))).alias("exact"), F.count("*").alias("n"), F.min("doc_id").alias("one"))
+    return asked.select("ask_id").join(found, "ask_id", "left").select("ask_id", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("doc_id"))
 
 
 def match_path(asked: DataFrame, files: DataFrame) -> DataFrame:
@@ -147,8 +170,12 @@ def resolve_answers(answers: DataFrame, candidates: DataFrame) -> DataFrame:
 
     The candidate of that rank, else the first whose id begins with the hash.
     """
-    met = answers.join(candidates, "query_id").where((F.col("rank") == F.col("number")) | F.col("doc_id").startswith(F.col("hash")))
-    best = met.groupBy("ask_id").agg(F.min_by("doc_id", F.struct(F.coalesce(F.col("rank") != F.col("number"), F.lit(True)), "rank")).alias("doc_id"))
+    by_rank = answers.join(candidates, (answers.query_id == candidates.query_id) & (answers.number == candidates["rank"])).select("ask_id", F.lit(0).alias("tier"), "rank", "doc_id")
+    hashed = answers.where("hash <> ''").select("ask_id", "query_id", F.col("hash").alias("p"))
+    lengths = hashed.select("query_id", F.length("p").alias("n")).distinct()
+    cut = candidates.join(lengths, "query_id").where(F.length("doc_id") >= F.col("n")).select("query_id", F.left("doc_id", F.col("n")).alias("p"), "rank", "doc_id")
+    by_hash = hashed.join(cut, ["query_id", "p"]).select("ask_id", F.lit(1).alias("tier"), "rank", "doc_id")
+    best = by_rank.unionByName(by_hash).groupBy("ask_id").agg(F.min_by("doc_id", F.struct("tier", "rank")).alias("doc_id"))
     return answers.select("ask_id").join(best, "ask_id", "left")
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import diffs, parsing, views
 from ..operators import candidates as cand
-from ..operators import dense, fusion, lexical, metrics, runs, select, stats, worklist
+from ..operators import dense, fusion, index, lexical, metrics, runs, select, stats, worklist
+from ..sources import store
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SUITE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -861,3 +862,79 @@ CALLS = "SELECT user_id AS item, event_id AS turn, CASE WHEN event_type = 'purch
        "a AS (SELECT item, string_agg(doc_id, ',' ORDER BY turn) AS seen FROM r GROUP BY 1) SELECT k.item, coalesce(any_value(seen), '') AS inspected, max(CASE WHEN tool = 'submit' THEN doc_id END) AS answer, count(*)::INT AS n_calls FROM k LEFT JOIN a USING (item) GROUP BY 1")
 def _(d):
     return select.replay(d.sql(CALLS)).select("item", F.array_join("inspected", ",").alias("inspected"), "answer", "n_calls")
+
+
+EITHER = "SELECT o_orderkey AS ask_id, o_custkey AS query_id, CASE WHEN o_orderkey % 5 = 0 THEN upper(substring(md5(CAST(o_orderkey AS STRING)), 1, 6)) WHEN o_orderkey % 5 = 1 THEN concat(' ', md5(CAST(o_orderkey AS STRING)), 'ff') WHEN o_orderkey % 5 = 2 THEN substring(md5(CAST(o_orderkey AS STRING)), 1, 1) WHEN o_orderkey % 5 = 3 THEN md5(CAST(o_orderkey AS STRING)) ELSE ' ' END AS part FROM {orders}"
+
+
+@query("either_prefix_resolve", f"WITH a AS (SELECT ask_id, query_id, trim(lower(part)) AS p FROM ({plain(EITHER)})), m AS (SELECT ask_id, p, doc_id FROM a JOIN ({plain(IDS)}) USING (query_id) WHERE p <> '' AND (starts_with(lower(doc_id), p) OR starts_with(p, lower(doc_id)))), "
+       "g AS (SELECT ask_id, min(CASE WHEN lower(doc_id) = p THEN doc_id END) AS exact, count(*) AS n, min(doc_id) AS one FROM m GROUP BY 1) SELECT ask_id, coalesce(exact, CASE WHEN n = 1 THEN one END) AS doc_id FROM a LEFT JOIN g USING (ask_id)")
+def _(d):
+    return cand.resolve_either(d.sql(EITHER), d.sql(IDS).select("query_id", "doc_id"))
+
+
+ANSWERS = "SELECT event_id, CASE event_id % 8 WHEN 0 THEN concat('So the answer is: [#', event_id, ']') WHEN 1 THEN concat('[1] So the answer is: 5 or [', event_id % 30, ']') WHEN 2 THEN concat('candidate ', event_id * 1000) WHEN 3 THEN 'So the answer is: [98765432109876543210]' WHEN 4 THEN concat('So the answer is: none of [', event_id, ']') WHEN 5 THEN 'a12 is it' WHEN 6 THEN '' ELSE 'no idea' END AS t FROM {events}"
+
+
+@query("answer_grammars", f"WITH s AS (SELECT event_id, string_split(t, 'So the answer is:')[-1] AS t FROM ({plain(ANSWERS)})) SELECT event_id, TRY_CAST(nullif(regexp_extract(t, '(\\d+)', 1), '') AS BIGINT) AS in_turns, TRY_CAST(coalesce(nullif(regexp_extract(t, '\\[(\\d+)\\]', 1), ''), nullif(regexp_extract(t, '\\b(\\d+)\\b', 1), '')) AS BIGINT) AS of_pool FROM s")
+def _(d):
+    t = parsing.after_marker(F.col("t"), "So the answer is:")
+    return d.sql(ANSWERS).select("event_id", parsing.answer_in_turns(t).alias("in_turns"), parsing.answer_of_pool(t).alias("of_pool"))
+
+
+MAIN_PASS = "SELECT o_custkey AS query_id, CASE WHEN o_custkey % 7 <> 0 THEN concat('d', CAST(min(o_orderkey) AS STRING)) END AS best_doc_id, concat('m', CAST(count(*) AS STRING)) AS reasoning, CASE WHEN o_custkey % 11 = 0 THEN 'failed' END AS error, 'submit' AS stopped_reason, CAST(count(*) AS INT) AS iterations, array(concat('d', CAST(min(o_orderkey) AS STRING))) AS inspected, array(named_struct('turn', 1, 'tool', 'read', 'args', map('c', 'x'))) AS calls, CAST(count(*) AS BIGINT) AS tokens_in, CAST(2 AS BIGINT) AS tokens_out, CAST(0.5 AS DOUBLE) AS cost FROM {orders} GROUP BY o_custkey"
+CRITIC_PASS = "SELECT o_custkey AS query_id, CASE WHEN o_custkey % 3 = 0 THEN concat('d', CAST(max(o_orderkey) AS STRING)) WHEN o_custkey % 3 = 1 THEN concat('d', CAST(min(o_orderkey) AS STRING)) ELSE '' END AS best_doc_id, 'c' AS reasoning, CAST(NULL AS STRING) AS error, 'max' AS stopped_reason, 4 AS iterations, array(concat('d', CAST(max(o_orderkey) AS STRING)), concat('d', CAST(min(o_orderkey) AS STRING))) AS inspected, array(named_struct('turn', 1, 'tool', 'list', 'args', map('c', 'y')), named_struct('turn', 2, 'tool', 'submit', 'args', map('c', 'z'))) AS calls, CAST(3 AS BIGINT) AS tokens_in, CAST(1 AS BIGINT) AS tokens_out, CAST(0.25 AS DOUBLE) AS cost FROM {orders} GROUP BY o_custkey"
+PASS_RANKS = "SELECT o_custkey AS query_id, concat('d', CAST(o_orderkey AS STRING)) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS INT) AS rank FROM {orders}"
+PASS_TRUTH = "SELECT o_custkey AS query_id, concat('d', CAST(o_orderkey AS STRING)) AS doc_id FROM {orders} WHERE o_orderstatus = 'F'"
+
+
+@query("review_composed", f'''WITH o AS (SELECT o_custkey AS k, min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(*) AS n FROM orders GROUP BY 1), r AS ({plain(PASS_RANKS)}), t AS ({plain(PASS_TRUTH)}),
+x AS (SELECT *, k % 7 <> 0 AND k % 11 <> 0 AND n >= 2 AS met, k % 3 = 0 AND hi <> lo AS other FROM o),
+y AS (SELECT *, CASE WHEN met AND other THEN 'overridden' WHEN met THEN 'confirmed' ELSE 'alone' END AS outcome, CASE WHEN met AND other THEN 'd' || hi WHEN k % 7 <> 0 THEN 'd' || lo END AS best FROM x)
+SELECT k AS query_id, outcome, best AS best_doc_id, CASE outcome WHEN 'overridden' THEN '[critic override] c' WHEN 'confirmed' THEN '[critic confirmed] m' || n ELSE 'm' || n END AS reasoning,
+  CASE outcome WHEN 'overridden' THEN 'critic_override:max' WHEN 'confirmed' THEN 'critic_confirmed:submit' ELSE 'submit' END AS stopped_reason, CAST(n + CASE WHEN met THEN 4 ELSE 0 END AS INT) AS iterations,
+  CASE WHEN met AND lo <> hi THEN 'd' || lo || ',d' || hi ELSE 'd' || lo END AS inspected, CASE WHEN met THEN '1 read,2 critic.list,3 critic.submit' ELSE '1 read' END AS calls,
+  n + CASE WHEN met THEN 3 ELSE 0 END AS tokens_in, CASE WHEN met THEN 0.75 ELSE 0.5 END::DOUBLE AS cost, EXISTS (SELECT 1 FROM t WHERE t.query_id = k AND t.doc_id = best) AS hit,
+  (SELECT min(rank) FROM r WHERE r.query_id = k AND r.doc_id = best) AS first_rank, (SELECT min(rank) FROM r SEMI JOIN t USING (query_id, doc_id) WHERE r.query_id = k AND rank <= 5) AS truth_rank FROM y''')
+def _(d):
+    ranks = d.sql(PASS_RANKS)
+    out = select.with_review(d.sql(MAIN_PASS), d.sql(CRITIC_PASS), ranks.where("rank <= 4"), ranks, d.sql(PASS_TRUTH), 5)
+    calls = F.array_join(F.transform("calls", lambda c: F.concat_ws(" ", c["turn"].cast("string"), c["tool"])), ",")
+    return out.select("query_id", "outcome", "best_doc_id", "reasoning", "stopped_reason", "iterations", F.array_join("inspected", ",").alias("inspected"), calls.alias("calls"), "tokens_in", "cost", "hit", "first_rank", "truth_rank")
+
+
+# ---- tables that outlive a call -------------------------------------------------------------------------------------
+
+@query("repo_bm25_indexed", ctes(REPO_BM25_SQL) + "SELECT * FROM bm")
+def _(d):
+    """The documents go into the index in two batches, the second of which holds all of them; the search reads the index alone."""
+    path, docs = store.scratch(d.spark, "index"), d.documents.select("doc_id", F.col("lang").alias("repo_key"), "text")
+    index.add(docs.where("source <> 'web'"), path, "first")
+    index.add(docs, path, "second")
+    return index.search(d.spark, path, d.sql(REPO_QUERIES), 50, doc_kind="bigint")
+
+
+#: Two repositories share each id; a third of the pairs are asked for, and some that are nowhere.
+FORKS = "SELECT concat('c', CAST(doc_id DIV 2 AS STRING)) AS commit_id, source AS commit_msg, text AS diff, lang AS datetime, lang AS author, CAST(NULL AS TIMESTAMP) AS ts, concat('o@@r', CAST(doc_id % 2 AS STRING)) AS repo_key FROM {documents}"
+CONTENT_ASKED = "SELECT concat('c', CAST(item_id AS STRING)) AS commit_id, concat('o@@r', CAST(item_id % 3 AS STRING)) AS repo_key, item_id FROM {benchmark}"
+
+
+@query("commit_content_by_repo", f"SELECT repo_key, commit_id, commit_msg, md5(diff) AS digest FROM ({plain(FORKS).replace('DIV', '//').replace('CAST(NULL AS TIMESTAMP) AS ts, ', '')}) SEMI JOIN ({plain(CONTENT_ASKED)}) USING (repo_key, commit_id)")
+def _(d):
+    path = store.scratch(d.spark, "commits")
+    store.write_commits(d.sql(FORKS), path)
+    found = store.content_of(store.commit_store(d.spark, path), d.sql(CONTENT_ASKED))
+    return found.select("repo_key", "commit_id", "commit_msg", F.md5("diff").alias("digest"))
+
+
+PAIR_ITEMS = "SELECT concat('q', CAST(item_id AS STRING)) AS query_id, text AS description, 'o' AS owner, concat('r', CAST(item_id % 3 AS STRING)) AS repo, array(concat('c', CAST(item_id AS STRING))) AS fix_commit_ids FROM {benchmark}"
+PAIR_CANDIDATES = "SELECT concat('q', CAST(item_id AS STRING)) AS query_id, concat('c', CAST(item_id + d AS STRING)) AS doc_id, CAST(d + 1 AS INT) AS rank FROM {benchmark} CROSS JOIN (SELECT explode(sequence(0, 7)) AS d)"
+
+
+@query("pair_table", f"WITH f AS ({plain(FORKS).replace('DIV', '//').replace('CAST(NULL AS TIMESTAMP) AS ts, ', '')}), c AS (SELECT item_id, text, d, 'c' || (item_id + d) AS commit_id, 'r' || (item_id % 3) AS r FROM benchmark, range(5) g(d)) "
+       "SELECT 'q' || item_id AS cve, md5(text) AS desc_md5, 'o/' || r AS repo, c.commit_id, coalesce(commit_msg, '') AS commit_message, md5(coalesce(diff, '')) AS diff_md5, CAST(d = 0 AS INT) AS label, CAST(d + 1 AS INT) AS rank FROM c LEFT JOIN f ON f.commit_id = c.commit_id AND f.repo_key = 'o@@' || r")
+def _(d):
+    path = store.scratch(d.spark, "commits")
+    store.write_commits(d.sql(FORKS), path)
+    rows = store.pair_table(d.sql(PAIR_ITEMS), d.sql(PAIR_CANDIDATES), store.commit_store(d.spark, path), 5)
+    return rows.select("cve", F.md5("desc").alias("desc_md5"), "repo", "commit_id", "commit_message", F.md5("diff").alias("diff_md5"), "label", "rank")

@@ -24,12 +24,14 @@ def csv(spark: SparkSession, path, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
 
 
-def truth_ids(column):
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
+def truth_ids(column, trimmed: bool = True):
+    """The ids between pipes that aren't empty, in order, with their repeats; trimmed, unless the variant keeps them as they are."""
+    parts = F.split(F.coalesce(column, F.lit("")), r"\|")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)) if trimmed else parts, lambda x: x != "")
 
 
 def queries(spark: SparkSession, path, most: int = 0, columns: dict[str, str] | None = None, limit_first: bool = False, trimmed: bool = True) -> DataFrame:
-    """(cve_id, description, owner, repo, fix_commit_ids array, repo_key, query_key); rows need all keys and a truth.
+    """(cve_id, description, owner, repo, fix_commit_ids array, repo_key, query_key); rows need all keys, but not a truth: open cases are ranked too.
 
     columns renames what a variant of the file calls otherwise; `most` counts kept rows, or with limit_first the rows
     of the file. Fields are trimmed unless the variant keeps them as they are.
@@ -40,8 +42,8 @@ def queries(spark: SparkSession, path, most: int = 0, columns: dict[str, str] |
     if most and limit_first:
         rows, most = rows.limit(most), 0
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if trimmed else F.coalesce(F.col(c), F.lit(""))
-    out = rows.select(text("cve").alias("cve_id"), text("cve_description").alias("description"), text("owner").alias("owner"), text("repo").alias("repo"), truth_ids(F.col("fix_commit_ids")).alias("fix_commit_ids"))
-    out = out.where("cve_id <> '' and owner <> '' and repo <> '' and size(fix_commit_ids) > 0")
+    out = rows.select(text("cve").alias("cve_id"), text("cve_description").alias("description"), text("owner").alias("owner"), text("repo").alias("repo"), truth_ids(F.col("fix_commit_ids"), trimmed).alias("fix_commit_ids"))
+    out = out.where("cve_id <> '' and owner <> '' and repo <> ''")
     out = out.withColumn("repo_key", F.concat_ws("@@", "owner", "repo")).withColumn("query_key", F.concat_ws("::", "repo_key", "cve_id"))
     return out.limit(most) if most else out
 
@@ -64,17 +66,22 @@ def score_files(spark: SparkSession, path, field: str = "new_score", missing: fl
 
 
 def commits(spark: SparkSession, path, columns: tuple[str, ...] = ("commit_id", "commit_msg", "diff", "datetime", "author")) -> DataFrame:
-    """Commits of JSON arrays; bad files and blank ids are left out, the first of equal ids stays, author falls back to the address."""
-    rows = spark.read.json(path, schema=COMMIT, multiLine=True, mode="PERMISSIVE").withColumn("__at", F.monotonically_increasing_id())
-    rows = rows.where("_corrupt_record is null and trim(commit_id) <> ''").withColumn("author", F.coalesce(F.nullif("author", F.lit("")), "author_email", F.lit("")))
-    first = Window.partitionBy("commit_id").orderBy("__at")
-    out = rows.withColumn("__i", F.row_number().over(first)).where("__i = 1")
-    return out.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.try_to_timestamp("datetime").alias("ts"))
+    """(repo_key, *columns, ts): commits of JSON arrays in files split_<repo key>/*.json.
+
+    Bad files and blank ids are left out, author falls back to the address. Of equal ids of one repository the first
+    stays, by file and place; repositories that share ids (forks) keep their own. Files elsewhere have an empty repo_key.
+    """
+    rows = spark.read.json(path, schema=COMMIT, multiLine=True, mode="PERMISSIVE").withColumn("__at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    repo = F.url_decode(F.replace(F.regexp_extract("__at.file_path", r"/split_([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B")))
+    rows = rows.where("_corrupt_record is null and trim(commit_id) <> ''").withColumn("author", F.coalesce(F.nullif("author", F.lit("")), "author_email", F.lit(""))).withColumn("repo_key", repo).withColumn("commit_id", F.trim("commit_id"))
+    out = rows.groupBy("repo_key", "commit_id").agg(F.min_by(F.struct(*(c for c in columns if c != "commit_id"), F.col("datetime").alias("__t")), "__at").alias("c"))
+    return out.select("repo_key", *(F.coalesce(F.col(c if c == "commit_id" else f"c.{c}"), F.lit("")).alias(c) for c in columns), F.try_to_timestamp("c.__t").alias("ts"))
 
 
-def content_of(corpus: DataFrame, ids: DataFrame, key: str = "commit_id") -> DataFrame:
-    """The corpus's rows whose ids are asked for."""
-    return corpus.join(ids.select(key).distinct(), key, "left_semi")
+def content_of(corpus: DataFrame, ids: DataFrame, key: str | list[str] = "commit_id") -> DataFrame:
+    """The corpus's rows whose ids are asked for; with repo_key among the key where ids are a repository's own."""
+    key = [key] if isinstance(key, str) else list(key)
+    return corpus.join(ids.select(*key).distinct(), key, "left_semi")
 
 
 def embeddings(spark: SparkSession, path, dim: int | None = None) -> DataFrame:
