@@ -53,8 +53,8 @@ SEEN, FREQUENT = 4, 48
 FREQUENT_MOST = 1_000_000
 #: Rows of half a tile, about.
 TILE = 256
-#: Postings of a column block, about.
-BLOCK = 1_000_000
+#: Postings of a column block, about, and pairs made of it at a time, about.
+BLOCK, PAIRS = 1_000_000, 2_000_000
 
 
 class _Words(dict):
@@ -212,23 +212,29 @@ def _product(t: int):
             yield out(k[wide], pa.nulls(w, pa.int64()), n[wide], pa.nulls(w, pa.int32()), pa.nulls(w, pa.int32()), pa.array(h[wide].view(np.int64)))
         column = np.repeat(np.arange(len(size)), size)
         column[wide] = -1 - np.flatnonzero(wide)
-        found = []
-        for step in range(1, min(WIDE, int(size[size <= WIDE].max(initial=1)))):
-            i = np.flatnonzero(column[step:] == column[:-step])
-            if not len(i):
-                break
-            i = i[100 * n[i].astype(np.int64) >= t * n[i + step].astype(np.int64)]
-            found.append(np.stack([i, i + step]))
-        if not found:
-            return
-        a, b = np.concatenate(found, axis=1)
-        order = np.lexsort((k[b], k[a]))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.append(True, (k[a][1:] != k[a][:-1]) | (k[b][1:] != k[b][:-1])) if len(a) else np.empty(0, bool))
-        count = np.diff(np.append(first, len(a))).astype(np.int32)
-        for i in range(0, len(first), 100_000):
-            x, y = a[first[i : i + 100_000]], b[first[i : i + 100_000]]
-            yield out(k[x], pa.array(k[y]), n[x], pa.array(n[y]), pa.array(count[i : i + 100_000]), pa.nulls(len(x), pa.int64()))
+        # Columns are multiplied some at a time, so what a task holds is bounded; overlaps are summed per pair later on.
+        many, ends = np.where(size > WIDE, 0, size * (size - 1) // 2), np.cumsum(size)
+        part = np.cumsum(many) // PAIRS
+        for last in np.flatnonzero(np.diff(part, append=-1)):
+            before = np.flatnonzero(part < part[last])
+            lo, hi = (int(ends[before[-1]]) if len(before) else 0), int(ends[last])
+            col, ks, ns, found = column[lo:hi], k[lo:hi], n[lo:hi], []
+            for step in range(1, hi - lo):
+                i = np.flatnonzero(col[step:] == col[:-step])
+                if not len(i):
+                    break
+                i = i[100 * ns[i].astype(np.int64) >= t * ns[i + step].astype(np.int64)]
+                found.append(np.stack([i, i + step]))
+            if not found:
+                continue
+            x, y = np.concatenate(found, axis=1)
+            order = np.lexsort((ks[y], ks[x]))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.append(True, (ks[x][1:] != ks[x][:-1]) | (ks[y][1:] != ks[y][:-1])) if len(x) else np.empty(0, bool))
+            count = np.diff(np.append(first, len(x))).astype(np.int32)
+            for i in range(0, len(first), 100_000):
+                u, v = x[first[i : i + 100_000]], y[first[i : i + 100_000]]
+                yield out(ks[u], pa.array(ks[v]), ns[u], pa.array(ns[v]), pa.array(count[i : i + 100_000]), pa.nulls(len(u), pa.int64()))
 
     return run
 
@@ -271,20 +277,20 @@ def _most(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
 
 
 def _possible(pairs: DataFrame, held: DataFrame, t: int) -> DataFrame:
-    """Those of pairs (a, b, c) whose bitmaps allow the similarity."""
+    """Those of pairs (a, b) whose bitmaps allow the similarity."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, 1000):
                 ok = []
-                for x, n, y, m in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
+                for x, n, y, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                     both = _most(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m)
                     ok.append(100 * both >= t * (n + m - both))
-                yield b.select(["a", "b", "c"]).filter(pa.array(ok, pa.bool_()))
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = held.select(F.col("k").alias("a"), F.col("bits").alias("x"), F.col("n").alias("n_x"))
     right = held.select(F.col("k").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n_y"))
-    return pairs.select("a", "b", "c").join(left, "a").join(right, "b").select("a", "b", "c", "x", "n_x", "y", "n_y").mapInArrow(run, "a long, b long, c int")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(run, "a long, b long")
 
 
 def _held(texts: DataFrame, n: int) -> DataFrame:
@@ -443,19 +449,23 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     wanted = materialize(sets.join(named, "k", "left_semi").select("k", F.col("rep"), F.col("tid").alias("t")), "ngram-wanted")
     found = sifted(of, "tid", key_bitmap(wanted, "t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("t"))).groupBy("k").agg(F.min("text").alias("text"))
     held = materialize(_held(found, n), "ngram-texts")
-    possible = materialize(_possible(pairs, held, t), "ngram-possible")
-    discard(pairs, wanted)
-
-    best = possible.where("c > 0").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    first = materialize(_verify(possible.where("c = 0").select("a", "b").union(best).distinct(), held, n, t), "ngram-links")
+    # First each row with the one it shares most with, and the spokes of wide columns: they connect groups of near copies,
+    # whose other pairs then need no bitmaps or texts.
+    best = pairs.where("c > 0").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    some = best.union(pairs.where("c = 0").select("a", "b")).distinct()
+    possible = materialize(_possible(some, held, t), "ngram-possible")
+    first = materialize(_verify(possible, held, n, t), "ngram-links")
     joined = materialize(components(first, "ngram-first"), "ngram-joined")
 
     def label(df: DataFrame, col: str, to: str) -> DataFrame:
         return df.join(joined.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
 
-    left = label(label(possible.where("c > 0").select("a", "b"), "a", "g_a"), "b", "g_b").where("g_a <> g_b").select("a", "b")
-    second = materialize(_verify(left.distinct(), held, n, t).union(_open_groups(wide, joined, held, _sets(held.join(wide.select("k").distinct(), "k", "left_semi"), n), t)), "ngram-more")
-    discard(held, wide, possible, joined)
+    left = label(label(pairs.where("c > 0").select("a", "b"), "a", "g_a"), "b", "g_b").where("g_a <> g_b").select("a", "b").join(best, ["a", "b"], "left_anti")
+    left = materialize(_possible(left, held, t), "ngram-left")
+    needed = key_bitmap(left.select(F.col("a").alias("k")).union(left.select("b")).distinct(), "k")
+    more = _verify(left, sifted(held, "k", needed), n, t)
+    second = materialize(more.union(_open_groups(wide, joined, held, _sets(held.join(wide.select("k").distinct(), "k", "left_semi"), n), t)), "ngram-more")
+    discard(pairs, wanted, held, wide, possible, left, joined)
     # Components of sets, named by the least doc_id of all their documents.
     links = materialize(components(first.union(second), "ngram-final"), "ngram-components")
     discard(first, second)
