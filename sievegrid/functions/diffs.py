@@ -74,25 +74,34 @@ def target_path(header: Column) -> Column:
     return F.coalesce(F.nullif(named, F.lit("")), F.regexp_replace(fourth, "^b/", ""), F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once per row or element: inside lambdas nothing else shares it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def file_changes(text: Column) -> Column:
-    """The changed files of a diff, in order; lines before the first are left out. Null and empty texts have none."""
-    rows = lines(text)
-    starts = F.filter(F.transform(rows, lambda x, i: F.when(x.startswith(HEADER), i + 1)), lambda i: i.isNotNull())
-    blocks = F.transform(starts, lambda s, i: F.slice(rows, s, F.coalesce(F.get(starts, i + 1), F.size(rows) + 1) - s))
-
-    def change(b: Column, i: Column) -> Column:
-        count = lambda rule: F.size(F.filter(b, rule)).cast("long")
-        return F.struct(
-            (i + 1).cast("long").alias("block"),
-            target_path(F.get(b, F.lit(0))).alias("path"),
-            F.exists(b, lambda x: x.startswith("Binary files") & x.contains("differ")).alias("is_binary"),
-            count(lambda x: x.startswith("+") & ~x.startswith("+++")).alias("adds"),
-            count(lambda x: x.startswith("-") & ~x.startswith("---")).alias("dels"),
-            count(lambda x: x.startswith("@@")).alias("hunks"),
-            F.array_join(b, "\n").alias("raw"),
-        )
+    """The changed files of a diff, in order; lines before the first are left out. Null and empty texts have none.
+
+    The text is cut before each file's line once, and each file is read by itself, so time follows the text's length.
+    """
+    blocks = F.split(F.coalesce(text, F.lit("")), f"(?<=[{BREAKS.split('[')[1]})(?={HEADER})")
 
-    return F.transform(blocks, change)
+    def change(raw: Column, i: Column) -> Column:
+        def read(b: Column) -> Column:
+            count = lambda rule: F.size(F.filter(b, rule)).cast("long")
+            return F.struct(
+                (i + 1).cast("long").alias("block"),
+                target_path(F.get(b, F.lit(0))).alias("path"),
+                F.exists(b, lambda x: x.startswith("Binary files") & x.contains("differ")).alias("is_binary"),
+                count(lambda x: x.startswith("+") & ~x.startswith("+++")).alias("adds"),
+                count(lambda x: x.startswith("-") & ~x.startswith("---")).alias("dels"),
+                count(lambda x: x.startswith("@@")).alias("hunks"),
+                F.array_join(b, "\n").alias("raw"),
+            )
+
+        return bound(lines(raw), read)
+
+    return F.transform(F.filter(blocks, lambda x: x.startswith(HEADER)), change)
 
 
 def parse_diff(commits: DataFrame, key: str = "doc_id", text: str = "diff") -> DataFrame:
@@ -133,13 +142,11 @@ def file_priority(tag: Column, adds: Column, dels: Column, path: Column, words:
 
 def classified(files: Column, description: Column) -> Column:
     """files with tag and priority."""
-    words = word_set(description, 3)
 
-    def add(f: Column) -> Column:
-        tag = file_tag(f["path"], f["is_binary"])
-        return f.withField("tag", tag).withField("priority", file_priority(tag, f["adds"], f["dels"], f["path"], words))
+    def add(f: Column, words: Column) -> Column:
+        return bound(file_tag(f["path"], f["is_binary"]), lambda tag: f.withField("tag", tag).withField("priority", file_priority(tag, f["adds"], f["dels"], f["path"], words)))
 
-    return F.transform(files, add)
+    return bound(word_set(description, 3), lambda words: F.transform(files, lambda f: add(f, words)))
 
 
 def by_priority(files: Column) -> Column:
@@ -173,9 +180,9 @@ def commit_text(message: Column, diff: Column, budget: int = 6000) -> Column:
 def compress_block(raw: Column, budget: Column | int) -> Column:
     """Headers and changed lines only; if still too long, its head and its tail around a mark."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    kept = F.array_join(F.filter(lines(raw), lambda x: x.rlike(f"^(?:{'|'.join(KEPT_STARTS)})")), "\n")
     half = F.greatest(F.lit(200), F.floor(budget / 2).cast("int") - 30)
-    return F.when(F.length(kept) <= budget, kept).otherwise(F.concat(F.left(kept, half), F.lit(MIDDLE_CUT), F.right(kept, half)))
+    kept = F.array_join(F.filter(lines(raw), lambda x: x.rlike(f"^(?:{'|'.join(KEPT_STARTS)})")), "\n")
+    return bound(kept, lambda k: F.when(F.length(k) <= budget, k).otherwise(F.concat(F.left(k, half), F.lit(MIDDLE_CUT), F.right(k, half))))
 
 
 def padded(text: Column, width: int) -> Column:
