@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -18,11 +21,32 @@ _HELD: dict = {}
 _WRITTEN: list[str] = []
 
 
+#: Seconds after which a worker that begins no task forgets what it remembers; an executor keeps idle workers.
+IDLE = 15.0
+_TIMER: list[threading.Timer] = []
+
+
+def forget() -> None:
+    """Drops what this worker remembers, and gives the memory back to the machine."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def held(kind: str, key, make: Callable):
     """What `make` returns, remembered by this worker for the next tasks; what it held for another operator, or key, goes."""
     if (kind, key) not in _HELD:
-        _HELD.clear()
+        forget()
         _HELD[kind, key] = make()
+    while _TIMER:
+        _TIMER.pop().cancel()
+    _TIMER.append(threading.Timer(IDLE, forget))
+    _TIMER[0].daemon = True
+    _TIMER[0].start()
     return _HELD[kind, key]
 
 

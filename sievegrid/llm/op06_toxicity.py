@@ -36,6 +36,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,6 +184,8 @@ class Reader:
 
     def __init__(self, grams: dict[str, int], wanted: set[str] | None = None):
         self.model, self.wanted, self.memo, self.bare = CharModel(grams), wanted, {}, set()
+        # How plain words with a wanted feature begin.
+        self.stems = None if wanted is None else {x[1:4] if x.startswith("=") else x[:3] for x in wanted}
 
     def told(self, w: str) -> list[str]:
         """The features of a restored word."""
@@ -196,6 +199,8 @@ class Reader:
     def word(self, token: str) -> tuple[str, ...]:
         token = token.strip(EDGES)
         if token.isalpha() and len(token) <= LONG and not TRIPLE.search(token) and (token.isascii() or not UNBLANKED.search(token)):
+            if self.stems is not None and token[:3] not in self.stems:
+                return ()
             found = "=" + token, *(token[:k] for k in range(3, min(7, len(token) + 1)))
             return found if self.wanted is None else tuple(x for x in found if x in self.wanted)
         out: list[str] = []
@@ -278,13 +283,17 @@ def select_features(counts: DataFrame, n1: int, n0: int) -> list[str]:
     return sorted(rank, key=lambda f: (rank[f], f))
 
 
-def _placed(found: DataFrame, place: dict[str, int]) -> DataFrame:
-    """(f array<int>, toxic, at): the places of each row's features, without those that have none."""
+def _placed(found: DataFrame, picked: list[str]) -> DataFrame:
+    """(f array<int>, toxic, at): the places in picked of each row's features, without those that have none."""
 
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole, 200)):
-            rows = [[place[x] for x in f if x in place] for f in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1), b.column(2)], ["f", "toxic", "at"])
+        names = pa.array(picked, pa.string())
+        for b in (part for whole in batches for part in slices(whole, 1000)):
+            f = b.column(0)
+            at = pc.fill_null(pc.index_in(f.flatten(), value_set=names), -1).to_numpy()
+            row = np.repeat(np.arange(len(f)), pc.list_value_length(f).to_numpy())
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[at >= 0], minlength=len(f)))])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[at >= 0].astype(np.int32))), b.column(1), b.column(2)], ["f", "toxic", "at"])
 
     return found.mapInArrow(run, "f array<int>, toxic int, at long")
 
@@ -325,7 +334,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str,
     toxic = (F.col("toxic") == 1).cast("long")
     counts = found.select(F.explode("f").alias("feature"), toxic.alias("t")).groupBy("feature").agg(F.sum("t").alias("n1"), F.sum(1 - F.col("t")).alias("n0"))
     picked = select_features(counts, *sizes)
-    fit = _placed(found, {f: i for i, f in enumerate(picked)}).toArrow().sort_by("at")
+    fit = _placed(found, picked).toArrow().sort_by("at")
     discard(rows, found)
     y = (fit["toxic"].to_numpy() == 1).astype(float)
     w, b = _fit(fit["f"].to_pylist(), y, len(picked)) if len(y) else (np.zeros(len(picked)), -3.0)
