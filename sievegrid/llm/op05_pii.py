@@ -1,13 +1,15 @@
 """Personal data by fixed forms, and by bootstrapped contextual extraction.
 
-The fixed forms (email, ip, card, phone) give the base spans. They, and tokens
-of forms that only credentials have (long hex digests, keys with a known
-beginning), are the seeds. Every seed and every other token that looks like an
+The fixed forms (email, ip, card, phone) give the base spans. They, and a fixed
+fifth (by a hash) of the tokens of forms that only credentials have (long hex
+digests, keys with a known beginning), are the seeds; all other credentials are
+to be found by what stands before them. Every seed and every other token that looks like an
 identifier (six characters or more, with a digit) is an instance; the one, two
 and three units (words or signs, a word among them) before it are its lexical
 patterns, whatever blanks stand between. Spark scores the graph of patterns and instances in turns:
-a pattern is as good as the share of its instances that are believed, an
-instance as good as its patterns make it. A pattern is accepted if enough
+a pattern is as good as the share of its instances that are believed, or that the
+seeds speak for (one seeded credential stands for five), an instance as good as
+its patterns make it. A pattern is accepted if enough
 different believed instances follow it, nearly all identifiers after it are
 believed, and a fair share of all its occurrences in the corpus stands before an
 identifier at all; so common words never are patterns. Identifiers after
@@ -24,6 +26,7 @@ masking passes other columns through.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -45,6 +48,8 @@ _UNIT = re.compile(r"\w+|[^\w\s]")
 _WORDY = re.compile(r"\w")
 #: Forms of credentials: hex digests of 128, 160 and 256 bits, and keys with a known beginning. Fixed values.
 _CREDENTIAL = re.compile(r"(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|xox[abp]-[0-9A-Za-z-]{20,}")
+#: One of so many credentials is a seed, by its hash, and speaks for all of them; different instances that seeds must be.
+PART, SEEDS = 5, 2
 #: Units of the longest pattern.
 UNITS = 3
 _DIGIT = re.compile("[0-9]")
@@ -139,8 +144,13 @@ def spans_of(text: str, patterns: frozenset[str] | set[str], starts: frozenset[i
     return base, sorted(base + more)
 
 
+def seeded(token: str) -> bool:
+    """Whether a token that no fixed form knows is a seed: one of the chosen part of credentials."""
+    return bool(_CREDENTIAL.fullmatch(token)) and zlib.crc32(token.lower().encode()) % PART == 0
+
+
 def _edges(docs: DataFrame) -> DataFrame:
-    """(pattern, instance, seed, n): how often an instance stands after a pattern."""
+    """(pattern, instance, seed, n): how often an instance stands after a pattern; seed: how many instances it speaks for, 0 if it is none."""
 
     def run(batches):
         held("pii", None, dict)
@@ -150,16 +160,16 @@ def _edges(docs: DataFrame) -> DataFrame:
                 for x in b.column(0).to_pylist():
                     if x and re.search("[0-9@]", x):
                         base = base_spans(x)
-                        for s, e, seed in [(s, e, True) for s, _, e in base] + [(s, e, bool(_CREDENTIAL.fullmatch(x, s, e))) for s, e in others(x, base)]:
+                        for s, e, seed in [(s, e, 1) for s, _, e in base] + [(s, e, PART * seeded(x[s:e])) for s, e in others(x, base)]:
                             for p in _before(x, s):
                                 found[p, x[s:e].lower(), seed] += 1
                 keys = list(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))] + [pa.array(list(found.values()), pa.int64())],
+                    [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array(list(found.values()), pa.int64())],
                     ["pattern", "instance", "seed", "n"],
                 )
 
-    rows = docs.select("text").mapInArrow(run, "pattern string, instance string, seed boolean, n long")
+    rows = docs.select("text").mapInArrow(run, "pattern string, instance string, seed long, n long")
     return rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
@@ -200,14 +210,18 @@ def bootstrap(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[
         sent.unpersist()
         total = found if total is None else total.unionByName(found)
     graph = materialize(edges.join(total, "pattern"), "pii-graph")
-    belief = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
+    is_seed = F.col("seed") > 0
+    belief = graph.groupBy("instance").agg(F.max(is_seed.cast("double")).alias("belief"))
     good = None
     for turn in range(TURNS):
+        believed = F.col("belief") >= 0.5
         scored = graph.join(belief, "instance").groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("belief")) / F.sum("n")).alias("purity"), (F.sum("n") / F.first("total")).alias("share"), F.sum((F.col("belief") >= 0.5).cast("int")).alias("support"),
+            F.least(F.lit(1.0), F.greatest(F.sum(F.col("n") * F.col("belief")), F.sum(F.col("n") * F.col("seed"))) / F.sum("n")).alias("purity"), (F.sum("n") / F.first("total")).alias("share"),
+            F.sum(F.when(is_seed, F.col("seed")).otherwise(believed.cast("long"))).alias("support"), F.count_if(believed).alias("believed"),
         )
-        good = materialize(scored.where((F.col("purity") >= PURITY) & (F.col("share") >= SHARE) & (F.col("support") >= SUPPORT)), f"pii-good-{turn}")
-        doubt = graph.join(good, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-0.9 * F.coalesce("purity", F.lit(0.0)))).alias("doubt"))
+        enough = (F.col("support") >= SUPPORT) & (F.col("believed") >= SEEDS)
+        good = materialize(scored.where((F.col("purity") >= PURITY) & (F.col("share") >= SHARE) & enough), f"pii-good-{turn}")
+        doubt = graph.join(good, "pattern", "left").groupBy("instance").agg(F.max(is_seed).alias("seed"), F.sum(F.log1p(-0.9 * F.coalesce("purity", F.lit(0.0)))).alias("doubt"))
         belief = materialize(doubt.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("belief")), f"pii-belief-{turn}")
     return sorted(good.select("pattern").toArrow()["pattern"].to_pylist())
 

@@ -46,17 +46,23 @@ def test_base_spans_equal_the_forms():
 
 
 def test_credentials_teach_their_context(spark):
+    """A fifth of the credentials are seeds; the others, and what else stands where they stand, are found by context."""
     hexa = lambda i: f"{zlib.crc32(str(i).encode()):08x}" * 5
-    rows = [(i, f'some words {i} and token = "{hexa(i)}" more') for i in range(12)]
-    rows += [(50, 'TOKEN="K9-unseen-7x7"'), (51, f"a digest {hexa(99)} alone"), (52, "the token of year 2024x7 is"), (53, 'token = "none"'), (54, None)]
+    rows = [(i, f'some words {i} and token = "{hexa(i)}" more') for i in range(60)]
+    rows += [(150, 'TOKEN="K9-unseen-7x7"'), (151, f"a digest {hexa(99)} alone"), (152, "the token of year 2024x7 is"), (153, 'token = "none"'), (154, None)]
+    rows += [(200 + i, f"build {hexa(500 + i)[:12]} of commit {hexa(700 + i)[:9]}z") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seeds = [i for i in range(60) if op05_pii.seeded(hexa(i))]
+    assert 2 <= len(seeds) <= 20
     patterns = op05_pii.bootstrap(docs)
     assert 'token="' in patterns
     got = {r["doc_id"]: r["spans"] for r in op05_pii.extract(docs, patterns).collect()}
-    for i, x in rows[:12]:
+    for i, x in rows[:60]:
         at = x.index('"') + 1
         assert f"id:{at}:{at + 40}" in got[i]
-    assert got[50] == "id:7:20" and got[51] == got[52] == got[53] == got[54] == ""
+    assert got[150] == "id:7:20" and not any(v for k, v in got.items() if k > 150)
+    # Without a seed there is nothing to learn from.
+    assert op05_pii.bootstrap(spark.createDataFrame([r for r in rows if r[0] not in seeds], docs.schema)) == []
 
 
 def test_graph_scoring_equals_a_naive_version(spark, monkeypatch):
@@ -442,3 +448,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["piece"]) for r in got) == want and written() > before
     assert pipeline.packing(spark, fourth.limit(0), "").count() == 0 and all(f(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, f in pipeline.STAGES[:4])
+
+
+@needs_tables
+def test_unseeded_credentials_are_found(spark):
+    """Recall and precision on credentials that were not seeds, on given tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    patterns, texts = op05_pii.bootstrap(docs), {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    added = {(r["doc_id"], *map(int, x.split(":")[1:])) for r in op05_pii.extract(docs, patterns).collect() for x in r["spans"].split(",") if x.startswith("id:")}
+    want = {(d, s, e) for d, x in texts.items() for s, e in op05_pii.others(x, op05_pii.base_spans(x)) if op05_pii._CREDENTIAL.fullmatch(x, s, e)}
+    unseen = lambda rows: {(d, s, e) for d, s, e in rows if not op05_pii.seeded(texts[d][s:e])}
+    found, hidden = unseen(added), unseen(want)
+    assert len(hidden) > 0.5 * len(want) and len(found & hidden) >= 0.9 * len(hidden) and len(found & hidden) >= 0.9 * len(found)
