@@ -261,9 +261,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    """A bitmap of a set in a power of two of places, eight times its size or more."""
-    m = 1 << max(6, (8 * len(h) - 1).bit_length())
+def _bits(h: np.ndarray, room: int = 8) -> np.ndarray:
+    """A bitmap of a set in a power of two of places, `room` times its size or more."""
+    m = 1 << max(6, (room * len(h) - 1).bit_length())
     bits = np.zeros(m, bool)
     bits[(h & np.uint64(m - 1)).astype(np.int64)] = True
     return np.packbits(bits)
@@ -294,15 +294,15 @@ def _possible(pairs: DataFrame, held: DataFrame, t: int) -> DataFrame:
 
 
 def _held(texts: DataFrame, n: int) -> DataFrame:
-    """(k, n, text, bits) of (k, text)."""
+    """(k, n, text, bits, few) of (k, text): a bitmap for pairs, and one of a quarter of the places for tiles, whose rows are copied."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, 1000):
                 sets = [shingles(x, n) for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), b.column(1), pa.array([_bits(s).tobytes() for s in sets], pa.binary())], ["k", "n", "text", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), b.column(1), *(pa.array([_bits(s, room).tobytes() for s in sets], pa.binary()) for room in (8, 2))], ["k", "n", "text", "bits", "few"])
 
-    return texts.select("k", "text").mapInArrow(run, "k long, n int, text string, bits binary")
+    return texts.select("k", "text").mapInArrow(run, "k long, n int, text string, bits binary, few binary")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -405,7 +405,7 @@ def _open_groups(wide: DataFrame, joined: DataFrame, held: DataFrame, sets: Data
     others = counts.select("grp", F.col("kind").alias("kind2"), "blocks")
     rows = rows.withColumn("kind2", F.explode(touching)).join(others, ["grp", "kind2"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.col("kind2") * _BAND, F.col("kind2") * _BAND + F.col("blocks") - 1)))
-    tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(held.select("k", "n", "bits"), "k")
+    tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(held.select("k", "n", F.col("few").alias("bits")), "k")
     met = tiles.select("grp", "low", "high", "block", "k", "n", "bits").groupBy("grp", "low", "high").applyInArrow(_meet(t), "grp long, low long, high long, block long, k long")
     met = materialize(met, "ngram-met")
     return met.join(sets, "k").groupBy("grp", "low", "high").applyInArrow(_tile(t), "a long, b long")
