@@ -142,6 +142,31 @@ def nest(ranking: DataFrame, keep: int = -1) -> DataFrame:
     return rows if keep < 0 else rows.withColumn("candidates", F.slice("candidates", 1, keep))
 
 
+def first_stage_records(items: DataFrame, ranking: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 100), keep: int = -1) -> DataFrame:
+    """The record of each item's first stage, nested as it is written out.
+
+    items (query_id, owner, repo, fix_commit_ids), ranking (query_id, doc_id, rank, score, source, bm25_rank,
+    dense_rank, datetime). (query_id, owner, repo, repo_key, fix_commit_ids, best_rank, recall, fix_ranks,
+    num_candidates, saved_candidates_k, candidates): best_rank, recall (k -> whether a true one is among the first k)
+    and fix_ranks (every true one) come from the whole ranking; only candidates is cut at keep, -1 for all and 0 for
+    none. Items without a ranking or a truth have a record too, without ranks.
+    """
+    row = F.struct("rank", F.col("doc_id").alias("commit_id"), "score", "source", "bm25_rank", "dense_rank", "datetime")
+    listed = ranking.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    kind = listed.schema["all"].dataType.simpleString()
+    truth = F.coalesce("fix_commit_ids", F.array().cast("array<string>"))
+    out = items.join(listed, "query_id", "left").withColumn("all", F.coalesce("all", F.array().cast(kind)))
+    out = out.withColumn("true", F.filter("all", lambda c: F.array_contains(truth, c["commit_id"]))).withColumn("best_rank", F.array_min(F.transform("true", lambda c: c["rank"])))
+    recall = F.map_from_arrays(F.array(*(F.lit(f"@{k}") for k in ks)), F.array(*(F.coalesce(F.col("best_rank") <= k, F.lit(False)) for k in ks)))
+    n = F.size("all")
+    saved = n if keep < 0 else F.least(F.lit(keep), n)
+    return out.select(
+        "query_id", "owner", "repo", F.concat_ws("@@", "owner", "repo").alias("repo_key"), "fix_commit_ids", "best_rank", recall.alias("recall"),
+        F.transform("true", lambda c: F.struct(c["commit_id"].alias("commit_id"), c["rank"].alias("rank"), c["score"].alias("score"), c["bm25_rank"].alias("bm25_rank"), c["dense_rank"].alias("dense_rank"))).alias("fix_ranks"),
+        n.alias("num_candidates"), saved.alias("saved_candidates_k"), F.slice("all", F.lit(1), saved).alias("candidates"),
+    )
+
+
 def unnest(records: DataFrame) -> DataFrame:
     return records.select("query_id", F.inline("candidates"))
 
@@ -214,6 +239,10 @@ def pair_items(pairs: DataFrame) -> DataFrame:
     return out.select("query_id", F.coalesce("head.desc", F.lit("")).alias("description"), owner.alias("owner"), repo.alias("repo"), "fix_commit_ids", "candidates")
 
 
+#: The methods whose records make rankings.
+METHODS = ("pairs", "selection", "single")
+
+
 def method_rankings(method: str, records: DataFrame, ranking: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank) of a method's records, from however many files they were read.
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.diffs import commit_text
+from ..sources.store import exists, write_by_repo
+from ..sources.writers import pending_partitions
 from .lexical import _best, ranked
 
 #: Queries whose vectors are sent to all tasks; beyond, they are joined in blocks of this size.
@@ -93,6 +95,37 @@ def encode_texts(rows: DataFrame, build: Callable[[], Callable[[list[str]], np.n
     return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
 
 
+def encode_in_budget(rows: DataFrame, build: Callable[[], tuple[Callable, Callable]], key: str = "doc_id", text: str = "text", prefix: str = "", most: int = 8192, batch: int = 128, batch_tokens: int = 65_536) -> DataFrame:
+    """(key, embedding) by a model with its own tokenizer, a text's tokens cut at `most` (8,192 for passages, 512 for queries).
+
+    `build` makes, once per task, the pair (tokenize, embed): lists of token ids of texts, and vectors of such lists.
+    Inside a task texts are taken by length, so the padding of a batch is small; a batch holds at most `batch` texts,
+    and not more than `batch_tokens` tokens when all are padded to its longest. Rows come back in their order.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenize, embed = build()
+        for part in parts:
+            tokens = [x[:most] for x in tokenize([prefix + (t or "") for t in part[text]])]
+            out: list = [None] * len(tokens)
+            order = sorted(range(len(tokens)), key=lambda i: (len(tokens[i]), i))
+            while order:
+                # The longest first; as many as fit when padded to it.
+                take = max(1, min(batch, batch_tokens // max(1, len(tokens[order[-1]]))))
+                mine, order = order[-take:], order[:-take]
+                for i, v in zip(mine, embed([tokens[i] for i in mine]), strict=True):
+                    out[i] = v.astype(np.float32)
+            yield pd.DataFrame({key: part[key], "embedding": out})
+
+    return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
+
+
+def digest_encoder(texts: list[str]) -> np.ndarray:
+    """A stand-in whose vectors anyone can work out: the bytes of a text's MD5, by 256."""
+    return np.array([list(hashlib.md5(t.encode()).digest()) for t in texts], np.float32).reshape(-1, 16) / 256
+
+
 def encode_commits(commits: DataFrame, build: Callable[[], Callable[[list[str]], np.ndarray]], budget: int = 6000) -> DataFrame:
     """(id, embedding, repo_key) of commits (repo_key, commit_id, commit_msg, diff): each one's text by line priority, then encoded.
 
@@ -103,6 +136,29 @@ def encode_commits(commits: DataFrame, build: Callable[[], Callable[[list[str]],
     return found.withColumn("repo_key", F.regexp_replace("id", "@@[^@]*$", ""))
 
 
+def encode_repositories(commits: DataFrame, path: str, build: Callable[[], Callable[[list[str]], np.ndarray]], budget: int = 6000, rows_a_job: int = 1_000_000) -> int:
+    """Encodes the repositories of commits (repo_key, commit_id, commit_msg, diff) that path has no vectors of; returns the number of jobs.
+
+    Vectors stand in a partition per repository. Repositories are taken some at a time, about rows_a_job commits,
+    and each job's partitions appear when it is done: a run that is lost redoes no repository that was written.
+    Commits of written repositories aren't read where the store is partitioned.
+    """
+    spark, jobs = commits.sparkSession, 0
+    sizes = commits.where("repo_key <> ''").groupBy("repo_key").agg(F.count("*").alias("n"))
+    if exists(spark, path):
+        sizes = pending_partitions(sizes, spark.read.schema("id STRING, embedding ARRAY<FLOAT>, repo_key STRING").parquet(path))
+    todo = sizes.collect()  # a name and a count for each repository
+    part: list[str] = []
+    room = rows_a_job
+    for i, r in enumerate(todo):
+        part.append(r["repo_key"])
+        room -= r["n"]
+        if room <= 0 or i == len(todo) - 1:
+            write_by_repo(encode_commits(commits.where(F.col("repo_key").isin(part)), build, budget), path, ("id",))
+            part, room, jobs = [], rows_a_job, jobs + 1
+    return jobs
+
+
 def leg_or_empty(make: Callable[[], DataFrame], schema: str, spark) -> DataFrame:
     """A leg's ranking, or an empty one where its inputs are absent, so that the other legs go on."""
     from pyspark.errors import AnalysisException

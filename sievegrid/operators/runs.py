@@ -54,11 +54,20 @@ def cost_projection(costs: DataFrame, items: int) -> DataFrame:
     return costs.withColumn("projected", F.round(F.col("per_item") * items, 6))
 
 
-def hybrid_ranks(picks: DataFrame, best_without: DataFrame) -> DataFrame:
+def last_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key by the columns of order; an aggregate, so repeats are combined before anything moves."""
+    rest = [c for c in rows.columns if c != key]
+    last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r"))
+    return last.select(key, *(F.col(f"__r.{c}").alias(c) for c in rest))
+
+
+def hybrid_ranks(picks: DataFrame, best_without: DataFrame, order: list[str] | None = None) -> DataFrame:
     """(query_id, rank): 1 for a right pick, else the truth's rank once the pick stands first and is taken out below.
 
-    picks (query_id, hit, pick_rank or null), best_without (query_id, best_rank or null).
+    picks (query_id, hit, pick_rank or null), best_without (query_id, best_rank or null). With order, columns of
+    best_without, a query's last row there counts, as where its records were written again.
     """
+    best_without = (last_of(best_without, "query_id", order) if order else best_without).select("query_id", "best_rank")
     moved = F.col("best_rank") + F.when(F.col("pick_rank").isNull() | (F.col("pick_rank") > F.col("best_rank")), 1).otherwise(0)
     return picks.join(best_without, "query_id").select("query_id", F.when(F.col("hit"), 1).otherwise(moved).cast("int").alias("rank"))
 
@@ -68,8 +77,9 @@ def recall_mrr(ranks: DataFrame, ks=(1, 3, 5, 10, 100)) -> DataFrame:
     return ranks.agg(F.count("*").alias("n"), *at, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def lift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: hit rates of (query_id, hit) before and after, gain and relative gain (null over nothing)."""
+def lift(before: DataFrame, after: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row: hit rates of (query_id, hit) before and after, gain and relative gain (null over nothing); with order, of each query's last rows."""
+    before, after = (last_of(x, "query_id", order) if order else x for x in (before, after))
     s = before.select("query_id", F.col("hit").cast("int").alias("x")).join(after.select("query_id", F.col("hit").cast("int").alias("y")), "query_id").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
     return s.select("n", F.round("x", 6).alias("before"), F.round("y", 6).alias("after"), F.round(F.col("y") - F.col("x"), 6).alias("gain"), F.round((F.col("y") - F.col("x")) / F.nullif("x", F.lit(0.0)), 6).alias("relative_gain"))
 
@@ -99,6 +109,20 @@ def marginal(rungs: DataFrame) -> DataFrame:
     return rungs.withColumn("gain", F.round(F.col("value") - F.lag("value").over(Window.orderBy("place")), 6))
 
 
+def capability_ladder(rungs: DataFrame, floor: float, bottom: float) -> DataFrame:
+    """(interface, place, tier, value, gain): what each capability adds, over the rung before in its interface.
+
+    rungs (interface, place from 2, tier, value or null); rungs are told apart by interface and tier, as tiers of two
+    interfaces may share a label. All interfaces stand on a floor (place 0, without a tool) and one bottom rung
+    (place 1). A rung without a value has no gain, and the next one stands on the last that has one.
+    """
+    shared = F.inline(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(t).alias("tier"), F.lit(float(v)).alias("value")) for i, t, v in ((0, "floor", floor), (1, "bottom", bottom)))))
+    base = rungs.select("interface").distinct().select("interface", shared)
+    rows = base.unionByName(rungs.select("interface", F.col("place").cast("int").alias("place"), "tier", F.col("value").cast("double").alias("value")))
+    before = F.last("value", ignorenulls=True).over(Window.partitionBy("interface").orderBy("place", "tier").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("interface", "place", "tier", "value", F.round(F.col("value") - before, 6).alias("gain"))
+
+
 def stop_reason(answered: Column, error: Column, iterations: Column, most: int) -> Column:
     return F.when(error.isNotNull() & (error != ""), "error").when(answered, "submit_answer").when(iterations >= most, "max_iterations").otherwise("no_answer")
 

@@ -938,3 +938,55 @@ def _(d):
     store.write_commits(d.sql(FORKS), path)
     rows = store.pair_table(d.sql(PAIR_ITEMS), d.sql(PAIR_CANDIDATES), store.commit_store(d.spark, path), 5)
     return rows.select("cve", F.md5("desc").alias("desc_md5"), "repo", "commit_id", "commit_message", F.md5("diff").alias("diff_md5"), "label", "rank")
+
+
+@query("encode_job", f"SELECT lang || '@@c' || doc_id AS id, lang AS repo_key, list_aggregate(list_transform(range(16), lambda i: ('0x' || substr(md5(regexp_replace('Commit message:' || chr(10) || source || chr(10) || chr(10) || 'Diff:' || chr(10) || coalesce(text, ''), '^\\s+|\\s+$', '', 'g')), CAST(2 * i + 1 AS INT), 2))::INT), 'string_agg', ',') AS vector FROM documents")
+def _(d):
+    """A first run writes one repository; the second finds it done and encodes the others."""
+    path = store.scratch(d.spark, "vectors")
+    commits = d.documents.select(F.col("lang").alias("repo_key"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("commit_id"), F.col("source").alias("commit_msg"), F.col("text").alias("diff"))
+    for some in (commits.where("repo_key = 'de'"), commits):
+        dense.encode_repositories(some, path, lambda: dense.digest_encoder, 0, 500_000)
+    vector = F.array_join(F.transform("embedding", lambda x: (x * 256).cast("int").cast("string")), ",")
+    return d.spark.read.schema("id STRING, embedding ARRAY<FLOAT>, repo_key STRING").parquet(path).select("id", "repo_key", vector.alias("vector"))
+
+
+STAGE_ITEMS = "SELECT o_custkey AS query_id, concat('o', CAST(o_custkey % 9 AS STRING)) AS owner, 'r' AS repo, array_sort(collect_list(CASE WHEN o_orderkey % 7 = 0 THEN concat('d', CAST(o_orderkey AS STRING)) END)) AS fix_commit_ids FROM {orders} GROUP BY o_custkey"
+STAGE_RANKS = "SELECT o_custkey AS query_id, concat('d', CAST(o_orderkey AS STRING)) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank, CAST(o_totalprice AS DOUBLE) AS score, 'both' AS source, 1 AS bm25_rank, 2 AS dense_rank, CAST(o_orderdate AS STRING) AS datetime FROM {orders} WHERE o_custkey % 10 <> 3"
+
+
+@query("first_stage_records", f"""WITH r AS ({plain(STAGE_RANKS)}), t AS (SELECT o_custkey AS query_id, 'd' || o_orderkey AS doc_id FROM orders WHERE o_orderkey % 7 = 0),
+m AS (SELECT r.*, t.doc_id IS NOT NULL AS hit FROM r LEFT JOIN t USING (query_id, doc_id)),
+g AS (SELECT query_id, CAST(min(rank) FILTER (WHERE hit) AS INT) AS best_rank, CAST(count(*) AS INT) AS n, string_agg(doc_id || ':' || rank, ',' ORDER BY rank) FILTER (WHERE hit) AS fixes, string_agg(doc_id || ':' || rank, ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS saved FROM m GROUP BY 1)
+SELECT q.query_id, 'o' || (q.query_id % 9) || '@@r' AS repo_key, best_rank, coalesce(best_rank <= 1, false) AS at_1, coalesce(best_rank <= 5, false) AS at_5, coalesce(fixes, '') AS fixes, coalesce(n, 0) AS num_candidates, least(coalesce(n, 0), 3) AS saved_candidates_k, coalesce(saved, '') AS saved
+FROM (SELECT DISTINCT o_custkey AS query_id FROM orders) q LEFT JOIN g USING (query_id)""")
+def _(d):
+    out = cand.first_stage_records(d.sql(STAGE_ITEMS), d.sql(STAGE_RANKS), (1, 5), 3)
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["commit_id"], x["rank"].cast("string"))), ",")
+    return out.select("query_id", "repo_key", "best_rank", F.col("recall")["@1"].alias("at_1"), F.col("recall")["@5"].alias("at_5"), told("fix_ranks").alias("fixes"), "num_candidates", "saved_candidates_k", told("candidates").alias("saved"))
+
+
+LADDER = "SELECT p_brand AS interface, CAST(p_size % 4 AS INT) + 2 AS place, CASE WHEN p_size % 4 = 1 THEN 'same label' ELSE concat('tier ', CAST(p_size % 4 AS STRING)) END AS tier, CASE WHEN p_size % 4 <> 2 THEN round(avg(p_retailprice), 4) END AS value FROM {part} GROUP BY p_brand, p_size % 4"
+
+
+@query("capability_ladder", f"WITH r AS (SELECT interface, CAST(place AS INT) AS place, tier, value FROM ({plain(LADDER)})), a AS (SELECT * FROM r UNION ALL SELECT DISTINCT interface, 0, 'floor', 100 FROM r UNION ALL SELECT DISTINCT interface, 1, 'bottom', 250.5 FROM r) "
+       "SELECT interface, place, tier, CAST(value AS DOUBLE) AS value, round(value - last_value(value IGNORE NULLS) OVER (PARTITION BY interface ORDER BY place, tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6)::DOUBLE AS gain FROM a")
+def _(d):
+    return runs.capability_ladder(d.sql(LADDER), 100.0, 250.5)
+
+
+#: Records that were written again: of a customer's orders the last by file (status), then line, counts.
+AGAIN = "SELECT o_custkey AS query_id, o_orderstatus AS file, o_orderkey AS line, o_orderkey % 3 = 0 AS hit, CAST(o_orderkey % 9 + 1 AS INT) AS best_rank FROM {orders}"
+LAST_SQL = f"WITH r AS (SELECT * FROM ({plain(AGAIN)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY file DESC, line DESC) = 1) "
+
+
+@query("hybrid_ranks_of_last", LAST_SQL + "SELECT query_id, CAST(CASE WHEN query_id % 5 = 0 THEN 1 ELSE best_rank + CASE WHEN query_id % 2 = 0 OR 4 > best_rank THEN 1 ELSE 0 END END AS INT) AS rank FROM r")
+def _(d):
+    picks = d.sql("SELECT DISTINCT o_custkey AS query_id, o_custkey % 5 = 0 AS hit, CASE WHEN o_custkey % 2 = 1 THEN 4 END AS pick_rank FROM {orders}")
+    return runs.hybrid_ranks(picks, d.sql(AGAIN), ["file", "line"])
+
+
+@query("lift_of_last", LAST_SQL + "SELECT count(*) AS n, round(avg((query_id % 4 = 0)::INT), 6) AS before, round(avg(hit::INT), 6) AS after, round(avg(hit::INT) - avg((query_id % 4 = 0)::INT), 6) AS gain, round((avg(hit::INT) - avg((query_id % 4 = 0)::INT)) / nullif(avg((query_id % 4 = 0)::INT), 0), 6) AS relative_gain FROM r")
+def _(d):
+    after = d.sql(AGAIN)
+    return runs.lift(after.withColumn("hit", F.col("query_id") % 4 == 0), after, ["file", "line"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,14 +100,31 @@ def jsonl_strict(spark: SparkSession, path, schema: str = PHASE_TWO) -> DataFram
     return spark.read.json(path, schema=schema, mode="FAILFAST")
 
 
+def _shards(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The good rows of JSON lines files, with __at: the place of a row, by file in the order given, then by line."""
+    rows = spark.read.json(paths, schema=f"{schema}, _corrupt_record STRING", mode="PERMISSIVE")
+    qualified = [_qualified(spark, p) for p in paths]
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^([^:/]+):/+", "$1:/")
+    file = F.array_position(F.array(*map(F.lit, qualified)), path)
+    at = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.withColumn("__at", at).where("_corrupt_record is null").drop("_corrupt_record")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, which one slash follows, however many Spark or Hadoop write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^([^:/]+):/+", r"\1:/", at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+
 def jsonl_tolerant(spark: SparkSession, paths: list[str], key: str, schema: str = PHASE_TWO) -> DataFrame:
-    """Bad lines and rows without key are skipped; of rows with one key the last of the last file stays."""
-    rows = None
-    for i, p in enumerate(paths):
-        part = spark.read.json(p, schema=f"{schema}, _corrupt_record STRING", mode="PERMISSIVE").withColumn("__at", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line")))
-        rows = part if rows is None else rows.unionByName(part)
-    last = Window.partitionBy(key).orderBy(F.desc("__at"))
-    return rows.where(F.col("_corrupt_record").isNull() & F.col(key).isNotNull()).withColumn("__i", F.row_number().over(last)).where("__i = 1").drop("__i", "__at", "_corrupt_record")
+    """Bad lines and rows without key are skipped; of rows with one key the last of the last file stays.
+
+    All files are one scan, and the last rows an aggregate, so rows that were written again are combined before a shuffle.
+    """
+    rows = _shards(spark, paths, schema).where(F.col(key).isNotNull())
+    fields = [c for c in rows.columns if c not in (key, "__at")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*fields), "__at").alias("__r"))
+    return last.select(*(F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in rows.columns if c != "__at"))
 
 
 def pairs(spark: SparkSession, path) -> DataFrame:
@@ -140,9 +159,9 @@ def key_list(spark: SparkSession, path) -> DataFrame:
 
 
 def per_pair(spark: SparkSession, path, sample: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, label, answer, confidence, position) of per-pair records; with a sample, of its queries only."""
-    rows = spark.read.json(path, schema=f"{PER_PAIR}, _corrupt_record STRING", mode="PERMISSIVE").where("_corrupt_record is null and input.cve is not null").withColumn("position", F.monotonically_increasing_id())
-    out = rows.select(F.col("input.cve").alias("query_id"), F.col("input.commit_id").alias("doc_id"), F.col("input.label").alias("label"), "output.answer", "output.confidence", "position")
+    """(query_id, doc_id, label, answer, confidence, position) of per-pair records of a file or several, in their order; with a sample, of its queries only."""
+    rows = _shards(spark, [path] if isinstance(path, str) else list(path), PER_PAIR).where("input.cve is not null")
+    out = rows.select(F.col("input.cve").alias("query_id"), F.col("input.commit_id").alias("doc_id"), F.col("input.label").alias("label"), "output.answer", "output.confidence", F.col("__at").alias("position"))
     return out if sample is None else out.join(sample.select("query_id").distinct(), "query_id", "left_semi")
 
 
@@ -189,3 +208,18 @@ def method_files(spark: SparkSession, text: str, known: tuple[str, ...] = ()) ->
             raise FileNotFoundError(f"no files match: {part}")
         found += sorted(x.getPath().toString() for x in met)
     return name, found
+
+
+def load_method(spark: SparkSession, text: str, ranking: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """(name, rankings (query_id, doc_id, rank)) of a method specification `name:path[,path]`, its paths globs or not.
+
+    Records of all shards are one union: of selection and single records the last of a query counts, by the order of
+    files, then lines; per-pair records are ranked together. ranking extends selections by a first stage's order.
+    """
+    from ..operators.candidates import METHODS, method_rankings
+
+    name, paths = method_files(spark, text, METHODS)
+    if name == "pairs":
+        return name, method_rankings(name, per_pair(spark, paths))
+    rows = jsonl_tolerant(spark, paths, "cve_id", "cve_id STRING, best_commit_id STRING, commits_inspected ARRAY<STRING>")
+    return name, method_rankings(name, rows.select(F.col("cve_id").alias("query_id"), F.col("best_commit_id").alias("best"), F.col("commits_inspected").alias("inspected")), ranking)

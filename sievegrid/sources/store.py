@@ -72,7 +72,7 @@ def content_of(store: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("co
 
     Only the asked repositories are read: the ids, distinct and not blank, prune the store's partitions while the query runs.
     """
-    asked = ids.where("repo_key <> '' and commit_id <> ''").select("repo_key", "commit_id").distinct()
+    asked = ids.where("repo_key > '' and commit_id > ''").select("repo_key", "commit_id").distinct()
     return store.select("repo_key", "commit_id", *columns).join(asked, ["repo_key", "commit_id"], "left_semi")
 
 

@@ -132,7 +132,7 @@ def test_encoder_is_deterministic(spark):
 def test_readers(spark, tmp_path):
     (tmp_path / "q.csv").write_text('cve,cve_description,owner,repo,fix_commit_ids\nC-1,"a ""b"",\nc",o,r,x1| x2 |x1|\nC-2,d,o,r,\n,d,o,r,x\n')
     got = readers.queries(spark, str(tmp_path / "q.csv")).collect()
-    assert len(got) == 1 and got[0]["fix_commit_ids"] == ["x1", "x2"] and got[0]["query_key"] == "o@@r::C-1" and got[0]["description"] == 'a "b",\nc'
+    assert len(got) == 2 and got[1]["fix_commit_ids"] == [] and got[0]["fix_commit_ids"] == ["x1", "x2", "x1"] and got[0]["query_key"] == "o@@r::C-1" and got[0]["description"] == 'a "b",\nc'
     path = tmp_path / "o@@r" / "bm25_time" / "result"
     path.mkdir(parents=True)
     (path / "C-1.json").write_text(json.dumps({"d2": {"score": 1.5, "new_score": 0.5}, "d1": {"score": 2.5}}))
