@@ -6,8 +6,9 @@ islands evolve each block: a chromosome is the grouping of the block's pieces
 into bins, crossover injects whole well-filled bins of one parent into another,
 removes what they duplicate, and puts the displaced pieces back by best fit.
 Between epochs each island receives the elite of its neighbour. In every epoch
-offspring are bred and selected; an epoch that has reached the lower bound of
-bins stops after its first, others when PATIENCE of them brought nothing. The bins that stay poorly filled in
+a whole generation of offspring is bred and selected, each child against the
+population; an epoch that has reached the lower bound of bins stops after one
+generation, others when PATIENCE children in a row brought nothing. The bins that stay poorly filled in
 each block are pooled and packed again, until one block holds them all.
 
 Cases: null text counts as empty and is one token, the end id; rows with the
@@ -186,7 +187,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[in
         population.append((rank(g), g))
     population.sort(key=lambda x: x[0], reverse=True)
     n = stale = 0
-    while n < OFFSPRING and stale < PATIENCE and not (n and len(population[0][1]) <= bound):
+    while n < OFFSPRING and stale < PATIENCE and not (n >= POPULATION and len(population[0][1]) <= bound):
         (_, one), (_, other) = rng.sample(population[: max(2, POPULATION // 2)], 2)
         child, best = crossover(one, other, sizes, capacity, rng), population[0][0]
         population.append((rank(child), child))

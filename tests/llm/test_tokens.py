@@ -122,17 +122,32 @@ def test_every_run_breeds_and_migrates(spark, monkeypatch):
     easy = [rng.randint(1, 40) for _ in range(300)]
     report = []
     op07_packing.pack(spark.createDataFrame(list(enumerate(easy)), "uid long, length long"), 100, report=report).collect()
-    assert {r["epoch"] for r in report} == {0, 1} and all(r["least_born"] >= 1 for r in report)
+    assert {r["epoch"] for r in report} == {0, 1} and all(r["least_born"] >= op07_packing.POPULATION for r in report)
     assert all(r["came"] == (r["islands"] if r["epoch"] else 0) for r in report)
 
 
-def test_evolution_beats_best_fit():
-    """Triples that fill bins exactly, which best fit decreasing misses."""
+def triples():
+    """Sizes that fill 40 bins of 1,000 exactly, which best fit decreasing misses."""
     rng, sizes = random.Random(9), []
     for _ in range(40):
         a = rng.randint(380, 490)
         b = rng.randint(251, 1000 - a - 251)
         sizes += [a, b, 1000 - a - b]
+    return sizes
+
+
+def test_packing_a_table_beats_best_fit(spark, monkeypatch):
+    monkeypatch.setattr(op07_packing, "EPOCHS", 6)
+    sizes = triples()
+    greedy = len(op07_packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000))
+    report = []
+    rows = op07_packing.pack(spark.createDataFrame(list(enumerate(sizes)), "uid long, length long"), 1000, report=report).collect()
+    assert sorted(r["uid"] for r in rows) == list(range(len(sizes))) and len({r["sequence_id"] for r in rows}) < greedy
+    assert all(r["least_born"] >= op07_packing.POPULATION for r in report) and max(r["came"] for r in report) > 0
+
+
+def test_evolution_beats_best_fit():
+    sizes = triples()
     greedy = len(op07_packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000))
     elites, born = [], []
     for _ in range(6):
