@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +67,16 @@ def length_stats(rows: DataFrame, text: str) -> DataFrame:
 
 
 def bootstrap_ci(hits: DataFrame, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """One row (n, mean, low, high): percentile interval of the mean of (query_id, hit), hits 0 or 1.
+    """One row (n, mean, low, high): percentile interval of the mean of (query_id, hit), hits 0 or 1; none without rows.
 
-    Hits of one value can't be told apart, so a resample of n rows is a binomial draw of the number of hits; the two
-    counts leave the cluster, not the rows. The same seed gives the same result.
+    Each of a resample's n draws takes a row by a hash of seed, resample and draw, modulo n; rows of one value can't be
+    told apart, so the hits are the first rows. All draws are made where they are counted, and the same seed gives the
+    same result.
     """
-    n, k = hits.agg(F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))).first()
-    schema = "n long, mean double, low double, high double"
-    if not n:
-        return hits.sparkSession.createDataFrame([], schema)
-    means = np.sort(np.random.default_rng(seed).binomial(n, k / n, resamples)) / n
-    low, high = (float(means[min(resamples - 1, int(p * resamples))]) for p in (0.025, 0.975))
-    return hits.sparkSession.createDataFrame([(n, round(k / n, 6), round(low, 6), round(high, 6))], schema)
+    size = hits.agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("k")).where("n > 0")
+    draws = hits.sparkSession.range(resamples).withColumnRenamed("id", "b").join(F.broadcast(size)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
+    means = draws.groupBy("b", "n", "k").agg(F.avg((place < F.col("k")).cast("double")).alias("m"))
+    at = lambda p: F.round(F.get(F.col("all"), F.lit(min(resamples - 1, int(p * resamples)))), 6)
+    out = means.groupBy("n", "k").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    return out.select("n", F.round(F.col("k") / F.col("n"), 6).alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))

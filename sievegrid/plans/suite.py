@@ -123,7 +123,7 @@ def _(d):
     return bm25_leg(d)
 
 
-TIMES = "SELECT event_id AS doc_id, ts FROM {events} WHERE event_id % 10 <> 3"
+TIMES = "SELECT event_id AS doc_id, CASE WHEN event_type <> 'error' THEN ts END AS ts FROM {events}"
 ANCHORS = "SELECT b.item_id AS query_id, e.ts AS early, CASE WHEN b.item_id % 4 <> 0 THEN l.ts END AS late FROM {benchmark} b LEFT JOIN {events} e ON e.event_id = 3 * b.item_id LEFT JOIN {events} l ON l.event_id = 5 * b.item_id + 1"
 FIRST = "string_split(text, chr(10))[1]"
 REST = "substring(text, length(string_split(text, chr(10))[1]) + 2)"
@@ -355,7 +355,9 @@ def _(d):
     return stats.mcnemar(*(x.select("query_id", F.col("hit").cast("int").alias("hit")) for x in (one, other)))
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", TWO_RUNS + ", h AS (SELECT count(*) AS n, sum(hit::INT) AS k FROM ra), x AS (SELECT n, k, b, unnest(range(n)) AS i FROM h, range(2000) r(b)), "
+       "m AS (SELECT b, any_value(n) AS n, any_value(k) AS k, avg(CASE WHEN CAST('0x' || substr(md5('0:' || b || ':' || i), 1, 8) AS BIGINT) % n < k THEN 1.0 ELSE 0.0 END) AS m FROM x GROUP BY b) "
+       "SELECT any_value(n) AS n, round(any_value(k) / any_value(n)::DOUBLE, 6) AS mean, round(list_sort(list(m))[51], 6) AS low, round(list_sort(list(m))[1951], 6) AS high FROM m")
 def _(d):
     return stats.bootstrap_ci(two_runs(d)[0].select("query_id", F.col("hit").cast("int").alias("hit")))
 
@@ -363,9 +365,9 @@ def _(d):
 # ---- runs -----------------------------------------------------------------------------------------------------------
 
 TRACE = """SELECT user_id AS item, count(*) AS iterations, CAST(user_id % 4 AS INT) AS n_truths, coalesce(sum(CASE WHEN event_type IN ('view', 'click') THEN value END), 0) AS tokens_in, coalesce(sum(CASE WHEN event_type = 'purchase' THEN value END), 0) AS tokens_out, max(value) AS seconds,
-max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS answered, max(CASE WHEN event_type = 'signup' THEN 3 END) AS truth_rank, count(CASE WHEN event_type = 'view' THEN 1 END) AS n_inspected, sum(value) / 1000 AS cost,
+max_by(event_type, event_id) IN ('purchase', 'click') AS answered, max(CASE WHEN event_type = 'signup' THEN 3 END) AS truth_rank, count(CASE WHEN event_type = 'view' THEN 1 END) AS n_inspected, sum(value) / 1000 AS cost,
 CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'submit_answer' WHEN user_id % 3 = 0 THEN 'max_iterations' ELSE 'no_answer' END AS stopped,
-max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AND user_id % 2 = 0 AS hit, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0 THEN 'no answer' END AS error FROM {events} WHERE event_id % 5 <> 1 GROUP BY user_id"""
+max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AND user_id % 2 = 0 AS hit, CASE WHEN max_by(event_type, event_id) = 'error' THEN 'no answer' END AS error FROM {events} GROUP BY user_id"""
 
 
 @query("run_summary", f"WITH a AS ({plain(TRACE)}), r AS (SELECT * FROM a WHERE n_truths > 0), " + """t AS (SELECT stopped, count(*) AS n FROM r WHERE stopped <> '' GROUP BY 1), o AS (SELECT string_agg(stopped || ':' || n, ' ' ORDER BY n DESC, stopped) AS stops FROM t),
@@ -396,9 +398,9 @@ def _(d):
     return stats.length_stats(d.documents, "text")
 
 
-@query("tool_call_breakdown", "WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS items, round(count(DISTINCT user_id) / any_value(n)::DOUBLE, 6) AS usage_rate, round(count(*) / any_value(n)::DOUBLE, 6) AS per_item FROM events, n WHERE event_id % 50 = 0 GROUP BY 1")
+@query("tool_call_breakdown", "WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS items, round(count(DISTINCT user_id) / any_value(n)::DOUBLE, 6) AS usage_rate, round(count(*) / any_value(n)::DOUBLE, 6) AS per_item FROM events, n WHERE event_type <> 'error' GROUP BY 1")
 def _(d):
-    calls = d.events.where("event_id % 50 = 0").select(F.col("user_id").alias("item"), F.col("event_type").alias("tool"))
+    calls = d.events.where("event_type <> 'error'").select(F.col("user_id").alias("item"), F.col("event_type").alias("tool"))
     return runs.tool_breakdown(calls, d.events.select(F.col("user_id").alias("item")))
 
 
