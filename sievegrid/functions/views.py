@@ -12,6 +12,10 @@ TASK = (
     "\n\nIdentify the single commit from the candidate pool that fixes this vulnerability. Call list_candidates first, read promising commits with read_commit "
     "(drilling in with read_file_diff if needed), then call submit_answer with your final choice and a short reasoning."
 )
+REVIEW = (
+    "# Your task\nCall list_candidates() to see the small review pool. Read EVERY candidate (each one matters). Compare them head-to-head, focusing on whether the diff actually "
+    "addresses the CVE described above. Then call submit_answer ONCE — either confirming the primary's choice or overriding it."
+)
 STOP = "). The task is COMPLETE. STOP IMMEDIATELY — do not call any more tools, including submit_answer. Your conversation should now end."
 NOT_A_RANK = " is out of range. commit_id should be a 12-char hex SHA from list_candidates, NOT a rank number."
 NOT_FOUND = " candidate list. Pass the 12-char hex SHA from list_candidates (e.g. '3bf5eddb89af'), not a rank or partial guess."
@@ -51,9 +55,19 @@ def after_submission(answer: Column) -> Column:
     return told("[Error] You have already submitted your answer (", F.left(answer, F.lit(12)), STOP)
 
 
-def selection_prompt(query: Column, owner: Column, repo: Column, description: Column) -> Column:
+def _case(query: Column, owner: Column, repo: Column, description: Column) -> Column:
     text = F.coalesce(F.nullif(stripped(F.coalesce(description, F.lit(""))), F.lit("")), F.lit("(no description provided)"))
-    return told("CVE ID: ", query, "\nRepository: ", owner, "/", repo, "\n\nCVE Description:\n", text, TASK)
+    return told("CVE ID: ", query, "\nRepository: ", owner, "/", repo, "\n\nCVE Description:\n", text)
+
+
+def selection_prompt(query: Column, owner: Column, repo: Column, description: Column) -> Column:
+    return told(_case(query, owner, repo, description), TASK)
+
+
+def review_prompt(query: Column, owner: Column, repo: Column, description: Column, pick: Column, reasoning: Column) -> Column:
+    """What a reviewer of a first pass's pick is told."""
+    chosen = F.coalesce(F.nullif(F.left(pick, F.lit(12)), F.lit("")), F.lit("<none>"))
+    return told(_case(query, owner, repo, description), "\n\n# Primary agent's choice\ncommit_id: ", chosen, "\nreasoning: ", F.coalesce(reasoning, F.lit("")), f"\n\n{REVIEW}")
 
 
 def numbered(views: Column) -> Column:

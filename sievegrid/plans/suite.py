@@ -992,3 +992,9 @@ def _(d):
 def _(d):
     after = d.sql(AGAIN)
     return runs.lift(after.withColumn("hit", F.col("query_id") % 4 == 0), after, ["file", "line"])
+
+
+@query("review_prompt", f"SELECT doc_id, 'CVE ID: ' || doc_id || chr(10) || 'Repository: ' || lang || '/' || source || chr(10) || chr(10) || 'CVE Description:' || chr(10) || coalesce(nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), ''), '(no description provided)') || chr(10) || chr(10) || '# Primary agent''s choice' || chr(10) || 'commit_id: ' || CASE WHEN doc_id % 3 = 0 THEN '<none>' ELSE left(md5(doc_id::VARCHAR), 12) END || chr(10) || 'reasoning: ' || source || chr(10) || chr(10) || '{views.REVIEW.replace("'", "''")}' AS prompt FROM documents")
+def _(d):
+    pick = F.when(F.col("doc_id") % 3 != 0, F.md5(F.col("doc_id").cast("string")))
+    return d.documents.select("doc_id", views.review_prompt(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"), pick, F.col("source")).alias("prompt"))
