@@ -167,3 +167,22 @@ def leg_or_empty(make: Callable[[], DataFrame], schema: str, spark) -> DataFrame
         return make()
     except (FileNotFoundError, AnalysisException):
         return spark.createDataFrame([], schema)
+
+
+def backbone_ranking(spark, root: str, backbone: str, bm25: DataFrame, k: int = 100, top: int | None = 100) -> DataFrame:
+    """(query_id, doc_id, score, rank, source, bm25_rank, dense_rank): bm25 (query_id, doc_id, rank) fused with the dense leg of a backbone.
+
+    A backbone's vectors stand under root by its name: corpus (doc_id, embedding, repo_key) and queries (query_id,
+    embedding, repo_key), partitioned by repository. Queries whose repository lacks either have no rows, as have all
+    where the backbone has no tables; source names the backbone.
+    """
+    from .fusion import rrf
+
+    kind = "STRUCT<query_id: BIGINT, doc_id: BIGINT, score: DOUBLE, rank: INT, source: STRING, bm25_rank: INT, dense_rank: INT>"
+    paths = [f"{root.rstrip('/')}/{backbone}/{t}" for t in ("corpus", "queries")]
+    if not all(exists(spark, p) for p in paths):
+        return spark.createDataFrame([], kind)
+    corpus, queries = (spark.read.schema(f"{c} BIGINT, embedding ARRAY<FLOAT>, repo_key STRING").parquet(p) for c, p in zip(("doc_id", "query_id"), paths, strict=True))
+    asked = queries.join(corpus.select("repo_key").distinct(), "repo_key", "left_semi")
+    legs = rrf(bm25.join(asked.select("query_id").distinct(), "query_id", "left_semi"), dense_topk(corpus, asked, k, by="repo_key"), top=top)
+    return legs.withColumn("source", F.lit(f"rrf-{backbone}"))

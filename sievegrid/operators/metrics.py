@@ -115,6 +115,17 @@ def micro_macro(picks: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def rank1_baseline(best: DataFrame) -> DataFrame:
+    """One row (n, recoverable, right_at_1, accuracy) of best ranks (query_id, best_rank or null): what taking the first candidate gets."""
+    s = best.agg(F.count("*").alias("n"), F.count("best_rank").alias("recoverable"), F.count_if(F.expr("best_rank = 1")).alias("right_at_1"))
+    return s.withColumn("accuracy", F.round(F.col("right_at_1") / F.greatest("n", F.lit(1)), 6))
+
+
+def recoverable(ranking: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id): queries with a true document anywhere in their ranking."""
+    return ranking.join(truth, ["query_id", "doc_id"], "left_semi").select("query_id").distinct()
+
+
 def confusion(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: hits of two runs (query_id, pick, hit) against each other, overrides, their precision, net change."""
     both = before.select("query_id", F.col("pick").alias("p0"), F.col("hit").alias("h0")).join(after.select("query_id", F.col("pick").alias("p1"), F.col("hit").alias("h1")), "query_id")

@@ -296,9 +296,7 @@ def _(d):
 
 @query("rank1_baseline", LEX + "SELECT count(*) AS n, count(*) FILTER (WHERE r IS NOT NULL) AS recoverable, count(*) FILTER (WHERE r = 1) AS right_at_1, round(count(*) FILTER (WHERE r = 1) / count(*)::DOUBLE, 6) AS accuracy FROM tq LEFT JOIN best USING (query_id)")
 def _(d):
-    b = metrics.best_rank(bm25_leg(d), truth(d))
-    s = b.agg(F.count("*").alias("n"), F.count("best_rank").alias("recoverable"), F.count_if(F.expr("best_rank = 1")).alias("right_at_1"))
-    return s.withColumn("accuracy", F.round(F.col("right_at_1") / F.greatest("n", F.lit(1)), 6))
+    return metrics.rank1_baseline(metrics.best_rank(bm25_leg(d), truth(d)))
 
 
 RUN = "SELECT query_id, {pick} AS pick, {hit} AS hit FROM {r}"
@@ -998,3 +996,13 @@ def _(d):
 def _(d):
     pick = F.when(F.col("doc_id") % 3 != 0, F.md5(F.col("doc_id").cast("string")))
     return d.documents.select("doc_id", views.review_prompt(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"), pick, F.col("source")).alias("prompt"))
+
+
+@query("backbone_rrf", ctes(REPO_BM25_SQL, REPO_DENSE_SQL, RRF_SQL) + "SELECT query_id, doc_id, score, rank, 'rrf-other' AS source, bm25_rank, dense_rank FROM rrf SEMI JOIN (SELECT query_id FROM q WHERE repo_key <> 'es') USING (query_id)")
+def _(d):
+    """A backbone that has no vectors of one repository."""
+    root, vectors = store.scratch(d.spark, "backbones"), d.sql(REPO_VECTORS)
+    asked = d.sql(REPO_QUERIES).join(vectors.select(F.col("doc_id").alias("v"), "embedding"), F.col("v") == 2 * F.col("query_id") + 1).select("query_id", "embedding", "repo_key")
+    store.write_by_repo(vectors.where("repo_key <> 'es'"), f"{root}/other/corpus", ("doc_id",))
+    store.write_by_repo(asked, f"{root}/other/queries", ("query_id",))
+    return dense.backbone_ranking(d.spark, root, "other", repo_bm25(d), 50)

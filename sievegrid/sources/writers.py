@@ -43,3 +43,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def summary(metrics: DataFrame, **meta: str) -> DataFrame:
     """One JSON string per row of metrics, with metadata."""
     return metrics.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in meta.items()), F.struct("*").alias("metrics"))).alias("value"))
+
+
+def write_summary(metrics: DataFrame, path: str, **meta: str) -> None:
+    """A JSON line for each row of metrics, with metadata, in a file of its own under path; a summary written again replaces itself."""
+    summary(metrics, **meta).coalesce(1).write.mode("overwrite").text(path)

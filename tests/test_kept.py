@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import diffs, parsing
 from sievegrid.operators import candidates as cand
-from sievegrid.operators import dense, index, lexical, runs, select
+from sievegrid.operators import dense, index, lexical, metrics, runs, select
 from sievegrid.sources import readers, store, writers
 
 
@@ -265,3 +265,23 @@ def test_readers_of_single_files(spark, tmp_path):
     assert [r[0] for r in writers.pending_partitions(keys, keys.limit(1).union(keys.limit(1))).collect()] == ["r2"]
     (tmp_path / "s.csv").write_text("cve,cve_description,owner,repo,fix_commit_ids\n A ,d,o,r,\nA,d,o,r,x\n")
     assert [r[0] for r in readers.sample_ids(spark, str(tmp_path / "s.csv")).collect()] == ["A"]
+
+
+def test_backbones_without_tables(spark, tmp_path):
+    bm = spark.createDataFrame([(1, 5, 1)], "query_id long, doc_id long, rank int")
+    assert dense.backbone_ranking(spark, str(tmp_path), "none", bm).count() == 0
+    vectors = spark.createDataFrame([(5, [1.0, 0.0], "r"), (6, [0.0, 1.0], "r")], "doc_id long, embedding array<float>, repo_key string")
+    asked = spark.createDataFrame([(1, [0.0, 1.0], "r"), (2, [0.0, 1.0], "absent")], "query_id long, embedding array<float>, repo_key string")
+    store.write_by_repo(vectors, f"{tmp_path}/b/corpus", ("doc_id",))
+    store.write_by_repo(asked, f"{tmp_path}/b/queries", ("query_id",))
+    got = dense.backbone_ranking(spark, str(tmp_path), "b", bm.union(spark.createDataFrame([(2, 5, 1)], bm.schema)), 1).orderBy("rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["source"]) for r in got] == [(1, 5, "rrf-b"), (1, 6, "rrf-b")]
+
+
+def test_baseline_and_summary(spark, tmp_path):
+    best = spark.createDataFrame([("a", 1), ("b", 3), ("c", None), ("d", 1)], "query_id string, best_rank int")
+    assert tuple(metrics.rank1_baseline(best).first()) == (4, 3, 2, 0.5)
+    ranking = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "x")], "query_id string, doc_id string")
+    assert [r[0] for r in metrics.recoverable(ranking, ranking.where("doc_id = 'y'")).collect()] == ["b"]
+    writers.write_summary(metrics.rank1_baseline(best), str(tmp_path / "s"), run="one")
+    assert json.loads(spark.read.text(str(tmp_path / "s")).first()[0]) == {"run": "one", "metrics": {"n": 4, "recoverable": 3, "right_at_1": 2, "accuracy": 0.5}}
