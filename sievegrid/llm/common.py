@@ -50,7 +50,19 @@ def held(kind: str, key, make: Callable):
     return _HELD[kind, key]
 
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: texts are long, and both sides hold a batch or two.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH for the session, unless someone has chosen another number."""
+    name, default, wanted = BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, wanted)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,6 +88,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and what it
     holds survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/sievegrid-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
