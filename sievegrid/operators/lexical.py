@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -213,11 +215,12 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     The items' texts form one automaton, so a document is read once
     whatever their number; they are few against the documents, and are sent to
-    all tasks only up to a bound (MOST_ITEMS), in parts beyond it.
+    all tasks only up to a bound in number and characters (MOST_ITEMS,
+    MOST_CHARS), in parts beyond it. A worker builds an automaton once.
     """
     heads = items.select("query_id", F.col("text").alias("head")).where("head <> ''")
-    n = heads.count()
-    parts = -(-n // MOST_ITEMS)
+    n, size = heads.agg(F.count("*"), F.coalesce(F.sum(F.length("head")), F.lit(0))).first()
+    parts = max(-(-n // MOST_ITEMS), -(-size // MOST_CHARS))
     out = None
     for i in range(max(1, parts)):
         rows = heads.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts))) == i).toArrow()
@@ -229,22 +232,32 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-#: Passages searched at once.
-MOST_ITEMS = 200_000
+#: Passages searched at once, and their characters.
+MOST_ITEMS, MOST_CHARS = 200_000, 32_000_000
+#: The last automaton that this worker built, by the number of what was sent.
+_BUILT: dict = {}
 
 
 def _search(sent):
-    def run(batches):
+    number = uuid.uuid4().hex
+
+    def automaton():
         import ahocorasick
-        import pyarrow as pa
 
-        find = ahocorasick.Automaton()
-        for head, ids in sent.value.items():
-            find.add_word(head, ids)
-        if sent.value:
-            find.make_automaton()
+        if number not in _BUILT:
+            find = ahocorasick.Automaton()
+            for head, ids in sent.value.items():
+                find.add_word(head, ids)
+            if sent.value:
+                find.make_automaton()
+            _BUILT.clear()
+            _BUILT[number] = find
+        return _BUILT[number]
+
+    def run(batches):
+        find = automaton()
         for b in batches:
-            pairs = [(q, d) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x and sent.value for q in {q for _, ids in find.iter(x) for q in ids}]
+            pairs = [(q, d) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x and len(find) for q in {q for _, ids in find.iter(x) for q in ids}]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in pairs], pa.int64()), pa.array([d for _, d in pairs], pa.int64())], ["query_id", "doc_id"])
 
     return run
