@@ -39,15 +39,16 @@ def forget() -> None:
 
 def held(kind: str, key, make: Callable):
     """What `make` returns, remembered by this worker for the next tasks; what it held for another operator, or key, goes."""
-    if (kind, key) not in _HELD:
-        forget()
-        _HELD[kind, key] = make()
     while _TIMER:
         _TIMER.pop().cancel()
+    value = _HELD.get((kind, key))
+    if value is None:
+        forget()
+        value = _HELD[kind, key] = make()
     _TIMER.append(threading.Timer(IDLE, forget))
     _TIMER[0].daemon = True
     _TIMER[0].start()
-    return _HELD[kind, key]
+    return value
 
 
 #: Rows of an Arrow batch, where the session has Spark's own 10,000: texts are long, and both sides hold a batch or two.
