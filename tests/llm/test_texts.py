@@ -116,6 +116,8 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert got[None]["spans"] == got[None]["base"] == "email:11:19" and got[30]["spans"] == "" and len(got) == len(rows)
     assert {r["doc_id"]: r["text"] for r in op05_pii.mask(docs, patterns).collect()}[20] == "please contact: <ID> today"
     assert op05_pii.bootstrap(docs.limit(0)) == [] and op05_pii.extract(docs.limit(0), []).count() == 0
+    # Repeated rows count each time: all words double, and so do the patterns' occurrences and instances.
+    assert op05_pii.bootstrap(docs.union(docs)) == patterns
 
 
 def test_patterns_beyond_one_part_are_kept(spark, monkeypatch):
@@ -278,6 +280,8 @@ def test_toxicity_on_held_out_rows(spark):
     held = [(r["predicted"], int(r["doc_id"] % 4 == 0)) for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1000]
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
+    clash = docs.withColumnRenamed("lang", "held_out").withColumnRenamed("source", "predicted")
+    assert sorted(map(repr, op06_toxicity.score_toxicity(clash, marks).collect())) == sorted(map(repr, got)) and op06_toxicity.drop_toxic(clash, marks).columns == clash.columns
     kept = {r["doc_id"] for r in op06_toxicity.drop_toxic(docs, marks).collect()}
     assert {1000, 1001, 1002} <= kept and None not in kept
     assert op06_toxicity.score_toxicity(docs.limit(0), marks).count() == 0

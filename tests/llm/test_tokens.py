@@ -22,6 +22,12 @@ def texts(n, seed):
     return ODD + ["".join(rng.choice(al) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
+def long_texts():
+    """Tens of thousands of characters, mixed, without white space, and of one pre-token."""
+    rng = random.Random(12)
+    return [" ".join(rng.choice(["the", "étude", "漢字", "x1", "don't", "\n"]) for _ in range(12_000)), "".join(rng.choice("abc1é-") for _ in range(30_000)), "z" * 20_000]
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, x, "k", 1) for i, x in rows], "doc_id long, text string, n_tokens string, ids int")
 
@@ -49,7 +55,7 @@ def test_whole_tokens_win_over_merges():
 
 
 def test_encode_and_decode_frames(spark, rank_library):
-    rows = [*enumerate(texts(50, 2)), (7, "again"), (7, "again"), (None, "x"), (99, None)]
+    rows = [*enumerate(texts(50, 2)), (7, "again"), (7, "again"), (None, "x"), (99, None), *enumerate(long_texts(), 200)]
     out = op04_bpe.decode(op04_bpe.encode(frame(spark, rows), RANKS, P.PATTERN), RANKS, P.PATTERN)
     got = sorted((repr(r["doc_id"]), r["n_tokens"], bytes(r["decoded"])) for r in out.collect())
     assert got == sorted((repr(i), len(rank_library.encode_ordinary(x or "")), (x or "").encode()) for i, x in rows)
@@ -59,7 +65,7 @@ def test_encode_and_decode_frames(spark, rank_library):
 def test_counts_equal_the_library(spark, monkeypatch):
     path = P.path("byte_bpe_50k.json")
     lib = op08_token_counts.library(path)
-    rows = [*enumerate(texts(300, 3)), (7, "again"), (7, "again"), (None, "x y"), (999, None)]
+    rows = [*enumerate(texts(300, 3)), (7, "again"), (7, "again"), (None, "x y"), (999, None), *enumerate(long_texts(), 2000)]
     want = sorted((repr(i), len((x or "").encode()), n := len(lib.encode(x or "", add_special_tokens=False).ids), n > 1024) for i, x in rows)
     for common in (100_000, 3):  # with 3, nearly all goes through the join
         monkeypatch.setattr(op08_token_counts, "COMMON", common)
@@ -174,3 +180,27 @@ def test_bpe_query(spark, rank_library):
         ids = rank_library.encode_ordinary(texts_of[r["doc_id"]] or "")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256((texts_of[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_packing_rows_that_share_ids_or_have_none(spark):
+    path = P.path("word_bpe_49k.json")
+    rows = [(5, "one two"), (5, "one two"), (5, "three"), (None, "four"), (None, None), (6, "five " * 5000)]
+    got = op07_packing.pack_documents(frame(spark, rows), path).collect()
+    pieces = sorted((repr(r["doc_id"]), r["piece"], r["length"]) for r in got)
+    assert [p[:2] for p in pieces] == [("5", 0)] * 3 + [("6", 0), ("6", 1), ("None", 0), ("None", 0)]
+    places = sorted((r["sequence_id"], r["offset"], r["offset"] + r["length"]) for r in got)
+    assert all(a[0] != b[0] or a[2] == b[1] for a, b in zip(places, places[1:], strict=False)) and all(p[2] <= 4096 for p in places)
+
+
+def test_workers_forget_when_idle(monkeypatch):
+    import time
+
+    from sievegrid.llm import common
+
+    monkeypatch.setattr(common, "IDLE", 0.1)
+    made = []
+    make = lambda: made.append(1) or len(made)
+    assert [common.held("t", 1, make), common.held("t", 1, make), common.held("t", 2, make), common.held("t", 1, make)] == [1, 1, 2, 3]
+    time.sleep(0.5)
+    assert not common._HELD and common.held("t", 1, make) == 4
+    time.sleep(0.5)
