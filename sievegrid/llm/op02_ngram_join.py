@@ -294,15 +294,22 @@ def _possible(pairs: DataFrame, held: DataFrame, t: int) -> DataFrame:
 
 
 def _held(texts: DataFrame, n: int) -> DataFrame:
-    """(k, n, text, bits, few) of (k, text): a bitmap for pairs, and one of a quarter of the places for tiles, whose rows are copied."""
+    """(k, n, bits, few) of the sets of texts (column text): a bitmap for pairs, and one of a quarter of the places for tiles, whose rows are copied.
+
+    Sets become bitmaps where their texts are read, so no text moves; equal sets are one row.
+    """
 
     def run(batches):
+        import xxhash
+
         for whole in batches:
             for b in slices(whole, 1000):
-                sets = [shingles(x, n) for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), b.column(1), *(pa.array([_bits(s, room).tobytes() for s in sets], pa.binary()) for room in (8, 2))], ["k", "n", "text", "bits", "few"])
+                sets = {xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63): s for s in (shingles(x, n) for x in b.column(0).to_pylist()) if len(s)}
+                bits = (pa.array([_bits(s, room).tobytes() for s in sets.values()], pa.binary()) for room in (8, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), *bits], ["k", "n", "bits", "few"])
 
-    return texts.select("k", "text").mapInArrow(run, "k long, n int, text string, bits binary, few binary")
+    found = texts.select("text").mapInArrow(run, "k long, n int, bits binary, few binary")
+    return found.groupBy("k").agg(*(F.any_value(c).alias(c) for c in ("n", "bits", "few")))
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -382,7 +389,7 @@ def _meet(t: int):
 _BAND = 1 << 24
 
 
-def _open_groups(wide: DataFrame, joined: DataFrame, held: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+def _open_groups(wide: DataFrame, joined: DataFrame, held: DataFrame, texts_of, n: int, t: int) -> DataFrame:
     """Links between components among rows that share wide columns.
 
     Of each group of rows, the largest component so far is connected already;
@@ -408,7 +415,7 @@ def _open_groups(wide: DataFrame, joined: DataFrame, held: DataFrame, sets: Data
     tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(held.select("k", "n", F.col("few").alias("bits")), "k")
     met = tiles.select("grp", "low", "high", "block", "k", "n", "bits").groupBy("grp", "low", "high").applyInArrow(_meet(t), "grp long, low long, high long, block long, k long")
     met = materialize(met, "ngram-met")
-    return met.join(sets, "k").groupBy("grp", "low", "high").applyInArrow(_tile(t), "a long, b long")
+    return met.join(_sets(texts_of(met.select("k")), n), "k").groupBy("grp", "low", "high").applyInArrow(_tile(t), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -447,14 +454,23 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     named = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(wide.select("k")).distinct()
     of = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
     wanted = materialize(sets.join(named, "k", "left_semi").select("k", F.col("rep"), F.col("tid").alias("t")), "ngram-wanted")
-    found = sifted(of, "tid", key_bitmap(wanted, "t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("t"))).groupBy("k").agg(F.min("text").alias("text"))
-    held = materialize(_held(found, n), "ngram-texts")
+    held = materialize(_held(sifted(of, "tid", key_bitmap(wanted, "t")), n), "ngram-bitmaps")
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """(k, text) of those sets (column k); only their texts move."""
+        some = materialize(wanted.join(keys.distinct(), "k", "left_semi"), "ngram-needed")
+        found = sifted(of, "tid", key_bitmap(some, "t")).join(some, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("t")))
+        return found.groupBy("k").agg(F.min("text").alias("text"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("k")).union(pairs.select("b"))
+
     # First each row with the one it shares most with, and the spokes of wide columns: they connect groups of near copies,
     # whose other pairs then need no bitmaps or texts.
     best = pairs.where("c > 0").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     some = best.union(pairs.where("c = 0").select("a", "b")).distinct()
     possible = materialize(_possible(some, held, t), "ngram-possible")
-    first = materialize(_verify(possible, held, n, t), "ngram-links")
+    first = materialize(_verify(possible, texts_of(ends(possible)), n, t), "ngram-links")
     joined = materialize(components(first, "ngram-first"), "ngram-joined")
 
     def label(df: DataFrame, col: str, to: str) -> DataFrame:
@@ -462,9 +478,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
 
     left = label(label(pairs.where("c > 0").select("a", "b"), "a", "g_a"), "b", "g_b").where("g_a <> g_b").select("a", "b").join(best, ["a", "b"], "left_anti")
     left = materialize(_possible(left, held, t), "ngram-left")
-    needed = key_bitmap(left.select(F.col("a").alias("k")).union(left.select("b")).distinct(), "k")
-    more = _verify(left, sifted(held, "k", needed), n, t)
-    second = materialize(more.union(_open_groups(wide, joined, held, _sets(held.join(wide.select("k").distinct(), "k", "left_semi"), n), t)), "ngram-more")
+    more = _verify(left, texts_of(ends(left)), n, t)
+    second = materialize(more.union(_open_groups(wide, joined, held, texts_of, n, t)), "ngram-more")
     discard(pairs, wanted, held, wide, possible, left, joined)
     # Components of sets, named by the least doc_id of all their documents.
     links = materialize(components(first.union(second), "ngram-final"), "ngram-components")
