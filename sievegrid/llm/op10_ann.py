@@ -96,12 +96,14 @@ def _index(rows: DataFrame, quantizer, kind: str) -> DataFrame:
     return rows.groupBy("block").applyInArrow(run, "block int, ids binary, codes binary, rest binary, v binary")
 
 
-def _query_blocks(queries: DataFrame) -> DataFrame:
+def _query_blocks(queries: DataFrame, kind: str) -> DataFrame:
+    """(q_ids, q binary): blocks of queries with their vectors as they are, which is half of what they are in double precision."""
+
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, QUERIES):
                 b = whole.slice(at, QUERIES)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit(matrix(b.column(1))).tobytes()], pa.binary())], ["q_ids", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b.column(0).to_numpy(), matrix(b.column(1), np.dtype(kind)))], ["q_ids", "q"])
 
     return queries.select("id", "v").mapInArrow(run, "q_ids binary, q binary")
 
@@ -116,7 +118,7 @@ def _nearest_of_blocks(pairs: DataFrame, quantizer, k: int, kind: str) -> DataFr
             for i in range(whole.num_rows):
                 q_ids, q, ids, codes, rest, v = (c[i].as_py() for c in whole.columns)
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q, rest = np.frombuffer(q, np.float64).reshape(len(q_ids), -1), np.frombuffer(rest, np.float32)
+                q, rest = unit(np.frombuffer(q, np.dtype(kind)).reshape(len(q_ids), -1).astype(np.float64)), np.frombuffer(rest, np.float32)
                 codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
                 score = np.zeros((len(ids), len(q_ids)), np.float32)
                 for m in range(len(books)):
@@ -157,9 +159,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     fit = sample(rows, "id", "v", SAMPLE)
     quantizer = spark.sparkContext.broadcast(Quantizer(fit if fit.size else np.zeros((0, max(1, d)))))
     index = materialize(_index(rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")), quantizer, kind), "ann-index")
-    # Every query block meets every index block; the queries are copied, once per block of rows.
-    asked_of = _query_blocks(asked).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    exact = _nearest_of_blocks(asked_of.join(index, "block"), quantizer, k, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # Every query block meets every index block; the queries are copied, once per block of rows. Spark can't know how
+    # many copies that makes, and would send them all through the driver; so both sides are told to shuffle.
+    asked_of = _query_blocks(asked, kind).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    exact = _nearest_of_blocks(asked_of.hint("merge").join(index.hint("merge"), "block"), quantizer, k, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

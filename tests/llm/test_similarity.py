@@ -228,3 +228,14 @@ def test_vectors_of_doubles_and_odd_ids(spark):
     assert len(links) == len(rows) and sum(r["vec_id"] is None and r["n_links"] == 0 for r in links) == 1
     own = {r["vec_id"]: r for r in links if r["vec_id"] not in (None, 3)}
     assert own[30]["component_id"] == 0 and own[30]["n_links"] == 1 and own[51]["component_id"] == 50 and own[35]["component_id"] == 3
+
+
+def test_ann_queries_never_pass_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(op10_ann, "ROWS", 40)
+    monkeypatch.setattr(op10_ann, "QUERIES", 8)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<float>")
+    found = op10_ann.nearest(df, df)
+    assert found.count() == 1500 and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
