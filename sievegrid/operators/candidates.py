@@ -61,10 +61,22 @@ def resolve_either(asked: DataFrame, pool: DataFrame) -> DataFrame:
 
 def match_path(asked: DataFrame, files: DataFrame) -> DataFrame:
     """(ask_id, path, tier): the first file equal to the asked path, else equal in any case, else the first that ends in its base name."""
-    base = F.substring_index("asked", "/", -1)
-    tier = F.when(F.col("asked") == F.col("path"), 1).when(F.lower("asked") == F.lower("path"), 2).when(F.col("path").endswith(base), 3)
-    met = asked.join(files, "doc_id").withColumn("tier", tier).where("tier is not null")
-    return met.groupBy("ask_id").agg(F.min_by(F.struct("path", "tier"), F.struct("tier", "position")).alias("x")).select("ask_id", "x.path", "x.tier")
+    # A path that stands again later is never the first, and asks of one text have one answer: each is taken once.
+    # All tiers are joins by equality, the last on endings of the lengths that base names of the same doc_id have.
+    once = files.groupBy("doc_id", "path").agg(F.min("position").alias("position"))
+    texts = asked.select("doc_id", "asked").distinct().select("doc_id", "asked", F.substring_index("asked", "/", -1).alias("base"))
+    place = lambda tier: F.struct(F.lit(tier).alias("tier"), "position", "path")
+    low = once.groupBy("doc_id", F.lower("path").alias("low")).agg(F.min(place(2)).alias("x"))
+    bases = texts.select("doc_id", "base").distinct()
+    lengths = bases.select("doc_id", F.length("base").alias("n")).distinct()
+    ends = once.join(lengths, "doc_id").where(F.length("path") >= F.col("n")).select("doc_id", F.when(F.col("n") > 0, F.right("path", F.col("n"))).otherwise("").alias("base"), place(3).alias("x"))
+    found = (
+        texts.join(once.withColumnRenamed("path", "asked"), ["doc_id", "asked"]).select("doc_id", "asked", F.struct(F.lit(1).alias("tier"), "position", F.col("asked").alias("path")).alias("x"))
+        .unionByName(texts.withColumn("low", F.lower("asked")).join(low, ["doc_id", "low"]).select("doc_id", "asked", "x"))
+        .unionByName(texts.join(ends.groupBy("doc_id", "base").agg(F.min("x").alias("x")), ["doc_id", "base"]).select("doc_id", "asked", "x"))
+    )
+    best = found.groupBy("doc_id", "asked").agg(F.min("x").alias("x"))
+    return asked.join(best, ["doc_id", "asked"]).select("ask_id", "x.path", "x.tier")
 
 
 def fill_empty(rows: DataFrame, more: DataFrame, key: str, columns: list[str]) -> DataFrame:

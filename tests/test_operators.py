@@ -229,6 +229,14 @@ def test_path_match_golden(spark):
     assert got == {1: ("src/my_utils.py", 3), 3: ("a/b.c", 2), 4: ("a/b.c", 1), 6: ("src/File.py", 3)}
 
 
+def test_asked_paths_never_meet_all_files(spark):
+    files = spark.createDataFrame([(1, i + 1, f"src/{'A' if i % 2 else 'b'}/File{i % 3}.py") for i in range(60)] + [(2, 1, "x")], "doc_id long, position int, path string")
+    asked = spark.createDataFrame([(1, 1, "src/A/File0.py"), (2, 1, "SRC/b/file1.py"), (3, 1, "le2.py"), (4, 1, "dir/"), (5, 2, "File0.py"), (6, 3, "x"), (7, 1, "le2.py")], "ask_id long, doc_id long, asked string")
+    found = cand.match_path(asked, files)
+    assert {r["ask_id"]: (r["path"], r["tier"]) for r in found.collect()} == {1: ("src/A/File0.py", 1), 2: ("src/b/File1.py", 2), 3: ("src/b/File2.py", 3), 4: ("src/b/File0.py", 3), 7: ("src/b/File2.py", 3)}
+    assert "EndsWith" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_review_pool_golden(spark):
     ranking = spark.createDataFrame([("q", f"d{i}", i) for i in range(1, 8)], "query_id string, doc_id string, rank int")
     pick = spark.createDataFrame([("q", "d4")], "query_id string, doc_id string")
