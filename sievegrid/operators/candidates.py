@@ -116,14 +116,18 @@ def compose(best: Column, seen: Column, ranking: Column | None = None, k: int |
     return full if k is None else F.slice(full, 1, k)
 
 
-def manifest(rows: DataFrame) -> DataFrame:
-    """(query_id, manifest): a line or two for each candidate (query_id, rank, doc_id, message, files or null where its content is absent)."""
+def manifest(rows: DataFrame, places: int | None = None) -> DataFrame:
+    """(query_id, manifest): a line or two for each candidate (query_id, rank, doc_id, message, files or null where its content is absent).
+
+    Ranks are padded to four places and written whole; with `places`, in a field of exactly that many, whose first digits a longer rank keeps.
+    """
     head = F.get(lines(stripped(F.coalesce("message", F.lit("")))), F.lit(0))
     head = F.coalesce(F.nullif(head, F.lit("")), F.lit("(empty msg)"))
     head = F.when(F.length(head) > 80, F.concat(F.left(head, F.lit(77)), F.lit("..."))).otherwise(head)
     count = lambda t: F.size(F.filter("files", lambda f: f["tag"] == t))
     tags = F.concat_ws("/", *(F.when(count(t) > 0, told(count(t), short)) for t, short in SHORT_TAGS.items()))
-    start = told("  #", F.lpad(F.col("rank").cast("string"), F.greatest(F.length(F.col("rank").cast("string")), F.lit(4)), " "), "  ", F.left("doc_id", F.lit(12)), "  ")
+    number = F.col("rank").cast("string")
+    start = told("  #", F.lpad(number, F.greatest(F.length(number), F.lit(4)) if places is None else F.lit(places), " "), "  ", F.left("doc_id", F.lit(12)), "  ")
     known = told(start, '"', head, '"\n            files: ', F.size("files"), " (", F.coalesce(F.nullif(tags, F.lit("")), F.lit("0 files")), ")")
     line = F.when(F.col("files").isNull(), told(start, "[commit not found in repo2commits_diff]")).otherwise(known)
     out = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))

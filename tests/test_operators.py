@@ -237,6 +237,12 @@ def test_asked_paths_never_meet_all_files(spark):
     assert "EndsWith" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_manifest_ranks_of_five_places(spark):
+    rows = spark.createDataFrame([("q", 12345, "c", "m", None)], "query_id string, rank int, doc_id string, message string, files array<struct<tag:string>>")
+    assert "  #12345  c  [" in cand.manifest(rows).first()["manifest"]
+    assert "  #1234  c  [" in cand.manifest(rows, places=4).first()["manifest"]
+
+
 def test_review_pool_golden(spark):
     ranking = spark.createDataFrame([("q", f"d{i}", i) for i in range(1, 8)], "query_id string, doc_id string, rank int")
     pick = spark.createDataFrame([("q", "d4")], "query_id string, doc_id string")
