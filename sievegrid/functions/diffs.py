@@ -59,8 +59,7 @@ def told(*parts) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without a trailing empty one."""
-    parts = F.split(F.coalesce(text, F.lit("")), BREAKS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def stripped(text: Column) -> Column:
@@ -84,7 +83,7 @@ def file_changes(text: Column) -> Column:
 
     The text is cut before each file's line once, and each file is read by itself, so time follows the text's length.
     """
-    blocks = F.split(F.coalesce(text, F.lit("")), f"(?<=[{BREAKS.split('[')[1]})(?={HEADER})")
+    blocks = F.split(F.coalesce(text, F.lit("")), f"(?={HEADER})(?<=[{BREAKS.split('[')[1]})")
 
     def change(raw: Column, i: Column) -> Column:
         def read(b: Column) -> Column:
@@ -140,6 +139,11 @@ def file_priority(tag: Column, adds: Column, dels: Column, path: Column, words:
     return (base + F.least(F.lit(20), changed) - F.when(changed > 500, 10).otherwise(0) + F.when(named, 15).otherwise(0)).cast("int")
 
 
+def tagged(files: Column) -> Column:
+    """files with tag alone, where nothing asks for priorities: a description's words cost more than all else."""
+    return F.transform(files, lambda f: f.withField("tag", file_tag(f["path"], f["is_binary"])))
+
+
 def classified(files: Column, description: Column) -> Column:
     """files with tag and priority."""
 

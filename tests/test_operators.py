@@ -190,6 +190,17 @@ def changed_file(path, n, extra=()):
     return "\n".join([f"diff --git a/{path} b/{path}", "index 1..2", f"--- a/{path}", f"+++ b/{path}", "@@ -1 +1 @@", " same", *(f"+line {i}" for i in range(n)), *extra])
 
 
+def test_files_are_read_once_and_ranked_only_where_asked(spark):
+    assert str(diffs.lines(F.col("x"))).count("split(") == 1
+    from sievegrid.plans.suite import SUITE
+
+    for name in ("classify_files", "file_tag_counts", "render_file", "compress_block", "candidate_manifest"):
+        plan = SUITE[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert diffs.WORD not in plan, name
+    files = diffs.tagged(diffs.file_changes(F.lit("diff --git a/x b/x.py\n+a\ndiff --git a/t b/tests/t.py\n-b")))
+    assert [(f["path"], f["tag"]) for f in spark.range(1).select(files.alias("f")).first()["f"]] == [("x.py", "source"), ("tests/t.py", "test")]
+
+
 def test_commit_views_golden(spark):
     diff = "\n".join([
         "not yet a file", changed_file("src/net_filter.c", 501), changed_file("docs/a.md", 1), "diff --git a/x.bin b/x.bin\nBinary files a/x.bin and b/x.bin differ", "diff --git a/o.c b/n.c\nold mode 100644\nnew mode 100755\nsimilarity index 90%\nrename from o.c\nrename to n.c\nGIT binary patch\n+++x\n---x",
