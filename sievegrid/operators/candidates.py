@@ -12,15 +12,15 @@ from ..functions.parsing import show_author, show_date, show_diff
 SHORT_TAGS = {"source": "src", "test": "test", "doc": "doc", "fixture": "bin", "config": "cfg"}
 
 
-def _begun(asked: DataFrame, pool: DataFrame) -> DataFrame:
-    """(ask_id, doc_id): ids of asked's (ask_id, query_id, p) queries in pool (query_id, doc_id) that begin with p, in any case.
+def _begun(asked: DataFrame, pool: DataFrame, *more: str) -> DataFrame:
+    """(ask_id, more, doc_id): ids of asked's (ask_id, query_id, p) queries in pool (query_id, doc_id) that begin with p, in any case.
 
     Ids are cut to the lengths that their query asks for, and joined to the asks by equality, so no ask meets the ids
     that it doesn't name.
     """
     lengths = asked.select("query_id", F.length("p").alias("n")).distinct()
     cut = pool.join(lengths, "query_id").where(F.length("doc_id") >= F.col("n")).select("query_id", F.left(F.lower("doc_id"), F.col("n")).alias("p"), "doc_id")
-    return asked.select("ask_id", "query_id", "p").join(cut, ["query_id", "p"]).select("ask_id", "doc_id")
+    return asked.select("ask_id", "query_id", "p").join(cut, ["query_id", "p"]).select("ask_id", *more, "doc_id")
 
 
 def resolve(asked: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -50,13 +50,15 @@ def resolve_either(asked: DataFrame, pool: DataFrame) -> DataFrame:
     """
     text = asked.select("ask_id", "query_id", F.lower(F.trim("part")).alias("p")).where("p <> ''")
     # Both directions are joins by equality: on ids cut to a part's length, and on parts cut to an id's.
-    longer = _begun(text, pool)
+    longer = _begun(text, pool, "p")
     lengths = pool.select("query_id", F.length("doc_id").alias("n")).distinct()
-    cut = text.join(lengths, "query_id").where((F.length("p") > F.col("n")) & (F.col("n") > 0)).select("ask_id", "query_id", F.left("p", F.col("n")).alias("d"))
-    shorter = cut.join(pool.select("query_id", F.lower("doc_id").alias("d"), "doc_id"), ["query_id", "d"]).select("ask_id", "doc_id")
-    met = longer.unionByName(shorter).join(text.select("ask_id", "p"), "ask_id")
-    found = met.groupBy("ask_id").agg(F.min(F.when(F.lower("doc_id") == F.col("p"), F.col("doc_id"))).alias("exact"), F.count("*").alias("n"), F.min("doc_id").alias("one"))
-    return asked.select("ask_id").join(found, "ask_id", "left").select("ask_id", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("doc_id"))
+    cut = text.join(lengths, "query_id").where((F.length("p") > F.col("n")) & (F.col("n") > 0)).select("ask_id", "query_id", "p", F.left("p", F.col("n")).alias("d"))
+    shorter = cut.join(pool.select("query_id", F.lower("doc_id").alias("d"), "doc_id"), ["query_id", "d"]).select("ask_id", "p", "doc_id")
+    # Every ask goes along as a row of its own, so one grouping answers them and nothing is joined again.
+    none = asked.select("ask_id", F.lit(None).cast("string").alias("p"), F.lit(None).cast(pool.schema["doc_id"].dataType).alias("doc_id"))
+    met = none.unionByName(longer).unionByName(shorter)
+    found = met.groupBy("ask_id").agg(F.min(F.when(F.lower("doc_id") == F.col("p"), F.col("doc_id"))).alias("exact"), F.count("doc_id").alias("n"), F.min("doc_id").alias("one"))
+    return found.select("ask_id", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("doc_id"))
 
 
 def match_path(asked: DataFrame, files: DataFrame) -> DataFrame:
