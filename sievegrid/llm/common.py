@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 #: What this Python worker remembers, for one operator at a time.
 _HELD: dict = {}
 #: Parquet folders written by `materialize` in this process, for `release`.
@@ -51,17 +53,6 @@ def held(kind: str, key, make: Callable):
     return value
 
 
-#: Rows of an Arrow batch, where the session has Spark's own 10,000: texts are long, and both sides hold a batch or two.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Sets BATCH for the session, unless someone has chosen another number."""
-    name, default, wanted = BATCH
-    if spark.conf.get(name, default) == default:
-        spark.conf.set(name, wanted)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.diffs import commit_text
+from ..session import small_batches
 from ..sources.store import exists, write_by_repo
 from ..sources.writers import pending_partitions
 from .lexical import _best, ranked
@@ -32,6 +33,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6,
     """
     whole = lambda rows, key: rows.select(F.col(key).cast("long"), F.col(by).cast("string").alias("g") if by else F.lit("").alias("g"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null and g is not null and not exists(v, x -> x is null)")
     queries = whole(queries, "query_id")
+    small_batches(vectors.sparkSession)
     n = queries.count()
     out, dim = None, None
     for i in range(-(-n // QUERY_BLOCK)):
@@ -83,6 +85,7 @@ def encode_texts(rows: DataFrame, build: Callable[[], Callable[[list[str]], np.n
 
     An empty prefix is for passages; queries take the model's instruction as prefix.
     """
+    small_batches(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,6 +105,7 @@ def encode_in_budget(rows: DataFrame, build: Callable[[], tuple[Callable, Callab
     Inside a task texts are taken by length, so the padding of a batch is small; a batch holds at most `batch` texts,
     and not more than `batch_tokens` tokens when all are padded to its longest. Rows come back in their order.
     """
+    small_batches(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 #: Defaults of published BM25.
 K1, B = 1.2, 0.75
 #: Queries whose terms are sent to all tasks; more are taken in parts. Scores of a block of documents held at once.
@@ -58,6 +60,7 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int | None = 10_000, k1: floa
     postings of common words are shuffled. Ties go to the smaller doc_id; null
     texts have no terms, and count as documents.
     """
+    small_batches(docs.sparkSession)
     n = queries.count()
     parts = max(1, -(-n // QUERY_BLOCK))
     group = F.col(by).cast("string") if by else F.lit("")
@@ -108,6 +111,7 @@ def _bm25_part(words: DataFrame, terms: DataFrame, top: int | None, k1: float, b
     def score(batches):
         a, (idf, mean) = sent.value, weights.value
         n = len(a.queries)
+        floor = np.zeros(n)
         for whole in batches:
             step = max(1, GRID // n)
             for i in range(0, whole.num_rows, step):
@@ -119,17 +123,23 @@ def _bm25_part(words: DataFrame, terms: DataFrame, top: int | None, k1: float, b
                 ends = np.cumsum(count)
                 place = np.arange(int(count.sum())) - np.repeat(ends - count, count) + np.repeat(a.first[at], count)
                 grid = np.bincount(np.repeat(doc, count) * n + a.query[place], weights=np.repeat(w, count), minlength=x.num_rows * n).astype(float).reshape(-1, n).T
-                yield _best(grid, a.queries, x.column(0), top, digits, 0.0)
+                yield _best(grid, a.queries, x.column(0), top, digits, 0.0, floor)
 
     return words.mapInArrow(score, schema)
 
 
-def _best(grid: np.ndarray, queries: pa.Array, docs: pa.Array, top: int | None, digits: int, above: float) -> pa.RecordBatch:
-    """The best of a grid of scores (queries by documents), ties with the last of them included."""
+def _best(grid: np.ndarray, queries: pa.Array, docs: pa.Array, top: int | None, digits: int, above: float, floor: np.ndarray | None = None) -> pa.RecordBatch:
+    """The best of a grid of scores (queries by documents), ties with the last of them included.
+
+    floor, of a task's grids so far: the most that any of them has as a query's `top`-th score; what is below it is none of the best.
+    """
     grid = np.round(grid, digits)
     keep = grid > above
     if top is not None and top < grid.shape[1]:
-        keep &= grid >= np.partition(grid, grid.shape[1] - top, axis=1)[:, grid.shape[1] - top][:, None]
+        last = np.partition(grid, grid.shape[1] - top, axis=1)[:, grid.shape[1] - top]
+        if floor is not None:
+            last = np.maximum(floor, last, out=floor)
+        keep &= grid >= last[:, None]
     q, d = np.nonzero(keep)
     return pa.RecordBatch.from_arrays([queries.take(pa.array(q)), docs.take(pa.array(d)), pa.array(grid[q, d])], ["query_id", "doc_id", "score"])
 
@@ -218,6 +228,7 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     all tasks only up to a bound in number and characters (MOST_ITEMS,
     MOST_CHARS), in parts beyond it. A worker builds an automaton once.
     """
+    small_batches(docs.sparkSession)
     heads = items.select("query_id", F.col("text").alias("head")).where("head <> ''")
     n, size = heads.agg(F.count("*"), F.coalesce(F.sum(F.length("head")), F.lit(0))).first()
     parts = max(-(-n // MOST_ITEMS), -(-size // MOST_CHARS))

@@ -351,3 +351,17 @@ def test_errors_shown_golden(spark):
     assert got[0] == "[Error] Could not interpret '#3'. To read rank 3, pass the SHA from list_candidates."
     assert got[1].startswith("[Error] '12' looks like a rank number, but 10 candidates available and 12 is out of range.") and got[2].startswith("[Error] commit_id 'abc' not found in the Top-10 candidate list.")
     assert one(spark, "0123456789abcdef", views.after_submission).startswith("[Error] You have already submitted your answer (0123456789ab). The task")
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, "a " * (1 + i * 37 % 50) + "b " * (i % 7)) for i in range(400)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "b a"), (3, "zz")], "query_id long, text string")
+    whole = sorted(map(tuple, lexical.bm25(docs, items, None).where("rank <= 5").collect()))
+    spark.conf.unset(name)
+    for run in (lambda: lexical.bm25(docs, items, 5), lambda: lexical.containing(docs, items), lambda: dense.encode_texts(docs, lambda: dense.seeded_encoder(4))):
+        run()
+        assert spark.conf.get(name) == "2000"
+        spark.conf.unset(name)
+    monkeypatch.setattr(lexical, "GRID", 60)
+    assert sorted(map(tuple, lexical.bm25(docs, items, 5).collect())) == whole
