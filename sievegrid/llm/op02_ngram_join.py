@@ -9,11 +9,11 @@ pairs whose sum stays below what their sizes demand are dropped. What is left is
 verified on the texts themselves.
 
 Before that, pairs are held against bitmaps of the sets, one bit or less per
-n-gram in eight times as many places: n-grams of one set in places where the
+n-gram in twice as many places or more: n-grams of one set in places where the
 other has none aren't common, and pairs that can't reach the similarity with the
 others go, without a text having moved.
 
-Frequent n-grams, found in a first pass over everything, come last in the order,
+Frequent n-grams, counted in a sample of texts, come last in the order,
 so boilerplate that many documents share rarely is a column at all. Where such a
 column, or any longer than WIDE, remains (rows made of boilerplate, large groups
 of near copies), its rows are not multiplied pair by pair: each is compared with
@@ -38,17 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held, key_bitmap, materialize, sifted
+from .common import discard, key_bitmap, materialize, sifted
 from .components import components
 from .op04_bpe import slices
 
 #: Rows of a column beyond which it is compared by its least row first.
 WIDE = 128
-#: Documents of a batch that share an n-gram for it to be reported as frequent; corpus count from which it is ordered last.
+#: Sets of the sample that share an n-gram, at least, for it to be frequent; corpus count, as estimated, from which it is ordered last.
 SEEN, FREQUENT = 4, 48
+#: One text of so many, at most, is in that sample; and n-grams of a table for each step up to it.
+SHARE, SMALL = 16, 2_000_000
 #: Most n-grams that are ordered last (8 bytes each, sent to all tasks); with more, FREQUENT rises.
 FREQUENT_MOST = 1_000_000
 #: Rows of half a tile, about.
@@ -57,40 +60,67 @@ TILE = 256
 BLOCK, PAIRS = 1_000_000, 2_000_000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def _words() -> _Words:
-    return held("ngram", None, _Words)
-
-
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+#: Words that are mixed at a time, few enough for a processor's cache.
+_AT_ONCE = 16_384
+
+
+def _mix(x: np.ndarray, room: np.ndarray) -> None:
+    """Mixes x in place; room: of the same size."""
+    for shift, factor in ((30, _MIX[0]), (27, _MIX[1]), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=room)
+        np.bitwise_xor(x, room, out=x)
+        if factor is not None:
+            np.multiply(x, factor, out=x)
+
+
+def _hashed(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    out = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    room = np.empty(_AT_ONCE, np.uint64)
+    for at in range(0, len(out), _AT_ONCE):
+        x = out[at : at + _AT_ONCE]
+        for i in range(k):
+            np.add(x, words[at + i : at + i + len(x)], out=x)
+            np.add(x, np.uint64(i + 1), out=x)
+            _mix(x, room[: len(x)])
+    return out
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its n-word shingles; each distinct word of the batch is hashed once."""
+    import xxhash
+
+    # Large offsets, as the texts of a batch may be more than 2 GB; Arrow's white space is \x09-\x0D and \x20, as bytes.split has it.
+    # Rows are taken first, as ascii_lower reads the wrong bytes of a slice.
+    own = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(own.fill_null("")))
+    split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+    words = split.flatten().dictionary_encode()
+    known = words.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    code = words.indices.to_numpy()
+    # Before the first and after the last white space stands an empty word, which is none.
+    real = np.fromiter((x != b"" for x in known), bool, len(known))[code]
+    ends = np.append(0, np.cumsum(real))[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]
+    h = hashes[code[real]]
+    size = np.diff(ends)
+    whole = _hashed(h, n)
+    # Runs that begin in one text and end in another go; a text of fewer words is one run.
+    last = np.maximum(ends[1:] - n + 1, ends[:-1])
+    rows, first = [], ends[:-1].tolist()
+    for i, j, m in zip(first, last.tolist(), size.tolist(), strict=True):
+        s = whole[i:j] if m >= n else _hashed(h[i : i + m], m) if m else np.empty(0, np.uint64)
+        s.sort()
+        rows.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+    return rows
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's n-word shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out = _mix(out + h[i : len(h) - k + 1 + i] + np.uint64(i + 1))
-    return np.unique(out)
+    return shingle_sets(pa.array([text], pa.string()), n)[0]
 
 
 def prefix_size(n, t: int):
@@ -98,35 +128,41 @@ def prefix_size(n, t: int):
 
 
 def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Per row (doc_id, n, k, tid): set size, set hash and text hash; per batch (k, c): its frequent n-grams."""
+    """(doc_id, n, k, tid) per row: set size, set hash and text hash."""
 
     def run(batches):
         import xxhash
 
         for whole in batches:
-            for b in slices(whole, 2000):
-                sets = [shingles(x, n) for x in b.column(1).to_pylist()]
-                sizes = [len(s) for s in sets]
+            for b in slices(whole, 1000):
+                sets = shingle_sets(b.column(1), n)
                 hashes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-                distinct = {k: s for k, s in zip(hashes, sets, strict=True)}
-                h, c = np.unique(np.concatenate(list(distinct.values()) or [np.empty(0, np.uint64)]), return_counts=True)
-                h, c = h[c >= SEEN], c[c >= SEEN]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(len(h), pa.int64())]),
-                        pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(len(h), pa.int64())]),
-                        pa.concat_arrays([pa.array(hashes, pa.int64()), pa.array(h.view(np.int64))]),
-                        pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(c.astype(np.int64))]),
-                        pa.concat_arrays([b.column(2), pa.nulls(len(h), pa.int64())]),
-                    ],
-                    ["doc_id", "n", "k", "c", "tid"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64()), b.column(2)], ["doc_id", "n", "k", "tid"])
+
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, "doc_id long, n long, k long, tid long")
+
+
+def _frequent(docs: DataFrame, text: str, n: int, total: int) -> DataFrame:
+    """(h, c): frequent n-grams and how many texts of a sample have them. The sample serves the order of n-grams only; total: of all sets' sizes."""
+    share = max(1, min(SHARE, total // SMALL))
 
-    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, "doc_id long, n long, k long, c long, tid long")
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 1000):
+                sets = {s.tobytes(): s for s in shingle_sets(b.column(0), n)}
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets.values(), np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+
+    found = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text).mapInArrow(run, "h long")
+    return found.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= max(SEEN, FREQUENT / share))
 
 
 def _postings(docs: DataFrame, text: str, n: int, t: int, blocks: int, late) -> DataFrame:
-    """(block, h, k, n, r binary): per batch and column block the prefix columns, k and n once per run of r of them; block -1: columns of frequent n-grams."""
+    """(block, h, k, n, r binary): per batch and column block the prefix columns, k and n once per run of r of them.
+
+    h is half of the n-gram's hash, as the block stands for the other; columns
+    that fall together are one, which adds pairs and loses none. Columns of
+    frequent n-grams, h their place among these, are in blocks below 0, by k.
+    """
 
     def run(batches):
         import xxhash
@@ -135,34 +171,31 @@ def _postings(docs: DataFrame, text: str, n: int, t: int, blocks: int, late) ->
         for whole in batches:
             for b in slices(whole, 2000):
                 sets = {}
-                for x in b.column(0).to_pylist():
-                    s = shingles(x, n)
+                for s in shingle_sets(b.column(0), n):
                     if len(s):
                         sets[xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)] = s
-                hs, ks, ns = [], [], []
+                if not sets:
+                    continue
+                hs, ns, blocks_of = [], [], []
                 for k, s in sets.items():
                     p = prefix_size(len(s), t)
                     at = np.searchsorted(last, s)
                     heavy = last[np.minimum(at, len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                     chosen = s[~heavy][:p]
-                    hs.append(chosen)
-                    rest = s[heavy][: p - len(chosen)]
-                    hs.append(rest)
-                    ks += [k, k]
-                    ns += [len(chosen), len(rest)]
-                if not sets:
-                    continue
-                sizes = np.repeat([len(s) for s in sets.values()], 2)
-                h = np.concatenate(hs)
-                k = np.repeat(np.array(ks, np.int64), ns)
-                m = np.repeat(sizes.astype(np.int32), ns)
-                frequent = np.repeat(np.arange(len(ns)) % 2 == 1, ns)
-                block = np.where(frequent, -1, (h >> np.uint64(20)).astype(np.int64) % blocks)
+                    rest = at[heavy][: p - len(chosen)]
+                    hs += [chosen.astype(np.uint32), rest.astype(np.uint32)]
+                    ns.append(len(chosen) + len(rest))
+                    blocks_of += [(chosen >> np.uint64(32)).astype(np.int64) % blocks, np.full(len(rest), -1 - k % blocks)]
+                h, block = np.concatenate(hs), np.concatenate(blocks_of)
+                k = np.repeat(np.array(list(sets), np.int64), ns)
+                m = np.repeat(np.array([len(s) for s in sets.values()], np.int32), ns)
                 order = np.argsort(block, kind="stable")
                 block, h, k, m = block[order], h[order], k[order], m[order]
-                run_at = np.flatnonzero((np.diff(block, prepend=-2) != 0) | np.append(True, k[1:] != k[:-1]))
-                runs = np.diff(np.append(run_at, len(k))).astype(np.int32)
-                first = np.flatnonzero(np.diff(block[run_at], prepend=-2))
+                change = np.flatnonzero((np.diff(block, prepend=blocks) != 0) | np.append(True, k[1:] != k[:-1]))
+                # Runs of 255 at most, so that their lengths are bytes.
+                run_at = np.flatnonzero((np.arange(len(k)) - np.repeat(change, np.diff(np.append(change, len(k))))) % 255 == 0)
+                runs = np.diff(np.append(run_at, len(k))).astype(np.uint8)
+                first = np.flatnonzero(np.diff(block[run_at], prepend=blocks))
                 ends = np.append(first[1:], len(run_at))
                 edge = np.append(run_at, len(k))
                 yield pa.RecordBatch.from_arrays(
@@ -179,7 +212,7 @@ def _postings(docs: DataFrame, text: str, n: int, t: int, blocks: int, late) ->
 
 def _unpacked(columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(h, k, n) of columns h, k, n, r."""
-    h, k, n, r = (np.concatenate([np.frombuffer(x, kind) for x in c]) for c, kind in zip(columns, (np.uint64, np.int64, np.int32, np.int32), strict=True))
+    h, k, n, r = (np.concatenate([np.frombuffer(x, kind) for x in c]) for c, kind in zip(columns, (np.uint32, np.int64, np.int32, np.uint8), strict=True))
     return h, np.repeat(k, r), np.repeat(n, r)
 
 
@@ -187,14 +220,15 @@ _PAIRS = "a long, b long, n_a int, n_b int, c int, h long"
 
 
 def _product(t: int):
-    """Multiplies a column block: pairs (a, b, c) with partial overlaps, n_a <= n_b; rows (a, n_a, h) of wide columns with b null."""
+    """Multiplies a column block: pairs (a, b, c) with partial overlaps, n_a <= n_b; rows (a, n_a, h) of wide columns, and of all frequent ones, with b null."""
 
     def out(a, b, na, nb, c, h):
         return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(na), nb, c, h], ["a", "b", "n_a", "n_b", "c", "h"])
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [], [], [], []
+        columns, block = ([], [], [], []), 0
         for g in groups:
+            block = g.column(0)[0].as_py() if g.num_rows else block
             for i, into in enumerate(columns):
                 into += g.column(i + 1).to_pylist()
         h, k, n = _unpacked(columns)
@@ -202,14 +236,21 @@ def _product(t: int):
         h, k, n = h[order], k[order], n[order]
         same = np.append(False, (h[1:] == h[:-1]) & (k[1:] == k[:-1]))
         h, k, n = h[~same], k[~same], n[~same]
+
+        def rows(h, k, n):
+            w = len(h)
+            return out(k, pa.nulls(w, pa.int64()), n, pa.nulls(w, pa.int32()), pa.nulls(w, pa.int32()), pa.array(h))
+
+        if block < 0:
+            yield rows(-1 - h.astype(np.int64), k, n)
+            return
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, int)
         size = np.diff(np.append(start, len(h)))
         shared = np.repeat(size > 1, size)
         h, k, n, size = h[shared], k[shared], n[shared], size[size > 1]
         wide = np.repeat(size > WIDE, size)
         if wide.any():
-            w = int(wide.sum())
-            yield out(k[wide], pa.nulls(w, pa.int64()), n[wide], pa.nulls(w, pa.int32()), pa.nulls(w, pa.int32()), pa.array(h[wide].view(np.int64)))
+            yield rows((block << 32) + h[wide].astype(np.int64), k[wide], n[wide])
         column = np.repeat(np.arange(len(size)), size)
         column[wide] = -1 - np.flatnonzero(wide)
         # Columns are multiplied some at a time, so what a task holds is bounded; overlaps are summed per pair later on.
@@ -245,13 +286,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole, 500):
-                known: dict[int, np.ndarray] = {}
                 ok = []
-                for k_a, k_b, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    for k, v in ((k_a, x), (k_b, y)):
-                        if k not in known:
-                            known[k] = shingles(v, n)
-                    s, u = known[k_a], known[k_b]
+                for s, u in zip(shingle_sets(b.column(2), n), shingle_sets(b.column(3), n), strict=True):
                     both = len(np.intersect1d(s, u, assume_unique=True))
                     ok.append(100 * both >= t * (len(s) + len(u) - both))
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -261,7 +297,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _bits(h: np.ndarray, room: int = 8) -> np.ndarray:
+def _bits(h: np.ndarray, room: int = 2) -> np.ndarray:
     """A bitmap of a set in a power of two of places, `room` times its size or more."""
     m = 1 << max(6, (room * len(h) - 1).bit_length())
     bits = np.zeros(m, bool)
@@ -294,7 +330,7 @@ def _possible(pairs: DataFrame, held: DataFrame, t: int) -> DataFrame:
 
 
 def _held(texts: DataFrame, n: int) -> DataFrame:
-    """(k, n, bits, few) of the sets of texts (column text): a bitmap for pairs, and one of a quarter of the places for tiles, whose rows are copied.
+    """(k, n, bits) of the sets of texts (column text), with their bitmaps.
 
     Sets become bitmaps where their texts are read, so no text moves; equal sets are one row.
     """
@@ -304,12 +340,11 @@ def _held(texts: DataFrame, n: int) -> DataFrame:
 
         for whole in batches:
             for b in slices(whole, 1000):
-                sets = {xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63): s for s in (shingles(x, n) for x in b.column(0).to_pylist()) if len(s)}
-                bits = (pa.array([_bits(s, room).tobytes() for s in sets.values()], pa.binary()) for room in (8, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), *bits], ["k", "n", "bits", "few"])
+                sets = {xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63): s for s in shingle_sets(b.column(0), n) if len(s)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), pa.array([_bits(s).tobytes() for s in sets.values()], pa.binary())], ["k", "n", "bits"])
 
-    found = texts.select("text").mapInArrow(run, "k long, n int, bits binary, few binary")
-    return found.groupBy("k").agg(*(F.any_value(c).alias(c) for c in ("n", "bits", "few")))
+    found = texts.select("text").mapInArrow(run, "k long, n int, bits binary")
+    return found.groupBy("k").agg(*(F.any_value(c).alias(c) for c in ("n", "bits")))
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -318,7 +353,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole, 1000):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, n).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["k", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), n)], pa.binary())], ["k", "grams"])
 
     return texts.select("k", "text").mapInArrow(run, "k long, grams binary")
 
@@ -412,7 +447,7 @@ def _open_groups(wide: DataFrame, joined: DataFrame, held: DataFrame, texts_of,
     others = counts.select("grp", F.col("kind").alias("kind2"), "blocks")
     rows = rows.withColumn("kind2", F.explode(touching)).join(others, ["grp", "kind2"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.col("kind2") * _BAND, F.col("kind2") * _BAND + F.col("blocks") - 1)))
-    tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(held.select("k", "n", F.col("few").alias("bits")), "k")
+    tiles = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k").join(held, "k")
     met = tiles.select("grp", "low", "high", "block", "k", "n", "bits").groupBy("grp", "low", "high").applyInArrow(_meet(t), "grp long, low long, high long, block long, k long")
     met = materialize(met, "ngram-met")
     return met.join(_sets(texts_of(met.select("k")), n), "k").groupBy("grp", "low", "high").applyInArrow(_tile(t), "a long, b long")
@@ -422,32 +457,22 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     """(doc_id, n_shingles, component_id, g, tid) for every row of docs: g is the component itself, also where no row of it has an id, tid the hash of the text; ids must be integers."""
     spark, t = docs.sparkSession, percent
     signed = materialize(_signatures(docs, key, text, n), "ngram-signatures")
-    rows = signed.where("n is not null").select("doc_id", "n", "k", "tid")
+    rows = signed
     # The text of a set is that of its row with the least doc_id.
     sets = rows.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("tid", F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("tid"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = signed.where("n is null").groupBy(F.col("k").alias("h")).agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    late = counted.orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).select("h").toArrow().column("h").to_numpy()
+    late = _frequent(docs, text, n, total).orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).select("h").toArrow().column("h").to_numpy()
     late = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
     blocks = max(8, math.ceil(total * (100 - t) / 100 / BLOCK))
-    posted = materialize(_postings(docs, text, n, t, blocks, late), "ngram-columns")
-    product = materialize(posted.where("block >= 0").groupBy("block").applyInArrow(_product(t), _PAIRS), "ngram-product")
-
-    def unpack(batches):
-        for whole in batches:
-            for b in slices(whole, 100):
-                h, k, m = _unpacked([c.to_pylist() for c in b.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(m)], ["h", "k", "n"])
-
-    wide = posted.where("block < 0").select("h", "k", "n", "r").mapInArrow(unpack, "h long, k long, n int").distinct()
-    wide = materialize(wide.unionByName(product.where("b is null").select("h", F.col("a").alias("k"), F.col("n_a").alias("n"))), "ngram-wide")
-    discard(posted)
+    product = materialize(_postings(docs, text, n, t, blocks, late).groupBy("block").applyInArrow(_product(t), _PAIRS), "ngram-product")
+    wide = product.where("b is null").select("h", F.col("a").alias("k"), F.col("n_a").alias("n"))
+    wide = materialize(wide.join(wide.groupBy("h").count().where("count > 1").select("h"), "h"), "ngram-wide")
     # Pairs of narrow columns: the summed overlap must reach what sizes demand of the prefixes.
     narrow = (
         product.where("b is not null").groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("c").cast("int").alias("c"))
         .where(f"c >= ceil({t} * (n_a + n_b) / {100 + t}) - ceil({t} * n_b / 100) + 1")
     )
-    pivots = wide.groupBy("h").agg(F.min(F.struct("k", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    pivots = wide.groupBy("h").agg(F.min(F.struct("k", "n")).alias("p"))
     spokes = wide.join(pivots, "h").where(f"k <> p.k and 100 * least(n, p.n) >= {t} * greatest(n, p.n)").select(F.col("p.k").alias("a"), F.col("k").alias("b")).distinct()
     pairs = materialize(narrow.select("a", "b", "c").unionByName(spokes.withColumn("c", F.lit(0))), "ngram-pairs")
     discard(product)

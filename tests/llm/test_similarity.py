@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievegrid.llm import op01_embedding_neardup, op02_ngram_join, op03_line_dedup, op10_ann
@@ -100,6 +101,34 @@ def test_ngram_components(spark, monkeypatch, wide, frequent):
     assert op02_ngram_join.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ngram_sets_of_slices():
+    texts = [None, "", " \n ", "A  b\tc\nd\x0be\x0cf\rg ", "a\x85b c\u3000d", "x\x1cy \x1fz", "\u00c9 \u00e9 B", "a b c d", "a b c d e", "a b c d e a b c d e a b", "w" * 70_000 + " q"] * 3
+    for at in (0, 5, 17):
+        got = op02_ngram_join.shingle_sets(pa.array(texts).slice(at), 5)
+        assert [len(x) for x in got] == [len(shingle_set(x)) for x in texts[at:]]
+        assert all((x == op02_ngram_join.shingles(y, 5)).all() for x, y in zip(got, texts[at:], strict=True))
+
+
+def test_ngrams_frequent_in_the_table_but_in_no_batch(spark, monkeypatch):
+    """They come last in the order: rows that share little else are neither multiplied nor copied to tiles."""
+    monkeypatch.setattr(op02_ngram_join, "WIDE", 8)
+    monkeypatch.setattr(op02_ngram_join, "FREQUENT", 8)
+    rows, materialize = {}, op02_ngram_join.materialize
+
+    def counted(df, tag):
+        out = materialize(df, tag)
+        rows[tag] = rows.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(op02_ngram_join, "materialize", counted)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(8)]
+    docs = [(i, " ".join([f"w{i}x{j}" for j in range(40)] + phrases)) for i in range(24)] + [(24, " ".join([f"w3x{j}" for j in range(40)] + [*phrases, "more"]))]
+    # Two rows a batch.
+    got = op02_ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(12)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 3 if i == 24 else i for i, _ in docs}
+    assert rows["ngram-wide"] == 0 and rows["ngram-open"] == 0 and rows["ngram-wanted"] == 2
+
+
 def test_ngram_rows_that_repeat_ids(spark):
     word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
     schema = "doc_id long, text string, k int, n_shingles int"
