@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import json
 import random
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,15 @@ REMEMBERED = 500_000
 POOLED = 0.97
 LEVELS = 12
 
+#: The pre-tokens of files that split as word_bpe_49k does, and the same among words of _PLAIN in lower case.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Printable ASCII, and letters that no normal form changes and that Python and the library lower alike.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters that stand for bytes in byte-level models.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
 
 class WordIds:
     """Ids of texts by a tokenizers file that drops white space; memo per distinct word."""
@@ -56,6 +67,11 @@ class WordIds:
         # Where the library lowers letters itself, ASCII texts may come to it lowered: fewer words are distinct.
         self.lowers = steps <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps
         self.strings = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Plain words may go to the model by pre-token, without the library's normalizer and splitter.
+        split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+        steps = (json.loads(self.library.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.direct = self.lowers and steps[:1] == [split] and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]] == [("ByteLevel", False, False)]
+        self.model, self.special = self.library.model, re.compile("|".join(re.escape(t.lower()) for t in self.strings) or "(?!)")
 
     def _words(self, text: str) -> list[str]:
         if self.lowers and text.isascii():
@@ -65,6 +81,27 @@ class WordIds:
         return words(text)
 
     def _encode(self, new: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        found: dict[str, bytes] = {}
+        rest, held, older = [], self.memo, self.memo.old
+        plain, special = _PLAIN.fullmatch, self.special.search
+        for word in new:
+            low = word.lower()
+            if not self.direct or not plain(word) or special(low):
+                rest.append(word)
+                continue
+            ids = b""
+            for part in (low,) if low.isalpha() else _PARTS.findall(low):
+                of = found.get(part) or held.get(part) or older.get(part)
+                if of is None:
+                    shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+                    of = found[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+                ids += of
+            found[word] = ids
+        found.update(zip(rest, self._by_library(rest), strict=True))
+        return [found[word] for word in new]
+
+    def _by_library(self, new: list[str]) -> list[bytes]:
         """Ids of each word: many are encoded as one text, and the places of its tokens tell whose they are."""
         out = []
         for at in range(0, len(new), 1000):
@@ -79,9 +116,11 @@ class WordIds:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         rows = [self._words(x) if x else [] for x in texts]
-        self.memo.fill(rows)
+        get = self.memo.get
+        found = [list(map(get, row)) for row in rows]
+        self.memo.fill({w for w, x in zip(row, ids, strict=True) if x is None} for row, ids in zip(rows, found, strict=True))
         get = self.memo.__getitem__
-        return [b"".join(map(get, row)) for row in rows]
+        return [b"".join([get(w) if x is None else x for w, x in zip(row, ids, strict=True)]) for row, ids in zip(rows, found, strict=True)]
 
 
 def word_ids(path: str) -> WordIds:

@@ -88,6 +88,21 @@ def check_packing(rows, want, capacity):
     return len(bins)
 
 
+def test_words_that_go_to_the_model_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), op07_packing.WordIds(path), random.Random(5)
+    rows = ["It's HE'LL 'Sx x''t 12.5% a_b--c $$$ </w> don't," + "".join(map(chr, range(128))), "\u0130 \u212a \u00c9a x\u0301 \u4e00 " + "x ".join(map(chr, range(128, 600))) + " " + "".join(map(chr, range(192, 256))), *own.strings, *(x.upper() + "x" for x in own.strings)]
+    rows += ["".join(rng.choice("abIZ'stlLdmre.,<>|/w09 \x00\x7f\u00e9\u00df\u00c5\u00d7\u00b2\u4e00") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    asked = []
+    own.library = type("Counting", (), {"encode": lambda self, x, **k: (asked.extend(x.split()), library.encode(x, **k))[1]})()
+    for x, ids in zip(rows, own.encode_batch(rows), strict=True):
+        want = library.encode(x, add_special_tokens=False).ids
+        assert ids == struct.pack(f"<{len(want)}I", *want), x
+    assert own.direct and "\u4e00" in "".join(asked) and not any(op07_packing._PLAIN.fullmatch(x) and x.isalpha() for x in asked)
+
+
 def test_pieces_and_packing(spark):
     from tokenizers import Tokenizer
 
