@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, key_bitmap, materialize, sifted
+from .common import discard, held as remembered, key_bitmap, materialize, sifted
 from .components import components
 from .op04_bpe import slices
 
@@ -133,6 +133,7 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     def run(batches):
         import xxhash
 
+        remembered("ngram", None, object)  # what the worker holds for another operator goes
         for whole in batches:
             for b in slices(whole, 1000):
                 sets = shingle_sets(b.column(1), n)
