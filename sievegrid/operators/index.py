@@ -47,9 +47,13 @@ def add(docs: DataFrame, path: str, batch: str, by: str = "repo_key") -> None:
         held = _read(spark, path, "docs", kind).where(F.col("batch") != batch).select("repo_key", "doc_id")
         rows = rows.join(held, ["repo_key", "doc_id"], "left_anti")
     named = F.lit(batch).alias("batch")
-    # Dealt out by document, so that counting its terms needs no more, and a file holds documents whole.
-    words = rows.select("repo_key", "doc_id", tokens(F.col("text")).alias("t")).withColumn("size", F.size("t")).repartition("repo_key", "doc_id")
-    postings = words.select("repo_key", "doc_id", "size", F.explode("t").alias("term")).groupBy("repo_key", "doc_id", "size", "term").agg(F.count("*").cast("int").alias("tf"))
+    # A document's terms are counted inside its row, so neither texts nor their tokens are shuffled, and a file holds documents whole.
+    # explode(array(...)) keeps Spark from writing an array's expression into the lambdas that read it, once per element.
+    words = rows.select("repo_key", "doc_id", F.explode(F.array(F.sort_array(tokens(F.col("text"))))).alias("t")).withColumn("size", F.size("t"))
+    new_term = lambda i: F.get("t", i - 1).isNull() | (F.get("t", i) != F.get("t", i - 1))
+    words = words.where("size > 0").select("*", F.explode(F.array(F.filter(F.sequence(F.lit(0), F.col("size") - 1), new_term))).alias("at"))
+    counted = F.transform("at", lambda x, i: F.struct(F.get("t", x).alias("term"), (F.coalesce(F.get("at", i + 1), F.col("size")) - x).alias("tf")))
+    postings = words.select("repo_key", "doc_id", "size", counted.alias("items")).select("repo_key", "doc_id", "size", F.explode("items").alias("p")).select("repo_key", "doc_id", "size", "p.term", "p.tf")
     by_batch = ("repo_key", "batch")
     write_by_repo(postings.select("term", "doc_id", "tf", "size", "repo_key", named), f"{path}/postings", ("term", "doc_id"), by_batch)
     # What follows comes from the postings just written, so texts are read and tokenised once.

@@ -63,6 +63,17 @@ def test_pair_table_labels_and_gaps(spark, tmp_path):
 DOCS = "doc_id long, repo_key string, text string"
 
 
+def test_index_counts_terms_where_texts_are_read(spark, tmp_path, monkeypatch):
+    plans, write = {}, index.write_by_repo
+    monkeypatch.setattr(index, "write_by_repo", lambda rows, path, *a: (plans.update({path.rsplit("/", 1)[1]: plan(rows)}), write(rows, path, *a)))
+    path = str(tmp_path / "index")
+    index.add(spark.createDataFrame([(1, "a", "x y X  y x z"), (2, "a", ""), (3, "a", None), (4, "b", "z")], DOCS), path, "one")
+    # Postings move once, to be written; before, tokenised texts moved too.
+    assert "Exchange" not in plans["postings"]
+    got = spark.read.parquet(f"{path}/postings")
+    assert sorted((r["repo_key"], r["doc_id"], r["term"], r["tf"], r["size"]) for r in got.collect()) == [("a", 1, "x", 3, 6), ("a", 1, "y", 2, 6), ("a", 1, "z", 1, 6), ("b", 4, "z", 1, 1)]
+
+
 def test_index_equals_bm25_and_reads_no_text(spark, tmp_path):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
