@@ -8,7 +8,7 @@ import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ def forget() -> None:
     """Drops what this worker remembers, and gives the memory back to the machine."""
     _HELD.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that nothing uses back to the machine; Arrow's pool gives back what the calling thread took."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -39,6 +44,17 @@ def forget() -> None:
         pass
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, which trims the worker's memory before and after: an executor keeps idle workers beside those at work."""
+
+    def trimmed(batches):
+        trim()
+        yield from run(batches)
+        trim()
+
+    return trimmed
+
+
 def held(kind: str, key, make: Callable):
     """What `make` returns, remembered by this worker for the next tasks; what it held for another operator, or key, goes."""
     while _TIMER:
@@ -173,4 +189,4 @@ def sifted(df: DataFrame, column: str, bitmap, held: bool = True) -> DataFrame:
             there = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & ~key.is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(there == held))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held as remembered, key_bitmap, materialize, sifted
+from .common import discard, held as remembered, key_bitmap, lean, materialize, sifted
 from .components import components
 from .op04_bpe import slices
 
@@ -140,7 +140,7 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 hashes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64()), b.column(2)], ["doc_id", "n", "k", "tid"])
 
-    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, "doc_id long, n long, k long, tid long")
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(lean(run), "doc_id long, n long, k long, tid long")
 
 
 def _frequent(docs: DataFrame, text: str, n: int, total: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _frequent(docs: DataFrame, text: str, n: int, total: int) -> DataFrame:
                 sets = {s.tobytes(): s for s in shingle_sets(b.column(0), n)}
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets.values(), np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
-    found = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text).mapInArrow(run, "h long")
+    found = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text).mapInArrow(lean(run), "h long")
     return found.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= max(SEEN, FREQUENT / share))
 
 
@@ -208,7 +208,7 @@ def _postings(docs: DataFrame, text: str, n: int, t: int, blocks: int, late) ->
                     ["block", "h", "k", "n", "r"],
                 )
 
-    return docs.select(text).mapInArrow(run, "block int, h binary, k binary, n binary, r binary")
+    return docs.select(text).mapInArrow(lean(run), "block int, h binary, k binary, n binary, r binary")
 
 
 def _unpacked(columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,7 +295,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
 
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _bits(h: np.ndarray, room: int = 2) -> np.ndarray:
@@ -327,7 +327,7 @@ def _possible(pairs: DataFrame, held: DataFrame, t: int) -> DataFrame:
 
     left = held.select(F.col("k").alias("a"), F.col("bits").alias("x"), F.col("n").alias("n_x"))
     right = held.select(F.col("k").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n_y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(lean(run), "a long, b long")
 
 
 def _held(texts: DataFrame, n: int) -> DataFrame:
@@ -344,7 +344,7 @@ def _held(texts: DataFrame, n: int) -> DataFrame:
                 sets = {xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63): s for s in shingle_sets(b.column(0), n) if len(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), pa.array([_bits(s).tobytes() for s in sets.values()], pa.binary())], ["k", "n", "bits"])
 
-    found = texts.select("text").mapInArrow(run, "k long, n int, bits binary")
+    found = texts.select("text").mapInArrow(lean(run), "k long, n int, bits binary")
     return found.groupBy("k").agg(*(F.any_value(c).alias(c) for c in ("n", "bits")))
 
 
@@ -356,7 +356,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
             for b in slices(whole, 1000):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), n)], pa.binary())], ["k", "grams"])
 
-    return texts.select("k", "text").mapInArrow(run, "k long, grams binary")
+    return texts.select("k", "text").mapInArrow(lean(run), "k long, grams binary")
 
 
 def _tile(t: int):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, held, key_bitmap, materialize, sifted
+from .common import discard, held, key_bitmap, lean, materialize, sifted
 from .op04_bpe import slices
 
 #: Odd multiplier of the rolling hash, modulo 2^64, and its inverse.
@@ -149,7 +149,7 @@ def _lines(docs: DataFrame, exact: int, least: int) -> DataFrame:
                     ["doc_id", "tid", "no", "k", "k2", "halves"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, tid long, no int, k long, k2 long, halves array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, tid long, no int, k long, k2 long, halves array<long>")
 
 
 def _survivors(docs: DataFrame, picked: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _survivors(docs: DataFrame, picked: DataFrame) -> DataFrame:
 
     takes = materialize(picked.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("id", "kinds", "no")).alias("take")), "lines-picked")
     rows = sifted(docs, "tid", key_bitmap(takes, "tid")).join(takes, ["doc_id", "tid"]).select("doc_id", "tid", "text", "take")
-    return rows.mapInArrow(run, "id long, kinds int, doc_id long, tid long, no int, line string").dropDuplicates(["id"])
+    return rows.mapInArrow(lean(run), "id long, kinds int, doc_id long, tid long, no int, line string").dropDuplicates(["id"])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                         ["v", "at", "id", "doc_id", "tid", "no"],
                     )
 
-    return lines.mapInArrow(run, "v long, at int, id long, doc_id long, tid long, no int")
+    return lines.mapInArrow(lean(run), "v long, at int, id long, doc_id long, tid long, no int")
 
 
 def _earliest(variants: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     return (
         pairs.join(lines.select("id", F.col("line").alias("x")), "id").join(lines.select(F.col("id").alias("other"), F.col("line").alias("y")), "other")
-        .select("id", "other", "x", "y").mapInArrow(run, "id long, other long")
+        .select("id", "other", "x", "y").mapInArrow(lean(run), "id long, other long")
     )
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, materialize, table
+from .common import held, lean, materialize, table
 from .op04_bpe import slices
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -169,7 +169,7 @@ def _edges(docs: DataFrame) -> DataFrame:
                     ["pattern", "instance", "seed", "n"],
                 )
 
-    rows = docs.select("text").mapInArrow(run, "pattern string, instance string, seed long, n long")
+    rows = docs.select("text").mapInArrow(lean(run), "pattern string, instance string, seed long, n long")
     return rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
@@ -191,7 +191,7 @@ def _occurrences(docs: DataFrame, patterns) -> DataFrame:
                             n.update([t for t in zip(*(units[i:] for i in range(k + 1)), strict=False) if t in some])
                 yield pa.RecordBatch.from_arrays([pa.array(map(_joined, n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pattern", "total"])
 
-    return docs.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return docs.select("text").mapInArrow(lean(run), "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
 
 
 def bootstrap(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[str]:
@@ -245,7 +245,7 @@ def _applied(docs: DataFrame, patterns: list[str], text: str) -> tuple[DataFrame
                     new = [[s for s, k, _ in spans_of(x, sent.value, set(old))[1] if k == 4] if x else [] for x, old in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
                     yield b.set_column(j, b.schema.field(j), pa.array(new, b.schema.field(j).type))
 
-        docs = materialize(docs.mapInArrow(run, docs.schema), "pii-starts")
+        docs = materialize(docs.mapInArrow(lean(run), docs.schema), "pii-starts")
         sent.unpersist()
     return docs, frozenset(parts[-1])
 
@@ -271,7 +271,7 @@ def extract(docs: DataFrame, patterns: list[str], key: str = "doc_id", text: str
                     [key, "n_email", "n_ip", "n_card", "n_phone", "base", "spans"],
                 )
 
-    return docs.mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return docs.mapInArrow(lean(run), f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -296,7 +296,7 @@ def mask(docs: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
                 new = [masked(x, spans_of(x, sent.value, old)[1]) if x else x for x, old in zip(b.column(i).to_pylist(), _starts(b), strict=True)]
                 yield b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema).drop(STARTS)
+    return docs.mapInArrow(lean(run), docs.schema).drop(STARTS)
 
 
 def op5_pii_bootstrap(spark, sf_dir: str) -> DataFrame:

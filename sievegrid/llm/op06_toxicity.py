@@ -33,6 +33,7 @@ import string
 import unicodedata
 import uuid
 from collections import Counter
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held, materialize, table
+from .common import discard, held, lean, materialize, table
 from .op04_bpe import slices
 
 #: Signs and the letters that they may stand for. Fixed values.
@@ -166,12 +167,12 @@ def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
             for b in slices(whole, 2000):
                 for x in b.column(0).to_pylist():
                     words.update((x or "").lower().split())
-                if len(words) > 100_000:
+                if len(words) > 40_000:
                     yield counted(words)
                     words = Counter()
         yield counted(words)
 
-    return docs.select(text).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(lean(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def char_model(docs: DataFrame, text: str = "text") -> dict[str, int]:
@@ -182,7 +183,7 @@ def char_model(docs: DataFrame, text: str = "text") -> dict[str, int]:
 class Reader:
     """Texts to sets of features."""
 
-    def __init__(self, grams: dict[str, int], wanted: set[str] | None = None):
+    def __init__(self, grams: dict[str, int], wanted: Collection[str] | None = None):
         self.model, self.wanted, self.memo, self.bare = CharModel(grams), wanted, {}, set()
         # How plain words with a wanted feature begin.
         self.stems = None if wanted is None else {x[1:4] if x.startswith("=") else x[:3] for x in wanted}
@@ -215,7 +216,7 @@ class Reader:
     def features(self, text: str | None) -> set[str]:
         text = (text or "").lower()
         words = set(text.split())
-        if len(self.memo) > 100_000:
+        if len(self.memo) > (30_000 if self.wanted is None else 100_000):  # all features of a word are many
             self.memo = {}
         if len(self.bare) > 300_000:
             self.bare = set()
@@ -258,24 +259,42 @@ def _supported(rows: DataFrame, sent) -> list[str]:
                     n.update(reader.features(x))
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
-    counts = rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(lean(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     return sorted(counts.where(F.col("n") >= SUPPORT).select("feature").toArrow()["feature"].to_pylist())
 
 
 def _featured(rows: DataFrame, sent) -> DataFrame:
-    """(f array<string>, toxic, at): the wanted features of each row."""
+    """(f array<int>, toxic, at): the places in the list of known features of those that each row has, in order."""
 
     def run(batches):
-        reader = _reader(sent, lambda x: Reader(*x))
+        reader, place = _reader(sent, lambda x: (Reader(x[0], known := {f: i for i, f in enumerate(x[1])}), known))
         for whole in batches:
             for b in slices(whole, 200):
-                found = [sorted(reader.features(x)) for x in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1), b.column(2)], ["f", "toxic", "at"])
+                found = [sorted(place[f] for f in reader.features(x)) for x in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1), b.column(2)], ["f", "toxic", "at"])
 
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic"), "at").mapInArrow(run, "f array<string>, toxic int, at long")
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic"), "at").mapInArrow(lean(run), "f array<int>, toxic int, at long")
 
 
-def select_features(counts: DataFrame, n1: int, n0: int) -> list[str]:
+def _counted(found: DataFrame, n: int) -> DataFrame:
+    """(feature int, n1, n0): in how many toxic and other rows each of n features stands; a task's rows are counted where they are read."""
+
+    def run(batches):
+        held("toxic-counts", None, dict)
+        sums = np.zeros((2, n), np.int64)
+        for b in batches:
+            f = b.column(0)
+            toxic = np.repeat(b.column(1).to_numpy() == 1, pc.list_value_length(f).to_numpy())
+            at = f.flatten().to_numpy()
+            sums += np.bincount(at[toxic], minlength=n), np.bincount(at[~toxic], minlength=n)
+        there = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *map(pa.array, sums[:, there])], ["feature", "n1", "n0"])
+
+    counts = found.select("f", "toxic").mapInArrow(lean(run), "feature int, n1 long, n0 long")
+    return counts.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def select_features(counts: DataFrame, n1: int, n0: int) -> list:
     """All features with SUPPORT toxic documents and log odds of ODDS, of n1 toxic and n0 other documents; the best first."""
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     rows = counts.where(F.col("n1") >= SUPPORT).select("feature", "n1", odds.alias("odds")).where(F.col("odds") >= ODDS).toArrow()
@@ -283,19 +302,20 @@ def select_features(counts: DataFrame, n1: int, n0: int) -> list[str]:
     return sorted(rank, key=lambda f: (rank[f], f))
 
 
-def _placed(found: DataFrame, picked: list[str]) -> DataFrame:
-    """(f array<int>, toxic, at): the places in picked of each row's features, without those that have none."""
+def _placed(found: DataFrame, picked: list[int], n: int) -> DataFrame:
+    """(f array<int>, toxic, at): the places in picked of each row's features, of n, without those that have none."""
+    places = np.full(n, -1, np.int32)
+    places[picked] = np.arange(len(picked))
 
     def run(batches):
-        names = pa.array(picked, pa.string())
-        for b in (part for whole in batches for part in slices(whole, 1000)):
+        for b in batches:
             f = b.column(0)
-            at = pc.fill_null(pc.index_in(f.flatten(), value_set=names), -1).to_numpy()
+            at = places[f.flatten().to_numpy()]
             row = np.repeat(np.arange(len(f)), pc.list_value_length(f).to_numpy())
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[at >= 0], minlength=len(f)))])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[at >= 0].astype(np.int32))), b.column(1), b.column(2)], ["f", "toxic", "at"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[at >= 0])), b.column(1), b.column(2)], ["f", "toxic", "at"])
 
-    return found.mapInArrow(run, "f array<int>, toxic int, at long")
+    return found.mapInArrow(lean(run), "f array<int>, toxic int, at long")
 
 
 def _fit(rows: list[list[int]], y: np.ndarray, n: int, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -329,16 +349,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str,
     rows = materialize(rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("at").alias("at"), F.min("text").alias("text")), "toxic-rows")
     # What too few toxic rows hold can't be chosen, and isn't looked for in the others.
     known = _supported(rows.where("toxic = 1"), sent)
-    found = materialize(_featured(rows, _sent(spark, (grams, set(known)))), "toxic-features")
+    found = materialize(_featured(rows, _sent(spark, (grams, known))), "toxic-features")
     sizes = found.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
-    toxic = (F.col("toxic") == 1).cast("long")
-    counts = found.select(F.explode("f").alias("feature"), toxic.alias("t")).groupBy("feature").agg(F.sum("t").alias("n1"), F.sum(1 - F.col("t")).alias("n0"))
-    picked = select_features(counts, *sizes)
-    fit = _placed(found, picked).toArrow().sort_by("at")
+    picked = select_features(_counted(found, len(known)), *sizes)
+    fit = _placed(found, picked, len(known)).toArrow().sort_by("at")
     discard(rows, found)
     y = (fit["toxic"].to_numpy() == 1).astype(float)
     w, b = _fit(fit["f"].to_pylist(), y, len(picked)) if len(y) else (np.zeros(len(picked)), -3.0)
-    return grams, dict(zip(picked, w.tolist(), strict=True)), float(b)
+    return grams, {known[i]: x for i, x in zip(picked, w.tolist(), strict=True)}, float(b)
 
 
 def _scorer(value):
@@ -363,7 +381,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
             for b in slices(whole, 1000):
                 yield b.filter(pa.array([score(x) < 0.5 for x in b.column(b.schema.get_field_index(text)).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,7 +398,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", fold.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", fold.alias("held_out")).mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

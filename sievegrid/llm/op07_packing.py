@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, words
-from .common import held, materialize
+from .common import held, lean, materialize
 from .op04_bpe import slices
 
 CAPACITY = 4096
 #: Pieces of a block, islands of a block, epochs with migration between, chromosomes and most offspring of an epoch, and those without gain that end it.
 BLOCK, ISLANDS, EPOCHS, POPULATION, OFFSPRING, PATIENCE = 12_000, 2, 2, 6, 80, 20
 #: Words of a generation that a worker remembers; bounds memory only.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Bins filled less than this share are pooled for another level.
 POOLED = 0.97
 LEVELS = 12
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1
                     [key, "piece", "start", "length", "ids"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids binary")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, piece int, start long, length long, ids binary")
 
 
 class Bins:

@@ -225,6 +225,47 @@ def test_learning_equals_a_naive_count(spark, monkeypatch):
     assert set(weights) == {f for f, x in odds.items() if x >= op06_toxicity.ODDS} and "=zyx" in weights
 
 
+def test_features_are_counted_where_they_are_read(spark, monkeypatch):
+    """No row of features is exploded: they are places, and a task gives a count of each at most."""
+    rng, seen = random.Random(15), {}
+    words = ["w" + c + d for c in "abcdef" for d in "ghij"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(8)) + (" zyx" if i % 2 else ""), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+
+    def write(df, tag, write=op06_toxicity.materialize):
+        seen[tag] = write(df, tag)
+        return seen[tag]
+
+    def select(counts, n1, n0, select=op06_toxicity.select_features):
+        found = seen["toxic-features"].collect()
+        want = Counter((f, r["toxic"]) for r in found for f in r["f"])
+        seen["counts"] = {r["feature"]: (r["n1"], r["n0"]) for r in counts.collect()} == {f: (want[f, 1], want[f, 0]) for f, _ in want}
+        seen["plan"] = counts._jdf.queryExecution().executedPlan().toString()
+        return select(counts, n1, n0)
+
+    monkeypatch.setattr(op06_toxicity, "materialize", write)
+    monkeypatch.setattr(op06_toxicity, "select_features", select)
+    weights = op06_toxicity.learn(docs, marks)[1]
+    assert seen["toxic-features"].schema["f"].dataType.simpleString() == "array<int>"
+    assert seen["counts"] and "Generate" not in seen["plan"] and "=zyx" in weights
+
+
+def test_words_with_all_features_are_bounded():
+    read = op06_toxicity.Reader(model())
+    for i in range(40):
+        read.features(" ".join(f"w{chr(97 + i % 26)}{'abcdefghij'[i // 26]}{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}" for j in range(2000)))
+    assert len(read.memo) <= 32_000
+
+
+def test_workers_trim_before_and_after(monkeypatch):
+    from sievegrid.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "trim", lambda: seen.append("trim"))
+    assert list(common.lean(lambda batches: (seen.append(b) or 2 * b for b in batches))(iter([1, 2]))) == [2, 4] and seen == ["trim", 1, 2, "trim"]
+
+
 def test_spacing_is_decoded_with_the_signs():
     grams = Counter(model())
     for w in ["you", "are"] * 50:
