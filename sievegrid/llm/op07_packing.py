@@ -36,24 +36,46 @@ from .op04_bpe import slices
 CAPACITY = 4096
 #: Pieces of a block, islands of a block, epochs with migration between, chromosomes and most offspring of an epoch, and those without gain that end it.
 BLOCK, ISLANDS, EPOCHS, POPULATION, OFFSPRING, PATIENCE = 12_000, 2, 2, 6, 80, 20
-#: Words of a generation that a worker remembers; bounds memory only.
+#: Words, or pre-tokens, of a generation that a worker remembers; bounds memory only.
 REMEMBERED = 150_000
 #: Bins filled less than this share are pooled for another level.
 POOLED = 0.97
 LEVELS = 12
 
-#: The pre-tokens of files that split as word_bpe_49k does, and the same among words of _PLAIN in lower case.
+#: The pre-tokens of files that split as word_bpe_49k does.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 #: Printable ASCII, and letters that no normal form changes and that Python and the library lower alike.
 _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The characters that stand for bytes in byte-level models.
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
+#: Bytes of Latin-1 text: those of plain text, what each is in lower case (white space: a space), and its class.
+_SPACES = b"\t\n\x0b\x0c\r "
+_PLAIN_BYTES = _SPACES + "".join(c for c in map(chr, range(256)) if _PLAIN.fullmatch(c)).encode("latin-1")
+_LOWER = bytes(32 if b in _SPACES else ord(chr(b).lower()) if b in _PLAIN_BYTES else b for b in range(256))
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_CLASS = np.array([_SPACE if b in _SPACES else _LETTER if chr(b).isalpha() else _DIGIT if chr(b) in "0123456789" else _SIGN for b in range(256)], np.uint8)
+#: Bytes of plain texts that are cut and looked up at once, and at most one text more.
+_AT_ONCE = 2 << 20
+
+
+def plain_parts(data: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of lower plain text, and the runs of spaces between them, begin; the text ends with three spaces."""
+    kind = _CLASS[data]
+    begins = np.append(True, kind[1:] != kind[:-1]) | (kind == _DIGIT)
+    sign = np.flatnonzero((data == ord("'")) & begins)
+    one, two = data[sign + 1], data[sign + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    begins[sign[short | long] + 1] = False
+    begins[sign[short] + 2] = True
+    begins[sign[long] + 3] = True
+    return np.flatnonzero(begins)
+
 
 class WordIds:
-    """Ids of texts by a tokenizers file that drops white space; memo per distinct word."""
+    """Ids of texts by a tokenizers file that drops white space; memo per distinct word, or pre-token of plain texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,13 +83,13 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo = Memo(self._encode, REMEMBERED)
+        self.memo, self.parts = Memo(self._encode, REMEMBERED), Memo(self._by_model, REMEMBERED)
         normal = json.loads(self.library.to_str())["normalizer"] or {}
         steps = {n["type"] for n in normal.get("normalizers", [normal]) if n}
         # Where the library lowers letters itself, ASCII texts may come to it lowered: fewer words are distinct.
         self.lowers = steps <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps
         self.strings = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # Plain words may go to the model by pre-token, without the library's normalizer and splitter.
+        # Plain texts may go to the model by pre-token, without the library's normalizer and splitter.
         split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
         steps = (json.loads(self.library.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.direct = self.lowers and steps[:1] == [split] and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]] == [("ByteLevel", False, False)]
@@ -80,26 +102,51 @@ class WordIds:
                 return words(low)
         return words(text)
 
+    def _plain(self, text: str) -> bytes | None:
+        """A plain text in lower case, in Latin-1; None for other texts, and where special strings may stand."""
+        if not self.direct:
+            return None
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if raw.translate(None, _PLAIN_BYTES):
+            return None
+        low = raw.translate(_LOWER)
+        return None if self.special.search(low.decode("latin-1")) else low
+
+    def _by_model(self, new: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token of plain text; none of a run of spaces."""
+        out = []
+        for part in new:
+            shown = part.decode("latin-1")
+            if not shown.isascii():
+                shown = shown.encode().decode("latin-1").translate(_BYTES)
+            out.append(b"" if shown.isspace() else array("I", [t.id for t in self.model.tokenize(shown)]).tobytes())
+        return out
+
+    def _of_plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each plain text: all are cut at once, and each distinct pre-token is looked up once."""
+        data = np.frombuffer(b" ".join([*texts, b"  "]), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        at = plain_parts(data)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        distinct, code = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        self.parts.fill([distinct])
+        found = [self.parts[x] for x in distinct]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = (np.cumsum(size) - size)[code], size[code]
+        upto = np.cumsum(n)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first - upto + n, n) + np.arange(n.sum())]
+        cut = np.append(0, upto)[np.searchsorted(at, np.append(0, ends))].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+
     def _encode(self, new: list[str]) -> list[bytes]:
         """Ids of each word."""
-        found: dict[str, bytes] = {}
-        rest, held, older = [], self.memo, self.memo.old
-        plain, special = _PLAIN.fullmatch, self.special.search
-        for word in new:
-            low = word.lower()
-            if not self.direct or not plain(word) or special(low):
-                rest.append(word)
-                continue
-            ids = b""
-            for part in (low,) if low.isalpha() else _PARTS.findall(low):
-                of = found.get(part) or held.get(part) or older.get(part)
-                if of is None:
-                    shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-                    of = found[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-                ids += of
-            found[word] = ids
-        found.update(zip(rest, self._by_library(rest), strict=True))
-        return [found[word] for word in new]
+        low = [self._plain(word) for word in new]
+        plain = iter(self._of_plain([x for x in low if x is not None]))
+        rest = iter(self._by_library([word for word, x in zip(new, low, strict=True) if x is None]))
+        return [next(rest if x is None else plain) for x in low]
 
     def _by_library(self, new: list[str]) -> list[bytes]:
         """Ids of each word: many are encoded as one text, and the places of its tokens tell whose they are."""
@@ -114,14 +161,28 @@ class WordIds:
             out += [data[i:j] for i, j in zip(cut, cut[1:], strict=False)]
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        rows = [self._words(x) if x else [] for x in texts]
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        rows = [self._words(x) for x in texts]
         get = self.memo.get
         found = [list(map(get, row)) for row in rows]
         self.memo.fill({w for w, x in zip(row, ids, strict=True) if x is None} for row, ids in zip(rows, found, strict=True))
         get = self.memo.__getitem__
         return [b"".join([get(w) if x is None else x for w, x in zip(row, ids, strict=True)]) for row, ids in zip(rows, found, strict=True)]
 
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        low = [self._plain(x) if x else b"" for x in texts]
+        plain = [i for i, x in enumerate(low) if x]
+        upto = np.cumsum([len(low[i]) for i in plain]) // _AT_ONCE
+        groups = [g.tolist() for g in np.split(np.array(plain, int), np.flatnonzero(np.diff(upto)) + 1)]
+        for group in groups:
+            for i, ids in zip(group, self._of_plain([low[i] for i in group]), strict=True):
+                out[i] = ids
+        rest = [i for i, x in enumerate(low) if x is None]
+        for i, ids in zip(rest, self._by_word([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
 
 def word_ids(path: str) -> WordIds:
     return held("packing", path, lambda: WordIds(path))

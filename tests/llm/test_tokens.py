@@ -103,6 +103,26 @@ def test_words_that_go_to_the_model_equal_the_library():
     assert own.direct and "\u4e00" in "".join(asked) and not any(op07_packing._PLAIN.fullmatch(x) and x.isalpha() for x in asked)
 
 
+def test_plain_texts_are_cut_together_and_each_pre_token_goes_to_the_model_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), op07_packing.WordIds(path), random.Random(6)
+    monkeypatch.setattr(op07_packing, "_AT_ONCE", 500, raising=False)
+    kinds = "'stlmdrev x", "aB'sTlL re.,<>|/09 \t\n\r\x0b\x0c\u00c9\u00df\u00de", "It's  HE'LL 1,234.5"
+    plain = [*("".join(rng.choice(k) for _ in range(rng.randint(0, 90))) for k in kinds for _ in range(700)), "", " \n", None, "'", "x'", "'r", "'re", "'S'", "a'll'd''m"]
+    other = ["<|startoftext|> a", "a <|ENDOFTEXT|>", "x\u00a0'y\x85z", "\u201cit's\u201d \u4e00", "a\x1cb x\u0301", "\u00aa\u00d7\u00b2 \u0130"]
+    asked, tokenize = [], own.model.tokenize
+    own.model = type("Counting", (), {"tokenize": lambda self, x: (asked.append(x), tokenize(x))[1]})()
+    by_word, own._words = own._words, None
+    for rows in (plain, [x for i, p in enumerate(plain) for x in (p, *other[i % 50 : i % 50 + 1])]):
+        for x, ids in zip(rows, own.encode_batch(rows), strict=True):
+            want = library.encode(x or "", add_special_tokens=False).ids
+            assert ids == struct.pack(f"<{len(want)}I", *want), x
+        assert len(asked) == len(set(asked)) > 500
+        own._words = by_word
+
+
 def test_pieces_and_packing(spark):
     from tokenizers import Tokenizer
 
