@@ -131,9 +131,12 @@ class WordIds:
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         at = plain_parts(data)
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
-        distinct, code = parts.dictionary.to_pylist(), parts.indices.to_numpy()
-        self.parts.fill([distinct])
-        found = [self.parts[x] for x in distinct]
+        distinct, code = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+        found = list(map(self.parts.get, distinct))
+        new = [i for i, x in enumerate(found) if x is None]
+        self.parts.fill([[distinct[i] for i in new]])
+        for i in new:
+            found[i] = self.parts[distinct[i]]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first, n = (np.cumsum(size) - size)[code], size[code]
         upto = np.cumsum(n)
